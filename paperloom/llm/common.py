@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -12,6 +12,18 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def without(text: Column, characters: str, instead: str = "") -> Column:
+    """text with each of a few characters replaced."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(instead))
+    return text
+
+
+def words_of(text: Column) -> Column:
+    """All runs of characters that are not white space; none for null."""
+    return F.filter(F.split(without(F.coalesce(text, F.lit("")), "\n\t\x0b\f\r", " "), " "), lambda w: w != "")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,10 +51,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def null_safe(left: str, right: str, a: DataFrame, b: DataFrame):
-    return a[left].eqNullSafe(b[right])
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, component), the smallest node reachable.
 

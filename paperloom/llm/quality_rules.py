@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, without, words_of, written
 
 #: Share of a group's rows that the covariance fit rests on.
 CORE = 0.75
@@ -70,25 +70,18 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n >= 4, _let(F.length(F.bin(n.cast("long"))), covered)).otherwise(F.lit(0).cast("long"))
 
 
-def _without(text: Column, characters: str, instead: str = "") -> Column:
-    for c in characters:
-        text = F.replace(text, F.lit(c), F.lit(instead))
-    return text
-
-
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce("text", F.lit(""))
-    words = F.filter(F.split(_without(text, "\n\t\x0b\f\r", " "), " "), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(_without(x, "\t\x0b\f\r", " ")) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.ltrim(without(x, "\t\x0b\f\r", " ")) != "")
     d = docs.select(
         "doc_id",
         "lang",
         "source",
-        (F.length(text) - F.length(_without(text, "#*$%&|<>"))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(without(text, "#*$%&|<>"))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _let(
-            words,
+            words_of(text),
             lambda w: F.struct(
                 F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeat_words(w).alias("r")
             ),

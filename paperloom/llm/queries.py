@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .mixing import op6_mixing
 from .quality_rules import op10_quality_rules
+from .url_filter import op3_url_filter
+from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_warc": op4_warc,
+    "op6_mixing": op6_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
