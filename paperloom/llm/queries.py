@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .language_id import op5_language_id
 from .mixing import op6_mixing
 from .quality_rules import op10_quality_rules
 from .url_filter import op3_url_filter
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_warc": op4_warc,
+    "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
