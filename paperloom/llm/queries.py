@@ -7,6 +7,7 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op5_language_id
 from .mixing import op6_mixing
 from .quality_rules import op10_quality_rules
+from .toxicity import op7_toxicity
 from .url_filter import op3_url_filter
 from .warc import OP4_SQL, op4_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
