@@ -6,12 +6,14 @@ from .byte_bpe import op9_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op5_language_id
 from .mixing import op6_mixing
+from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality_rules import op10_quality_rules
 from .toxicity import op7_toxicity
 from .url_filter import op3_url_filter
 from .warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_warc": op4_warc,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
