@@ -180,8 +180,8 @@ def train(labelled: DataFrame, pieces: list[str], docs_per_language: int = TRAIN
     return model
 
 
-def identify(docs: DataFrame, model: dict[str, dict[str, float]]) -> DataFrame:
-    """All columns of docs, then lang_pred and score (the posterior of the predicted language)."""
+def identify(docs: DataFrame, model: dict[str, dict[str, float]], into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, then the predicted language and its posterior, in columns named by `into`."""
     names = sorted(model)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast([model[n] for n in names])
@@ -212,11 +212,11 @@ def identify(docs: DataFrame, model: dict[str, dict[str, float]]) -> DataFrame:
                 pred.append(names[best])
                 score.append(float(1 / np.exp(np.clip(total - total[best], -700, 0)).sum()))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"]
+                [*b.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, *into]
             )
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{into[0]}` string, `{into[1]}` double")
 
 
 def held_out(mod: int, rest: int):

@@ -8,6 +8,7 @@ from .language_id import op5_language_id
 from .mixing import op6_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality_rules import op10_quality_rules
+from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op7_toxicity
 from .url_filter import op3_url_filter
 from .warc import OP4_SQL, op4_warc
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
