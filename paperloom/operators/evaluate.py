@@ -152,7 +152,7 @@ def accept_questions(generated: DataFrame, seen: DataFrame) -> DataFrame:
     return d.withColumn("required", F.when(inside, F.col("required")).otherwise(F.col("offered")))
 
 
-def paper_context(papers: DataFrame, chars: int = 400) -> Column:
+def paper_context(chars: int = 400) -> Column:
     return F.concat(F.lit("["), "paper_id", F.lit("] "), "title", F.lit(": "), F.substring("abstract", 1, chars))
 
 
