@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, written
+from .common import shuffle_parts, table
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 24
 #: Starts of grams within one window.
 REACH = LENGTH - GRAM + 1
 #: Columns of an aligned block: the anchor's gram is at column REACH - 1.
@@ -44,18 +44,18 @@ HALF = (REACH - 1) // 2
 #: Documents in the sample that finds hot anchors, and what makes one hot.
 SAMPLE_DOCS, HOT_SHARE, HOT_LEAST = 4_000, 0.01, 40
 ANCHOR = "h long, doc_id long, pos int, hot boolean"
-#: Interval rows are sent to their documents by broadcast up to so many bytes, else by a shuffle of the texts.
-BROADCAST_BYTES = 24 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM (32) bytes from each start, by doubling."""
+    """Hash of the GRAM (24) bytes from each start: of 8 and of 16 bytes by doubling, then of both together."""
     h, span = data.astype(np.uint64) + np.uint64(1), 1
-    for odd in _ODD:
+    for odd in _ODD[:4]:
+        eight = h
         h = h[:-span] * odd + h[span:]
         h ^= h >> np.uint64(31)
         span *= 2
+    h = h[:-8] * _ODD[4] + eight[16:]
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     return h
@@ -156,7 +156,8 @@ def blocks(docs: DataFrame, anchors_: DataFrame) -> DataFrame:
     anchor's hash; a hot anchor's block is cut in two, the windows that reach far to its left and the others, and
     the key then takes in the bytes that all windows of that half have.
     """
-    lists = anchors_.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "hot"))).alias("at"))
+    # dealt as plain rows: partial lists would be larger, as a task has few anchors of any one document
+    lists = anchors_.repartition("doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("pos", "h", "hot"))).alias("at"))
     joined = docs.join(lists, "doc_id").select("doc_id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,14 @@ def _windows(raw: bytes, pos: np.ndarray, h: np.ndarray, hot: np.ndarray) -> Ite
 
 
 def _block_batch(first: dict, again: set) -> pa.RecordBatch:
-    rows = [(k[0], *v, k[2]) for k, v in first.items()] + [(v[0] * 2654435761 + v[1] * 40503, *v, None) for v in again]
+    """Blocks, and the windows that equal blocks have already, joined where they touch."""
+    joined: list[list[int]] = []
+    for doc, a, b in sorted((doc, start + lo, start + hi) for doc, start, lo, hi in again):
+        if joined and joined[-1][0] == doc and a <= joined[-1][2] + 1:
+            joined[-1][2] = max(b, joined[-1][2])
+        else:
+            joined.append([doc, a, b])
+    rows = [(k[0], *v, k[2]) for k, v in first.items()] + [(doc * 2654435761 + a * 40503, doc, 0, a, b, None) for doc, a, b in joined]
     column = lambda i, kind: pa.array([r[i] for r in rows], kind)
     key = [((r[0] + 2**63) % 2**64) - 2**63 for r in rows]
     return pa.RecordBatch.from_arrays(
@@ -315,26 +323,35 @@ def sort_columns(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(start[a].astype(np.int32)), pa.array(start[b].astype(np.int32))], ["doc_id", "start", "end"])
 
     def solve(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = part.combine_chunks()
-        get = lambda c: part.column(c).to_numpy().astype(np.int64)
-        doc, lo, hi, start = (get(c) for c in ("doc_id", "lo", "hi", "pos"))
-        content = part.column("block")
-        has = np.array(content.is_valid())
-        done = np.flatnonzero(~has)
-        if len(done):
+        key, doc, lo, hi, start = (part.column(c).to_pylist() for c in ("key", "doc_id", "lo", "hi", "pos"))
+        again: list[int] = []
+        first: dict[tuple[int, int, bytes], int] = {}
+        for i, content in enumerate(part.column("block").to_pylist()):
+            if content is None:
+                again.append(i)
+                continue
+            name = key[i], lo[i], content
+            old = first.setdefault(name, i)
+            if old != i:
+                if (doc[i], start[i]) < (doc[old], start[old]):
+                    first[name], i, old = i, old, i
+                if (doc[i], start[i]) != (doc[old], start[old]):
+                    again.append(i)
+        if again:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[done]), pa.array((start + lo)[done].astype(np.int32)), pa.array((start + hi)[done].astype(np.int32))], ["doc_id", "start", "end"]
+                [pa.array([doc[i] for i in again], pa.int64()), pa.array([start[i] + lo[i] for i in again], pa.int32()), pa.array([start[i] + hi[i] for i in again], pa.int32())],
+                ["doc_id", "start", "end"],
             )
-        at = np.flatnonzero(has)
-        if len(at) < 2:
+        if len(first) < 2:
             return
-        matrix = np.zeros((len(at), WIDTH), np.uint8)
-        for row, i in enumerate(at):
-            x = np.frombuffer(content[int(i)].as_buffer(), np.uint8)
-            matrix[row, lo[i] : lo[i] + len(x)] = x
-        block, column = repeats(doc[at], start[at], lo[at], hi[at], matrix)
+        matrix = np.zeros((len(first), WIDTH), np.uint8)
+        for row, (_, left, content) in enumerate(first):
+            matrix[row, left : left + len(content)] = np.frombuffer(content, np.uint8)
+        at = list(first.values())
+        d, s, a, z = (np.array([x[i] for i in at], np.int64) for x in (doc, start, lo, hi))
+        block, column = repeats(d, s, a, z, matrix)
         if len(block):
-            yield intervals(doc[at][block], start[at][block] + column)
+            yield intervals(d[block], s[block] + column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -358,10 +375,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     named = d.where("doc_id is not null")
     found = repeated_anchors(anchor_rows(named, hot_anchors(named)))
     starts = sort_columns(blocks(named, found))
-    lists = starts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
-    lists = written(lists, "intervals")
-    size = lists.agg(F.sum(16 + 8 * F.size("at"))).first()[0] or 0
-    joined = d.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, "doc_id", "left")
+    lists = starts.repartition("doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
+    joined = d.join(lists, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
