@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -43,13 +45,13 @@ def duck():
 
 def plain(value):
     """A value that compares alike whether it came from Spark or DuckDB."""
-    if value is None or value != value:
+    if hasattr(value, "__len__") and not isinstance(value, str):
+        return str(list(value))
+    if pd.isna(value):
         return ""
-    if isinstance(value, bool) or getattr(value, "dtype", None) == bool:
+    if isinstance(value, (bool, np.bool_)):
         return str(bool(value))
-    if isinstance(value, (int, float)) or getattr(getattr(value, "dtype", None), "kind", "") in "iuf" and getattr(value, "ndim", 0) == 0:
-        return repr(float(value))
-    return str(list(value)) if hasattr(value, "__len__") and not isinstance(value, str) else str(value)
+    return repr(float(value)) if isinstance(value, (int, float, np.number)) else str(value)
 
 
 def rows_of(frame):
