@@ -15,8 +15,8 @@
    of the true links, which connects exactly what all links connect.
 
 Defined results: null or empty text, or text without words, has no shingles and links with nothing; fewer words than a
-shingle make one shingle of the whole sequence; repeated rows and equal sets share a component; a null doc_id is
-never a component's name unless nothing else is there; an empty table gives an empty result; other columns are
+shingle make one shingle of the whole sequence; repeated rows and equal sets share a component; documents
+without a doc_id take part, and their component is null only if no member has one; an empty table gives an empty result; other columns are
 ignored. Two shingles with equal 64-bit hashes would be taken as one.
 """
 
@@ -63,6 +63,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def set_key(s: np.ndarray) -> int | None:
+    """Hash of a whole set; null for the empty one."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -71,14 +78,12 @@ def token_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), key (hash of the whole set), tokens (the first ones of the common order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
             n, key, tokens = [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py())
                 n.append(len(s))
-                key.append(int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None)
+                key.append(set_key(s))
                 count = max(int(np.searchsorted(s, _FIRST)), prefix_length(len(s), percent)) if len(s) else 0
                 tokens.append(s[:count].astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
@@ -91,6 +96,16 @@ def token_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, tokens array<long>")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, text) of documents, for those that no doc_id leads to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t.as_py())) for t in b.column("text")], pa.int64()), b.column("text")], ["key", "text"])
+
+    return docs.select("text").mapInArrow(run, "key long, text string").where("key is not null")
+
+
 def common_tokens(sets: DataFrame, rows: int) -> np.ndarray:
     """Sorted very common tokens, from a bounded sample of documents. They only set the order, never the result."""
     m = max(1, rows // SAMPLE_DOCS)
@@ -316,7 +331,9 @@ def _hub_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def class_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) keys: links that connect within each group exactly what all its links connect."""
     members = groups.join(classes.select("key", "rep"), "key")
-    texts = written(members.select("key", F.col("rep").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").select("key", "text"), "texts")
+    texts = members.select("key", F.col("rep").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").select("key", "text")
+    unnamed = _keyed(docs.where("doc_id is null")).join(members.where("rep is null").select("key"), "key", "left_semi")
+    texts = written(texts.unionAll(unnamed.groupBy("key").agg(F.min("text").alias("text"))), "texts")
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))
     members = written(members.join(size, "grp").select("key", "grp", "size"), "members")
     hub = written(_hub_links(members.where(F.col("size") > CHUNK).select("key", "grp"), texts, percent), "hubs")
@@ -346,10 +363,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     classes = written(classes, "classes")
     groups = written(candidate_groups(sets, classes, rows, percent), "groups")
-    links = written(class_links(docs, groups, classes, percent), "links")
-    reps = classes.select("key", "rep")
-    ends = links.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    named = reps.join(components(ends).toDF("rep", "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
+    links = class_links(docs, groups, classes, percent)
+    joined = classes.select("key", "rep").join(components(links).toDF("key", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
+    names = joined.groupBy("c").agg(F.min("rep").alias("component"))
+    named = joined.join(names, "c").select("key", "component")
     out = sets.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

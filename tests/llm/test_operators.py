@@ -87,6 +87,7 @@ def test_join_at_the_threshold_and_in_large_groups(spark, monkeypatch):
         docs.append((i, " ".join(w)))
     # 36 shingles; with m more, 36 of 45 are shared: exactly 0.8, and 36 of 46 just below
     docs += [(100, " ".join(f"u{i}" for i in range(40))), (101, " ".join(f"u{i}" for i in range(49))), (102, " ".join(f"u{i}" for i in range(51)))]
+    docs += [(None, docs[5][1] + " tail"), (None, docs[6][1]), (None, "quite alone here with no other at all")]
     docs += [(200 + i, prose(9, 6) + " " + prose(300 + i, 100)) for i in range(30)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert join_rows(ngram_join.near_duplicates(d)) == brute_join(docs)
