@@ -125,7 +125,16 @@ def b8(spark, d):
     return a.join(b, "o").select("a", "b", r("ta", "tb").alias("title_sim"), r("sa", "sb").alias("abstract_sim"))
 
 
-@query("b10_near_duplicates")
+@query("b10_near_duplicates", f"""
+WITH {PAPERS}, {SIM}, x AS (SELECT ordinal, t, s, unnest(t) AS w FROM t),
+c AS (SELECT a.ordinal AS a, b.ordinal AS b, count(*) AS ti, any_value(len(a.t)) AS ta, any_value(len(b.t)) AS tb, any_value(a.s) AS sa, any_value(b.s) AS sb
+      FROM x a JOIN x b ON a.w = b.w AND a.ordinal < b.ordinal GROUP BY 1, 2),
+r AS (SELECT a, b, ti / (ta + tb - ti) AS ts, len(list_intersect(sa, sb)) / (len(sa) + len(sb) - len(list_intersect(sa, sb))) AS ss FROM c WHERE len(sa) > 0 AND len(sb) > 0),
+e AS (SELECT * FROM r WHERE ts > 0.85 AND ss > 0.80),
+l AS (SELECT list({{'b': b, 'before': before}} ORDER BY b) AS l FROM (SELECT b, list(a) AS before FROM e GROUP BY 1)),
+g AS (SELECT list_reduce(l, lambda s, v: CASE WHEN len(list_filter(v.before, lambda a: NOT list_contains(s, a))) > 0 THEN list_append(s, v.b) ELSE s END, CAST([] AS BIGINT[])) AS gone FROM l),
+k AS (SELECT b AS ordinal, min(a) AS kept_ordinal FROM e, g WHERE list_contains(gone, b) AND NOT list_contains(gone, a) GROUP BY 1)
+SELECT ordinal, kept_ordinal, round(ts, 3) AS title_sim, round(ss, 3) AS abstract_sim FROM k JOIN e ON b = ordinal AND a = kept_ordinal""")
 def b10(spark, d):
     return dedup.near_duplicates(papers(spark, d))
 
@@ -227,17 +236,49 @@ def c2(spark, d):
     return papers(spark, d).select("paper_id", F.md5(text.clean_section(F.concat(F.lit("<p>"), _raw(), F.lit("</p>")))).alias("text_md5"))
 
 
-@query("c1_clean_flat")
+W = r"[\p{L}\p{N}_]"
+CLEAN = f"""
+WITH {PAPERS}, a AS (SELECT paper_id, regexp_replace({RAW}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM papers),
+b AS (SELECT paper_id, regexp_replace(regexp_replace(t, '({W})-\\n({W})', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g') AS t FROM a),
+c AS (SELECT paper_id, regexp_replace(regexp_replace(t, '(?m)^\\s*\\d+\\s*$', '', 'g'), '(?m)^[^a-zA-Z0-9\\s]{{3,}}$', '', 'g') AS t FROM b)"""
+
+
+@query("c1_clean_flat", CLEAN + f"""
+SELECT paper_id, md5({_strip("regexp_replace(t, '(?s)\\n(References|Bibliography)\\n.*$', '')")}) AS text_md5 FROM c""")
 def c1(spark, d):
     return papers(spark, d).select("paper_id", F.md5(text.clean_flat(_raw())).alias("text_md5"))
 
 
-@query("c3_clean_fallback")
+@query("c3_clean_fallback", f"""
+WITH {PAPERS}, a AS (SELECT paper_id, regexp_replace({RAW}, '({W})-\\n({W})', '\\1\\2', 'g') AS t FROM papers),
+b AS (SELECT paper_id, regexp_replace(regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)^\\s*\\d+\\s*$', '', 'g'), '[ \\t]+', ' ', 'g') AS t FROM a),
+c AS (SELECT paper_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE x END),
+  lambda x: x = '' OR length(regexp_replace(trim(x), '\\P{{L}}', '', 'g')) / length(trim(x)) > 0.40) AS l FROM b)
+SELECT paper_id, md5({_strip("array_to_string(l, chr(10))")}) AS text_md5 FROM c""")
 def c3(spark, d):
     return papers(spark, d).select("paper_id", F.md5(text.clean_fallback(_raw())).alias("text_md5"))
 
 
-@query("c4_split_flat")
+FLAT = f"""
+{PAPERS}, x AS (SELECT paper_id, title, year, list_filter(list_transform(string_split(abstract, chr(10)), lambda v: trim(v)), lambda v: length(v) > 50) AS paras FROM papers),
+y AS (SELECT *, list_transform(paras, lambda p: {{'p': p, 'cut': CASE WHEN length(p) <= 1536 THEN CAST([] AS VARCHAR[]) ELSE (
+  list_transform([list_reduce(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s, v:
+    CASE WHEN s.n + length(v) > 1536 AND len(s.o) > 0 THEN {{'d': list_append(s.d, array_to_string(s.o, ' ')), 'o': [s.o[-1], v], 'n': length(s.o[-1]) + length(v)}}
+    ELSE {{'d': s.d, 'o': list_append(s.o, v), 'n': s.n + length(v)}} END,
+    {{'d': CAST([] AS VARCHAR[]), 'o': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT)}})],
+    lambda s: CASE WHEN len(s.o) > 0 THEN list_append(s.d, array_to_string(s.o, ' ')) ELSE s.d END)[1]) END}}) AS ps FROM x),
+f AS (SELECT *, list_reduce(ps, lambda s, q: CASE
+  WHEN length(q.p) > 1536 THEN {{'d': list_concat(CASE WHEN len(s.o) > 0 THEN list_append(s.d, array_to_string(s.o, chr(10) || chr(10))) ELSE s.d END, q.cut), 'o': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT)}}
+  WHEN s.n + length(q.p) > 1536 AND len(s.o) > 0 THEN CASE WHEN length(s.o[-1]) <= 150
+    THEN {{'d': list_append(s.d, array_to_string(s.o, chr(10) || chr(10))), 'o': [s.o[-1], q.p], 'n': length(s.o[-1]) + length(q.p)}}
+    ELSE {{'d': list_append(s.d, array_to_string(s.o, chr(10) || chr(10))), 'o': [q.p], 'n': length(q.p)}} END
+  ELSE {{'d': s.d, 'o': list_append(s.o, q.p), 'n': s.n + length(q.p)}} END,
+  {{'d': CAST([] AS VARCHAR[]), 'o': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT)}}) AS s FROM y),
+l AS (SELECT paper_id, title, year, list_filter(CASE WHEN len(s.o) > 0 THEN list_append(s.d, array_to_string(s.o, chr(10) || chr(10))) ELSE s.d END, lambda c: length(c) > 150) AS c FROM f),
+flat_chunks AS (SELECT paper_id, title, year, len(c) AS total_chunks, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS i FROM l)"""
+
+
+@query("c4_split_flat", f"WITH {FLAT} SELECT paper_id, i, md5(c) AS text_md5, length(c) AS n FROM flat_chunks")
 def c4(spark, d):
     return papers(spark, d).select("paper_id", F.posexplode(chunking.split_flat(F.col("abstract"), separator="\n")).alias("i", "c")).select("paper_id", "i", F.md5("c").alias("text_md5"), F.length("c").alias("n"))
 
@@ -274,12 +315,30 @@ def c7(spark, d):
     return p.select("paper_id", "heading", chunking.section_label(F.col("heading"), F.lit(None), fallback=True).alias("label"), F.length("text").alias("n"), good.alias("good"))
 
 
-@query("c11_c12_hierarchical_chunks")
+DONE = "list_filter(CASE WHEN len(s.o) > 0 THEN list_append(s.d, array_to_string(s.o, chr(10))) ELSE s.d END, lambda c: length(c) > 80)"
+LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda v: trim(v)), lambda v: v <> '')"
+
+
+@query("c11_c12_hierarchical_chunks", f"""
+WITH {PAPERS}, x AS (SELECT paper_id, title, string_split(abstract, chr(10)) AS l FROM papers),
+s0 AS (SELECT paper_id, unnest(range(0, CAST(ceil(len(l) / 12) AS BIGINT))) AS i, l FROM x),
+s1 AS (SELECT paper_id, i, {_strip("regexp_replace(regexp_replace(array_to_string(l[i * 12 + 1:i * 12 + 12], chr(10)), '[ \\t]+', ' ', 'g'), '<[^>]+>', '', 'g')")} AS t FROM s0),
+p0 AS (SELECT paper_id, i, {LINES.format("t")} AS paras FROM s1 WHERE length(t) >= 100),
+p1 AS (SELECT paper_id, i, {PACK.format(size=1500)} AS s FROM p0),
+p2 AS (SELECT paper_id, i, unnest({DONE}) AS t, generate_subscripts({DONE}, 1) AS j FROM p1),
+p3 AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY i, j) - 1 AS n FROM p2),
+c0 AS (SELECT paper_id, i, n, {LINES.format("t")} AS paras FROM p3),
+c1 AS (SELECT paper_id, i, n, {PACK.format(size=400)} AS s FROM c0),
+c2 AS (SELECT paper_id, i, n, unnest({DONE}) AS t, generate_subscripts({DONE}, 1) AS j FROM c1),
+c3 AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY n, j) - 1 AS m FROM c2)
+SELECT paper_id, paper_id || '::abstract' AS chunk_id, 'abstract' AS chunk_type, 'ABSTRACT' AS section, {_strip("title")} AS text, NULL AS parent_chunk_id, length({_strip("title")}) AS char_count FROM x WHERE {_strip("title")} <> ''
+UNION ALL SELECT paper_id, paper_id || '::parent::' || printf('%04d', n), 'parent', 'PART ' || CAST(i AS VARCHAR), t, NULL, length(t) FROM p3
+UNION ALL SELECT paper_id, paper_id || '::parent::' || printf('%04d', n) || '::child::' || printf('%04d', m), 'child', 'PART ' || CAST(i AS VARCHAR), t, paper_id || '::parent::' || printf('%04d', n), length(t) FROM c3""")
 def c11(spark, d):
     return chunking.hierarchical_chunks(sections(spark, d), separator="\n")
 
 
-@query("c13_flat_chunks")
+@query("c13_flat_chunks", f"WITH {FLAT} SELECT paper_id, i AS chunk_index, total_chunks, length(c) AS char_count, title, year FROM flat_chunks")
 def c13(spark, d):
     p = papers(spark, d)
     return chunking.flat_chunks(p, F.col("abstract"), separator="\n").select("paper_id", "chunk_index", "total_chunks", "char_count", "title", "year")

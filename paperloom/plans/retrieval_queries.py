@@ -161,7 +161,13 @@ def h12(spark, d):
     return retrieve.merge_rounds(x.where("rank <= 10").select("query_id", "id", F.col("score").alias("rrf")), new)
 
 
-@query("h13_rerank")
+SPLIT = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
+
+
+@query("h13_rerank", f"""
+WITH {BM25}, p AS (SELECT query_id, s.id, {SPLIT.format("b.text")} AS q, {SPLIT.format("d.text")} AS t FROM sparse s JOIN benchmark b ON item_id = query_id JOIN documents d ON doc_id = s.id),
+r AS (SELECT query_id, id, len(list_intersect(q, t)) / greatest(1, len(q)) AS pair_score FROM p)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pair_score DESC, id) AS rank FROM r) WHERE rank <= 5""")
 def h13(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     pool = bm25(spark, d).select("query_id", "id").join(queries(spark, d), "query_id").join(docs, "id")
@@ -486,7 +492,11 @@ def j14(spark, d):
     return evaluate.tag_topics(papers(spark, d))
 
 
-@query("j15_related_pairs")
+@query("j15_related_pairs", """
+WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS paper_id, unnest(string_split(p_name, ' ')) AS topic FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('42/' || paper_id), paper_id) AS r FROM t),
+p AS (SELECT DISTINCT least(x.paper_id, y.paper_id) AS a, greatest(x.paper_id, y.paper_id) AS b FROM r x JOIN r y ON x.topic = y.topic AND y.r = x.r + 1 WHERE y.r <= 51)
+SELECT a, b FROM p ORDER BY md5('42/' || a || '/' || b), a, b LIMIT 50""")
 def j15(spark, d):
     return evaluate.related_pairs(tagged(spark, d), 50, "42")
 
