@@ -371,12 +371,13 @@ def sort_columns(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
-    d = docs.select("doc_id", "text")
-    named = d.where("doc_id is not null")
+    # both joins read the texts dealt by doc_id in the same way, so one shuffle of them serves both
+    named = docs.select("doc_id", "text").where("doc_id is not null")
     found = repeated_anchors(anchor_rows(named, hot_anchors(named)))
     starts = sort_columns(blocks(named, found))
     lists = starts.repartition("doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at"))
-    joined = d.join(lists, "doc_id", "left")
+    unnamed = docs.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("at"))
+    joined = named.join(lists, "doc_id", "left").select("doc_id", "text", "at").unionAll(unnamed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -403,7 +404,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return joined.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
