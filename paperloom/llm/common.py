@@ -67,7 +67,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written, so that the join below has two plain exchanges and adaptive execution can split a hub's rows
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # large star: each larger neighbour of a goes to a's smallest
         large = (
             both.join(least, "a")
