@@ -19,7 +19,7 @@ QUERY_BLOCK = 4096
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
     """(query_id, id, score, rank): exact best k by dot product of unit vectors.
 
-    vectors: id, embedding; queries: query_id, embedding. Queries go to the tasks in blocks of bounded size; each task keeps
+    vectors: id, embedding; queries: query_id, embedding. Vectors of another dimension, or null, match nothing. Queries go to the tasks in blocks of bounded size; each task keeps
     its best k per query, and only these are ranked over the cluster.
     """
     rows = queries.orderBy("query_id").toLocalIterator()
@@ -48,7 +48,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5
                 row, q = np.nonzero(scores >= worst)  # ties at the edge are kept for the total order
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), b.column("id").take(pa.array(row)), pa.array(scores[row, q])], ["query_id", "id", "score"])
 
-        part = vectors.select("id", "embedding").mapInArrow(best, f"query_id {qkind}, id {kind}, score double")
+        part = vectors.where(F.size("embedding") == matrix.shape[0]).select("id", "embedding").mapInArrow(best, f"query_id {qkind}, id {kind}, score double")
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = vectors.crossJoin(queries.select("query_id").limit(0)).select("query_id", "id", F.lit(0.0).alias("score"))

@@ -178,6 +178,8 @@ def test_dense_ties_and_blocks(spark):
     v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "id long, embedding array<float>").repartition(5)
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [r.id for r in retrieve.dense_search(v, q, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
+    odd = spark.createDataFrame([(100, [1.0]), (101, None)], v.schema)
+    assert [r.id for r in retrieve.dense_search(v.unionAll(odd), q, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
     assert retrieve.dense_search(v, q.limit(0), 4).count() == 0
 
 
