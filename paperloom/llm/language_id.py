@@ -53,6 +53,8 @@ def vocabulary(path: str) -> list[str]:
 
 def words(text: str | None) -> list[str]:
     found = LETTERS.findall(text.lower()) if text else []
+    if not any(c.isalpha() for w in found for c in w):
+        return []  # numerals such as one half count as word characters, but are no letters
     if found and max(map(len, found)) > WORD_LETTERS:
         found = [w[i : i + WORD_LETTERS] for w in found for i in range(0, len(w), WORD_LETTERS)]
     return found
