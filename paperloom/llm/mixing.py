@@ -173,7 +173,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, block_words: in
             for s, row, inner, number in _blocks(batch):
                 for turn, at, shard, place in plan.draw(s, number):
                     words = np.minimum(block_words, size[row[at]] - inner[at] * block_words) if block_words else size[row[at]]
-                    key = (place * plan.names.__len__() + plan.names.index(s)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    key = (place * len(plan.names) + plan.names.index(s)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(31)
                     yield pa.RecordBatch.from_arrays(
                         [

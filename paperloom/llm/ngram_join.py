@@ -22,7 +22,6 @@ ignored. Two shingles with equal 64-bit hashes would be taken as one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
