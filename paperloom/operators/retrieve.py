@@ -64,9 +64,6 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = 60, dense_weight: float =
     return j.withColumns({"dense_score": F.coalesce("dense_score", F.lit(0.0)), "bm25_score": F.coalesce("bm25_score", F.lit(0.0))})
 
 
-ORDER = ("rrf", "dense_rank", "bm25_rank", "id")
-
-
 def _order() -> list:
     return [F.desc("rrf"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("bm25_rank"), F.col("id")]
 
