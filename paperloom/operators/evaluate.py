@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.sets import containment
 from ..functions.text import tokenize
 from .index import top_k
+from .lineage import cut
 
 LOW_RECALL = 0.4
 # Topics and the substrings that assign a paper to them.
@@ -160,20 +161,27 @@ def question_ids(existing: int, number: Column) -> Column:
     return F.format_string("Q%03d", (number + existing).cast("int"))
 
 
-def triples(pairs: DataFrame, papers: DataFrame, over: int = 20) -> DataFrame:
+def triples(pairs: DataFrame, papers: DataFrame, over: int = 20, head: int = 256) -> DataFrame:
     """Per pair (a, b) the most cited third paper with more than `over` words in common with a; distinct unordered triples.
 
-    papers: paper_id, words (distinct array), citation_count. Words of the pairs' first papers meet the postings of all
-    papers, and shared words are counted per pair of papers. A pair whose triple another pair has gives no other.
+    papers: paper_id (unique), words (distinct array), citation_count. Words of the pairs' first papers meet the postings of
+    papers, and shared words are counted per pair of papers. The `head` most cited papers go first: a third paper found
+    among them is the best of all. Only pairs without one meet all papers. A pair whose triple another pair has gives no other.
     """
-    w = papers.select("paper_id", "citation_count", F.explode("words").alias("word"))
-    firsts = pairs.select(F.col("a").alias("paper_id")).distinct()
-    left = w.join(firsts, "paper_id", "left_semi").select(F.col("paper_id").alias("a"), "word")
-    common = left.join(w, "word").where("a <> paper_id").groupBy("a", "paper_id").agg(F.count("*").alias("n"), F.max("citation_count").alias("citation_count"))
-    third = pairs.join(common.where(F.col("n") > over), "a").where("paper_id <> b")
-    best = top_k(third, ["a", "b"], [F.desc("citation_count"), F.col("paper_id")], 1)
+
+    def best(pairs: DataFrame, thirds: DataFrame) -> DataFrame:
+        firsts = pairs.select(F.col("a").alias("paper_id")).distinct()
+        left = papers.where(F.size("words") > over).join(firsts, "paper_id", "left_semi").select(F.col("paper_id").alias("a"), F.explode("words").alias("word"))
+        w = thirds.where(F.size("words") > over).select("paper_id", "citation_count", F.explode("words").alias("word"))
+        common = left.join(w, "word").where("a <> paper_id").groupBy("a", "paper_id").agg(F.count("*").alias("n"), F.max("citation_count").alias("citation_count"))
+        third = pairs.join(common.where(F.col("n") > over), "a").where("paper_id <> b")
+        return top_k(third, ["a", "b"], [F.desc("citation_count"), F.col("paper_id")], 1).select("a", "b", "paper_id")
+
+    first = cut(best(pairs, papers.orderBy(F.desc("citation_count"), "paper_id").limit(head)))
+    rest = pairs.join(first, ["a", "b"], "left_anti")
+    found = first.unionByName(best(rest, papers))
     s = F.array_sort(F.array("a", "b", "paper_id"))
-    return best.select(s[0].alias("p1"), s[1].alias("p2"), s[2].alias("p3")).distinct()
+    return found.select(s[0].alias("p1"), s[1].alias("p2"), s[2].alias("p3")).distinct()
 
 
 def remaining(gold: DataFrame, results: DataFrame) -> DataFrame:

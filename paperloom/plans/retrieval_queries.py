@@ -507,8 +507,7 @@ t AS (SELECT doc_id, unnest(w) AS word FROM w), c AS (SELECT a.doc_id AS a, b.do
 x AS (SELECT c.a, c.a + 1 AS b, p, row_number() OVER (PARTITION BY c.a ORDER BY n_chars DESC, CAST(p AS VARCHAR)) AS r FROM c JOIN documents d ON d.doc_id = p WHERE n > 20 AND p <> c.a + 1 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = c.a + 1)),
 s AS (SELECT list_sort([CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(p AS VARCHAR)]) AS l FROM x WHERE r = 1) SELECT DISTINCT l[1] AS p1, l[2] AS p2, l[3] AS p3 FROM s""")
 def j16(spark, d):
-    p = papers(spark, d).where("ordinal % 5 in (0, 1)")
-    rows = p.select("paper_id", F.array_distinct(tokenize(F.col("abstract"))).alias("words"), F.col("n_chars").alias("citation_count"))
+    rows = papers(spark, d).select("paper_id", F.array_distinct(tokenize(F.col("abstract"))).alias("words"), F.col("n_chars").alias("citation_count"))
     ids = papers(spark, d).select(F.col("ordinal"))
     pairs = ids.where("ordinal % 50 = 0").join(ids.select((F.col("ordinal") - 1).alias("ordinal")), "ordinal").select(F.col("ordinal").cast("string").alias("a"), (F.col("ordinal") + 1).cast("string").alias("b"))
     return evaluate.triples(pairs, rows)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import ids, text
 from paperloom.operators import answers, chunking, corpus, dedup, enrich, evaluate, index, quality, retrieve
+from paperloom.plans import retrieval_queries
 from paperloom.sources import records
 from paperloom.streaming import ingest
 
@@ -295,3 +296,22 @@ def test_stream_restart_loads_once(spark, tmp_path):
 def test_tokens(spark):
     raw = "Self-Attention is A b 2x2 é!"
     assert one(spark, text.tokenize(F.col("t")), t=raw) == [w for w in re.split(r"[^a-z0-9]+", raw.lower().replace("-", " ")) if len(w) > 1 or w == "a"]
+
+
+@pytest.mark.parametrize("head", [1, 3, 256])
+def test_triples_look_at_all_papers(spark, tmp_path, head):
+    rng = random.Random(head)
+    some = [f"w{i}" for i in range(60)]
+    docs = {i: " ".join(rng.sample(some, rng.randrange(20, 45) + i % 5)) for i in range(160)} | {50: "few words"}
+    words = {i: set(t.split()) for i, t in docs.items()}
+    firsts, want = [0, 50, 100, 150], set()
+    for a in firsts:
+        thirds = [(-len(t), str(p)) for p, t in docs.items() if p not in (a, a + 1) and len(words[p] & words[a]) > 20]
+        want |= {tuple(sorted((str(a), str(a + 1), min(thirds)[1])))} if thirds else set()
+    assert any(int(p) % 5 > 1 for t in want for p in t)
+    rows = spark.createDataFrame([(str(i), t.split(), len(t)) for i, t in docs.items()], "paper_id string, words array<string>, citation_count long")
+    pairs = spark.createDataFrame([(str(a), str(a + 1)) for a in firsts], "a string, b string")
+    assert {tuple(r) for r in evaluate.triples(pairs, rows, head=head).collect()} == want
+    table = [(i, t, "en", "s", len(t)) for i, t in docs.items()]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in retrieval_queries.Q["j16_triples"](spark, str(tmp_path)).collect()} == want
