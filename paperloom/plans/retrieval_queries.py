@@ -117,11 +117,11 @@ def h5(spark, d):
 
 
 def doc_chunks(spark, d):
-    """Lines of documents as children of one parent per document, with ids."""
+    """Lines of documents as children of one parent per document, which holds the whole text, with ids."""
     x = papers(spark, d).select("ordinal", "paper_id", "title", "abstract", F.posexplode(F.split("abstract", "\n")).alias("i", "line"))
     parent = F.concat("paper_id", F.lit("::parent::0000"))
     c = x.select(F.concat(parent, F.lit("::child::"), F.format_string("%04d", "i")).alias("chunk_id"), "paper_id", F.lit("child").alias("chunk_type"), F.lit("S").alias("section"), F.col("line").alias("text"))
-    p = papers(spark, d).select(parent.alias("chunk_id"), "paper_id", F.lit("parent").alias("chunk_type"), F.lit("P").alias("section"), F.substring("abstract", 1, 300).alias("text"))
+    p = papers(spark, d).select(parent.alias("chunk_id"), "paper_id", F.lit("parent").alias("chunk_type"), F.lit("P").alias("section"), F.col("abstract").alias("text"))
     return c.unionByName(p.where("cast(paper_id as long) % 5 <> 0"))
 
 
@@ -194,7 +194,7 @@ def responses(spark, d):
     one = F.format_string("%04d.%05d", (1900 + F.col("turn") % 100).cast("int"), (F.col("conv_id") % 100000).cast("int"))
     two = F.format_string("%04d.%05d", (2000 + F.col("turn") % 100).cast("int"), (F.col("conv_id") % 100000).cast("int"))
     text = F.concat(
-        F.substring("text", 1, 120), F.lit(". Claim one holds ["), one, F.lit(" ]. Claim two [7] was not found ["), two, F.lit("]. Claim three stands ["), one, F.lit("] and ["), two, F.lit("]. Claim three stands ["), one, F.lit("] and ["), two, F.lit("].")
+        F.col("text"), F.lit(". Claim one holds ["), one, F.lit(" ]. Claim two [7] was not found ["), two, F.lit("]. Claim three stands ["), one, F.lit("] and ["), two, F.lit("]. Claim three stands ["), one, F.lit("] and ["), two, F.lit("].")
     )
     return c.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "conv_id", "turn", one.alias("one"), two.alias("two"), text.alias("answer"))
 

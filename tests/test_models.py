@@ -315,3 +315,20 @@ def test_triples_look_at_all_papers(spark, tmp_path, head):
     table = [(i, t, "en", "s", len(t)) for i, t in docs.items()]
     spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in retrieval_queries.Q["j16_triples"](spark, str(tmp_path)).collect()} == want
+
+
+def test_answers_hold_whole_turns(spark, tmp_path):
+    turn = "Plain words go on. " * 10 + "Far behind is [3] one more [1901.00007]"
+    spark.createDataFrame([(7, 1, "assistant", turn), (7, 2, "user", "no")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    q = lambda name: retrieval_queries.Q[name](spark, str(tmp_path)).collect()
+    (cleaned,), claims, (marked,) = q("i8_citations"), q("i11_claims"), q("i14_i15_markers")
+    assert cleaned.answer.startswith("Plain words go on. " * 10 + "Far behind is one more [1901.00007]. Claim one") and cleaned.citations == "1901.00007"
+    assert [c.claim for c in claims][:2] == ["Far behind is [3] one more [1901.00007].", "Claim one holds [1901.00007 ]."]
+    assert marked.answer.startswith(turn)
+
+
+def test_parents_hold_all_their_children(spark, sf):
+    chunks = retrieval_queries.doc_chunks(spark, sf).select("paper_id", "chunk_type", "text").collect()
+    whole = {c.paper_id: c.text for c in chunks if c.chunk_type == "parent"}
+    assert any(len(t) > 300 for t in whole.values())
+    assert all(c.text in whole[c.paper_id] for c in chunks if c.chunk_type == "child" and c.paper_id in whole)
