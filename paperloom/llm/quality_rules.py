@@ -1,14 +1,15 @@
 """Quality rules and robust multivariate outliers, in DataFrame functions alone.
 
 Counts of words, symbols, repeated lines and repeated 3-word windows come from higher-order functions on
-the row. Each document's transformed statistic vector is then judged within its language and source: a
+the row. Each document's transformed statistic vector is then judged within its language and source, or, where
+these have too few judged rows for a fit of their own, within its language, and else among all rows: a
 minimum-covariance-determinant fit (concentration steps on the most central share of the rows, started
 from medians and quartile ranges) gives centre and scatter, and the squared Mahalanobis distance is held
 against a fixed quantile. All passes are grouped sums and grouped histograms, which are combined before
 the shuffle, so a source with a third of all rows is no larger for one task than any other.
 
 Defined results: null text has no words (base_failed is true below 50 words); null lang and null source are
-groups of their own; repeated rows are judged alike; groups under MIN_GROUP judged rows reject
+groups of their own; repeated rows are judged alike; a table under MIN_GROUP judged rows in all rejects
 nothing; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,13 +23,14 @@ from .common import table, without, words_of, written
 #: Share of a group's rows that the covariance fit rests on.
 CORE = 0.75
 STEPS = 3
-#: Groups with fewer judged rows have no reliable scatter.
+#: Groups with fewer judged rows have no reliable scatter; their rows are held against a wider group.
 MIN_GROUP = 50
 #: Squared distance beyond which a vector is an outlier: about the 1 - 1e-9 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 47.0
 #: Standard deviation added to each transformed statistic: most texts have no repeated line or window at
 #: all, and without it a statistic that is constant in the core would make every other value an outlier.
-FLOORS = (0.05, 0.03, 0.02, 0.08)
+#: The last one leaves room below the base rule: repeated windows alone reject from about 0.41 above the centre (47 ** 0.5 * 0.06), and 0.5 is the base rule's bound.
+FLOORS = (0.05, 0.03, 0.02, 0.06)
 #: Histogram steps for the logarithm of a squared distance and for a statistic.
 FINE = 64
 
@@ -106,14 +108,32 @@ def vectors(stats: DataFrame) -> DataFrame:
     )
 
 
-GROUP = ("lang", "source")
+#: A fit's key: level 0 is a language and source, 1 a language, 2 all rows.
+GROUP = ("k_level", "k_lang", "k_source")
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with the columns of their group's one row; lang and source may be null."""
-    g = groups.withColumnsRenamed({k: f"g_{k}" for k in GROUP})
-    on = [rows[k].eqNullSafe(g[f"g_{k}"]) for k in GROUP]
-    return rows.join(g, on, "left").drop(*(f"g_{k}" for k in GROUP))
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
+    """rows with the columns of their group's one row; keys may be null."""
+    g = groups.withColumnsRenamed({k: f"g_{k}" for k in keys})
+    on = [rows[k].eqNullSafe(g[f"g_{k}"]) for k in keys]
+    return rows.join(g, on, "left").drop(*(f"g_{k}" for k in keys))
+
+
+def _key(level: int) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(level).alias("k_level"), (F.col("lang") if level < 2 else none).alias("k_lang"), (F.col("source") if level < 1 else none).alias("k_source"))
+
+
+def _levels(stats: DataFrame) -> DataFrame:
+    """Adds `judged_by`, the key of the narrowest group with enough judged rows, and `fits`, the keys of all fits that the row enters."""
+    own = written(stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("own_n")), "sizes")
+    few, wide = F.col("own_n") < MIN_GROUP, F.col("lang_n") >= MIN_GROUP
+    by_lang = own.groupBy("lang").agg(F.sum("own_n").alias("lang_n"), F.bool_or(few).alias("lang_few"))
+    total = by_lang.agg(F.coalesce(F.bool_or(~wide), F.lit(False)).alias("all_few"))
+    sizes = _join_groups(own, by_lang, ("lang",)).crossJoin(total)
+    fits = F.array_compact(F.array(F.when(~few, _key(0)), F.when(F.col("lang_few") & wide, _key(1)), F.when(F.col("all_few"), _key(2))))
+    out = _join_groups(stats, sizes, ("lang", "source"))
+    return out.withColumns({"judged_by": F.when(~few, _key(0)).when(wide, _key(1)).otherwise(_key(2)), "fits": fits}).drop("own_n", "lang_n", "lang_few", "all_few")
 
 
 def _quantile(rows: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
@@ -181,7 +201,7 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def mcd_fit(rows: DataFrame) -> DataFrame:
-    """Per (lang, source): centre, factor and the scale that makes the median distance that of a normal cloud."""
+    """Per key of GROUP: centre, factor and the scale that makes the median distance that of a normal cloud."""
     fit = written(_start(rows), "mcd")
     for _ in range(STEPS):
         near = _join_groups(rows, fit).withColumn("ld", F.log(_distance() + 1e-9))
@@ -197,9 +217,10 @@ def mcd_fit(rows: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, squared robust distance and verdict of every document."""
-    stats = written(vectors(statistics(docs)), "stats")
-    fit = mcd_fit(stats.where("not base_failed"))
-    out = _join_groups(stats, fit).withColumn("distance", _distance() / F.col("scale"))
+    stats = _levels(written(vectors(statistics(docs)), "stats"))
+    rows = stats.where("not base_failed").select(*VECTOR, F.explode("fits").alias("k")).select(*VECTOR, "k.*")
+    fit = mcd_fit(written(rows, "rows"))
+    out = _join_groups(stats.select("*", "judged_by.*").drop("judged_by", "fits"), fit).withColumn("distance", _distance() / F.col("scale"))
     outlier = (F.col("group_n") >= MIN_GROUP) & (F.col("distance") > CUTOFF)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False)))
 

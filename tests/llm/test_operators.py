@@ -501,3 +501,33 @@ def test_outliers_go_and_clean_rows_stay(spark):
         rows.append((i, " ".join(w), "en" if i % 2 else None, "s"))
     got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert all(r.kept == (r.doc_id % 20 != 0) for r in got)
+
+
+def plain_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n)]
+
+
+def test_repetition_alone_is_an_outlier(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(plain_words(rng, rng.randrange(60, 300))), "en", "s") for i in range(200)]
+    for i in range(200, 205):
+        line = " ".join(plain_words(rng, 10))
+        rows.append((i, "\n".join([" ".join(plain_words(rng, 500)), *[line] * 50]), "en", "s"))
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert all(r.kept == (r.doc_id < 200) for r in got)
+
+
+def test_small_sources_are_held_against_wider_groups(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(330):
+        w = plain_words(rng, rng.randrange(60, 300))
+        if i % 33 == 0:
+            w = [x + "$$$" for x in w]
+        # sources of 10 rows; en has 300 of them, fr and a null language 15 each
+        rows.append((i, " ".join(w), "en" if i < 300 else "fr" if i < 315 else None, f"s{i // 10}"))
+    schema = "doc_id long, text string, lang string, source string"
+    got = quality_rules.judge(spark.createDataFrame([*rows, (330, rows[0][1], "fr", "z"), (331, rows[0][1], None, None)], schema)).collect()
+    assert len(got) == 332
+    assert all(r.kept == (r.doc_id < 330 and r.doc_id % 33 != 0) for r in got)
