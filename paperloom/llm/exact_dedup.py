@@ -1,10 +1,14 @@
 """Exact de-duplication over a cuckoo-filter index of live digests.
 
-Spark deals the digests out by hash; each shard of the index holds a cuckoo filter and, beside it, the
-bucketed content that the filter stands for: the full digests with their owners. An insertion asks the
-filter first. A miss is new for certain; a hit is verified against the bucket's stored digests, so a
-false positive of the filter never drops a document. Deletion removes one fingerprint and the stored
-key. When an insertion finds no free slot, the filter is resized and refilled from the stored keys.
+Map tasks combine equal digests of their own rows in a bounded table, and Spark deals these partial rows out to the
+shards of the index by digest. A shard holds a cuckoo filter and, beside it, the bucketed content that the
+filter stands for: the full digests with their owners. Each arriving row asks the filter first. A miss is
+new for certain and is inserted; a hit is verified against the stored digests, so a false positive of the filter never
+drops a document, and a true hit updates the owner and the count. Deletion removes one fingerprint and
+the stored key. When an insertion finds no free slot, the filter is resized and refilled from the stored keys.
+
+Shards are small (about SHARD_KEYS rows each) and their number grows with the rows. A task takes its shards one
+after the other from rows sorted by shard, so it holds one shard at a time.
 
 Defined results: null text counts as the empty text; repeated rows of one doc_id share a fate and each
 counts in group_size; of equal texts the smallest doc_id stays (null ids come last); an empty table gives
@@ -13,16 +17,18 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, shuffle_parts, table, written
 
 SLOTS, KICKS = 4, 200
+#: Rows that a shard of the index is meant to take in, and distinct digests that a map task combines at once.
+SHARD_KEYS, COMBINE = 2_000, 100_000
 
 
 class CuckooFilter:
@@ -30,7 +36,7 @@ class CuckooFilter:
 
     def __init__(self, buckets: int = 64) -> None:
         self.buckets = 1 << max(1, (buckets - 1).bit_length())
-        self.cells = np.zeros((self.buckets, SLOTS), np.uint16)
+        self.cells = array("H", bytes(2 * SLOTS * self.buckets))
         self.size = 0
 
     @staticmethod
@@ -46,48 +52,57 @@ class CuckooFilter:
     def _other(self, place: int, finger: int) -> int:
         return (place ^ self._mix(finger)) & (self.buckets - 1)
 
+    def _slot(self, place: int, value: int) -> int:
+        """Index of the bucket's first cell with this value, or -1."""
+        cells = self.cells
+        for i in range(SLOTS * place, SLOTS * place + SLOTS):
+            if cells[i] == value:
+                return i
+        return -1
+
     def __contains__(self, key: int) -> bool:
         finger, a, b = self._places(key)
-        return bool((self.cells[a] == finger).any() or (self.cells[b] == finger).any())
+        return self._slot(a, finger) >= 0 or self._slot(b, finger) >= 0
 
     def add(self, key: int) -> bool:
-        """False if no slot came free: the caller resizes."""
+        """False if no slot came free: all displaced fingerprints are put back, and the caller resizes."""
         finger, a, b = self._places(key)
-        for place in (a, b):
-            free = np.flatnonzero(self.cells[place] == 0)
-            if free.size:
-                self.cells[place, free[0]] = finger
+        at = self._slot(a, 0)
+        place, moved = b, []
+        for kick in range(KICKS + 1):
+            if at < 0:
+                at = self._slot(place, 0)
+            if at >= 0:
+                self.cells[at] = finger
                 self.size += 1
                 return True
-        saved, place = self.cells.copy(), b
-        for kick in range(KICKS):
-            slot = (finger + kick) % SLOTS
-            finger, self.cells[place, slot] = int(self.cells[place, slot]), finger
+            cell = SLOTS * place + (finger + kick) % SLOTS
+            moved.append((cell, self.cells[cell]))
+            finger, self.cells[cell] = self.cells[cell], finger
             place = self._other(place, finger)
-            free = np.flatnonzero(self.cells[place] == 0)
-            if free.size:
-                self.cells[place, free[0]] = finger
-                self.size += 1
-                return True
-        self.cells = saved
+        for cell, old in reversed(moved):
+            self.cells[cell] = old
         return False
 
     def remove(self, key: int) -> bool:
         finger, a, b = self._places(key)
-        for place in (a, b):
-            at = np.flatnonzero(self.cells[place] == finger)
-            if at.size:
-                self.cells[place, at[0]] = 0
-                self.size -= 1
-                return True
-        return False
+        at = max(self._slot(a, finger), self._slot(b, finger))
+        if at < 0:
+            return False
+        self.cells[at] = 0
+        self.size -= 1
+        return True
 
 
 class Shard:
-    """One shard of the index: the filter and the stored content it is verified against."""
+    """One shard of the index: the filter and the stored content it is verified against.
+
+    hits and false_hits count the filter's answers that the content confirmed and refuted.
+    """
 
     def __init__(self, buckets: int = 64) -> None:
         self.filter, self.content, self.resizes = CuckooFilter(buckets), {}, 0
+        self.hits = self.false_hits = 0
 
     @staticmethod
     def key(digest: str) -> int:
@@ -95,13 +110,27 @@ class Shard:
 
     def find(self, digest: str):
         """The stored value of a live digest, else None."""
-        return self.content.get(digest) if self.key(digest) in self.filter else None
+        if self.key(digest) not in self.filter:
+            return None
+        value = self.content.get(digest)
+        self.hits += value is not None
+        self.false_hits += value is None
+        return value
 
     def insert(self, digest: str, value) -> None:
         self.content[digest] = value
         if not self.filter.add(self.key(digest)):
             self.resize()
 
+    def take_in(self, digest: str, keep: int | None, size: int) -> None:
+        """A document, or several of one digest: inserted if new, else joined to the verified owner."""
+        old = self.find(digest)
+        if old is None:
+            self.insert(digest, (keep, size))
+        else:
+            ids = [x for x in (old[0], keep) if x is not None]
+            self.content[digest] = (min(ids, default=None), old[1] + size)
+
     def delete(self, digest: str) -> bool:
         if self.find(digest) is None:
             return False
@@ -130,47 +159,61 @@ def digests(docs: DataFrame) -> DataFrame:
 INDEX = "text_sha256 string, keep_id long, group_size long"
 
 
+def _rows(content: dict, names: tuple[str, ...] = ("text_sha256", "keep_id", "group_size")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(content), pa.string()), pa.array([v[0] for v in content.values()], pa.int64()), pa.array([v[1] for v in content.values()], pa.int64())], list(names)
+    )
+
+
+def combined(keys: DataFrame) -> DataFrame:
+    """(text_sha256, keep_id, group_size): each map task's own equal digests as one row, as long as its table has room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int | None, int]] = {}
+        for b in batches:
+            for digest, doc in zip(b.column("text_sha256").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
+                old = held.get(digest)
+                if old is None:
+                    held[digest] = doc, 1
+                else:
+                    held[digest] = doc if old[0] is None or (doc is not None and doc < old[0]) else old[0], old[1] + 1
+            if len(held) > COMBINE:
+                yield _rows(held)
+                held.clear()
+        yield _rows(held)
+
+    return keys.select("doc_id", "text_sha256").mapInArrow(run, INDEX)
+
+
 def build_index(keys: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """The live index of (doc_id, text_sha256): one row per digest with its smallest doc_id and its count.
 
-    Equal digests are summed before the shuffle, so a hot text reaches its shard as one row per map
-    task. `removed` (text_sha256) names digests to delete after the insertions. A shard's stored keys are
-    what a task holds in memory; their number falls with spark.sql.shuffle.partitions.
+    A hot text reaches its shard as one row per map task and full table. `removed` (text_sha256) names digests to
+    delete after the insertions.
     """
-    rows = keys.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    rows = rows.withColumn("gone", F.lit(False))
+    parts = shuffle_parts(keys.sparkSession)
+    shards = max(4 * parts, keys.count() // SHARD_KEYS)
+    rows = combined(keys).withColumn("gone", F.lit(False))
     if removed is not None:
         rows = rows.unionByName(
             removed.select("text_sha256").distinct().selectExpr("text_sha256", "cast(null as long) keep_id", "0L group_size", "true gone")
         )
-
-    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, gone = Shard(), []
-        for frame in frames:
-            for digest, keep, size, drop in zip(frame.text_sha256, frame.keep_id, frame.group_size, frame.gone, strict=True):
-                if drop:
-                    gone.append(digest)
-                    continue
-                keep = None if pd.isna(keep) else int(keep)
-                old = shard.find(digest)
-                if old is None:
-                    shard.insert(digest, (keep, int(size)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("text_sha256"), F.lit(shards))).repartition(parts, "shard").sortWithinPartitions("shard", "gone")
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, Shard()
+        for b in batches:
+            for here, digest, keep, size, gone in zip(*(b.column(c).to_pylist() for c in ("shard", "text_sha256", "keep_id", "group_size", "gone")), strict=True):
+                if here != number:
+                    yield _rows(shard.content)
+                    number, shard = here, Shard()
+                if gone:
+                    shard.delete(digest)
                 else:
-                    ids = [x for x in (old[0], keep) if x is not None]
-                    shard.content[digest] = (min(ids, default=None), old[1] + int(size))
-        for digest in gone:
-            shard.delete(digest)
-        items = iter(shard.content.items())
-        while part := [x for _, x in zip(range(50_000), items)]:
-            yield pd.DataFrame(
-                {
-                    "text_sha256": [d for d, _ in part],
-                    "keep_id": pd.array([v[0] for _, v in part], dtype="Int64"),
-                    "group_size": [v[1] for _, v in part],
-                }
-            )
-
-    return rows.repartition(shuffle_parts(keys.sparkSession), "text_sha256").mapInPandas(load, INDEX)
+                    shard.take_in(digest, keep, size)
+        yield _rows(shard.content)
+
+    return dealt.mapInArrow(load, INDEX)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
