@@ -145,6 +145,40 @@ def test_cuckoo_filter_inserts_deletes_and_resizes():
     assert [shard.find(d) for d in digests[:6]] == [None, 1, None, 3, None, 5] and shard.filter.size == 1500
 
 
+def test_full_filter_puts_displaced_fingerprints_back():
+    f, kept = exact_dedup.CuckooFilter(2), []
+    for i in range(200):
+        key = int(hashlib.sha256(str(i).encode()).hexdigest()[:16], 16)
+        if f.add(key):
+            kept.append(key)
+        assert all(k in f for k in kept)
+    assert f.size == len(kept) <= 8
+
+
+def test_hits_are_verified(monkeypatch):
+    """All keys share one fingerprint, so each new digest is a hit that the content refutes."""
+    monkeypatch.setattr(exact_dedup.CuckooFilter, "_places", lambda self, key: (7, key % self.buckets, self._other(key % self.buckets, 7)))
+    shard = exact_dedup.Shard(1024)
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(1500)]
+    for k in range(2):
+        for i, d in enumerate(digests):
+            shard.take_in(d, 10 * i + 5 - k if i else None, 1)
+    assert shard.hits == 1500 and shard.false_hits > 100
+    assert [shard.content[d] for d in digests] == [(10 * i + 4 if i else None, 2) for i in range(1500)]
+
+
+def test_the_index_decides(spark):
+    """Each map task sends one row per digest; their copies meet, and are joined, in the shards."""
+    shard = exact_dedup.Shard(2)
+    for i in range(90):
+        shard.take_in(f"{i % 3:064x}", i, 1)
+    assert shard.hits == 87 and shard.content == {f"{k:064x}": (k, 30) for k in range(3)}
+    keys = spark.range(900).selectExpr("id as doc_id", "lpad(hex(id % 7), 64, '0') as text_sha256").repartition(5)
+    assert exact_dedup.combined(keys).count() == 35
+    got = {(r.text_sha256[-1], r.keep_id, r.group_size) for r in exact_dedup.build_index(keys).collect()}
+    assert got == {(str(k), k, len(range(k, 900, 7))) for k in range(7)}
+
+
 def test_index_deletes_live_digests(spark):
     keys = spark.createDataFrame([(1, "a" * 64), (2, "a" * 64), (3, "b" * 64)], "doc_id long, text_sha256 string")
     gone = spark.createDataFrame([("b" * 64,), ("c" * 64,)], "text_sha256 string")
@@ -295,29 +329,87 @@ def test_targets():
 
 
 def test_splitting_tree_and_permutation():
-    quotas = np.array([1000, 3, 0, 777])
-    cells = mixing.split_quotas(quotas, 13, 5)
+    quotas = np.array([1000, 3, 0, 777, 12, 5])
+    tree = mixing.SplittingTree(quotas, 13, 5)
+    cells = tree.counts(list(range(6)))
     assert (cells.sum(axis=0) == quotas).all() and (cells >= 0).all() and np.ptp(cells.sum(axis=1)) <= 4
+    for wanted in ([2], [5, 0], [3, 1, 4], []):  # a task that follows some sources alone finds the same counts
+        assert (tree.counts(wanted) == cells[:, wanted]).all()
+    assert (mixing.SplittingTree(quotas, 13, 6).counts([0]) != cells[:, [0]]).any()
     for n in (1, 2, 5, 64, 1000):
         assert sorted(mixing.permute(np.arange(n), n, 99)) == list(range(n))
-    huge = mixing._hypergeometric(np.random.default_rng(1), np.array([2 * 10**9, 10**9]), 10**9)
-    assert huge.sum() == 10**9 and abs(huge[0] / 10**9 - 2 / 3) < 0.01
 
 
-def test_mix(spark, edge_docs, no_docs, sf):
-    sized = edge_docs.drop("size").withColumn("size", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long"))
-    a = mixing.taken(sized).collect()
-    b = mixing.taken(sized.repartition(7)).collect()
+@pytest.mark.parametrize("scale", [1, 10**6])
+@pytest.mark.parametrize("good, bad, take", [(1500, 3500, 2000), (4000, 1000, 1200), (2500, 2500, 4000), (300, 4700, 900)])
+def test_hypergeometric_above_numpys_range(scale, good, bad, take):
+    """Mean and variance at 4,000 draws, on both sides of the bound of numpy's own sampler."""
+    good, bad, take = good * scale * 1000, bad * scale * 1000, take * scale * 1000
+    rng = np.random.default_rng(1)
+    got = np.array([mixing.hypergeometric(rng, good, bad, take) for _ in range(4000)], float)
+    n = good + bad
+    mean, var = take * good / n, take * good / n * bad / n * (n - take) / (n - 1)
+    assert abs(got.mean() - mean) < 5 * (var / 4000) ** 0.5 and abs(got.var() / var - 1) < 0.12
+    assert got.min() >= max(0, take - bad) and got.max() <= min(good, take)
+
+
+def test_hypergeometric_of_few_in_many_and_its_probabilities():
+    rng = np.random.default_rng(2)
+    got = np.array([mixing.hypergeometric(rng, 40, 10**12, 10**11) for _ in range(4000)])
+    assert abs(got.mean() - 4) < 0.2
+    assert mixing.hypergeometric(rng, 0, 10**12, 7) == 0 and mixing.hypergeometric(rng, 10**12, 0, 7) == 7
+    for x, d in ((10**6, -5000), (2 * 10**6, 30_000), (1500, -1400), (1500, 900)):
+        want = float(np.sum(np.log(np.arange(min(x, x + d) + 1, max(x, x + d) + 1))) * (1 if d > 0 else -1) - d * np.log(x))
+        assert mixing._log_growth(x, d) == pytest.approx(want, abs=1e-5)
+
+
+def sized(docs):
+    return docs.drop("size").withColumn("size", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long"))
+
+
+def test_taken_is_what_the_mix_holds(spark, edge_docs, no_docs):
+    d = sized(edge_docs)
+    a = mixing.taken(d, block_words=3, shards=5).collect()
+    b = mixing.taken(d.repartition(7), block_words=3, shards=5).collect()
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == edge_docs.count()
-    assert all(r.taken <= 2 * r["size"] for r in a)
-    drawn = mixing.mix(sized.where("doc_id is not null and doc_id <> 7"))
-    assert drawn.groupBy("doc_id", "turn", "block").count().where("count > 1").count() == 0
-    assert mixing.taken(no_docs.withColumn("size", F.lit(0).cast("long"))).count() == 0
-    r = mixing.op6_mixing(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
-    for s in r.groupBy("source").agg(F.sum("taken").alias("k"), F.first("target").alias("t")).collect():
-        assert abs(s.k / s.t - 1) < 0.05
-    blocks = mixing.mix(sized.where("doc_id = 10")).agg(F.sum("words")).first()[0]
-    assert blocks == mixing.taken(sized.where("doc_id = 10")).first().taken
+    named = d.where("doc_id is not null and doc_id <> 7")
+    rows = mixing.shuffled(mixing.mix(named.withColumnRenamed("doc_id", "id"), block_words=3, shards=5)).withColumn("part", F.spark_partition_id()).collect()
+    # no block twice in one pass, each shard in one place and in its own order
+    assert len({(r.id, r.turn, r.block) for r in rows}) == len(rows) and len({r.shard for r in rows}) == 5
+    assert all((x.part, x.shard, x.shard_order) <= (y.part, y.shard, y.shard_order) for x, y in itertools.pairwise(rows) if x.part == y.part)
+    plan = mixing.prepare(named.withColumnRenamed("doc_id", "id"), (3, 1, 2), 1.5, 2.0, 3, 5, mixing.SEED)[1]
+    for s, i in plan.at.items():
+        count = [sum(r.source == s and r.shard == k for r in rows) for k in range(5)]
+        assert count == plan.tree.counts([i])[:, 0].tolist()
+    held, sizes = {}, {r.doc_id: r["size"] for r in named.select("doc_id", "size").collect()}
+    for r in rows:
+        assert r.words == min(3, sizes[r.id] - 3 * r.block)
+        held[r.id] = held.get(r.id, 0) + r.words
+    for r in mixing.taken(named, block_words=3, shards=5).collect():
+        assert r.taken == held.get(r.doc_id, 0) and r.taken <= 2 * r["size"]
+    assert mixing.taken(sized(no_docs)).count() == 0
+
+
+def test_more_sources_than_a_plan_ever_listed(spark):
+    n = 12_000
+    d = spark.range(n).selectExpr("id as doc_id", "concat('s', id) as source", "64L as size")
+    got = mixing.taken(d, shards=3).agg(F.count("*"), F.sum("taken"), F.max("taken")).first()
+    assert got[0] == n and abs(got[1] / (1.5 * 64 * n) - 1) < 0.05 and got[2] <= 128
+
+
+def test_op6_columns(spark, sf, sf_docs):
+    rows = mixing.op6_mixing(spark, sf).collect()
+    docs = {r.doc_id: (r.source, len(WORD.findall(r.text or ""))) for r in sf_docs.select("doc_id", "source", "text").collect()}
+    size, took = {}, {}
+    for source, n in docs.values():
+        size[source] = size.get(source, 0) + n
+    goal = mixing.targets(size)
+    assert {r.doc_id for r in rows} == set(docs)
+    for r in rows:
+        source, n = docs[r.doc_id]
+        assert (r["size"], r.source_size, r.target) == (n, size[source], pytest.approx(goal[source])) and r.taken <= 2 * n
+        took[source] = took.get(source, 0) + r.taken
+    assert all(abs(took[s] / goal[s] - 1) < 0.05 for s in took)
 
 
 # 7 -------------------------------------------------------------------------------------------------------------------
