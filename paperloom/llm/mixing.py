@@ -283,7 +283,7 @@ def taken(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, block_words:
     spark = docs.sparkSession
     sources = spark.createDataFrame([(s, plan.size[s], float(plan.target[s])) for s in plan.at], "source string, source_size long, target double").toDF("m", "source_size", "target")
     rows = d.withColumn("first", F.when(F.col("blocks") > 0, F.col("first")))
-    out = rows.join(sums, rows.source.eqNullSafe(sums.k) & (rows.first == sums.l), "left").join(sources, rows.source.eqNullSafe(sources.m))
+    out = rows.join(sums, rows.source.eqNullSafe(sums.k) & (rows["first"] == sums.l), "left").join(sources, rows.source.eqNullSafe(sources.m))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
