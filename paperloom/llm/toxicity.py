@@ -7,8 +7,9 @@ Forward-backward marginals give each token's probability; their sum and maximum
 a small logistic fit, and runs of tokens above one half are the offending offsets.
 
 Training rests on a bounded sample (at most TOXIC_DOCS and CLEAN_DOCS labelled documents, those with the
-smallest hash). Each round sums the tasks' gradients. Scoring is one map over all whole texts; chains are cut every
-CHAIN tokens, so long texts are many chains, run side by side in numpy.
+smallest hash). Each round sums the tasks' gradients. Scoring is one map over all whole texts. A document is one chain
+of any length. For numpy it is laid out in slices of SLICE tokens side by side; each slice's product of
+transfer matrices hands the forward and backward messages on to its neighbours, so no cut shows in the marginals.
 
 Defined results: null and empty texts have no tokens and get the score of zero evidence; without labels of both
 kinds every score is 0; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
@@ -30,7 +31,7 @@ from .common import table, words_of, written
 from .language_id import held_out
 
 TOKEN = re.compile(r"[^\W\d_]+")
-CHAIN = 64
+SLICE = 64
 DIM = 1 << 17
 TOXIC_DOCS, CLEAN_DOCS = 2000, 3000
 #: A telling feature is in so many toxic documents, and in such a share of them, and so many times likelier there.
@@ -60,61 +61,77 @@ class Chain:
     def emission(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids >= 0, self.weights[np.maximum(ids, 0)], 0.0).sum(axis=-1)
 
-    def marginals(self, emission: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chains as rows of a padded matrix: P(state 1) of each token, and the forward and backward ratios."""
+    def marginals(self, emission: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents of `sizes` tokens laid end to end: P(state 1) of each token, and the forward and backward ratios."""
+        if not len(emission):
+            return emission, emission, emission
         t = np.exp(self.transitions)
-        g = np.exp(np.clip(emission, -30, 30))
-        rows, steps = g.shape
-        ahead, behind = np.empty_like(g), np.ones_like(g)
-        r = g[:, 0].copy()
-        ahead[:, 0] = r
-        for k in range(1, steps):
-            r = g[:, k] * (t[0, 1] + r * t[1, 1]) / (t[0, 0] + r * t[1, 0])
-            ahead[:, k] = r
-        b = np.ones(rows)
-        for k in range(steps - 2, -1, -1):
-            x = g[:, k + 1] * b
-            b = np.where(k + 1 < length, (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), 1.0)
-            behind[:, k] = b
+        start, length, turn = slices(sizes)
+        at = np.minimum(start + np.arange(SLICE)[:, None], len(emission) - 1)
+        mask = np.arange(SLICE)[:, None] < length
+        g = np.where(mask, np.exp(np.clip(emission, -30, 30))[at], 1.0)
+        # the first token of a document comes from no state: all its transitions weigh alike
+        first = turn == 0
+        ahead_t = [np.where(first, 1.0, t[i, j]) for i, j in ((0, 0), (0, 1), (1, 0), (1, 1))]
+        a, b, c, d = np.ones(len(start)), np.zeros(len(start)), np.zeros(len(start)), np.ones(len(start))
+        for k in range(SLICE):  # products of the slices' transfer matrices, scaled
+            if not mask[k].any():
+                break
+            t00, t01, t10, t11 = ahead_t if k == 0 else (t[0, 0], t[0, 1], t[1, 0], t[1, 1])
+            new = (a * t00 + b * t10, (a * t01 + b * t11) * g[k], c * t00 + d * t10, (c * t01 + d * t11) * g[k])
+            scale = np.maximum(np.maximum(new[0], new[1]), np.maximum(new[2], new[3]))
+            a, b, c, d = (np.where(mask[k], x / scale, old) for x, old in zip(new, (a, b, c, d), strict=True))
+        into, last = np.ones(len(start)), np.ones(len(start))
+        by_turn = np.argsort(turn, kind="stable")
+        edges = np.searchsorted(turn[by_turn], np.arange(turn.max() + 2))
+        for j in range(1, turn.max() + 1):
+            here = by_turn[edges[j] : edges[j + 1]]
+            before = here - 1
+            into[here] = (b[before] + into[before] * d[before]) / (a[before] + into[before] * c[before])
+        for j in range(turn.max(), 0, -1):
+            here = by_turn[edges[j] : edges[j + 1]]
+            last[here - 1] = (c[here] + d[here] * last[here]) / (a[here] + b[here] * last[here])
+        ahead, behind, r, back = np.empty_like(g), np.empty_like(g), into, last
+        for k in range(SLICE):
+            t00, t01, t10, t11 = ahead_t if k == 0 else (t[0, 0], t[0, 1], t[1, 0], t[1, 1])
+            r = ahead[k] = g[k] * (t01 + r * t11) / (t00 + r * t10)
+        behind[SLICE - 1] = last
+        for k in range(SLICE - 2, -1, -1):
+            x = g[k + 1] * back
+            back = behind[k] = np.where(k + 1 < length, (t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x), last)
+        flat = lambda x: x.T[mask.T]  # noqa: E731  # in the order of the tokens
+        ahead, behind = flat(ahead), flat(behind)
         odds = ahead * behind
         return odds / (1 + odds), ahead, behind
 
 
-def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents of `sizes` tokens laid end to end, cut into chains: starts and lengths."""
-    n = -(-sizes // CHAIN)
+def slices(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents of `sizes` tokens laid end to end: each slice's start, length and number in its document."""
+    n = -(-sizes // SLICE)
     base = np.repeat(np.cumsum(sizes) - sizes, n)
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = base + inner * CHAIN
-    end = np.minimum(start + CHAIN, np.repeat(np.cumsum(sizes), n))
-    return start, end - start
-
-
-def padded(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of CHAIN values and the mask of real ones."""
-    at = start[:, None] + np.arange(CHAIN)
-    mask = np.arange(CHAIN) < length[:, None]
-    return np.where(mask, flat[np.minimum(at, max(len(flat) - 1, 0))], 0), mask
+    turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = base + turn * SLICE
+    return start, np.minimum(start + SLICE, np.repeat(np.cumsum(sizes), n)) - start, turn
 
 
 def gradient(model: Chain, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the log-likelihood, by weight and by transition."""
-    start, length = chains(sizes)
-    e, mask = padded(model.emission(ids), start, length)
-    y, _ = padded(labels.astype(np.int64), start, length)
-    p, ahead, behind = model.marginals(e, length)
-    rest = (y - p)[mask]  # in the order of the tokens
+    e = model.emission(ids)
+    p, ahead, behind = model.marginals(e, sizes)
+    rest = labels - p
     ok = ids >= 0
-    by_weight = np.bincount(ids[ok], weights=np.broadcast_to(rest[:, None], ids.shape)[ok], minlength=DIM)
-    pair = mask[:, 1:]
-    t, g = np.exp(model.transitions), np.exp(np.clip(e, -30, 30))
-    x = g[:, 1:] * behind[:, 1:]
-    a = ahead[:, :-1]
+    by_weight = np.bincount(ids[ok], weights=np.broadcast_to(rest[:, None], ids.shape)[ok], minlength=len(model.weights))
+    inner = np.ones(len(e), bool)  # tokens with a next one in their document
+    inner[np.cumsum(sizes[sizes > 0]) - 1] = False
+    here = np.flatnonzero(inner)
+    t = np.exp(model.transitions)
+    x = np.exp(np.clip(e[here + 1], -30, 30)) * behind[here + 1]
+    a, y, z = ahead[here], labels[here], labels[here + 1]
     cell = {(0, 0): t[0, 0] + 0 * a, (0, 1): t[0, 1] * x, (1, 0): a * t[1, 0], (1, 1): a * t[1, 1] * x}
     total = sum(cell.values())
     by_step = np.zeros((2, 2))
     for (i, j), v in cell.items():
-        by_step[i, j] = (((y[:, :-1] == i) & (y[:, 1:] == j)) & pair).sum() - (v / total)[pair].sum()
+        by_step[i, j] = ((y == i) & (z == j)).sum() - (v / total).sum()
     return by_weight, by_step
 
 
@@ -263,11 +280,7 @@ def score(docs: DataFrame, model: dict, names: tuple[str, ...] = ("doc_id",), sp
                         row_of.update(zip(fresh, range(base, base + len(fresh)), strict=True))
                         known[base : base + len(fresh)] = crf.emission(np.array([hashed(w.lower()) for w in fresh]))
                     flat = known[np.fromiter(map(row_of.__getitem__, chain.from_iterable(tokens)), np.int64, int(sizes.sum()))]
-                first, length = chains(sizes)
-                p = np.zeros(0)
-                if len(first):
-                    e, mask = padded(flat, first, length)
-                    p = crf.marginals(e, length)[0][mask]
+                p = crf.marginals(flat, sizes)[0]
                 ends = np.cumsum(sizes)
                 mass, peak, found = np.zeros(len(sizes)), np.zeros(len(sizes)), []
                 if len(p):

@@ -415,19 +415,60 @@ def test_op6_columns(spark, sf, sf_docs):
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
-def test_chain_marginals_and_gradient():
+def chain_brute(e, steps):
+    """Weights of all label sequences of one document."""
+    out = {}
+    for y in itertools.product((0, 1), repeat=len(e)):
+        out[y] = np.exp(sum(v * k for v, k in zip(e, y, strict=True)) + sum(steps[i, j] for i, j in itertools.pairwise(y)))
+    return out
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 64])
+def test_chain_marginals(monkeypatch, cut):
+    """Documents longer than a slice have the marginals of their whole chain."""
+    monkeypatch.setattr(toxicity, "SLICE", cut)
     rng = np.random.default_rng(3)
-    steps, e = rng.normal(size=(2, 2)), rng.normal(size=(3, 6))
-    length = np.array([6, 4, 1])
-    p = toxicity.Chain(np.zeros(1), steps).marginals(e, length)[0]
-    for row, n in enumerate(length):
-        weights = {}
-        for y in itertools.product((0, 1), repeat=int(n)):
-            s = sum(e[row, i] * y[i] for i in range(n)) + sum(steps[y[i], y[i + 1]] for i in range(n - 1))
-            weights[y] = np.exp(s)
-        total = sum(weights.values())
+    steps, sizes = 3 * rng.normal(size=(2, 2)), np.array([6, 0, 4, 1, 9, 2])
+    e = 2 * rng.normal(size=sizes.sum())
+    p, at = toxicity.Chain(np.zeros(1), steps).marginals(e, sizes)[0], 0
+    for n in sizes:
+        weights = chain_brute(e[at : at + n], steps)
         for i in range(n):
-            assert p[row, i] == pytest.approx(sum(w for y, w in weights.items() if y[i]) / total)
+            assert p[at + i] == pytest.approx(sum(w for y, w in weights.items() if y[i]) / sum(weights.values()))
+        at += n
+
+
+def test_long_chains_do_not_depend_on_the_slices(monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.array([3, 30_000, 64, 65, 0, 128, 700])
+    e, steps = 8 * rng.normal(size=sizes.sum()), np.array([[2.0, -3.0], [-4.0, 3.0]])
+    got = toxicity.Chain(np.zeros(1), steps).marginals(e, sizes)[0]
+    monkeypatch.setattr(toxicity, "SLICE", 30_000)
+    assert np.allclose(got, toxicity.Chain(np.zeros(1), steps).marginals(e, sizes)[0], atol=1e-12)
+
+
+def test_chain_gradient_by_finite_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "SLICE", 2)
+    rng = np.random.default_rng(5)
+    sizes, ids = np.array([5, 1, 0, 4]), rng.integers(-1, 6, (10, 3))
+    labels, weights, steps = rng.integers(0, 2, 10), rng.normal(size=6), rng.normal(size=(2, 2))
+
+    def likelihood(weights, steps):
+        e, at, total = toxicity.Chain(weights, steps).emission(ids), 0, 0.0
+        for n in sizes:
+            if n:
+                w = chain_brute(e[at : at + n], steps)
+                total += np.log(w[tuple(labels[at : at + n].tolist())] / sum(w.values()))
+            at += n
+        return total
+
+    by_weight, by_step = toxicity.gradient(toxicity.Chain(weights, steps), ids, labels, sizes)
+    for got, x, f in ((by_weight, weights, lambda v: likelihood(v, steps)), (by_step, steps, lambda v: likelihood(weights, v))):
+        for i in np.ndindex(x.shape):
+            up, down = x.copy(), x.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert got[i] == pytest.approx((f(up) - f(down)) / 2e-5, abs=1e-6)
 
 
 def test_toxicity_learns_and_scores_edges(spark, edge_docs, no_docs):
@@ -453,6 +494,15 @@ def test_toxicity_learns_and_scores_edges(spark, edge_docs, no_docs):
     assert {r.score for r in toxicity.toxicity(docs, lab.limit(0)).collect()} == {0.0}
 
 
+def test_op7_held_out(spark):
+    """Held-out figures of the query itself, on rows it has not learned from."""
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.op7_toxicity(spark, sf)
+    rows = got.join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").collect()
+    toxic, clean = [r.predicted for r in rows if r.toxic], [r.predicted for r in rows if not r.toxic]
+    assert got.count() == 1000 and len(toxic) >= 5 and np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.1
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
