@@ -279,31 +279,50 @@ def test_warc_of_no_pages(spark, tmp_path):
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
-def test_forward_sums_all_segmentations():
-    rng = random.Random(2)
-    pieces = ["a", "b", "ab", "ba", "aba", "bb"]
-    tables = [{p: rng.random() for p in pieces} for _ in range(4)]
+def segmentations(word, p, pieces):
+    """(probability, pieces used) of every segmentation."""
+    if not word:
+        return [(1.0, ())]
+    out = [(v * language_id.UNKNOWN, used) for v, used in segmentations(word[1:], p, pieces)]
+    for i, x in enumerate(pieces):
+        if word.startswith(x):
+            out += [(v * p[i], (i, *used)) for v, used in segmentations(word[len(x) :], p, pieces)]
+    return out
+
+
+@pytest.mark.parametrize("rescale", [1, 3, 16])
+@pytest.mark.parametrize("languages", [1, 3, 4])
+def test_sums_over_all_segmentations(monkeypatch, rescale, languages):
+    monkeypatch.setattr(language_id, "RESCALE", rescale)
+    pieces = ["a", "b", "ab", "ba", "aba", "bb", "bababab", "é"]
+    p = np.random.default_rng(2).random((len(pieces), languages))
+    model, found = language_id.Unigrams(language_id.Pieces(pieces), p), ["a", "abab", "xab", "bbabab", "xx", "babababé", "abab"]
+    weight = np.array([2, 1, 5, 1, 1, 3, 1])
+    every = [[segmentations(w, p[:, k], pieces) for k in range(languages)] for w in found]
+    assert np.allclose(model.log_probabilities(found), [[np.log(sum(v for v, _ in x)) for x in row] for row in every])
+    want = np.zeros(p.shape)
+    for row, w in zip(every, weight, strict=True):
+        for k, x in enumerate(row):
+            for v, used in x:
+                for i in used:
+                    want[i, k] += w * v / sum(v for v, _ in x)
+    assert np.allclose(model.expected(found, weight), want)
+    assert model.log_probabilities([]).shape == (0, languages) and not model.expected([], weight[:0]).any()
 
-    def brute(word, t):
-        if not word:
-            return 1.0
-        total = brute(word[1:], t) * language_id.UNKNOWN
-        return total + sum(t[p] * brute(word[len(p) :], t) for p in pieces if word.startswith(p))
 
-    for word in ("a", "abab", "xab", "bbabab"):
-        want = np.log([brute(word, t) for t in tables])
-        assert np.allclose(language_id.Unigrams(tables).log_probability(word), want)
-        assert np.allclose(language_id.Unigrams(tables[:3]).log_probability(word), want[:3])
+def test_long_words_do_not_underflow():
+    """Fifty letters that no piece covers, then ten that favour one language three to one."""
+    model = language_id.Unigrams(language_id.Pieces(["a", "b"]), np.array([[0.3, 0.1], [0.7, 0.9]]))
+    a, b = model.log_probabilities(["é" * 50 + "a" * 10, "é" * 5000 + "a" * 10])
+    assert np.diff(a) == pytest.approx(-10 * np.log(3), rel=1e-3) and np.diff(b) == pytest.approx(-10 * np.log(3), rel=1e-3)
+    assert model.expected(["é" * 500 + "a"], np.ones(1))[0] == pytest.approx([1, 1], rel=1e-3)
 
 
-def test_expected_counts():
-    from collections import Counter
+def test_the_whole_vocabulary_is_used():
+    import public_tokenizers
 
-    t = {"a": 0.3, "b": 0.2, "ab": 0.5}
-    got = Counter()
-    language_id.Unigrams([t]).expected("ab", 2.0, got)
-    whole, parts = 0.5, 0.06
-    assert got["ab"] == pytest.approx(2 * whole / (whole + parts), rel=1e-4) and got["a"] == pytest.approx(2 * parts / (whole + parts), rel=1e-4)
+    pieces = language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert max(map(len, pieces)) > 8 and len(pieces) == len(set(pieces)) > 10_000
 
 
 def test_language_edges_and_accuracy(spark, sf, edge_docs, no_docs):
@@ -316,7 +335,7 @@ def test_language_edges_and_accuracy(spark, sf, edge_docs, no_docs):
     assert len(rows) == edge_docs.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.doc_id for r in rows if r.lang_pred == "und"} == {1, 2, 3, 4}
     assert language_id.identify(no_docs.drop("score", "lang_pred"), language_id.fitted(no_docs)).count() == 0
-    assert {r.lang_pred for r in language_id.identify(edge_docs.select("text"), {}).collect()} == {"und"}
+    assert {r.lang_pred for r in language_id.identify(edge_docs.select("text"), language_id.fitted(no_docs)).collect()} == {"und"}
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
