@@ -3,10 +3,12 @@
 Counts of words, symbols, repeated lines and repeated 3-word windows come from higher-order functions on
 the row. Each document's transformed statistic vector is then judged within its language and source, or, where
 these have too few judged rows for a fit of their own, within its language, and else among all rows: a
-minimum-covariance-determinant fit (concentration steps on the most central share of the rows, started
-from medians and quartile ranges) gives centre and scatter, and the squared Mahalanobis distance is held
-against a fixed quantile. All passes are grouped sums and grouped histograms, which are combined before
-the shuffle, so a source with a third of all rows is no larger for one task than any other.
+minimum-covariance-determinant fit gives centre and scatter, and the squared Mahalanobis distance is held
+against a fixed quantile. The fit begins at several places in each group (medians and quartile ranges, the same with
+correlations of squashed scores, small random subsets), takes two concentration steps on the most central share of the
+rows from each, goes on from the one with the least determinant, and ends when no step lowers it. All
+passes are grouped sums and grouped histograms, which are combined before the shuffle, so a source with a
+third of all rows is no larger for one task than any other.
 
 Defined results: null text has no words (base_failed is true below 50 words); null lang and null source are
 groups of their own; repeated rows are judged alike; a table under MIN_GROUP judged rows in all rejects
@@ -22,7 +24,10 @@ from .common import table, without, words_of, written
 
 #: Share of a group's rows that the covariance fit rests on.
 CORE = 0.75
-STEPS = 3
+#: Starts of the fit: 0 and 1 from medians and quartile ranges, the others from random subsets of about so many rows.
+STARTS, SUBSET = 5, 12
+#: Concentration steps from each start, and the fall of the log determinant below which a step counts as none.
+STEPS, SETTLED = 2, 1e-6
 #: Groups with fewer judged rows have no reliable scatter; their rows are held against a wider group.
 MIN_GROUP = 50
 #: Squared distance beyond which a vector is an outlier: about the 1 - 1e-9 quantile of chi-square with 4 degrees of freedom.
@@ -112,11 +117,11 @@ def vectors(stats: DataFrame) -> DataFrame:
 GROUP = ("k_level", "k_lang", "k_source")
 
 
-def _join_groups(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
-    """rows with the columns of their group's one row; keys may be null."""
+def _join_groups(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = GROUP, how: str = "left") -> DataFrame:
+    """rows with the columns of their group's rows; keys may be null."""
     g = groups.withColumnsRenamed({k: f"g_{k}" for k in keys})
     on = [rows[k].eqNullSafe(g[f"g_{k}"]) for k in keys]
-    return rows.join(g, on, "left").drop(*(f"g_{k}" for k in keys))
+    return rows.join(g, on, how).drop(*(f"g_{k}" for k in keys))
 
 
 def _key(level: int) -> Column:
@@ -136,10 +141,14 @@ def _levels(stats: DataFrame) -> DataFrame:
     return out.withColumns({"judged_by": F.when(~few, _key(0)).when(wide, _key(1)).otherwise(_key(2)), "fits": fits}).drop("own_n", "lang_n", "lang_few", "all_few")
 
 
-def _quantile(rows: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+#: A fit under way: groups may have several, one per start.
+TRIAL = (*GROUP, "start")
+
+
+def _quantile(rows: DataFrame, column: str, shares: dict[str, float], keys: tuple[str, ...] = GROUP) -> DataFrame:
     """Per group, for each share, the smallest histogram step of `column` at or below which that share lies."""
-    bins = rows.groupBy(*GROUP, F.floor(F.col(column) * FINE).alias("b")).agg(F.count("*").alias("c"))
-    arrays = bins.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("h"), F.sum("c").alias("n"))
+    bins = rows.groupBy(*keys, F.floor(F.col(column) * FINE).alias("b")).agg(F.count("*").alias("c"))
+    arrays = bins.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("b", "c"))).alias("h"), F.sum("c").alias("n"))
 
     def at(share: float) -> Column:
         def step(s, x):
@@ -149,28 +158,29 @@ def _quantile(rows: DataFrame, column: str, shares: dict[str, float]) -> DataFra
         start = F.struct(F.lit(0).cast("long").alias("t"), F.lit(None).cast("long").alias("b"))
         return (F.aggregate("h", start, step)["b"] + 1) / FINE
 
-    return arrays.select(*GROUP, *(at(share).alias(name) for name, share in shares.items()))
+    return arrays.select(*keys, *(at(share).alias(name) for name, share in shares.items()))
+
+
+PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
+FIT = (*(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i, j in PAIRS), "log_det")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """Per group: centre m_i and the lower Cholesky factor l_ij of the floored covariance."""
-    pairs = [(i, j) for i in range(4) for j in range(i + 1)]
-    sums = [F.count("*").alias("core_n")]
-    sums += [F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)]
-    sums += [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in pairs]
-    out = rows.groupBy(*GROUP).agg(*sums)
-    return _factor(out)
+    """Per group and start: centre m_i and the lower Cholesky factor l_ij of the floored covariance."""
+    sums = [F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)]
+    sums += [F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i, j in PAIRS]
+    return _factor(rows.groupBy(*TRIAL).agg(*sums))
 
 
 def _factor(out: DataFrame) -> DataFrame:
-    for i in range(4):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            cell = F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}")
-            out = out.withColumn(f"l{i}{j}", cell)
-    return out.select(*GROUP, *(f"m{i}" for i in range(4)), *(f"l{i}{j}" for i in range(4) for j in range(i + 1)))
+    for i, j in PAIRS:
+        rest = F.col(f"c{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        cell = F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}")
+        out = out.withColumn(f"l{i}{j}", cell)
+    log_det = F.log("l00") + F.log("l11") + F.log("l22") + F.log("l33")
+    return out.withColumn("log_det", 2 * log_det).select(*TRIAL, *FIT)
 
 
 def _distance() -> Column:
@@ -187,27 +197,50 @@ def _distance() -> Column:
     return total
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges as a diagonal first fit."""
-    fit = None
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first fits of every group, one per start."""
+    mid = rows.groupBy(*GROUP).agg(F.count("*").alias("group_n"))
     for i, v in enumerate(VECTOR):
-        q = _quantile(rows, v, {f"lo{i}": 0.25, f"m{i}": 0.5, f"hi{i}": 0.75})
-        fit = q if fit is None else _join_groups(fit, q)
-    for i in range(4):
-        for j in range(i + 1):
-            spread = (F.col(f"hi{i}") - F.col(f"lo{i}")) / 1.349
-            fit = fit.withColumn(f"c{i}{j}", spread * spread if i == j else F.lit(0.0))
-    return _factor(fit)
+        mid = _join_groups(mid, _quantile(rows, v, {f"lo{i}": 0.25, f"m{i}": 0.5, f"hi{i}": 0.75}))
+    mid = written(mid.withColumns({f"s{i}": F.greatest((F.col(f"hi{i}") - F.col(f"lo{i}")) / 1.349, F.lit(FLOORS[i])) for i in range(4)}), "mcd")
+    squashed = _join_groups(rows, mid).select(*GROUP, *(F.tanh((F.col(v) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i, v in enumerate(VECTOR)))
+    alike = squashed.groupBy(*GROUP).agg(*(F.covar_pop(f"t{i}", f"t{j}").alias(f"r{i}{j}") for i, j in PAIRS))
+    both = _join_groups(mid, alike).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+
+    def cell(i: int, j: int) -> Column:
+        if i == j:
+            return F.col(f"s{i}") * F.col(f"s{i}")
+        r = F.coalesce(F.col(f"r{i}{j}") / F.nullif(F.sqrt(F.col(f"r{i}{i}") * F.col(f"r{j}{j}")), F.lit(0.0)), F.lit(0.0))
+        return F.when(F.col("start") == 1, r * F.col(f"s{i}") * F.col(f"s{j}")).otherwise(0.0)
+
+    fits = _factor(both.withColumns({f"c{i}{j}": cell(i, j) for i, j in PAIRS}))
+    turns = F.explode(F.array(*(F.lit(k) for k in range(2, STARTS))))
+    luck = F.pmod(F.xxhash64(*VECTOR, "start"), F.lit(1 << 30)) / (1 << 30)
+    few = _join_groups(rows, mid.select(*GROUP, "group_n")).withColumn("start", turns).where(luck < SUBSET / F.col("group_n"))
+    return fits.unionByName(_moments(few))
+
+
+def _concentrated(rows: DataFrame, fits: DataFrame) -> DataFrame:
+    """One concentration step: the moments of the share of rows that each fit finds most central."""
+    near = _join_groups(rows, fits.select(*TRIAL, *FIT), how="inner").withColumn("ld", F.log(_distance() + 1e-9)).select(*TRIAL, *VECTOR, "ld")
+    edge = _quantile(near, "ld", {"edge": CORE}, TRIAL)
+    return _moments(_join_groups(near, edge, TRIAL).where("ld <= edge"))
 
 
 def mcd_fit(rows: DataFrame) -> DataFrame:
     """Per key of GROUP: centre, factor and the scale that makes the median distance that of a normal cloud."""
-    fit = written(_start(rows), "mcd")
+    fits = written(_starts(rows), "mcd")
     for _ in range(STEPS):
-        near = _join_groups(rows, fit).withColumn("ld", F.log(_distance() + 1e-9))
-        edge = _quantile(near, "ld", {"edge": CORE})
-        core = _join_groups(near.drop(*(c for c in fit.columns if c not in GROUP)), edge).where("ld <= edge")
-        fit = written(_moments(core), "mcd")
+        fits = written(_concentrated(rows, fits), "mcd")
+    best = fits.groupBy(*GROUP).agg(F.min_by(F.struct("start", *FIT), F.struct("log_det", "start")).alias("x"))
+    fit, moving = written(best.select(*GROUP, "x.*", F.lit(True).alias("moving")), "mcd"), 1
+    while moving:  # a group's determinant falls in each round that it takes part in, so this ends
+        new = _concentrated(rows, fit.where("moving")).withColumnsRenamed({c: f"new_{c}" for c in FIT}).drop("start")
+        both = _join_groups(fit, new)
+        lower = F.coalesce(F.col("new_log_det") < F.col("log_det") - SETTLED, F.lit(False))
+        fit = written(both.select(*GROUP, "start", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in FIT), lower.alias("moving")), "mcd")
+        moving = fit.where("moving").count()
+    fit = fit.drop("start", "moving")
     near = _join_groups(rows, fit).withColumn("ld", F.log(_distance() + 1e-9))
     # 3.357 is the median of chi-square with 4 degrees of freedom; the core's covariance is never scaled down
     scale = _quantile(near, "ld", {"mid": 0.5}).withColumn("scale", F.greatest(F.exp("mid") / 3.357, F.lit(1.0)))

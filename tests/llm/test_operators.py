@@ -692,3 +692,41 @@ def test_small_sources_are_held_against_wider_groups(spark):
     got = quality_rules.judge(spark.createDataFrame([*rows, (330, rows[0][1], "fr", "z"), (331, rows[0][1], None, None)], schema)).collect()
     assert len(got) == 332
     assert all(r.kept == (r.doc_id < 330 and r.doc_id % 33 != 0) for r in got)
+
+
+def numpy_mcd(x, rng, starts=300):
+    """Least log determinant of the floored covariance of a CORE share, by FAST-MCD with many random starts."""
+    h, floors = int(np.ceil(quality_rules.CORE * len(x))), np.diag(np.square(quality_rules.FLOORS))
+    best = np.inf
+    for _ in range(starts):
+        rows = x[rng.choice(len(x), 12, replace=False)]
+        last = np.inf
+        while True:
+            mean, cov = rows.mean(axis=0), np.cov(rows.T, bias=True) + floors
+            now = np.linalg.slogdet(cov)[1]
+            if len(rows) == h and now >= last - 1e-9:
+                break
+            last = now if len(rows) == h else np.inf
+            z = x - mean
+            rows = x[np.argsort((z @ np.linalg.inv(cov) * z).sum(axis=1), kind="stable")[:h]]
+        best = min(best, last)
+    return best
+
+
+def test_minimum_determinant_against_numpy(spark):
+    """Groups with a fifth of far rows: the determinant of the fit is the least that many random starts find."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for g in range(6):
+        n = 120 + 60 * g
+        mix = rng.normal(size=(4, 4)) * np.array([0.4, 0.1, 0.05, 0.2])
+        x = rng.normal(size=(n, 4)) @ mix
+        x[: n // 5] = x[: n // 5] * 0.2 + rng.normal(size=4) * 3
+        want[f"g{g}"] = numpy_mcd(x, rng)
+        rows += [(*map(float, v), 0, f"g{g}" if g else None, "s") for v in x]
+    want[None] = want.pop("g0")
+    d = spark.createDataFrame(rows, "x1 double, x2 double, x3 double, x4 double, k_level int, k_lang string, k_source string")
+    got = {r.k_lang: r for r in quality_rules.mcd_fit(d).collect()}
+    assert set(got) == set(want)
+    for g, r in got.items():  # steps of the histogram leave the core a few rows larger or smaller
+        assert abs(r.log_det - want[g]) < 0.25, (g, r.log_det, want[g])
