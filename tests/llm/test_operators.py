@@ -543,8 +543,11 @@ def repeat_rows(df):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in df.collect())
 
 
+@pytest.mark.parametrize("batch", [7, 20_000])
 @pytest.mark.parametrize("hot", [False, True])
-def test_suffix_dedup(spark, monkeypatch, hot):
+def test_suffix_dedup(spark, monkeypatch, hot, batch):
+    """hot: all repeated anchors are salted; a batch of 7 blocks is less than most anchors have."""
+    monkeypatch.setattr(suffix_dedup, "COLUMN_ROWS", batch)
     if hot:
         monkeypatch.setattr(suffix_dedup, "HOT_LEAST", 2)
         monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 0.0)
@@ -579,6 +582,18 @@ def test_suffix_dedup_edges(edge_docs, no_docs):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """They are the document's texts in the order of their hashes; no match crosses them."""
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 40)
+    rows = [(5, a + b), (5, b + c), (5, None), (5, ""), (6, c[:150]), (6, a[:120]), (4, b[:130]), (6, c[:150])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hashes = {(r.doc_id, r.text): r.t for r in d.withColumn("t", F.xxhash64("text")).collect()}
+    order = sorted(set(rows), key=lambda r: (r[0], hashes[r]))
+    want = {rows_: got[1:] for rows_, got in zip(order, brute_repeats(list(enumerate(t for _, t in order))), strict=True)}
+    got = suffix_dedup.remove_repeats(d.select("doc_id", "text")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got)) == sorted((r[0], *want[r]) for r in rows)
+
+
 def test_common_prefixes():
     rng = np.random.default_rng(5)
     n, width = 200, 30
