@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,44 +32,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir; where that is unset (tests, one machine) a folder
-    below the warehouse is taken.
+    The cluster names it in spark.checkpoint.dir. Where that is unset, a folder below the warehouse is taken
+    on a single machine (tests); on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Rounds().written(df, what)
+
+
+class Rounds:
+    """Tables of a loop: when the next one is written, the one before it is removed."""
+
+    def __init__(self) -> None:
+        self.path = None
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        spark, old = df.sparkSession, self.path
+        self.path = scratch(spark, what)
+        df.write.parquet(self.path)
+        if old:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        return spark.read.schema(df.schema).parquet(self.path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a long, b long): rows (node, component), the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round hangs neighbours on
-    the smallest known one, so a hub never gathers its neighbours in one row, and the number of edges
-    does not grow. Each round is written out; only a checksum of the edges reaches the driver.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014), until nothing changes. Each round hangs
+    neighbours on the smallest known one, so a hub never gathers its neighbours in one row, and the number of
+    edges does not grow. Each round is written out; only a checksum of the edges reaches the driver.
     """
-    now = written(
+    kept, minima = Rounds(), Rounds()
+    now = kept.written(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct(),
         "edges",
     )
-    before = None
-    for _ in range(rounds):
+    before = settled = None
+    while not settled:
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # written, so that the join below has two plain exchanges and adaptive execution can split a hub's rows
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = minima.written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         # large star: each larger neighbour of a goes to a's smallest
         large = (
             both.join(least, "a")
@@ -84,12 +101,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        new = written(small, "edges")
-        mark = new.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
-        settled, before, now = mark == before, mark, new
-        if settled:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        now = kept.written(small, "edges")
+        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first()
+        settled, before = mark == before, mark
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(nodes.select("component", "component").toDF("node", "component").distinct())

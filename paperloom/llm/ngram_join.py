@@ -16,12 +16,14 @@
 
 Defined results: null or empty text, or text without words, has no shingles and links with nothing; fewer words than a
 shingle make one shingle of the whole sequence; repeated rows and equal sets share a component; documents
-without a doc_id take part, and their component is null only if no member has one; an empty table gives an empty result; other columns are
-ignored. Two shingles with equal 64-bit hashes would be taken as one.
+without a doc_id take part, and their component is null only if no member has one; different texts under one doc_id are separate
+documents; an empty table gives an empty result; other columns are
+ignored. Two shingles with equal 64-bit hashes would be taken as one, and two sets with equal 128-bit hashes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,8 @@ FIRST_SHARE = 0.3
 SAMPLE_DOCS, COMMON_SHARE, COMMON_LEAST = 16_000, 0.005, 50
 #: Rank in place of a count for very common tokens: after all counted ones.
 COMMON = 1 << 40
+#: Classes with one token beyond which its exact count no longer matters for the order.
+LONGEST = 50_000
 CHUNK = 256
 BITS = 1024
 _FIRST = np.uint64(int(FIRST_SHARE * 2**64))
@@ -62,11 +66,11 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def set_key(s: np.ndarray) -> int | None:
-    """Hash of a whole set; null for the empty one."""
+def set_keys(s: np.ndarray) -> tuple[int | None, int | None]:
+    """Both halves of the 128-bit hash of a whole set; null for the empty one."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)) if len(s) else None
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes())) if len(s) else (None, None)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -74,35 +78,43 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def token_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), key (hash of the whole set), tokens (the first ones of the common order)."""
+    """doc_id, text_key (tells a doc_id's texts apart), n (set size), key and check (hash of the whole set), tokens (the first ones of the common order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, key, tokens = [], [], []
+            n, keys, tokens = [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py())
                 n.append(len(s))
-                key.append(set_key(s))
+                keys.append(set_keys(s))
                 count = max(int(np.searchsorted(s, _FIRST)), prefix_length(len(s), percent)) if len(s) else 0
                 tokens.append(s[:count].astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc_id", "n", "key", "tokens"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                ["doc_id", "text_key", "n", "key", "check", "tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key long, tokens array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, key long, check long, tokens array<long>")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(key, text) of documents, for those that no doc_id leads to."""
+def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets with key made unique, and the classes of equal sets: key, rep (the doc_id and text_key to read the text by), n, k tokens.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(shingles(t.as_py())) for t in b.column("text")], pa.int64()), b.column("text")], ["key", "text"])
+    key is the first half of the hash. Where two different sets share it, all but the first go by a hash of both halves.
+    """
+    own = sets.where("key is not null").groupBy("key", "check").agg(
+        F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first(F.size("tokens")).alias("k")
+    )
+    own = written(own, "classes")
+    twice = written(own.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("key", "low"), "clashes")
 
-    return docs.select("text").mapInArrow(run, "key long, text string").where("key is not null")
+    def renamed(d: DataFrame) -> DataFrame:
+        out = d.join(twice, "key", "left")
+        return out.withColumn("key", F.when(F.col("low") < F.col("check"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("low")
+
+    return renamed(sets).drop("check"), renamed(own).drop("check")
 
 
 def common_tokens(sets: DataFrame, rows: int) -> np.ndarray:
@@ -121,6 +133,55 @@ def _inside(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+def rank(token: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Tokens of the first share by count; the few beyond it after them, alike (their hash decides)."""
+    return np.where(token.astype(np.uint64) < _FIRST, count, 2 * COMMON)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token: runs of two keys or more, ranked by their length, at most LONGEST.
+
+    A run that grows beyond LONGEST goes out with that rank as it comes, so it is never held whole.
+    """
+    held_token, held_key = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last: tuple[int, int] | None = None  # the row before those held
+    growing: int | None = None  # the token whose run has gone out in part
+
+    def out(token: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(token), 100_000):
+            t, k, c = token[i : i + 100_000], key[i : i + 100_000], count[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rank(t, c)), pa.array(t)], ["key", "rank", "token"])
+
+    def runs(token: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(first, len(token)))
+        count = np.repeat(np.where(token[first] == growing, LONGEST, count) if growing is not None else count, count)
+        at = count > 1
+        yield from out(token[at], key[at], np.minimum(count[at], LONGEST))
+
+    for b in batches:
+        token, key = b.column("token").to_numpy(), b.column("key").to_numpy()
+        if not len(token):
+            continue
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+        new[0] = (token[0], key[0]) != last
+        last = token[-1], key[-1]
+        held_token, held_key = np.append(held_token, token[new]), np.append(held_key, key[new])
+        if not len(held_token):
+            continue
+        begin = int(np.searchsorted(held_token, held_token[-1]))
+        if begin:
+            yield from runs(held_token[:begin], held_key[:begin])
+            held_token, held_key = held_token[begin:], held_key[begin:]
+        if len(held_token) > LONGEST or held_token[0] == growing:
+            growing = held_token[0]
+            yield from out(held_token, held_key, np.full(len(held_token), LONGEST))
+            held_token, held_key = held_token[:0], held_key[:0]
+    if len(held_token):
+        yield from runs(held_token, held_key)
+
+
 def shared_tokens(sets: DataFrame, common: np.ndarray) -> DataFrame:
     """(key, rank, token) of every class's tokens that some other class has too; rank orders the prefix."""
 
@@ -139,28 +200,6 @@ def shared_tokens(sets: DataFrame, common: np.ndarray) -> DataFrame:
             ok = _inside(flat, common) == want_common
             yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), pa.array(key[ok])], ["token", "key"])
 
-    def rank(token: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Tokens of the first share by count; the few beyond it after them, alike (their hash decides)."""
-        return np.where(token.astype(np.uint64) < _FIRST, count, 2 * COMMON)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("token").to_numpy(), b.column("key").to_numpy()) for b in batches]
-        if not got:
-            return
-        token, key = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((key, token))
-        token, key = token[order], key[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key = token[new], key[new]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        count = np.diff(np.concatenate([first, [len(token)]]))
-        count = np.repeat(count, count)
-        at = np.flatnonzero(count > 1)
-        for i in range(0, len(at), 100_000):
-            p = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(rank(token[p], count[p])), pa.array(token[p])], ["key", "rank", "token"])
-
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows(batches, True):
             token = b.column("token").to_numpy()
@@ -168,7 +207,7 @@ def shared_tokens(sets: DataFrame, common: np.ndarray) -> DataFrame:
 
     few = sets.select("key", "tokens")
     parts = 2 * shuffle_parts(sets.sparkSession)
-    rare = few.mapInArrow(lambda b: rows(b, False), "token long, key long").repartition(parts, "token")
+    rare = few.mapInArrow(lambda b: rows(b, False), "token long, key long").repartition(parts, "token").sortWithinPartitions("token", "key")
     out = rare.mapInArrow(counted, "key long, rank long, token long")
     if len(common):
         out = out.unionAll(few.mapInArrow(ranked, "key long, rank long, token long").distinct())
@@ -308,31 +347,48 @@ def _verify(group: pa.Table, percent: int) -> pa.Table:
 
 
 def _hub_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a hub key, b key) of members linked to their group's hub, its class of the smallest hash."""
-    hubs = members.groupBy("grp").agg(F.min_by("key", F.xxhash64("key")).alias("hub"))
-    hubs = hubs.join(texts.select(F.col("key").alias("hub"), F.col("text").alias("hub_text")), "hub")
-    pairs = members.join(texts, "key").join(hubs, "grp").where("key <> hub")
+    """(a hub key, b key) of members linked to their group's hub, its class of the smallest hash.
+
+    The hub's text is one more row of its group, in front of the members it goes with: groups are dealt in parts
+    of about CHUNK members, each part with a copy of the hub, and no text is repeated beside every member.
+    """
+    hubs = members.groupBy("grp").agg(F.min_by("key", F.xxhash64("key")).alias("hub"), F.ceil(F.count("*") / CHUNK).alias("parts"))
+    m = members.join(hubs, "grp")
+    own = m.where("key <> hub").select("grp", "hub", "key", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).alias("part"))
+    fronts = hubs.select("grp", "hub", F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rows = own.unionByName(fronts).join(texts, "key")
+    dealt = rows.repartition(2 * shuffle_parts(members.sparkSession), "grp", "part").sortWithinPartitions("grp", "part", F.col("key") != F.col("hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub_set = None, None
+        hub_set = None
         for b in batches:
             ok = []
-            for hub, hub_text, text in zip(b.column("hub").to_pylist(), b.column("hub_text"), b.column("text"), strict=True):
-                if hub != last:
-                    last, hub_set = hub, shingles(hub_text.as_py())
-                ok.append(linked(hub_set, shingles(text.as_py()), percent))
+            for hub, key, text in zip(b.column("hub").to_pylist(), b.column("key").to_pylist(), b.column("text"), strict=True):
+                s = shingles(text.as_py())
+                if key == hub:
+                    hub_set = s
+                ok.append(key != hub and linked(hub_set, s, percent))
             at = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([b.column("hub").take(at), b.column("key").take(at)], ["a", "b"])
 
-    return pairs.select("hub", "hub_text", "key", "text").mapInArrow(run, "a long, b long")
+    return dealt.select("hub", "key", "text").mapInArrow(run, "a long, b long")
+
+
+def class_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, text): one text of each class, read by its doc_id; texts without a doc_id, or under a shared one, by their own hash."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    reps = members.select("key", "rep.doc_id", "rep.text_key")
+    named = reps.where("doc_id is not null").join(d, ["doc_id", "text_key"])
+    unnamed = reps.where("doc_id is null").drop("doc_id").join(d.where("doc_id is null").drop("doc_id"), "text_key")
+    # repeated rows of one document are one text
+    named, unnamed = (x.groupBy(*by).agg(F.min("key").alias("key"), F.min("text").alias("text")).select("key", "text") for x, by in ((named, ("doc_id", "text_key")), (unnamed, ("text_key",))))
+    return named.unionAll(unnamed)
 
 
 def class_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) keys: links that connect within each group exactly what all its links connect."""
     members = groups.join(classes.select("key", "rep"), "key")
-    texts = members.select("key", F.col("rep").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").select("key", "text")
-    unnamed = _keyed(docs.where("doc_id is null")).join(members.where("rep is null").select("key"), "key", "left_semi")
-    texts = written(texts.unionAll(unnamed.groupBy("key").agg(F.min("text").alias("text"))), "texts")
+    texts = written(class_texts(docs, members), "texts")
     size = groups.groupBy("grp").agg(F.count("*").alias("size"))
     members = written(members.join(size, "grp").select("key", "grp", "size"), "members")
     hub = written(_hub_links(members.where(F.col("size") > CHUNK).select("key", "grp"), texts, percent), "hubs")
@@ -354,24 +410,22 @@ def class_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+    """doc_id, n_shingles and component_id of every document; text_key and component name its row and its group (null: no shingles)."""
     sets = written(token_sets(docs, percent), "sets")
     rows = sets.count()
-    classes = sets.where("key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first(F.size("tokens")).alias("k")
-    )
+    sets, classes = set_classes(sets)
     classes = written(classes, "classes")
     groups = written(candidate_groups(sets, classes, rows, percent), "groups")
     links = class_links(docs, groups, classes, percent)
     joined = classes.select("key", "rep").join(components(links).toDF("key", "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-    names = joined.groupBy("c").agg(F.min("rep").alias("component"))
-    named = joined.join(names, "c").select("key", "component")
-    out = sets.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    names = joined.groupBy("c").agg(F.min("rep.doc_id").alias("component"))
+    named = joined.join(names, "c").select("key", "component", "c")
+    out = sets.select("doc_id", "text_key", "n", "key").join(named, "key", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), "text_key", F.col("c").alias("component"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP1_SQL = r"""

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, without, words_of, written
+from .common import Rounds, table, without, words_of, written
 
 #: Share of a group's rows that the covariance fit rests on.
 CORE = 0.75
@@ -229,16 +229,17 @@ def _concentrated(rows: DataFrame, fits: DataFrame) -> DataFrame:
 
 def mcd_fit(rows: DataFrame) -> DataFrame:
     """Per key of GROUP: centre, factor and the scale that makes the median distance that of a normal cloud."""
-    fits = written(_starts(rows), "mcd")
+    steps, kept = Rounds(), Rounds()
+    fits = steps.written(_starts(rows), "mcd")
     for _ in range(STEPS):
-        fits = written(_concentrated(rows, fits), "mcd")
+        fits = steps.written(_concentrated(rows, fits), "mcd")
     best = fits.groupBy(*GROUP).agg(F.min_by(F.struct("start", *FIT), F.struct("log_det", "start")).alias("x"))
-    fit, moving = written(best.select(*GROUP, "x.*", F.lit(True).alias("moving")), "mcd"), 1
+    fit, moving = kept.written(best.select(*GROUP, "x.*", F.lit(True).alias("moving")), "mcd"), 1
     while moving:  # a group's determinant falls in each round that it takes part in, so this ends
         new = _concentrated(rows, fit.where("moving")).withColumnsRenamed({c: f"new_{c}" for c in FIT}).drop("start")
         both = _join_groups(fit, new)
         lower = F.coalesce(F.col("new_log_det") < F.col("log_det") - SETTLED, F.lit(False))
-        fit = written(both.select(*GROUP, "start", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in FIT), lower.alias("moving")), "mcd")
+        fit = kept.written(both.select(*GROUP, "start", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in FIT), lower.alias("moving")), "mcd")
         moving = fit.where("moving").count()
     fit = fit.drop("start", "moving")
     near = _join_groups(rows, fit).withColumn("ld", F.log(_distance() + 1e-9))

@@ -93,6 +93,32 @@ def test_join_at_the_threshold_and_in_large_groups(spark, monkeypatch):
     assert join_rows(ngram_join.near_duplicates(d)) == brute_join(docs)
 
 
+def test_join_with_clashing_hashes_and_shared_ids(spark, monkeypatch):
+    """Half a set hash of 3 values, runs longer than LONGEST, and different texts under one doc_id."""
+    monkeypatch.setattr(ngram_join, "set_keys", lambda s: (int(s[0] % np.uint64(3)), int(s.sum().astype(np.int64))) if len(s) else (None, None))
+    monkeypatch.setattr(ngram_join, "LONGEST", 5)
+    monkeypatch.setattr(ngram_join, "COMMON_LEAST", 1000)
+    base = prose(4, 60).split()
+    docs = [(i, " ".join([*base[:50], *prose(700 + i, 10).split()])) for i in range(12)] + [(i, prose(500 + i, 30)) for i in range(30)]
+    docs += [(3, prose(501, 30)), (None, prose(502, 30) + " more"), (7, prose(503, 30)), (7, prose(503, 30))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert join_rows(ngram_join.near_duplicates(d)) == brute_join(docs)
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_counted_runs(size, monkeypatch):
+    """Runs across batches: ranks are counts up to LONGEST, the same for all keys of a token, and lone tokens go."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "LONGEST", 6)
+    rng = random.Random(size)
+    rows = sorted((t, k) for t in range(30) for k in range(rng.choice([1, 1, 2, 5, 6, 7, 20])) for _ in range(rng.choice([1, 3])))
+    batches = [pa.RecordBatch.from_pydict({"token": [r[0] for r in rows[i : i + size]], "key": [r[1] for r in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+    got = sorted((r["token"], r["key"], r["rank"]) for b in ngram_join.counted(iter(batches)) for r in b.to_pylist())
+    keys = {t: sorted({k for x, k in rows if x == t}) for t, _ in rows}
+    assert got == [(t, k, min(len(ks), 6)) for t, ks in sorted(keys.items()) if len(ks) > 1 for k in ks]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_signature_tree(seed):
     rng = np.random.default_rng(seed)
