@@ -150,10 +150,10 @@ class Shard:
                 return
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256): white-space runs as one space, UTF-8, lower-case hex."""
+def digests(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, text_sha256, *also): white-space runs as one space, UTF-8, lower-case hex."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), f"{SPACE}+", " ")
-    return docs.select("doc_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
+    return docs.select("doc_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"), *also)
 
 
 INDEX = "text_sha256 string, keep_id long, group_size long"
