@@ -1,27 +1,38 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again by the next.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and decides for itself; all but the last return
-docs' own columns, whatever they are. Null texts count as empty, except for language ID, which rejects them with
-all texts without a letter; rows without a doc_id are never merged with others by that; repeated rows of one doc_id
-leave each de-duplicating stage as one row; empty tables pass through.
+docs' own columns, whatever they are. Rows are told apart by their doc_id and text, never by doc_id alone. Null texts count
+as empty, except for language ID, which rejects them with all texts without a letter; rows without a doc_id take part
+like all others and give way to rows that have one; repeated rows of one doc_id and text leave each de-duplicating stage as
+one row (of those with other columns that differ, the least row); empty tables pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.byte_bpe import encode_documents, public_vocabulary
 from paperloom.llm.common import table, words_of, written
 from paperloom.llm.exact_dedup import build_index, digests
 from paperloom.llm.language_id import UND, fitted, identify
-from paperloom.llm.mixing import mix
+from paperloom.llm.mixing import mix, shuffled
 from paperloom.llm.ngram_join import near_duplicates
 
 #: Below this posterior no language is clearly likelier than the others together.
 LEAST_POSTERIOR = 0.5
 #: Names of helper columns, unlike any column of documents.
-PRED, SCORE, KEY = "__language", "__posterior", "__text_key"
+PRED, SCORE, KEY, ROW = "__language", "__posterior", "__row_key", "__row"
+
+
+def _key(*parts: str | Column) -> Column:
+    return F.concat_ws(":", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
+
+
+def _one_of_each(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """One row of docs for each key in stay (one column KEY). The texts are dealt by key once, for the join and the choice."""
+    rows = docs.select(key.alias(KEY), F.struct(*docs.columns).alias(ROW)).join(stay, KEY, "left_semi")
+    return rows.groupBy(KEY).agg(F.min(ROW).alias(ROW)).select(f"{ROW}.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,26 +43,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    keys = written(digests(docs), "digests")
-    name = F.concat_ws(":", "text_sha256", F.coalesce(F.col("id").cast("string"), F.lit("")))
-    stay = build_index(keys).withColumn("id", F.col("keep_id")).select(name.alias(KEY))
-    own = F.concat_ws(":", F.sha2(F.encode(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), "UTF-8"), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.withColumn(KEY, own).join(stay, KEY, "left_semi").dropDuplicates([KEY]).select(*docs.columns)
+    index = build_index(written(digests(docs), "digests"))
+    own = digests(docs.withColumn(ROW, F.struct(*docs.columns)), ROW)
+    stay = index.select(_key("text_sha256", "keep_id").alias(KEY))
+    rows = own.select(_key("text_sha256", "doc_id").alias(KEY), ROW).join(stay, KEY, "left_semi")
+    return rows.groupBy(KEY).agg(F.min(ROW).alias(ROW)).select(f"{ROW}.*")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by near-duplicate links the smallest doc_id stays."""
-    stay = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionAll(docs.where("doc_id is null"))
+    """Of documents connected by near-duplicate links the one with the smallest doc_id stays."""
+    rows = written(near_duplicates(docs).select("doc_id", "text_key", "component"), "near")
+    first = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    groups = rows.where("component is not null").groupBy("component").agg(first.alias("x")).select("x.*")
+    alone = rows.where("component is null").select("doc_id", "text_key").distinct()
+    stay = groups.unionAll(alone).select(_key("text_key", "doc_id").alias(KEY))
+    return _one_of_each(docs, _key(F.xxhash64("text"), "doc_id"), stay)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents drawn to the sources' targets: some are left out, some come twice."""
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    sizes = once.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    drawn = mix(sizes, block_words=None).select("doc_id")
-    return once.join(drawn, "doc_id").select(*docs.columns).unionAll(docs.where("doc_id is null"))
+    """Whole documents drawn to the sources' targets, some not at all and some twice, shard by shard in each shard's order."""
+    name = _key(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+    keyed = docs.select(name.alias(KEY), F.struct(*docs.columns).alias(ROW))
+    sizes = docs.select(name.alias("id"), "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    drawn = mix(sizes, block_words=None).select(F.col("id").alias(KEY), "shard", "shard_order")
+    # equal rows are one row here, drawn as often as they are there
+    once = keyed.groupBy(KEY).agg(F.first(ROW).alias(ROW))
+    return shuffled(once.join(drawn, KEY)).select(f"{ROW}.*")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
