@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from itertools import accumulate
+from math import isqrt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sets import containment
@@ -85,6 +89,7 @@ def title_overlap(results: DataFrame, titles: DataFrame) -> DataFrame:
 
 def failure_hint(required: Column, missed: Column, hybrid: Column, supplement: Column, overlap: Column) -> Column:
     """Root cause by ordered rules."""
+    # Labels and thresholds.
     return (
         F.when(F.size(missed) == 0, "no_issue")
         .when(F.size(hybrid) == 0, "dense_or_fusion_empty")
@@ -125,19 +130,45 @@ def tag_topics(papers: DataFrame) -> DataFrame:
     return papers.select("paper_id", F.explode(topics).alias("topic"))
 
 
+#: A prime above any number of pairs: steps of it, modulo the number of pairs, meet each number once.
+STRIDE = 2**61 - 1
+
+
 def related_pairs(tagged: DataFrame, n: int, seed: str) -> DataFrame:
-    """n pairs of papers that share a topic, in a fixed shuffled order.
+    """n of the pairs of papers that share a topic (all, if there are fewer), in a fixed shuffled order: a, b.
 
-    Each topic is walked in the order of a keyed hash and every paper meets its successors within a window of n, which
-    holds more pairs than are asked for; no topic's pairs are spelled out.
+    All pairs of all topics have numbers: in a topic, papers are numbered in the order of a keyed hash, and paper j has the
+    pairs j (j - 1) / 2 ... with its forerunners. Numbers are drawn in steps of STRIDE and only the drawn pairs are
+    looked up; a pair with several topics counts by its first. One row per topic reaches the driver.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("topic").orderBy(F.md5(F.concat_ws("/", F.lit(seed), "paper_id")), "paper_id")
-    ranked = tagged.select("topic", "paper_id", F.row_number().over(w).alias("r")).where(F.col("r") <= n + 1)
-    nxt = ranked.select("topic", F.col("paper_id").alias("other"), (F.col("r") - 1).alias("r"))
-    pairs = ranked.join(nxt, ["topic", "r"]).select(F.least("paper_id", "other").alias("a"), F.greatest("paper_id", "other").alias("b")).distinct()
-    return pairs.orderBy(F.md5(F.concat_ws("/", F.lit(seed), "a", "b")), "a", "b").limit(n)
+    key = F.md5(F.concat_ws("/", F.lit(seed), "paper_id"))
+    d = cut(tagged.select("topic", "paper_id", key.alias("h"), F.substring(key, 1, 3).alias("bucket")).distinct())
+    sizes = d.groupBy("topic", "bucket").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("topic").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("topic", "bucket").orderBy("h", "paper_id"))
+    numbered = d.withColumn("r", inner - 1).join(sizes.select("topic", "bucket", before.alias("before")), ["topic", "bucket"])
+    numbered = cut(numbered.select("topic", "paper_id", (F.col("before") + F.col("r")).alias("r")))
+    topics = sorted((r["topic"], r["c"] * (r["c"] - 1) // 2) for r in sizes.groupBy("topic").agg(F.sum("c").alias("c")).collect())
+    ends = list(accumulate(pairs for _, pairs in topics))
+    total, drawn = ends[-1] if ends else 0, 0
+    while True:
+        drawn = min(total, max(4 * n, 4 * drawn))
+        rows = []
+        for i in range(drawn):
+            number = i * STRIDE % total
+            t = bisect_right(ends, number)
+            number -= ends[t] - topics[t][1]
+            j = (1 + isqrt(1 + 8 * number)) // 2
+            rows.append((i, topics[t][0], number - j * (j - 1) // 2, j))
+        pick = d.sparkSession.createDataFrame(rows, "i long, topic string, x long, y long")
+        one = lambda c: numbered.select("topic", F.col("paper_id").alias(f"paper_{c}"), F.col("r").alias(c))
+        found = pick.join(one("x"), ["topic", "x"]).join(one("y"), ["topic", "y"])
+        all_topics = d.groupBy("paper_id").agg(F.collect_set("topic").alias("t"))
+        own = lambda c: all_topics.select(F.col("paper_id").alias(f"paper_{c}"), F.col("t").alias(f"t{c}"))
+        found = found.join(own("x"), "paper_x").join(own("y"), "paper_y").where(F.col("topic") == F.array_min(F.array_intersect("tx", "ty")))
+        found = cut(found.select("i", F.least("paper_x", "paper_y").alias("a"), F.greatest("paper_x", "paper_y").alias("b")))
+        if drawn == total or found.count() >= n:
+            return found.orderBy("i").limit(n).select("a", "b")
 
 
 def quota_needs(have: DataFrame, targets: DataFrame) -> DataFrame:
@@ -153,8 +184,23 @@ def accept_questions(generated: DataFrame, seen: DataFrame) -> DataFrame:
     return d.withColumn("required", F.when(inside, F.col("required")).otherwise(F.col("offered")))
 
 
-def paper_context(chars: int = 400) -> Column:
-    return F.concat(F.lit("["), "paper_id", F.lit("] "), "title", F.lit(": "), F.substring("abstract", 1, chars))
+def paper_contexts(groups: DataFrame, papers: DataFrame, chars: int = 400) -> DataFrame:
+    """(group, context) of (group, position, paper_id): the papers' cards in order, between lines of dashes.
+
+    papers: paper_id, title, year, abstract and, if they have one, tldr.
+    """
+    # The card's form.
+    tldr = F.col("tldr") if "tldr" in papers.columns else F.lit("")
+    more = F.when(F.coalesce(tldr, F.lit("")) != "", F.concat(F.lit("TL;DR: "), tldr, F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("["), "paper_id", F.lit("] "), F.coalesce("title", F.lit("")), F.lit(" ("), F.coalesce(F.col("year").cast("string"), F.lit("")), F.lit(")\n"))
+    card = F.concat(head, F.lit("Abstract: "), F.substring(F.coalesce("abstract", F.lit("")), 1, chars), F.lit("\n"), more)
+    d = groups.join(papers.select("paper_id", card.alias("card")), "paper_id").groupBy("group").agg(F.sort_array(F.collect_list(F.struct("position", "card"))).alias("c"))
+    return d.select("group", F.array_join(F.transform("c", lambda x: x["card"]), "\n---\n").alias("context"))
+
+
+def gold_questions(raw: DataFrame) -> DataFrame:
+    """(query_id, question_type, hops) of raw rows (query_id, question_type, type, hops, required_hops): both shapes of gold files."""
+    return raw.select("query_id", F.coalesce("question_type", "type", F.lit("unknown")).alias("question_type"), F.coalesce("hops", "required_hops", F.lit(0)).alias("hops"))
 
 
 def question_ids(existing: int, number: Column) -> Column:

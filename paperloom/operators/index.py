@@ -50,8 +50,8 @@ def hashed_encoder(dims: int = 64) -> Callable[[pd.Series], pd.Series]:
     """Default encoder: a hashed bag of words of unit length."""
 
     def encode(texts: pd.Series) -> pd.Series:
+        import hashlib
         import re
-        import zlib
 
         import numpy as np
 
@@ -59,7 +59,7 @@ def hashed_encoder(dims: int = 64) -> Callable[[pd.Series], pd.Series]:
         for t in texts.fillna(""):
             v = np.zeros(dims)
             for w in re.findall(r"[a-z0-9]+", t.lower()):
-                h = zlib.crc32(w.encode())
+                h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
                 v[h % dims] += 1.0 if h >> 16 & 1 else -1.0
             n = float(np.sqrt((v * v).sum()))
             out.append((v / n if n else v).tolist())

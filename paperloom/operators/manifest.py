@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 def distributions(papers: DataFrame) -> DataFrame:
     """Counts by year band, year and extraction method in one pass over grouping sets."""
     d = papers.select(F.coalesce("year_band", F.lit("unknown")).alias("year_band"), F.col("year").cast("string").alias("year"), "extraction_method")
-    d.createOrReplaceTempView("__manifest_papers")
-    return d.sparkSession.sql(
-        """
-        SELECT CASE WHEN grouping(year_band) = 0 THEN 'year_band' WHEN grouping(year) = 0 THEN 'year' ELSE 'extraction_method' END AS dimension,
-               coalesce(year_band, year, extraction_method) AS value, count(*) AS n
-        FROM __manifest_papers GROUP BY GROUPING SETS ((year_band), (year), (extraction_method))
-        """
-    )
+    names = d.columns
+    # grouping() is 0 for the column that a row counts by
+    dimension = F.coalesce(*(F.when(F.grouping(c) == 0, c) for c in names))
+    counts = d.groupingSets([[c] for c in names], *names).agg(dimension.alias("dimension"), F.count("*").alias("n"))
+    return counts.select("dimension", F.coalesce(*names).alias("value"), "n")
 
 
 def chunk_totals(chunks: DataFrame) -> DataFrame:

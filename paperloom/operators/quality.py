@@ -15,7 +15,18 @@ def blank(name: str) -> Column:
     return strip(F.coalesce(F.col(name).cast("string"), F.lit(""))) == ""
 
 
-def checks() -> dict[str, tuple[str, Column]]:
+LISTS = ("authors", "categories")
+
+
+def no_list(chunks: DataFrame, name: str) -> Column:
+    """A metadata field that should be a list and is none. Fields come as arrays, or as raw JSON in strings; absent is fine."""
+    if name not in chunks.columns or dict(chunks.dtypes)[name].startswith("array"):
+        return F.lit(False)
+    kind = F.schema_of_variant(F.try_parse_json(name))
+    return F.coalesce(F.col(name).isNotNull() & ~F.startswith(F.coalesce(kind, F.lit("")), F.lit("ARRAY")), F.lit(False))
+
+
+def checks(chunks: DataFrame) -> dict[str, tuple[str, Column]]:
     """Row checks: name -> (severity, condition). Rows without text skip those on the text and what describes it."""
     text = F.coalesce("text", F.lit(""))
     full = strip(text) != ""
@@ -29,15 +40,16 @@ def checks() -> dict[str, tuple[str, Column]]:
         "missing_title": ("warning", full & blank("title")),
         "missing_section": ("warning", full & blank("section")),
         "invalid_year": ("warning", full & ~(digits & F.coalesce(year.try_cast("int").between(2014, 2027), F.lit(False)))),
+        **{f"invalid_{name}_type": ("warning", full & no_list(chunks, name)) for name in LISTS},
     }
 
 
 def validate(chunks: DataFrame) -> DataFrame:
     """Tidy report: check, severity, n. Duplicate ids count each repeat; orphans are children without a parent row."""
-    sums = [F.count_if(c).alias(name) for name, (_, c) in checks().items()]
+    sums = [F.count_if(c).alias(name) for name, (_, c) in checks(chunks).items()]
     sums += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED]
     flat = chunks.agg(*sums)
-    names = [(n, s) for n, (s, _) in checks().items()] + [(f"null_{c}", "critical") for c in REQUIRED]
+    names = [(n, s) for n, (s, _) in checks(chunks).items()] + [(f"null_{c}", "critical") for c in REQUIRED]
     tidy = flat.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(n).alias("n")) for n, s in names))).alias("x")).select("x.*")
     twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
     orphans = orphan_children(chunks).agg(F.count("*").alias("n"))
@@ -62,13 +74,21 @@ def verdict(report: DataFrame) -> DataFrame:
 
 def samples(chunks: DataFrame, k: int = 5) -> DataFrame:
     """Up to k offending ids per check (the smallest)."""
-    hits = chunks.select("chunk_id", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, (_, c) in checks().items())), lambda x: x.isNotNull())).alias("check"))
-
-
+    hits = chunks.select("chunk_id", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, (_, c) in checks(chunks).items())), lambda x: x.isNotNull())).alias("check"))
     w = Window.partitionBy("check").orderBy("chunk_id")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("check", "r", "chunk_id")
 
 
+def corpus_coverage(chunks: DataFrame, enriched: DataFrame) -> DataFrame:
+    """One row: papers that have chunks, how many of them are enriched, children with odd ids, and children without a parent row."""
+    ids = chunks.select("paper_id").distinct().join(enriched.select("paper_id").distinct().withColumn("e", F.lit(1)), "paper_id", "left")
+    n = ids.agg(F.count("*").alias("n_papers"), F.count("e").alias("enriched"))
+    children = chunks.where("chunk_type = 'child'").agg(F.count("*").alias("n_children"), F.count_if(~F.col("chunk_id").contains("::")).alias("malformed_ids"))
+    orphans = orphan_children(chunks, null_too=True).agg(F.count("*").alias("orphans"))
+    out = n.crossJoin(children).crossJoin(orphans)  # three one-row tables
+    return out.withColumn("coverage_percent", F.round(100.0 * F.col("enriched") / F.greatest("n_papers", F.lit(1)), 3))
+
+
 def graph_internality(edges: DataFrame, papers: DataFrame) -> DataFrame:
     """Links, links into the corpus, papers with such a link, and their share of all links."""
     inside = papers.select(F.col("paper_id").alias("cited_id")).distinct().withColumn("inside", F.lit(1))

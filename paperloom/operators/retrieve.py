@@ -7,51 +7,52 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import top_k
 
-#: Query vectors go to every task as a matrix up to so many; beyond that queries are worked off in blocks.
-QUERY_BLOCK = 4096
+#: Numbers in a block of vectors or of query vectors: a task holds one block of each.
+BLOCK_NUMBERS = 1 << 22
+#: Queries scored together within a task.
+TILE = 128
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
     """(query_id, id, score, rank): exact best k by dot product of unit vectors.
 
-    vectors: id, embedding; queries: query_id, embedding. Vectors of another dimension, or null, match nothing. Queries go to the tasks in blocks of bounded size; each task keeps
-    its best k per query, and only these are ranked over the cluster.
+    vectors: id, embedding; queries: query_id, embedding. Vectors of another dimension than the queries', or null, match
+    nothing. Both sides are dealt in blocks of bounded size, and each block of vectors meets each block of queries in
+    one task, which keeps its best k per query; only these are ranked over the cluster. The driver sees counts alone.
     """
-    rows = queries.orderBy("query_id").toLocalIterator()
-    blocks, block = [], []
-    for r in rows:
-        block.append((r["query_id"], r["embedding"]))
-        if len(block) == QUERY_BLOCK:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block else []
-    kind = dict(vectors.dtypes)["id"]
-    qkind = dict(queries.dtypes)["query_id"]
-    out = None
-    for block in blocks:
-        ids = [b[0] for b in block]
-        matrix = np.array([b[1] for b in block], np.float64).T
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                e = b.column("embedding")
-                scores = np.round(e.flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1) @ matrix, digits)
-                at = np.argsort(-scores, axis=0, kind="stable")
-                worst = np.take_along_axis(scores, at[min(k, b.num_rows) - 1 : min(k, b.num_rows)], axis=0)
-                row, q = np.nonzero(scores >= worst)  # ties at the edge are kept for the total order
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), b.column("id").take(pa.array(row)), pa.array(scores[row, q])], ["query_id", "id", "score"])
-
-        part = vectors.where(F.size("embedding") == matrix.shape[0]).select("id", "embedding").mapInArrow(best, f"query_id {qkind}, id {kind}, score double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = vectors.crossJoin(queries.select("query_id").limit(0)).select("query_id", "id", F.lit(0.0).alias("score"))
+    kinds = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    seen = queries.agg(F.max(F.size("embedding")).alias("dims"), F.count("*").alias("n")).first()
+    dims = max(1, seen["dims"] or 1)
+    rows = max(1, BLOCK_NUMBERS // dims)
+    q_blocks = -(-seen["n"] // rows) or 1
+    v_blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // rows))
+
+    def dealt(d: DataFrame, name: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        d = d.where(F.size("embedding") == dims).select(name, "embedding", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(own))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    v = dealt(vectors, "id", "vb", v_blocks, "qb", q_blocks)
+    q = dealt(queries, "query_id", "qb", q_blocks, "vb", v_blocks)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "score"]
+        found = [pa.table({"query_id": right.column("query_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})]
+        if left.num_rows and right.num_rows:
+            e, m = (t.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1) for t in (left, right))
+            for a in range(0, len(m), TILE):
+                scores = np.round(e @ m[a : a + TILE].T, digits)
+                last = min(k, len(e))
+                worst = -np.partition(-scores, last - 1, axis=0)[last - 1]
+                row, col = np.nonzero(scores >= worst)  # ties at the edge are kept for the total order
+                found.append(pa.table({"query_id": right.column("query_id").take(pa.array(col + a)), "id": left.column("id").take(pa.array(row)), "score": pa.array(scores[row, col])}))
+        return pa.concat_tables(found).select(names)
+
+    out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(best, f"query_id {kinds[1]}, id {kinds[0]}, score double")
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
@@ -74,34 +75,100 @@ def diversify(fused: DataFrame, group: str, k: int, per_group: int = 1) -> DataF
     return top_k(capped, ["query_id"], _order(), k)
 
 
+#: A retrieved row, beside query_id: the chunk, its paper, its context, and how it was found.
+RESULT = (
+    "id", "paper_id", "title", "section", "section_heading", "year", "text", "char_count", "parent_chunk_id", "extraction_method",
+    "citation_count", "influential_count", "dense_score", "bm25_score", "rrf", "method", "tldr",
+)
+
+
+def _or(d: DataFrame, name: str, default) -> Column:
+    """A column or, where it is absent or null, a default."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in d.columns else F.lit(default)
+
+
+def _meta(papers: DataFrame) -> DataFrame:
+    counts = (_or(papers, c, 0).cast("long").alias(c) for c in ("citation_count", "influential_count"))
+    return papers.select("paper_id", _or(papers, "title", "").alias("title"), _or(papers, "abstract", "").alias("abstract"), _or(papers, "year", 0).cast("int").alias("paper_year"), *counts, _or(papers, "tldr", "").alias("tldr"))
+
+
 def expand(hits: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
-    """Hits (query_id, id, ...) with their own row or, failing that, what the id says; parent text; else the paper's abstract."""
+    """RESULT rows of hits (query_id, id and scores): their own chunk or, failing that, what the id says; parent text; else the paper's abstract.
+
+    chunks may lack section_heading, year and extraction_method, papers the counts and tldr; numbers are then 0 and texts empty.
+    """
     from ..functions.ids import parent_of, parse
 
-    own = chunks.select(F.col("chunk_id").alias("id"), F.col("paper_id").alias("own_paper"), F.col("section").alias("own_section"))
+    fields = {"section": "", "section_heading": "", "year": 0, "extraction_method": ""}
+    own = chunks.select(F.col("chunk_id").alias("id"), F.col("paper_id").alias("own_paper"), *(_or(chunks, c, v).alias(f"own_{c}") for c, v in fields.items()))
     d = hits.join(own, "id", "left").withColumn("parsed", parse(F.col("id"))).withColumn("parent_chunk_id", parent_of(F.col("id")))
     d = d.where(F.col("own_paper").isNotNull() | (F.size(F.split("id", "::")) >= 3))
     d = d.withColumn("paper_id", F.coalesce("own_paper", "parsed.paper_id"))
-    parents = chunks.where("chunk_type = 'parent'").select(F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text"), F.col("section").alias("parent_section"))
-    meta = papers.select("paper_id", "title", "abstract")
-    d = d.join(parents, "parent_chunk_id", "left").join(meta, "paper_id", "left")
+    parents = chunks.where("chunk_type = 'parent'").select(
+        F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text"), F.col("section").alias("parent_section"), _or(chunks, "section_heading", "").alias("parent_section_heading")
+    )
+    d = d.join(parents, "parent_chunk_id", "left").join(_meta(papers), "paper_id", "left")
     text = F.when(F.col("parent_chunk_id").isNotNull(), F.coalesce("parent_text", F.lit(""))).otherwise(F.coalesce("abstract", F.lit("")))
-    return d.select(*hits.columns, "paper_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("parent_section", "own_section", F.lit("")).alias("section"), text.alias("text"))
+    row = {
+        "title": F.coalesce("title", F.lit("")),
+        "section": F.coalesce("parent_section", "own_section", F.lit("")),
+        "section_heading": F.coalesce("parent_section_heading", "own_section_heading", F.lit("")),
+        "year": F.coalesce(F.col("own_year").cast("int"), F.lit(0)),
+        "text": text,
+        "char_count": F.length(text),
+        "parent_chunk_id": F.coalesce("parent_chunk_id", F.lit("")),
+        "extraction_method": F.coalesce("own_extraction_method", F.lit("")),
+        "citation_count": F.coalesce("citation_count", F.lit(0)),
+        "influential_count": F.coalesce("influential_count", F.lit(0)),
+        **{c: _or(hits, c, 0.0).cast("double") for c in ("dense_score", "bm25_score", "rrf")},
+        "method": F.lit("hybrid"),
+        "tldr": F.coalesce("tldr", F.lit("")),
+    }
+    return d.select("query_id", "id", "paper_id", *(v.alias(c) for c, v in row.items()))
 
 
 def abstract_supplement(results: DataFrame, papers: DataFrame) -> DataFrame:
-    """One more row per retrieved paper with an abstract; scores are 0."""
-    d = results.select("query_id", "paper_id").distinct().join(papers.select("paper_id", "title", "abstract"), "paper_id")
-    d = d.where("coalesce(trim(abstract), '') <> ''")
-    return d.select("query_id", F.concat("paper_id", F.lit("::abstract")).alias("id"), "paper_id", "title", F.col("abstract").alias("text"), F.lit(0.0).alias("rrf"), F.lit("abstract_supplement").alias("method"))
-
-
-def retrieve(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = 12, include_abstracts: bool = False) -> DataFrame:
-    """The whole: fuse, cap, expand, supplement."""
+    """One more RESULT row per retrieved paper with an abstract; scores are 0."""
+    d = results.select("query_id", "paper_id").distinct().join(_meta(papers).where("trim(abstract) <> ''"), "paper_id")
+    row = {
+        "id": F.concat("paper_id", F.lit("::abstract")),
+        "paper_id": F.col("paper_id"),
+        "title": F.col("title"),
+        "section": F.lit("ABSTRACT"),
+        "section_heading": F.lit("Abstract"),
+        "year": F.col("paper_year"),
+        "text": F.col("abstract"),
+        "char_count": F.length("abstract"),
+        "parent_chunk_id": F.lit(""),
+        "extraction_method": F.lit("metadata"),
+        "citation_count": F.col("citation_count"),
+        "influential_count": F.col("influential_count"),
+        **{c: F.lit(0.0) for c in ("dense_score", "bm25_score", "rrf")},
+        "method": F.lit("abstract_supplement"),
+        "tldr": F.col("tldr"),
+    }
+    return d.select("query_id", *(v.alias(c) for c, v in row.items()))
+
+
+# How many dense, sparse and final rows a first round and a retry take.
+BREADTHS = ((10, 10, 10), (20, 20, 15))
+
+
+def breadth(iteration: Column, which: int) -> Column:
+    """How many dense (0), sparse (1) or final (2) rows a query takes in its round."""
+    return F.when(iteration == 0, BREADTHS[0][which]).otherwise(BREADTHS[1][which])
+
+
+def retrieve(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, papers: DataFrame, k: int = 12, include_abstracts: bool = False, rounds: DataFrame | None = None) -> DataFrame:
+    """The whole: fuse, cap, expand, supplement. rounds (query_id, iteration) gives each query the breadths of its round in place of k."""
+    if rounds is not None:
+        rounds = rounds.select("query_id", "iteration")
+        cut_ = lambda d, which: d.join(rounds, "query_id").where(F.col("rank") <= breadth(F.col("iteration"), which)).drop("iteration")
+        dense, sparse, k = cut_(dense, 0), cut_(sparse, 1), max(b[2] for b in BREADTHS)
     fused = fuse(dense, sparse)
     ids = F.split("id", "::")[0]
     hits = diversify(fused.withColumn("paper_key", ids), "paper_key", k).drop("paper_key")
-    out = expand(hits, chunks, papers).select("query_id", "id", "paper_id", "title", "text", "rrf", F.lit("hybrid").alias("method"))
+    out = expand(hits if rounds is None else cut_(hits, 2), chunks, papers)
     return out.unionByName(abstract_supplement(out, papers)) if include_abstracts else out
 
 
@@ -112,18 +179,21 @@ def merge_rounds(previous: DataFrame, new: DataFrame) -> DataFrame:
     return top_k(kept, ["query_id"], [F.desc("rrf"), F.col("id")], 1 << 30).drop("round")
 
 
-def rerank(pairs: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
-    """The best k of each query's pool (query_id, id, query, text) by a pair score; default: share of query words found."""
+def coverage(query: Column, text: Column) -> Column:
+    """Share of the query's distinct words, split at white space, that the text has."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    return F.coalesce(F.size(F.array_intersect(words(query), words(text))) / F.greatest(F.size(words(query)), F.lit(1)), F.lit(0.0))
 
-    def coverage(query: pd.Series, text: pd.Series) -> pd.Series:
-        words = lambda x: set(str(x).lower().split())
-        return pd.Series([len(words(q) & words(t)) / max(1, len(words(q))) for q, t in zip(query, text, strict=True)], dtype="float64")
 
-    score = scorer or coverage
+def rerank(pairs: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """The best k of each query's pool (query_id, id, query, text) by a pair score; default: share of query words found."""
+    if scorer is None:
+        d = pairs.select("query_id", "id", coverage(F.col("query"), F.col("text")).alias("pair_score"))
+        return top_k(d, ["query_id"], [F.desc("pair_score"), F.col("id")], k)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"query_id": f.query_id, "id": f.id, "pair_score": score(f["query"], f.text)})
+            yield pd.DataFrame({"query_id": f.query_id, "id": f.id, "pair_score": scorer(f["query"], f.text)})
 
     kinds = dict(pairs.dtypes)
     d = pairs.select("query_id", "id", "query", "text").mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, pair_score double")

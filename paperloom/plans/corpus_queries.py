@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import ids, sets, text
 from ..operators import chunking, corpus, dedup, enrich, manifest, quality
+from ..operators.lineage import shared_folder
 from ..sources import records
 from .adapters import CITATIONS, PAPERS, citations, edges, papers, parts, sections, table
 
@@ -30,6 +33,57 @@ def bands(spark):
 BANDS = "bands(label, a, z, target) AS (VALUES ('early', 2012, 2016, 30), ('middle', 2017, 2021, 80), ('late', 2022, 2029, 500))"
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a1_a7_files", f"""
+WITH {PAPERS} SELECT paper_id, md5(title) AS title_md5, [lang] AS categories, 'A. ' || source AS author, list_sum([ordinal % 8, 0.5]) AS vector_sum, CASE WHEN ordinal % 2 = 0 THEN 'child' ELSE 'parent' END AS chunk_type FROM papers""")
+def a1(spark, d):
+    """Papers as JSON records, vectors as a JSON object, chunks by type, a CSV of titles: written first, then read and joined."""
+    path = _folder(spark, "files")
+    p = papers(spark, d).select("ordinal", "paper_id", "title", F.array(F.concat(F.lit("A. "), "source")).alias("authors"), "categories")
+    p.drop("ordinal").write.json(f"{path}/papers")
+    p.select(F.to_json(F.create_map("paper_id", F.array((F.col("ordinal") % 8).cast("float"), F.lit(0.5).cast("float")))).alias("value")).write.option("lineSep", "\n").text(f"{path}/vectors")
+    kind = F.when(F.col("ordinal") % 2 == 0, "child").otherwise("parent")
+    records.write_chunks(p.select(F.col("paper_id").alias("chunk_id"), kind.alias("chunk_type")), f"{path}/chunks")
+    records.write_csv(p, ["paper_id", "ordinal"], f"{path}/csv")
+    back = records.read_records(spark, f"{path}/papers", records.PAPERS, lines=True)
+    vectors = records.read_vector_map(spark, f"{path}/vectors", lines=True)
+    chunks = records.read_chunks(spark, f"{path}/chunks", ("parent", "child")).select("chunk_id", "chunk_type")
+    listed = spark.read.option("header", True).csv(f"{path}/csv").select("paper_id")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return back.join(listed, "paper_id").join(vectors.withColumnRenamed("chunk_id", "paper_id"), "paper_id").join(chunks.withColumnRenamed("chunk_id", "paper_id"), "paper_id").select(
+        "paper_id", F.md5("title").alias("title_md5"), "categories", F.col("authors")[0].alias("author"), total.alias("vector_sum"), "chunk_type"
+    )
+
+
+@query("a8_structured_documents", f"""
+WITH {PAPERS}, x AS (SELECT *, list_filter(list_transform(string_split(abstract, chr(10)), lambda v: trim(v)), lambda v: v <> '') AS l FROM papers)
+SELECT paper_id, CASE WHEN ordinal % 10 = 3 THEN 'malformed' ELSE 'success' END AS status, CASE WHEN ordinal % 10 <> 3 THEN trim(title) END AS title, CASE WHEN ordinal % 10 <> 3 THEN 'A. ' || source END AS authors,
+CASE WHEN ordinal % 10 <> 3 THEN len(l) + CASE WHEN len(l) > 0 THEN 1 ELSE 0 END END AS n_paragraphs, CASE WHEN ordinal % 10 <> 3 THEN CASE WHEN len(l) > 0 THEN md5(array_to_string(l, chr(10) || chr(10)) || chr(10) || chr(10) || 'deep') ELSE '' END END AS text_md5,
+CASE WHEN ordinal % 10 <> 3 THEN 'Ref ' || paper_id || '/' || CAST(year AS VARCHAR) END AS refs FROM x""")
+def a8(spark, d):
+    """Documents written as TEI and read again; every tenth is cut short."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", ""), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    p = papers(spark, d)
+    paras = F.filter(F.transform(F.split("abstract", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    body = F.when(F.size(paras) > 0, F.concat(F.lit('<div><head n="1">Intro</head>'), F.array_join(F.transform(paras, lambda x: F.concat(F.lit("<p>"), safe(x), F.lit("</p>"))), ""), F.lit("<div><head>Inner</head><p>deep</p></div></div>"))).otherwise("")
+    xml = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title type="main">'), safe(F.col("title")), F.lit("</title></titleStmt><sourceDesc><author><persName><forename>A.</forename><surname>"), F.col("source"),
+        F.lit("</surname></persName></author></sourceDesc></fileDesc></teiHeader><text><body>"), body, F.lit("</body><back><listBibl><biblStruct><analytic><title level='a'>Ref "), F.col("paper_id"),
+        F.lit("</title></analytic><monogr><imprint><date type='published' when='"), F.col("year").cast("string"), F.lit("-01'/></imprint></monogr></biblStruct></listBibl></back></text></TEI>"),
+    )
+    x = p.select("paper_id", F.when(F.col("ordinal") % 10 == 3, F.substring(xml, 1, 300)).otherwise(xml).alias("xml"))
+    s = records.structured_documents(x)
+    top = F.filter("sections", lambda v: ~F.contains(v["path"], F.lit(".")))
+    refs = F.array_join(F.transform("references", lambda r: F.concat(r["title"], F.lit("/"), r["year"])), ";")
+    return s.select(
+        "paper_id", "status", "title", F.array_join("authors", ",").alias("authors"), F.aggregate("sections", F.lit(0), lambda a, v: a + F.when(F.contains(v["path"], F.lit(".")), 0).otherwise(F.size(v["paragraphs"]))).alias("n_paragraphs"),
+        F.when(F.size(top) > 0, F.md5(top[0]["text"])).when(F.col("status") == "success", "").alias("text_md5"), F.when(F.col("status") == "success", refs).alias("refs"),
+    )
+
+
 @query("a9_page_assembly", f"""
 WITH {PAPERS}, x AS (SELECT paper_id, list_filter(list_transform(string_split(abstract, chr(10)), lambda v: trim(v)), lambda v: v <> '') AS l FROM papers)
 SELECT paper_id, md5(array_to_string(l, chr(10) || chr(10))) AS text_md5, len(l) AS page_count, length(array_to_string(l, chr(10) || chr(10))) AS char_count FROM x""")
@@ -125,20 +179,30 @@ def b8(spark, d):
     return a.join(b, "o").select("a", "b", r("ta", "tb").alias("title_sim"), r("sa", "sb").alias("abstract_sim"))
 
 
-@query("b10_near_duplicates", f"""
-WITH {PAPERS}, {SIM}, x AS (SELECT ordinal, t, s, unnest(t) AS w FROM t),
+GREEDY = f"""{PAPERS}, {SIM}, x AS (SELECT ordinal, t, s, unnest(t) AS w FROM t),
 c AS (SELECT a.ordinal AS a, b.ordinal AS b, count(*) AS ti, any_value(len(a.t)) AS ta, any_value(len(b.t)) AS tb, any_value(a.s) AS sa, any_value(b.s) AS sb
       FROM x a JOIN x b ON a.w = b.w AND a.ordinal < b.ordinal GROUP BY 1, 2),
 r AS (SELECT a, b, ti / (ta + tb - ti) AS ts, len(list_intersect(sa, sb)) / (len(sa) + len(sb) - len(list_intersect(sa, sb))) AS ss FROM c WHERE len(sa) > 0 AND len(sb) > 0),
 e AS (SELECT * FROM r WHERE ts > 0.85 AND ss > 0.80),
 l AS (SELECT list({{'b': b, 'before': before}} ORDER BY b) AS l FROM (SELECT b, list(a) AS before FROM e GROUP BY 1)),
 g AS (SELECT list_reduce(l, lambda s, v: CASE WHEN len(list_filter(v.before, lambda a: NOT list_contains(s, a))) > 0 THEN list_append(s, v.b) ELSE s END, CAST([] AS BIGINT[])) AS gone FROM l),
-k AS (SELECT b AS ordinal, min(a) AS kept_ordinal FROM e, g WHERE list_contains(gone, b) AND NOT list_contains(gone, a) GROUP BY 1)
+k AS (SELECT b AS ordinal, min(a) AS kept_ordinal FROM e, g WHERE list_contains(gone, b) AND NOT list_contains(gone, a) GROUP BY 1)"""
+
+
+@query("b10_near_duplicates", f"""WITH {GREEDY}
 SELECT ordinal, kept_ordinal, round(ts, 3) AS title_sim, round(ss, 3) AS abstract_sim FROM k JOIN e ON b = ordinal AND a = kept_ordinal""")
 def b10(spark, d):
     return dedup.near_duplicates(papers(spark, d))
 
 
+@query("b11_removal_counts", f"""WITH {GREEDY}
+SELECT (SELECT count(*) + count(*) FILTER (WHERE ordinal % 7 = 0) FROM papers) AS original_count, (SELECT count(*) FILTER (WHERE ordinal % 7 = 0) FROM papers) AS exact_dupes_removed,
+count(*) AS near_dupes_removed, (SELECT count(*) FROM papers) - count(*) AS final_count FROM k""")
+def b11(spark, d):
+    p = papers(spark, d)
+    return dedup.removal_counts(p.unionAll(p.where("ordinal % 7 = 0")))
+
+
 @query("b10_similar_pairs", f"""
 WITH {PAPERS}, {SIM}, x AS (SELECT ordinal, t, s, unnest(t) AS w FROM t),
 c AS (SELECT a.ordinal AS a, b.ordinal AS b, count(*) AS ti, any_value(len(a.t)) AS ta, any_value(len(b.t)) AS tb, any_value(a.s) AS sa, any_value(b.s) AS sb
@@ -374,6 +438,8 @@ def _check_rows(spark, d):
         F.when(n % 23 == 0, F.lit(" ")).otherwise(F.col("source")).alias("section"),
         F.when(n % 29 == 0, F.lit("n/a")).otherwise(F.col("year").cast("string")).alias("year"),
         F.when(n % 5 != 0, F.concat("paper_id", F.lit("::"), (F.col("i") % 7).cast("string"))).alias("parent_chunk_id"),
+        F.when(n % 37 == 0, '"A. Name"').when(n % 41 == 0, "no json").when(n % 2 == 0, '["A. Name", "B. Name"]').alias("authors"),
+        F.when(n % 43 == 0, '{"a": 1}').otherwise("[]").alias("categories"),
     )
 
 
@@ -381,6 +447,7 @@ CHECK = f"""{PAPERS}, y AS (SELECT ordinal, paper_id, title, source, year, unnes
 z AS (SELECT *, ordinal * 31 + i AS n FROM y),
 chunks AS (SELECT paper_id || '::' || CAST(i % 40 AS VARCHAR) AS chunk_id, paper_id, CASE WHEN n % 3 = 0 THEN 'parent' ELSE 'child' END AS chunk_type,
   CASE WHEN n % 17 = 0 THEN '' ELSE text END AS text, CASE WHEN n % 19 <> 0 THEN title END AS title, CASE WHEN n % 23 = 0 THEN ' ' ELSE source END AS section,
+  n % 37 = 0 OR n % 41 = 0 AS bad_authors, n % 43 = 0 AS bad_categories,
   CASE WHEN n % 29 = 0 THEN 'n/a' ELSE CAST(year AS VARCHAR) END AS year, CASE WHEN n % 5 <> 0 THEN paper_id || '::' || CAST(i % 7 AS VARCHAR) END AS parent_chunk_id FROM z),
 flat AS (SELECT count(*) FILTER (WHERE chunk_type = 'child' AND parent_chunk_id IS NULL) AS missing_parent, count(*) FILTER (WHERE trim(text) = '') AS empty_text,
   count(*) FILTER (WHERE trim(text) <> '' AND length(trim(text)) < 50) AS too_short,
@@ -388,10 +455,12 @@ flat AS (SELECT count(*) FILTER (WHERE chunk_type = 'child' AND parent_chunk_id
   count(*) FILTER (WHERE trim(text) <> '' AND trim(coalesce(title, '')) = '') AS missing_title,
   count(*) FILTER (WHERE trim(text) <> '' AND trim(section) = '') AS missing_section,
   count(*) FILTER (WHERE trim(text) <> '' AND (year = 'n/a' OR TRY_CAST(year AS INTEGER) NOT BETWEEN 2014 AND 2027)) AS invalid_year,
+  count(*) FILTER (WHERE trim(text) <> '' AND bad_authors) AS invalid_authors, count(*) FILTER (WHERE trim(text) <> '' AND bad_categories) AS invalid_categories,
   count(*) FILTER (WHERE title IS NULL) AS null_title FROM chunks),
 report AS (SELECT 'missing_parent' AS "check", 'critical' AS severity, missing_parent AS n FROM flat UNION ALL SELECT 'empty_text', 'critical', empty_text FROM flat
   UNION ALL SELECT 'too_short', 'warning', too_short FROM flat UNION ALL SELECT 'symbol_heavy', 'warning', symbol_heavy FROM flat
   UNION ALL SELECT 'missing_title', 'warning', missing_title FROM flat UNION ALL SELECT 'missing_section', 'warning', missing_section FROM flat
+  UNION ALL SELECT 'invalid_authors_type', 'warning', invalid_authors FROM flat UNION ALL SELECT 'invalid_categories_type', 'warning', invalid_categories FROM flat
   UNION ALL SELECT 'invalid_year', 'warning', invalid_year FROM flat UNION ALL SELECT 'null_title', 'critical', null_title FROM flat
   UNION ALL SELECT 'null_' || c, 'critical', 0 FROM (VALUES ('chunk_id'), ('paper_id'), ('chunk_type'), ('text'), ('section'), ('year')) v(c)
   UNION ALL SELECT 'duplicate_id', 'critical', CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*) AS c FROM chunks GROUP BY chunk_id)
@@ -404,9 +473,15 @@ def d1(spark, d):
     return quality.validate(_check_rows(spark, d))
 
 
-@query("d11_verdict", f"""WITH {CHECK} SELECT CAST(sum(n) FILTER (WHERE severity = 'critical') AS BIGINT) AS critical, CAST(sum(n) FILTER (WHERE severity = 'warning') AS BIGINT) AS warnings, 'failed' AS verdict FROM report""")
+@query("d11_verdict", f"""WITH {CHECK}, v AS (SELECT part, coalesce(sum(n) FILTER (WHERE severity = 'critical'), 0)::BIGINT AS critical, coalesce(sum(n) FILTER (WHERE severity = 'warning'), 0)::BIGINT AS warnings
+FROM report, (VALUES ('all'), ('warnings'), ('clean')) p(part) WHERE part = 'all' OR part = 'warnings' AND severity = 'warning' OR n = 0 GROUP BY 1)
+SELECT part, critical, warnings, CASE WHEN critical > 0 THEN 'failed' WHEN warnings > 0 THEN 'passed with warnings' ELSE 'passed' END AS verdict FROM v""")
 def d11(spark, d):
-    return quality.verdict(d1(spark, d))
+    """Verdicts on the whole report, on its warnings and on the checks that found nothing."""
+    report = d1(spark, d)
+    parts_ = {"all": F.lit(True), "warnings": (F.col("severity") == "warning") | (F.col("n") == 0), "clean": F.col("n") == 0}
+    out = [quality.verdict(report.where(c)).withColumn("part", F.lit(name)) for name, c in parts_.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("d11_samples", f"""WITH {CHECK}, h AS (
@@ -429,6 +504,15 @@ def d12(spark, d):
     )
 
 
+@query("d12_corpus_coverage", f"""
+WITH {CHECK}, o AS (SELECT count(*) AS orphans FROM chunks a WHERE chunk_type = 'child' AND NOT EXISTS (SELECT 1 FROM chunks b WHERE b.chunk_type = 'parent' AND b.chunk_id = a.parent_chunk_id)),
+i AS (SELECT count(*) AS n_papers, count(doc_id) AS enriched FROM (SELECT DISTINCT paper_id FROM chunks) LEFT JOIN (SELECT DISTINCT doc_id FROM labels) ON CAST(doc_id AS VARCHAR) = paper_id)
+SELECT n_papers, enriched, (SELECT count(*) FROM chunks WHERE chunk_type = 'child') AS n_children, 0 AS malformed_ids, orphans, round(100.0 * enriched / greatest(n_papers, 1), 3) AS coverage_percent FROM i, o""")
+def d12c(spark, d):
+    lab = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("paper_id"))
+    return quality.corpus_coverage(_check_rows(spark, d), lab)
+
+
 @query("d13_graph_internality", """
 SELECT count(*) AS links, count(p_partkey) AS internal, count(DISTINCT CASE WHEN p_partkey IS NOT NULL THEN l_orderkey END) AS papers_with_internal,
 round(count(p_partkey) / greatest(count(*), 1), 6) AS ratio FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 20) ON l_partkey = p_partkey""")

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..operators import answers, evaluate, index, retrieve
+from ..operators import answers, chunking, evaluate, index, retrieve
+from ..operators.lineage import shared_folder
 from ..streaming import ingest
 from .adapters import CITATIONS, PAPERS, citations, papers, parts, queries, table
 
@@ -86,19 +87,19 @@ def h1(spark, d):
     return dense(spark, d)
 
 
-# Sparse side of the fusion queries: the same vectors ranked by the distance of their ids, so both lists overlap in part.
+# Sparse side of the fusion queries: the same vectors weighted by their ids, so both lists overlap in part.
 SP = """, sp AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
-  (SELECT query_id, id, label, round(score * ((id * 7919) % 13), 5) AS score FROM ds)) WHERE rank <= 10)"""
+  (SELECT query_id, vec_id AS id, round(list_sum(list_transform(list_zip(e, embedding), lambda z: CAST(z[1] AS DOUBLE) * (CAST(z[2] AS DOUBLE) * ((vec_id * 7919) % 13)))), 5) AS score FROM qv, embeddings)) WHERE rank <= 10)"""
 FUSED = f"""{DENSE}{SP}, fused AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(a.score, 0) AS dense_score, a.rank AS dense_rank,
 coalesce(b.score, 0) AS bm25_score, b.rank AS bm25_rank, round(coalesce(2.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS rrf
 FROM dense a FULL JOIN sp b ON a.query_id = b.query_id AND a.id = b.id)"""
 
 
 def fused(spark, d):
-    everything = dense(spark, d, 1 << 30)
-    s = everything.withColumn("score", F.round(F.col("score") * ((F.col("id") * 7919) % 13), 5)).drop("rank")
-    s = index.top_k(s, ["query_id"], [F.desc("score"), F.col("id")], 10)
-    return retrieve.fuse(everything.where("rank <= 15"), s)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = e.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    weighted = e.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * ((F.col("id") * 7919) % 13)))
+    return retrieve.fuse(retrieve.dense_search(e, q, 15), retrieve.dense_search(weighted, q, 10))
 
 
 @query("h2_h3_fusion", f"WITH {FUSED} SELECT query_id, id, dense_score, bm25_score, rrf FROM fused")
@@ -118,38 +119,79 @@ def h5(spark, d):
 
 def doc_chunks(spark, d):
     """Lines of documents as children of one parent per document, which holds the whole text, with ids."""
-    x = papers(spark, d).select("ordinal", "paper_id", "title", "abstract", F.posexplode(F.split("abstract", "\n")).alias("i", "line"))
+    x = papers(spark, d).select("ordinal", "paper_id", "year", "source", "abstract", F.posexplode(F.split("abstract", "\n")).alias("i", "line"))
     parent = F.concat("paper_id", F.lit("::parent::0000"))
-    c = x.select(F.concat(parent, F.lit("::child::"), F.format_string("%04d", "i")).alias("chunk_id"), "paper_id", F.lit("child").alias("chunk_type"), F.lit("S").alias("section"), F.col("line").alias("text"))
-    p = papers(spark, d).select(parent.alias("chunk_id"), "paper_id", F.lit("parent").alias("chunk_type"), F.lit("P").alias("section"), F.col("abstract").alias("text"))
+    more = ("year", F.col("source").alias("extraction_method"))
+    c = x.select(F.concat(parent, F.lit("::child::"), F.format_string("%04d", "i")).alias("chunk_id"), "paper_id", F.lit("child").alias("chunk_type"), F.lit("S").alias("section"), F.concat(F.lit("Line "), F.col("i").cast("string")).alias("section_heading"), F.col("line").alias("text"), *more)
+    p = papers(spark, d).select(parent.alias("chunk_id"), "paper_id", F.lit("parent").alias("chunk_type"), F.lit("P").alias("section"), F.lit("Whole").alias("section_heading"), F.col("abstract").alias("text"), *more)
     return c.unionByName(p.where("cast(paper_id as long) % 5 <> 0"))
 
 
+def cited_papers(spark, d):
+    return papers(spark, d).join(citations(spark, d), "paper_id", "left")
+
+
+# Retrieved rows of hits(query_id, id, dense_score, bm25_score, rrf) whose ids are children that exist or made-up abstract ids.
+EXPANDED = """pc AS (SELECT p.*, coalesce(citation_count, 0) AS citation_count, coalesce(influential_count, 0) AS influential_count, coalesce(tldr, '') AS tldr FROM papers p LEFT JOIN citations USING (paper_id)),
+hp AS (SELECT *, split_part(id, '::', 1) AS paper_id, contains(id, '::child::') AS child, CAST(split_part(id, '::', 1) AS BIGINT) % 5 <> 0 AS whole FROM hits),
+a AS (SELECT query_id, id, paper_id, title, CASE WHEN NOT child THEN '' WHEN whole THEN 'P' ELSE 'S' END AS section,
+  CASE WHEN NOT child THEN '' WHEN whole THEN 'Whole' ELSE 'Line ' || CAST(CAST(split_part(id, '::', 5) AS INTEGER) AS VARCHAR) END AS section_heading, CASE WHEN child THEN year ELSE 0 END AS year,
+  CASE WHEN child AND NOT whole THEN '' ELSE abstract END AS text, CASE WHEN child THEN paper_id || '::parent::0000' ELSE '' END AS parent_chunk_id, CASE WHEN child THEN source ELSE '' END AS extraction_method,
+  citation_count, influential_count, dense_score, bm25_score, rrf, 'hybrid' AS method, tldr FROM hp JOIN pc USING (paper_id)),
+u AS (SELECT * FROM a UNION ALL SELECT query_id, paper_id || '::abstract', paper_id, title, 'ABSTRACT', 'Abstract', year, abstract, '', 'metadata', citation_count, influential_count, 0, 0, 0, 'abstract_supplement', tldr
+  FROM pc JOIN (SELECT DISTINCT query_id, paper_id FROM a) USING (paper_id) WHERE trim(abstract) <> '')
+SELECT * EXCLUDE (text), md5(text) AS text_md5, length(text) AS char_count FROM u"""
+
+
 @query("h4_h9_expansion", f"""
-WITH {BM25}, {PAPERS}, hits AS (SELECT query_id, id, score, CAST(id AS VARCHAR) AS p FROM sparse),
-a AS (SELECT query_id, p || CASE WHEN id % 2 = 0 THEN '::parent::0000::child::0000' ELSE '::abstract::x' END AS id, p AS paper_id, title,
- CASE WHEN id % 2 = 0 THEN CASE WHEN id % 5 <> 0 THEN substr(abstract, 1, 300) ELSE '' END ELSE abstract END AS text, 'hybrid' AS method FROM hits JOIN papers ON paper_id = p),
-u AS (SELECT * FROM a UNION ALL SELECT query_id, paper_id || '::abstract', paper_id, title, abstract, 'abstract_supplement' FROM papers JOIN (SELECT DISTINCT query_id, p AS paper_id FROM hits) USING (paper_id))
-SELECT query_id, id, paper_id, title, method, md5(text) AS text_md5 FROM u""")
+WITH {BM25}, {PAPERS}, {CITATIONS}, hits AS (SELECT query_id, CAST(id AS VARCHAR) || CASE WHEN id % 2 = 0 THEN '::parent::0000::child::0000' ELSE '::abstract::x' END AS id, 0.0 AS dense_score, score AS bm25_score, score AS rrf FROM sparse),
+{EXPANDED}""")
 def h4(spark, d):
     suffix = F.when(F.col("id") % 2 == 0, "::parent::0000::child::0000").otherwise("::abstract::x")
-    hits = bm25(spark, d).select("query_id", F.concat(F.col("id").cast("string"), suffix).alias("id"), F.col("score").alias("rrf"))
-    p = papers(spark, d)
-    out = retrieve.expand(hits, doc_chunks(spark, d), p).withColumn("method", F.lit("hybrid"))
-    out = out.select("query_id", "id", "paper_id", "title", "text", "rrf", "method")
-    return out.unionByName(retrieve.abstract_supplement(out, p)).select("query_id", "id", "paper_id", "title", "method", F.md5("text").alias("text_md5"))
+    hits = bm25(spark, d).select("query_id", F.concat(F.col("id").cast("string"), suffix).alias("id"), F.col("score").alias("bm25_score"), F.col("score").alias("rrf"))
+    p = cited_papers(spark, d)
+    out = retrieve.expand(hits, doc_chunks(spark, d), p)
+    return out.unionByName(retrieve.abstract_supplement(out, p)).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+# Both rankings over the lines of documents, in SQL: hashed bags of words as vectors, and BM25.
+VECTOR = """
+w{0} AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {1})),
+b{0} AS (SELECT id, h % 64 AS i, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM w{0} GROUP BY 1, 2),
+v{0} AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM b{0} WHERE x <> 0)"""
+HYBRID = f"""{PAPERS}, {CITATIONS}, docs AS (SELECT paper_id || '::parent::0000::child::' || printf('%04d', i - 1) AS id, text FROM (SELECT paper_id, unnest(string_split(abstract, chr(10))) AS text, generate_subscripts(string_split(abstract, chr(10)), 1) AS i FROM papers)),
+asked AS (SELECT item_id AS id, 'BGE query: ' || text AS text FROM benchmark), {VECTOR.format("d", "docs")}, {VECTOR.format("q", "asked")},
+ds AS (SELECT a.id AS query_id, b.id, round(coalesce(s, 0), 5) AS score FROM asked a CROSS JOIN docs b LEFT JOIN (SELECT vq.id AS q, vd.id AS d, sum(vq.x * vd.x) AS s FROM vq JOIN vd USING (i) GROUP BY 1, 2) ON q = a.id AND d = b.id),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds) WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 10 ELSE 20 END),
+d AS (SELECT id, {TOK.format("text")} AS w FROM docs),
+tf AS (SELECT id, dl, term, count(*) AS f FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM d) GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+raw AS (SELECT term, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf GROUP BY 1),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT query_id, id, round(sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) GROUP BY 1, 2),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 10 ELSE 20 END AND score > 0),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, coalesce(a.score, 0) AS dense_score, a.rank AS dense_rank, coalesce(b.score, 0) AS bm25_score, b.rank AS bm25_rank,
+  round(coalesce(2.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 6) AS rrf FROM dense a FULL JOIN sparse b ON a.query_id = b.query_id AND a.id = b.id),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id, split_part(id, '::', 1) ORDER BY rrf DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, id) AS g FROM f),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, id) AS rank FROM g WHERE g = 1),
+hits AS (SELECT query_id, id, dense_score, bm25_score, rrf FROM r WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 10 ELSE 15 END)"""
 
 
-@query("h10_h11_hybrid_retrieval")
+@query("h10_h11_hybrid_retrieval", f"WITH {HYBRID}, {EXPANDED}")
 def h10(spark, d):
-    """Both rankings over children, queries by the hashed encoder; the whole of retrieve()."""
+    """Both rankings over children, queries by the hashed encoder; the whole of retrieve(). Odd queries are in their retry."""
     chunks = doc_chunks(spark, d)
     children = chunks.where("chunk_type = 'child'")
-    q = queries(spark, d).withColumn("query_id", F.col("query_id").cast("string"))
+    q = queries(spark, d)
     vectors = index.embed_missing(children, None).withColumnRenamed("chunk_id", "id")
-    de = retrieve.dense_search(vectors, index.embed_queries(q), 15)
-    sp = index.bm25_search(index.bm25_index(children, "chunk_id", F.col("text")), q, 10)
-    return retrieve.retrieve(de, sp, chunks, papers(spark, d), 10, include_abstracts=True).select("query_id", "id", "paper_id", "method")
+    asked = index.embed_queries(q).withColumn("query_id", F.col("query_id").cast("long"))
+    widest = max(b[0] for b in retrieve.BREADTHS)
+    de = retrieve.dense_search(vectors, asked, widest)
+    sp = index.bm25_search(index.bm25_index(children, "chunk_id", F.col("text")), q, widest)
+    rounds = q.select("query_id", (F.col("query_id") % 2).alias("iteration"))
+    out = retrieve.retrieve(de, sp, chunks, cited_papers(spark, d), include_abstracts=True, rounds=rounds)
+    return out.withColumn("text_md5", F.md5("text")).drop("text")
 
 
 @query("h12_merge_rounds", f"""
@@ -202,7 +244,7 @@ def responses(spark, d):
 RESPONSES = """
 x AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, conv_id, turn, printf('%04d.%05d', CAST(1900 + turn % 100 AS INTEGER), CAST(conv_id % 100000 AS INTEGER)) AS one,
   printf('%04d.%05d', CAST(2000 + turn % 100 AS INTEGER), CAST(conv_id % 100000 AS INTEGER)) AS two, text FROM conversations WHERE role = 'assistant'),
-responses AS (SELECT query_id, conv_id, turn, one, two, substr(text, 1, 120) || '. Claim one holds [' || one || ' ]. Claim two [7] was not found [' || two || ']. Claim three stands [' || one || '] and [' || two || ']. Claim three stands [' || one || '] and [' || two || '].' AS answer FROM x)"""
+responses AS (SELECT query_id, conv_id, turn, one, two, text || '. Claim one holds [' || one || ' ]. Claim two [7] was not found [' || two || ']. Claim three stands [' || one || '] and [' || two || ']. Claim three stands [' || one || '] and [' || two || '].' AS answer FROM x)"""
 
 
 @query("i1_tolerant_json", """
@@ -493,16 +535,19 @@ def j14(spark, d):
 
 
 @query("j15_related_pairs", """
-WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS paper_id, unnest(string_split(p_name, ' ')) AS topic FROM part),
-r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('42/' || paper_id), paper_id) AS r FROM t),
-p AS (SELECT DISTINCT least(x.paper_id, y.paper_id) AS a, greatest(x.paper_id, y.paper_id) AS b FROM r x JOIN r y ON x.topic = y.topic AND y.r = x.r + 1 WHERE y.r <= 51)
-SELECT a, b FROM p ORDER BY md5('42/' || a || '/' || b), a, b LIMIT 50""")
+WITH t AS (SELECT DISTINCT CAST(p_partkey AS VARCHAR) AS paper_id, unnest(string_split(p_name, ' ')) AS topic FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5('42/' || paper_id), paper_id) - 1 AS r FROM t),
+s AS (SELECT topic, count(*) * (count(*) - 1) // 2 AS pairs FROM t GROUP BY 1), e AS (SELECT topic, coalesce(sum(pairs) OVER (ORDER BY topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+p AS (SELECT before + y.r * (y.r - 1) // 2 + x.r AS number, topic, least(x.paper_id, y.paper_id) AS a, greatest(x.paper_id, y.paper_id) AS b FROM r x JOIN r y USING (topic) JOIN e USING (topic) WHERE x.r < y.r),
+f AS (SELECT number, a, b FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY topic) AS n FROM p) WHERE n = 1),
+n AS (SELECT CAST(sum(pairs) AS BIGINT) AS n FROM s), i AS (SELECT i, CAST((2305843009213693951::HUGEINT * i) % n AS BIGINT) AS number FROM (SELECT n, unnest(range(n)) AS i FROM n))
+SELECT a, b FROM f JOIN i USING (number) ORDER BY i LIMIT 50""")
 def j15(spark, d):
     return evaluate.related_pairs(tagged(spark, d), 50, "42")
 
 
 @query("j16_triples", """
-WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(replace(lower(text), '-', ' '), '[^a-z0-9]+'), lambda w: length(w) > 1 OR w = 'a')) AS w FROM documents WHERE doc_id % 5 = 0 OR doc_id % 5 = 1),
+WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(replace(lower(text), '-', ' '), '[^a-z0-9]+'), lambda w: length(w) > 1 OR w = 'a')) AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS word FROM w), c AS (SELECT a.doc_id AS a, b.doc_id AS p, count(*) AS n FROM t a JOIN t b ON a.word = b.word AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2),
 x AS (SELECT c.a, c.a + 1 AS b, p, row_number() OVER (PARTITION BY c.a ORDER BY n_chars DESC, CAST(p AS VARCHAR)) AS r FROM c JOIN documents d ON d.doc_id = p WHERE n > 20 AND p <> c.a + 1 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = c.a + 1)),
 s AS (SELECT list_sort([CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(p AS VARCHAR)]) AS l FROM x WHERE r = 1) SELECT DISTINCT l[1] AS p1, l[2] AS p2, l[3] AS p3 FROM s""")
@@ -532,14 +577,30 @@ def j18(spark, d):
     return out.select("conv_id", "turn", F.array_join("required", ",").alias("required"))
 
 
-@query("j19_j20_contexts", f"WITH {PAPERS} SELECT 'Q' || printf('%03d', 100 + ordinal) AS question_id, '[' || paper_id || '] ' || title || ': ' || substr(abstract, 1, 400) AS context FROM papers")
+@query("j19_j20_contexts", f"""
+WITH {PAPERS}, {CITATIONS}, k AS (SELECT ordinal, '[' || paper_id || '] ' || title || ' (' || CAST(year AS VARCHAR) || ')' || chr(10) || 'Abstract: ' || substr(abstract, 1, 400) || chr(10)
+  || CASE WHEN tldr IS NOT NULL THEN 'TL;DR: ' || tldr || chr(10) ELSE '' END AS card FROM papers LEFT JOIN citations USING (paper_id)),
+g AS (SELECT p.ordinal AS g, CASE WHEN i = 0 THEN p.ordinal ELSE p.ordinal - i END AS ordinal, i FROM papers p, range(3) r(i))
+SELECT 'Q' || printf('%03d', 100 + g) AS question_id, string_agg(card, chr(10) || '---' || chr(10) ORDER BY i) AS context FROM g JOIN k USING (ordinal) GROUP BY g""")
 def j19(spark, d):
-    return papers(spark, d).select(evaluate.question_ids(100, F.col("ordinal")).alias("question_id"), evaluate.paper_context().alias("context"))
+    """Contexts of each paper and the two before it."""
+    p = cited_papers(spark, d)
+    groups = p.select(F.col("ordinal").alias("group"), F.explode(F.array(*map(F.lit, range(3)))).alias("position"))
+    groups = groups.withColumn("paper_id", (F.col("group") - F.col("position")).cast("string"))
+    return evaluate.paper_contexts(groups, p).select(evaluate.question_ids(100, F.col("group")).alias("question_id"), "context")
+
+
+@query("q4_gold_shapes", """
+SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'bridge' WHEN 1 THEN 'causal' ELSE 'unknown' END AS question_type, CASE WHEN item_id % 3 = 2 THEN 0 ELSE item_id % 4 END AS hops FROM benchmark""")
+def q4(spark, d):
+    n = F.col("query_id") % 4
+    raw = F.when(F.col("query_id") % 3 == 0, F.to_json(F.struct(F.lit("bridge").alias("question_type"), n.alias("hops")))).when(F.col("query_id") % 3 == 1, F.to_json(F.struct(F.lit("causal").alias("type"), n.alias("required_hops")))).otherwise("{}")
+    rows = queries(spark, d).select("query_id", F.from_json(raw, "question_type string, type string, hops long, required_hops long").alias("x"))
+    return evaluate.gold_questions(rows.select("query_id", "x.*"))
 
 
 def _stream_paths(spark, name):
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     return f"{base}/rows", f"{base}/state"
 
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 PAPERS = (
     "paper_id string, title string, authors array<string>, published string, updated string, categories array<string>, "
     "primary_category string, abstract string"
 )
 CHUNKS = "chunk_id string, paper_id string, chunk_type string, section string, text string, parent_chunk_id string, char_count int"
-SECTION = "head string, p array<string>"
 
 
-def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array, or one object a line, of records with an explicit schema; absent fields are null."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A JSON array of records with an explicit schema; absent fields are null. With lines, one object a line, which splits."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_chunks(spark: SparkSession, path: str, needed: tuple[str, ...] = ("abstract", "parent", "child")) -> DataFrame:
@@ -31,9 +35,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("chunk_type").parquet(path)
 
 
-def read_vector_map(spark: SparkSession, path: str) -> DataFrame:
-    """(chunk_id, embedding) of a JSON object id -> list of numbers."""
-    raw = spark.read.option("wholetext", True).text(path)
+def read_vector_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(chunk_id, embedding) of a JSON object id -> list of numbers; with lines, one object a line, which splits."""
+    raw = spark.read.option("wholetext", not lines).text(path)
     return raw.select(F.explode(F.from_json("value", "map<string,array<float>>")).alias("chunk_id", "embedding"))
 
 
@@ -52,34 +56,67 @@ def list_files(spark: SparkSession, path: str, most: int | None = None) -> DataF
     return d.orderBy("path").limit(most) if most else d
 
 
+STRUCTURED = (
+    "paper_id string, title string, authors array<string>, abstract string, "
+    "sections array<struct<path:string,heading:string,section_num:string,paragraphs:array<string>,text:string>>, "
+    "references array<struct<title:string,authors:array<string>,year:string>>, status string"
+)
+
+
+def _tei(xml: str | None) -> dict:
+    """The fields of STRUCTURED from one TEI document; a status alone if it is no well-formed XML."""
+    import xml.etree.ElementTree as tree
+
+    try:
+        root = tree.fromstring(xml or "")
+    except tree.ParseError:
+        return {"status": "malformed"}
+    for e in root.iter():
+        e.tag = str(e.tag).rpartition("}")[2]  # names without their name space
+    of = lambda e, path: (e.findtext(path) or "").strip()
+    whole = lambda e: " ".join(e.itertext()).strip()
+
+    def sections(div, path: str) -> list[dict]:
+        head, paragraphs = div.find("head"), [t for t in map(whole, div.iter("p")) if t]
+        here = {"path": path, "heading": of(div, "head"), "section_num": head.get("n", "") if head is not None else "", "paragraphs": paragraphs, "text": "\n\n".join(paragraphs)}
+        return [here] + [s for i, d in enumerate(div.findall("div")) for s in sections(d, f"{path}.{i}")]
+
+    def reference(b) -> dict:
+        title = b.find(".//title[@level='a']")
+        date = b.find(".//date[@type='published']")
+        return {
+            "title": (title.text or "").strip() if title is not None else of(b, ".//title"),
+            "authors": [n for n in (of(a, ".//surname") for a in b.iter("author")) if n],
+            "year": date.get("when", "")[:4] if date is not None else None,
+        }
+
+    body, abstract, listed = root.find(".//body"), root.find(".//abstract"), root.find(".//listBibl")
+    tops = [sections(d, str(i)) for i, d in enumerate(body.findall("div"))] if body is not None else []
+    names = [(a.find(".//forename"), a.find(".//surname")) for f in root.iter("fileDesc") for a in f.iter("author")]
+    return {
+        "title": of(root, ".//titleStmt/title[@type='main']"),
+        "authors": [f"{x.text} {y.text}".strip() for x, y in names if x is not None and y is not None],
+        "abstract": whole(abstract) if abstract is not None else "",
+        "sections": [s for top in tops if top[0]["text"] for s in top],
+        "references": [reference(b) for b in listed.findall("biblStruct")] if listed is not None else [],
+        "status": "success",
+    }
+
+
 def structured_documents(xml: DataFrame) -> DataFrame:
-    """(paper_id, title, authors, abstract, sections, status) of (paper_id, xml) in TEI; malformed XML gives a status alone.
+    """STRUCTURED rows of (paper_id, xml) in TEI; malformed XML gives a status alone.
 
-    from_xml in permissive mode decides first, so the xpath functions see well-formed documents only.
+    Sections without text are left out. A section's text is that of all its paragraphs, also those of its
+    subsections, which follow it as rows of their own with a longer path.
     """
-    probe = F.from_xml("xml", "_corrupt string, teiHeader string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    d = xml.withColumn("ok", F.coalesce(probe["_corrupt"].isNull() & F.startswith(F.trim("xml"), F.lit("<")), F.lit(False)))
-    good, bad = d.where("ok"), d.where("not ok")
-    clean = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    divs = F.transform(
-        F.regexp_extract_all("xml", F.lit(r"(?s)<div\b[^>]*>(.*?)</div>"), F.lit(1)),
-        lambda s: F.struct(
-            clean(F.regexp_replace(F.regexp_extract(s, r"(?s)<head\b[^>]*>(.*?)</head>", 1), "<[^>]+>", "")).alias("heading"),
-            F.regexp_extract(s, r"<head\b[^>]*\bn=\"([^\"]*)\"", 1).alias("section_num"),
-            F.array_join(
-                F.transform(F.regexp_extract_all(s, F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), F.lit(1)), lambda p: clean(F.regexp_replace(p, "<[^>]+>", ""))), "\n\n"
-            ).alias("text"),
-        ),
-    )
-    parsed = good.select(
-        "paper_id",
-        clean(F.xpath_string("xml", F.lit("//titleStmt/title"))).alias("title"),
-        F.xpath("xml", F.lit("//sourceDesc//author/persName/surname/text()")).alias("authors"),
-        clean(F.xpath_string("xml", F.lit("//profileDesc/abstract"))).alias("abstract"),
-        F.filter(divs, lambda s: s["text"] != "").alias("sections"),
-        F.lit("success").alias("status"),
-    )
-    return parsed.unionByName(bad.select("paper_id", F.lit("malformed").alias("status")), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [{"paper_id": p, **_tei(x)} for p, x in zip(b.column("paper_id").to_pylist(), b.column("xml").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, kind)
+
+    kind = to_arrow_schema(DataType.fromDDL(STRUCTURED))
+    return xml.select("paper_id", "xml").mapInArrow(run, STRUCTURED)
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:

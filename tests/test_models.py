@@ -247,18 +247,21 @@ def test_failure_rules(spark):
     assert [one(spark, evaluate.severity(F.lit(x))) for x in (0.0, 0.39, 0.4)] == ["zero", "low", "ok"]
 
 
-TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>A  Title</title></titleStmt>
-<sourceDesc><biblStruct><analytic><author><persName><surname>One</surname></persName></author><author><persName><surname>Two</surname></persName></author></analytic></biblStruct></sourceDesc></fileDesc>
+TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title>Other</title><title type="main"> A Title </title></titleStmt>
+<sourceDesc><biblStruct><analytic><author><persName><forename>Ann</forename><surname>One</surname></persName></author><author><persName><surname>Two</surname></persName></author></analytic></biblStruct></sourceDesc></fileDesc>
 <profileDesc><abstract><p>Short abstract.</p></abstract></profileDesc></teiHeader>
-<text><body><div><head n="1">Intro</head><p>First <ref>[1]</ref> part.</p><p>Second.</p></div><div><head>Empty</head></div></body></text></TEI>"""
+<text><body><div><head n="1">Intro</head><p>First<ref>[1]</ref>part.</p><div><head n="1.1">Deep</head><p>Second.</p><div><p>Third.</p></div></div></div><div><head>Empty</head></div></body>
+<back><listBibl><biblStruct><analytic><title level="a">R one</title><author><persName><surname>Three</surname></persName></author><author/></analytic><monogr><title>Journal</title><imprint><date type="published" when="2019-05-01"/></imprint></monogr></biblStruct>
+<biblStruct><monogr><title>Book</title></monogr></biblStruct></listBibl></back></text></TEI>"""
 
 
 def test_structured_documents(spark):
     d = spark.createDataFrame([("a", TEI), ("b", "<TEI><broken"), ("c", "no xml"), ("d", None)], "paper_id string, xml string")
     got = {r.paper_id: r for r in records.structured_documents(d).collect()}
     a = got["a"]
-    assert (a.title, a.authors, a.abstract, a.status) == ("A Title", ["One", "Two"], "Short abstract.", "success")
-    assert [tuple(s) for s in a.sections] == [("Intro", "1", "First [1] part.\n\nSecond.")]
+    assert (a.title, a.authors, a.abstract, a.status) == ("A Title", ["Ann One"], "Short abstract.", "success")
+    assert [(s.path, s.heading, s.section_num, s.text) for s in a.sections] == [("0", "Intro", "1", "First [1] part.\n\nSecond.\n\nThird."), ("0.0", "Deep", "1.1", "Second.\n\nThird."), ("0.0.0", "", "", "Third.")]
+    assert [(r.title, r.authors, r.year) for r in a.references] == [("R one", ["Three"], "2019"), ("Book", [], None)]
     assert {got[x].status for x in "bcd"} == {"malformed"}
 
 
