@@ -5,7 +5,8 @@ rule fits is labelled with its verdict. Trees are grown level by level from grou
 scoring is one nested CASE expression over binned features, so a full table is judged in a single map.
 
 Training rests on at most TRAIN_ROWS labelled URLs (those with the smallest hash). Suffix statistics are the
-smoothed share of allowed URLs per last host label in that sample.
+smoothed share of allowed URLs per last host label in that sample; a training row has that of the other half of the
+sample, so that it never sees its own label.
 
 Defined results: a null url, or one without "://", has empty host and path and is judged by the trees; without
 labels of both kinds the trees answer with the only kind there is (allow when there is none); repeated rows are
@@ -160,18 +161,22 @@ def _split(features_: dict, may: bool):
     return (best[1], best[2]) if best and best[0] > 1e-6 else value
 
 
-def judge(pages: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """page_id, host, path, rule, verdict and the trees' score (share of allow)."""
+def judge(pages: DataFrame, train_rows: int = TRAIN_ROWS, hold_out: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and the trees' score (share of allow). Rows of hold_out take no part in training."""
     d = features(pages)
-    labelled = d.where("label is not null").select("suffix", *FEATURES[:-1], (F.col("label") == "allow").cast("int").alias("y"), F.xxhash64("url").alias("k"))
-    sample = written(labelled.orderBy("k", *FEATURES[:-1]).limit(train_rows).drop("k"), "urls")
+    learn = F.col("label").isNotNull() if hold_out is None else F.col("label").isNotNull() & ~F.coalesce(hold_out, F.lit(False))
+    labelled = d.where(learn).select("suffix", *FEATURES[:-1], (F.col("label") == "allow").cast("int").alias("y"), F.xxhash64("url").alias("k"))
+    sample = labelled.orderBy("k", *FEATURES[:-1]).limit(train_rows)
+    sample = written(sample.withColumn("half", F.pmod(F.xxhash64("k"), F.lit(2)).cast("int")).drop("k"), "urls")
     n, allowed = sample.agg(F.count("*"), F.sum("y")).first()
     if not n or allowed in (0, n):
         score = F.lit(0.0 if n and not allowed else 1.0)
     else:
         prior_share = allowed / n
-        suffixes = sample.groupBy("suffix").agg(((F.sum("y") + 5 * prior_share) / (F.count("*") + 5)).alias("f_suffix"))
-        sample = sample.join(suffixes, "suffix")
+        share = ((F.sum("y") + 5 * prior_share) / (F.count("*") + 5)).alias("f_suffix")
+        suffixes = sample.groupBy("suffix").agg(share)
+        others = sample.groupBy("suffix", (1 - F.col("half")).alias("half")).agg(share)
+        sample = sample.join(others, ["suffix", "half"], "left").withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior_share)))
         shares = [(i + 1) / BINS for i in range(BINS - 1)]
         cut_rows = sample.agg(*(F.percentile_approx(f, shares, 1000).alias(f) for f in FEATURES)).first()
         bins = {f"b_{f}": _binned(f, sorted(set(cut_rows[f]))) for f in FEATURES}
