@@ -35,6 +35,8 @@ from .common import scratch, table
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 SPLIT = 16 << 20
+#: Bytes that are read and unpacked at a time to see a record's headers, and the most that headers may take.
+HEAD, MOST_HEADERS = 4096, 1 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -92,14 +94,6 @@ def parse(record: bytes) -> tuple:
     return bare(h.get("warc-record-id")), kind, h.get("warc-target-uri"), bare(h.get("warc-refers-to")), digest, size, payload
 
 
-def starts_record(head: bytes) -> bool:
-    """True if a gzip member begins here whose text begins as a WARC record."""
-    try:
-        return zlib.decompressobj(31).decompress(head, 16).startswith(b"WARC/")
-    except zlib.error:
-        return False
-
-
 class _Window:
     """A file's bytes from any offset on, read in chunks."""
 
@@ -110,6 +104,24 @@ class _Window:
         n = min(n, self.size - at)
         return self.file.read_at(n, at) if n > 0 else b""
 
+    def starts_record(self, at: int) -> bool:
+        """True if a gzip member begins here that decodes to a WARC record's headers, with a type and a length."""
+        unzip, head, place = zlib.decompressobj(31), b"", at
+        try:
+            while b"\r\n\r\n" not in head and len(head) <= MOST_HEADERS and not unzip.eof:
+                chunk = unzip.unconsumed_tail or self.read(place, HEAD)
+                if not chunk:
+                    return False
+                place += 0 if unzip.unconsumed_tail else len(chunk)
+                head += unzip.decompress(chunk, HEAD)
+                if not head.startswith(b"WARC/"[: len(head)]):
+                    return False
+        except zlib.error:
+            return False
+        block, blank, _ = head.partition(b"\r\n\r\n")
+        found = headers(block)
+        return bool(blank) and block.startswith(b"WARC/") and bool(found.get("warc-type")) and found.get("content-length", "").isdigit()
+
     def find_record(self, start: int, end: int) -> int | None:
         """The first validated member that starts in [start, end)."""
         at = start
@@ -117,7 +129,7 @@ class _Window:
             chunk = self.read(at, min(CHUNK, end - at) + len(MAGIC) - 1)
             place = chunk.find(MAGIC)
             while place >= 0:
-                if at + place < end and starts_record(self.read(at + place, 4096)):
+                if at + place < end and self.starts_record(at + place):
                     return at + place
                 place = chunk.find(MAGIC, place + 1)
             at += CHUNK
@@ -139,7 +151,7 @@ def records(file, size: int, start: int, end: int) -> Iterator[tuple]:
     """(offset, *WRITE_SCHEMA) of the records that start in [start, end)."""
     window, at = _Window(file, size), start
     while at < end:
-        if not starts_record(window.read(at, 4096)):
+        if not window.starts_record(at):
             found = window.find_record(at + 1 if window.read(at, 3) == MAGIC else at, end)
             if found is None:
                 return
@@ -199,11 +211,23 @@ class WarcWriter(DataSourceWriter):
         store.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
         temporary, final = f"{path}/_{self.run}-{part}-{uuid.uuid4().hex}", f"{path}/part-{part:05d}-{self.run}.warc.gz"
-        with store.open_output_stream(temporary) as out:
-            for row in rows:
-                out.write(member(row))
+        try:
+            with store.open_output_stream(temporary) as out:
+                for row in rows:
+                    out.write(member(row))
+        except BaseException:
+            store.delete_file(temporary)
+            raise
         return Written(temporary, final)
 
+    def _leftovers(self, store, path) -> None:
+        """Removes what attempts of this run have left that were not committed, as of lost executors."""
+        from pyarrow import fs
+
+        for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if f.base_name.startswith(f"_{self.run}-"):
+                store.delete_file(f.path)
+
     def commit(self, messages) -> None:
         store, path = file_system(self.path)
         if self.overwrite:
@@ -215,12 +239,10 @@ class WarcWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 store.move(m.temporary, m.final)
+        self._leftovers(store, path)
 
     def abort(self, messages) -> None:
-        store, _ = file_system(self.path)
-        for m in messages:
-            if m is not None:
-                store.delete_file(m.temporary)
+        self._leftovers(*file_system(self.path))
 
 
 class WarcDataSource(DataSource):
