@@ -41,6 +41,11 @@ def as_piece(token: bytes) -> str:
     return token.decode("latin-1").translate(BYTE_CHARS)
 
 
+def from_piece(piece: str) -> bytes:
+    """The inverse of as_piece()."""
+    return bytes(ord(c) - 256 for c in piece)
+
+
 def _varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -77,10 +82,11 @@ class ByteBPE:
         import sentencepiece
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.tokens = sorted(ranks, key=ranks.__getitem__)
-        self.numbers = [str(i) for i in range(len(self.tokens))]
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(serialise_model(ranks))
+        #: bytes of each id, from the model's own pieces (piece 0 is the unknown one)
+        self.tokens = [from_piece(self.model.IdToPiece(i + 1)) for i in range(len(ranks))]
+        self.numbers = [str(i) for i in range(len(self.tokens))]
         self.known: dict[str, tuple[int, ...]] = {}
 
     def encode_pre_token(self, pre: str) -> tuple[int, ...]:
@@ -137,10 +143,9 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text_bytes binary) from (doc_id, token_ids); null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(vocabulary)
-        tokens = sorted(ranks, key=ranks.__getitem__)
+        coder = ByteBPE(read_ranks(vocabulary), "")
         for batch in batches:
-            raw = [b"".join(map(tokens.__getitem__, ids or ())) for ids in batch.column("token_ids").to_pylist()]
+            raw = [coder.decode(ids or ()) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "text_bytes"])
 
     return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text_bytes binary")

@@ -254,6 +254,15 @@ def test_trees_learn_from_lexical_features(spark):
     assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in got)
 
 
+def test_op3_held_out(spark):
+    """Trees that never saw a tenth of the labelled URLs agree with those URLs' rules."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    away = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(10)) == 0
+    labels = url_filter.features(pages).where("label is not null").where(away).select("page_id", "label")
+    right = [(r.score >= 0.5) == (r.label == "allow") for r in url_filter.judge(pages, hold_out=away).join(labels, "page_id").collect()]
+    assert len(right) > 5 and np.mean(right) > 0.8
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -296,6 +305,28 @@ def test_warc_skips_magic_inside_members():
         assert found == [f"urn:uuid:{i}" for i in range(20)]
 
 
+def test_warc_needs_whole_headers():
+    """A member that only begins as a record is none; headers may be longer than one read."""
+    import pyarrow as pa
+
+    long = gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <long>\r\n" + b"".join(b"X-%d: %s\r\n" % (i, hashlib.sha256(bytes([i % 256, i // 256])).hexdigest().encode()) for i in range(900)) + b"Content-Length: 4\r\n\r\nabcd\r\n\r\n")
+    bad = [gzip.compress(b"WARC/1.1 is what this text is about, and it goes on"), gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length"), gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"), gzip.compress(b"other")]
+    data = b"".join(bad) + long + bad[0] + long
+    assert len(long) > 2 * warc.HEAD
+    for step in (50, 10**9):
+        found = [r[1] for a in range(0, len(data), step) for r in warc.records(pa.BufferReader(data), len(data), a, min(a + step, len(data)))]
+        assert found == ["long", "long"]
+
+
+def test_warc_leaves_no_temporary_files(tmp_path):
+    writer = warc.WarcWriter({"path": str(tmp_path)}, False)
+    (tmp_path / f"_{writer.run}-0-lost").write_text("of an executor that is gone")
+    done = tmp_path / f"_{writer.run}-1-done"
+    done.write_text("x")
+    writer.commit([warc.Written(str(done), str(tmp_path / "part-1.warc.gz")), None])
+    assert [f.name for f in tmp_path.iterdir()] == ["part-1.warc.gz"]
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_warc(warc.as_records(pages), str(tmp_path / "w"))
@@ -660,6 +691,17 @@ def test_byte_bpe(edge_docs, no_docs):
     assert byte_bpe.encode_documents(no_docs, path, pattern).count() == 0
 
 
+def test_pieces_are_inverted():
+    every = bytes(range(256))
+    assert byte_bpe.from_piece(byte_bpe.as_piece(every)) == every
+
+
+def test_op9_query(spark, sf, sf_docs):
+    texts = {r.doc_id: r.text or "" for r in sf_docs.select("doc_id", "text").collect()}
+    for r in byte_bpe.op9_byte_bpe(spark, sf).collect():
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and (r.n_tokens > 0) == (texts[r.doc_id] != "")
+
+
 def test_model_is_not_trained_but_serialised():
     with pytest.raises(ValueError, match="gap"):
         byte_bpe.serialise_model({b"a": 0, b"b": 2})
