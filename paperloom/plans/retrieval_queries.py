@@ -11,6 +11,7 @@ from ..operators import answers, chunking, evaluate, index, retrieve
 from ..operators.lineage import shared_folder
 from ..streaming import ingest
 from .adapters import CITATIONS, PAPERS, citations, papers, parts, queries, table
+from .corpus_queries import FLAT
 
 Q, SQL = {}, {}
 
@@ -230,7 +231,8 @@ def h15(spark, d):
     return retrieve.citation_cards(cited, p, "https://example.org/").withColumn("authors", F.array_join("authors", ","))
 
 
-# Answers: assistant turns with citations of three papers made from the conversation's numbers.
+# Answers: assistant turns with citations of two papers made from the conversation's numbers, in four shapes: the turn with
+# claims after it, claims alone, a gap admitted, and more claims than are judged.
 def responses(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant'")
     one = F.format_string("%04d.%05d", (1900 + F.col("turn") % 100).cast("int"), (F.col("conv_id") % 100000).cast("int"))
@@ -238,13 +240,20 @@ def responses(spark, d):
     text = F.concat(
         F.col("text"), F.lit(". Claim one holds ["), one, F.lit(" ]. Claim two [7] was not found ["), two, F.lit("]. Claim three stands ["), one, F.lit("] and ["), two, F.lit("]. Claim three stands ["), one, F.lit("] and ["), two, F.lit("].")
     )
-    return c.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "conv_id", "turn", one.alias("one"), two.alias("two"), text.alias("answer"))
+    alone = F.concat(F.lit("Yes. Claim four ["), two, F.lit("]. Claim five ["), two, F.lit("]["), one, F.lit("]."))
+    many = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("Part "), i.cast("string"), F.lit(" of it is here ["), one, F.lit("]."))), " ")
+    shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    answer = F.when(shape == 0, text).when(shape == 1, alone).when(shape == 2, "Evidence for this was insufficient in all papers. No.").otherwise(many)
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "conv_id", "turn", one.alias("one"), two.alias("two"), answer.alias("answer"))
 
 
 RESPONSES = """
-x AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, conv_id, turn, printf('%04d.%05d', CAST(1900 + turn % 100 AS INTEGER), CAST(conv_id % 100000 AS INTEGER)) AS one,
+x AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS query_id, conv_id, turn, (conv_id + turn) % 4 AS shape, printf('%04d.%05d', CAST(1900 + turn % 100 AS INTEGER), CAST(conv_id % 100000 AS INTEGER)) AS one,
   printf('%04d.%05d', CAST(2000 + turn % 100 AS INTEGER), CAST(conv_id % 100000 AS INTEGER)) AS two, text FROM conversations WHERE role = 'assistant'),
-responses AS (SELECT query_id, conv_id, turn, one, two, text || '. Claim one holds [' || one || ' ]. Claim two [7] was not found [' || two || ']. Claim three stands [' || one || '] and [' || two || ']. Claim three stands [' || one || '] and [' || two || '].' AS answer FROM x)"""
+responses AS (SELECT query_id, conv_id, turn, shape, one, two, CASE shape
+  WHEN 0 THEN text || '. Claim one holds [' || one || ' ]. Claim two [7] was not found [' || two || ']. Claim three stands [' || one || '] and [' || two || ']. Claim three stands [' || one || '] and [' || two || '].'
+  WHEN 1 THEN 'Yes. Claim four [' || two || ']. Claim five [' || two || '][' || one || '].' WHEN 2 THEN 'Evidence for this was insufficient in all papers. No.'
+  ELSE array_to_string(list_transform(range(1, 7), lambda i: 'Part ' || i || ' of it is here [' || one || '].'), ' ') END AS answer FROM x)"""
 
 
 @query("i1_tolerant_json", """
@@ -347,8 +356,8 @@ def i7(spark, d):
 
 
 @query("i8_citations", f"""
-WITH {RESPONSES} SELECT query_id, trim(regexp_replace(replace(replace(replace(answer, one || ' ]', one || ']'), '[7]', ''), '[' || two || ']', ''), '\\s+', ' ', 'g')) AS answer, one AS citations,
-CASE WHEN turn % 3 = 0 THEN '9999.00001,' || two ELSE two END AS invalid FROM responses""".replace("CASE WHEN turn % 3 = 0 THEN '9999.00001,' || two ELSE two END", "CASE WHEN turn % 3 = 0 THEN two || ',9999.00001' ELSE two END"))
+WITH {RESPONSES} SELECT query_id, trim(regexp_replace(replace(replace(replace(answer, one || ' ]', one || ']'), '[7]', ''), '[' || two || ']', ''), '\\s+', ' ', 'g')) AS answer, CASE WHEN shape = 2 THEN '' ELSE one END AS citations,
+array_to_string(list_filter([CASE WHEN shape <= 1 THEN two END, CASE WHEN turn % 3 = 0 THEN '9999.00001' END], lambda v: v IS NOT NULL), ',') AS invalid FROM responses""")
 def i8(spark, d):
     r = responses(spark, d)
     listed = F.when(F.col("turn") % 3 == 0, F.array(F.lit(" 9999.00001 ")))
@@ -357,8 +366,10 @@ def i8(spark, d):
 
 
 @query("i11_claims", f"""
-WITH {RESPONSES} SELECT query_id, 0 AS claim_no, 'Claim one holds [' || one || ' ].' AS claim, one AS citations FROM responses
-UNION ALL SELECT query_id, 1, 'Claim three stands [' || one || '] and [' || two || '].', one || ',' || two FROM responses""")
+WITH {RESPONSES} SELECT query_id, 0 AS claim_no, 'Claim one holds [' || one || ' ].' AS claim, one AS citations FROM responses WHERE shape = 0
+UNION ALL SELECT query_id, 1, 'Claim three stands [' || one || '] and [' || two || '].', one || ',' || two FROM responses WHERE shape = 0
+UNION ALL SELECT query_id, 0, 'Claim four [' || two || '].', two FROM responses WHERE shape = 1 UNION ALL SELECT query_id, 1, 'Claim five [' || two || '][' || one || '].', two || ',' || one FROM responses WHERE shape = 1
+UNION ALL SELECT query_id, i - 1, 'Part ' || i || ' of it is here [' || one || '].', one FROM responses, range(1, 6) v(i) WHERE shape = 3""")
 def i11(spark, d):
     return answers.claims(responses(spark, d)).withColumn("citations", F.array_join("citations", ","))
 
@@ -385,7 +396,7 @@ def i13(spark, d):
 
 
 @query("i14_i15_markers", f"""
-WITH {RESPONSES} SELECT query_id, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS answer, 'needs_revision' AS status FROM responses""")
+WITH {RESPONSES} SELECT query_id, trim(regexp_replace(answer, '\\s+', ' ', 'g')) AS answer, CASE WHEN shape = 2 THEN 'passed' ELSE 'needs_revision' END AS status FROM responses""")
 def i14(spark, d):
     r = responses(spark, d)
     marked = F.concat(F.lit("[UNSUPPORTED] "), "answer", F.lit(" (UNSUPPORTED CLAIM: x) [/UNSUPPORTED]"))
@@ -612,14 +623,28 @@ def _events(spark, d):
     return ingest.file_stream(spark, d, EVENTS, pathGlobFilter="events*.parquet")
 
 
-@query("l1_l3_ledger_stream", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
+@query("l1_l3_ledger_stream", "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
 def l1(spark, d):
+    """A ledger of the kinds of events that each user has had."""
     rows, state = _stream_paths(spark, "ledger")
-    s = ingest.new_papers(_events(spark, d).select("user_id", "ts"), "user_id", "ts")
-    ingest.start_ledger(s, rows, "user_id", state).awaitTermination()
+    s = ingest.new_papers(_events(spark, d).select("user_id", F.concat_ws("/", "user_id", "event_type").alias("key"), "ts"), "key", "ts")
+    ingest.start_ledger(s, rows, "key", state).awaitTermination()
     return spark.read.parquet(rows).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("l2_stream_chunks", f"WITH {FLAT} SELECT paper_id, i AS chunk_index, total_chunks, length(c) AS char_count FROM flat_chunks")
+def l2_chunks(spark, d):
+    """The chunker on a stream of documents."""
+    rows, state = _stream_paths(spark, "chunks")
+    s = ingest.file_stream(spark, d, DOCUMENTS, pathGlobFilter="documents*.parquet").select(F.col("doc_id").cast("string").alias("paper_id"), "text")
+    s = chunking.flat_chunks(s, F.col("text"), separator="\n").select("paper_id", "chunk_index", "total_chunks", "char_count")
+    s.writeStream.format("parquet").option("path", rows).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("paper_id string, chunk_index int, total_chunks int, char_count int").parquet(rows)
+
+
 @query("l2_stream_tokens", "SELECT event_id, event_type || '-' || CAST(user_id AS VARCHAR) AS tokens FROM events")
 def l2(spark, d):
     rows, state = _stream_paths(spark, "tokens")
