@@ -138,11 +138,19 @@ def hierarchical_chunks(papers: DataFrame, separator: str = "\n\n") -> DataFrame
         "__c",
         F.flatten(F.transform("__p", lambda p, i: F.transform(pack(p["text"], CHILD, separator=separator), lambda c: F.struct(i.alias("parent"), p["section"].alias("section"), c.alias("text"))))),
     )
-    columns = lambda kind, cid, section, text, parent: (pid.alias("paper_id"), cid.alias("chunk_id"), F.lit(kind).alias("chunk_type"), section.alias("section"), text.alias("text"), parent.alias("parent_chunk_id"))
-    a = d.where(strip(F.coalesce("abstract", F.lit(""))) != "").select(*columns("abstract", abstract_id(pid), F.lit("ABSTRACT"), F.col("abstract"), F.lit(None).cast("string")))
-    p = d.select("paper_id", F.posexplode("__p").alias("i", "x"))
-    p = p.select(*columns("parent", parent_id(pid, F.col("i")), F.col("x.section"), F.col("x.text"), F.lit(None).cast("string")))
-    c = d.select("paper_id", F.posexplode("__c").alias("i", "x"))
-    up = parent_id(pid, F.col("x.parent"))
-    c = c.select(*columns("child", child_id(up, F.col("i")), F.col("x.section"), F.col("x.text"), up))
-    return a.unionByName(p).unionByName(c).withColumn("char_count", F.length("text"))
+    none = F.lit(None).cast("string")
+
+    def row(kind: str, cid: Column, section: Column, text: Column, parent: Column) -> Column:
+        return F.struct(cid.alias("chunk_id"), F.lit(kind).alias("chunk_type"), section.alias("section"), text.alias("text"), parent.alias("parent_chunk_id"))
+
+    has_abstract = strip(F.coalesce("abstract", F.lit(""))) != ""
+    abstract = F.filter(F.array(row("abstract", abstract_id(pid), F.lit("ABSTRACT"), F.col("abstract"), none)), lambda _: has_abstract)
+    up = lambda i: parent_id(pid, i)
+    every = F.concat(
+        abstract,
+        F.transform("__p", lambda x, i: row("parent", up(i), x["section"], x["text"], none)),
+        F.transform("__c", lambda x, i: row("child", child_id(up(x["parent"]), i), x["section"], x["text"], up(x["parent"]))),
+    )
+    # one pass over the papers: all chunks of a paper come out of one array
+    d = d.withColumn("__x", every).select(pid.alias("paper_id"), F.explode("__x").alias("x"))
+    return d.select("paper_id", "x.*").withColumn("char_count", F.length("text"))
