@@ -61,15 +61,30 @@ def g4(spark, d):
     return bm25(spark, d)
 
 
-@query("g5_embed_missing")
+# The default encoder in SQL: hashed bags of words of {1}(id, text) as v{0}(id, i, x), and a checksum of each vector.
+VECTOR = """
+w{0} AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {1})),
+b{0} AS (SELECT id, h % 64 AS i, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM w{0} GROUP BY 1, 2),
+v{0} AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM b{0} WHERE x <> 0)"""
+CHECKSUM = "64 AS dims, round(coalesce(s, 0.0), 5) AS checksum FROM {1} LEFT JOIN (SELECT id, sum((i + 1) * x) AS s FROM v{0} GROUP BY 1) USING (id)"
+
+
+def checksum():
+    total = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return F.size("embedding").alias("dims"), (F.round(total, 5) + 0.0).alias("checksum")
+
+
+@query("g5_embed_missing", f"""
+WITH {PAPERS}, src AS (SELECT paper_id AS id, abstract AS text FROM papers WHERE ordinal % 2 <> 0), {VECTOR.format("g", "src")} SELECT id AS chunk_id, {CHECKSUM.format("g", "src")}""")
 def g5(spark, d):
     p = papers(spark, d).select(F.col("paper_id").alias("chunk_id"), F.col("abstract").alias("text"))
-    return index.embed_missing(p, p.where("cast(chunk_id as long) % 2 = 0")).select("chunk_id", F.size("embedding").alias("dims"))
+    return index.embed_missing(p, p.where("cast(chunk_id as long) % 2 = 0")).select("chunk_id", *checksum())
 
 
-@query("g6_embed_queries")
+@query("g6_embed_queries", f"""
+WITH src AS (SELECT CAST(item_id AS VARCHAR) AS id, 'BGE query: ' || text AS text FROM benchmark), {VECTOR.format("g", "src")} SELECT id AS query_id, {CHECKSUM.format("g", "src")}""")
 def g6(spark, d):
-    return index.embed_queries(queries(spark, d)).select("query_id", F.size("embedding").alias("dims"))
+    return index.embed_queries(queries(spark, d)).select("query_id", *checksum())
 
 
 DENSE = """
@@ -155,11 +170,7 @@ def h4(spark, d):
     return out.unionByName(retrieve.abstract_supplement(out, p)).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-# Both rankings over the lines of documents, in SQL: hashed bags of words as vectors, and BM25.
-VECTOR = """
-w{0} AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {1})),
-b{0} AS (SELECT id, h % 64 AS i, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM w{0} GROUP BY 1, 2),
-v{0} AS (SELECT id, i, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM b{0} WHERE x <> 0)"""
+# Both rankings over the lines of documents.
 HYBRID = f"""{PAPERS}, {CITATIONS}, docs AS (SELECT paper_id || '::parent::0000::child::' || printf('%04d', i - 1) AS id, text FROM (SELECT paper_id, unnest(string_split(abstract, chr(10))) AS text, generate_subscripts(string_split(abstract, chr(10)), 1) AS i FROM papers)),
 asked AS (SELECT item_id AS id, 'BGE query: ' || text AS text FROM benchmark), {VECTOR.format("d", "docs")}, {VECTOR.format("q", "asked")},
 ds AS (SELECT a.id AS query_id, b.id, round(coalesce(s, 0), 5) AS score FROM asked a CROSS JOIN docs b LEFT JOIN (SELECT vq.id AS q, vd.id AS d, sum(vq.x * vd.x) AS s FROM vq JOIN vd USING (i) GROUP BY 1, 2) ON q = a.id AND d = b.id),
@@ -412,7 +423,13 @@ def i16(spark, d):
     return o.select("query_id", answers.next_step(F.col("overall"), F.col("query_id") % 3, 2, F.col("query_id") % 4 != 0).alias("step"))
 
 
-@query("i17_i18_iterate")
+@query("i17_i18_iterate", f"""
+WITH {BM25}, good AS (SELECT query_id FROM sparse GROUP BY 1 HAVING max(score) > 60),
+q2 AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format("text || ' methods'")}) AS term FROM benchmark) GROUP BY ALL),
+sc2 AS (SELECT query_id, id, round(sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score FROM q2 JOIN tf USING (term) JOIN idf USING (term) WHERE query_id NOT IN (FROM good) GROUP BY 1, 2),
+more AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc2) WHERE rank <= 20 AND score > 0),
+every AS (SELECT query_id, id FROM sparse UNION SELECT query_id, id FROM more)
+SELECT query_id, count(*) AS n_rows, CASE WHEN query_id IN (FROM good) THEN 0 ELSE 1 END AS last_iteration FROM every GROUP BY query_id""")
 def i17(spark, d):
     ix = index.bm25_index(table(spark, d, "documents"), "doc_id", F.col("text"))
     rows, trace = answers.iterate(
@@ -653,9 +670,10 @@ def l2(spark, d):
     return spark.read.schema("event_id long, tokens string").parquet(rows).select("event_id", F.regexp_replace("tokens", "-0+(?=.)", "-").alias("tokens"))
 
 
-@query("l4_stream_embedding")
+@query("l4_stream_embedding", f"""
+WITH src AS (SELECT CAST(event_id AS VARCHAR) AS id, concat_ws(' ', event_type, props) AS text FROM events), {VECTOR.format("g", "src")} SELECT id AS chunk_id, {CHECKSUM.format("g", "src")}""")
 def l4(spark, d):
     rows, state = _stream_paths(spark, "vectors")
     s = _events(spark, d).select(F.col("event_id").cast("string").alias("chunk_id"), F.concat_ws(" ", "event_type", "props").alias("text"))
     ingest.start_embedding(s, rows, state).awaitTermination()
-    return spark.read.parquet(rows).select("chunk_id", F.size("embedding").alias("dims"))
+    return spark.read.parquet(rows).select("chunk_id", *checksum())
