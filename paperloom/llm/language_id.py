@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_parts, table, written
+from .common import in_slices, shuffle_parts, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TRAIN_DOCS = 1500
@@ -116,7 +116,7 @@ class Unigrams:
         starts = []  # per length: the piece that starts at each letter
         fits: list[list[int]] = [[] for _ in range(longest + 1)]  # per end of a prefix: lengths of pieces that end there in some word
         for k, (at, ids) in enumerate(spans, 1):
-            row = np.full(total, len(self.p) - 1)
+            row = np.full(total, len(self.p) - 1, np.int32)
             row[at] = ids
             starts.append(row)
             for end in np.unique(place[at] + k).tolist():
@@ -152,13 +152,17 @@ class Unigrams:
 
     def log_probabilities(self, found: list[str]) -> np.ndarray:
         """words x languages: the log of the sum over all segmentations."""
-        order, start, sizes, spans = self._lay(found)
         out = np.zeros((len(found), self.n))
-        out[order] = self._forward(start, sizes, spans)[0]
+        for a, b in passes(found):
+            order, start, sizes, spans = self._lay(found[a:b])
+            out[a + order] = self._forward(start, sizes, spans)[0]
         return out
 
     def expected(self, found: list[str], weight: np.ndarray) -> np.ndarray:
         """Pieces x languages: how often each piece is expected in the words' segmentations, words counted by weight."""
+        return sum((self._expected(found[a:b], weight[a:b]) for a, b in passes(found)), np.zeros((len(self.p) - 1, self.n)))
+
+    def _expected(self, found: list[str], weight: np.ndarray) -> np.ndarray:
         order, start, sizes, spans = self._lay(found)
         word = np.repeat(np.arange(len(sizes)), sizes)
         whole, ahead = self._forward(start, sizes, spans, keep=True)
@@ -174,8 +178,20 @@ class Unigrams:
         return out
 
 
-#: Words that go through a pass together.
-PASS = 50_000
+#: Letters that go through a pass together, words that are looked up together, and bytes of text whose words a task holds.
+LETTERS_AT_ONCE, WORDS_AT_ONCE, TEXT_BYTES = 300_000, 30_000, 4 << 20
+
+
+def passes(found: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of words with at most LETTERS_AT_ONCE letters; a longer word is a run of its own."""
+    start = held = 0
+    for i, w in enumerate(found):
+        if i > start and held + len(w) > LETTERS_AT_ONCE:
+            yield start, i
+            start, held = i, 0
+        held += len(w)
+    if found:
+        yield start, len(found)
 
 
 class Model(NamedTuple):
@@ -253,22 +269,20 @@ def identify(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred"
                 fresh = list({w for part in parts for w in part})
             base = len(row_of)
             row_of.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            for i in range(0, len(fresh), PASS):
-                some = fresh[i : i + PASS]
-                table_[base + i : base + i + len(some)] = unigrams.log_probabilities(some)
+            table_[base : base + len(fresh)] = unigrams.log_probabilities(fresh)
             return np.array([table_[[row_of[w] for w in part]].sum(axis=0) for part in parts])
 
-        for b in batches:
+        for b in (part for batch in batches for part in in_slices(batch, most=TEXT_BYTES)):
             found = [words(t.as_py()) if names else [] for t in b.column("text")]
             pieces_, owner = [], []
             for i, w in enumerate(found):
-                for a in range(0, len(w), PASS):
-                    pieces_.append(w[a : a + PASS])
+                for a in range(0, len(w), WORDS_AT_ONCE):
+                    pieces_.append(w[a : a + WORDS_AT_ONCE])
                     owner.append(i)
             total, at = np.zeros((b.num_rows, max(1, len(names)))), 0
             while at < len(pieces_):  # as many lists at once as make a pass
                 end, held = at, 0
-                while end < len(pieces_) and (held == 0 or held + len(pieces_[end]) <= PASS):
+                while end < len(pieces_) and (held == 0 or held + len(pieces_[end]) <= WORDS_AT_ONCE):
                     held += len(pieces_[end])
                     end += 1
                 np.add.at(total, owner[at:end], totals(pieces_[at:end]))

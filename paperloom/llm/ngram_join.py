@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, shuffle_parts, table, written
+from .common import components, in_slices, shuffle_parts, table, written
 
 WORDS, PERCENT = 5, 80
 #: Share of the hash space whose tokens come first in the common order; must exceed the prefix share (20 %).
@@ -81,7 +81,7 @@ def token_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_key (tells a doc_id's texts apart), n (set size), key and check (hash of the whole set), tokens (the first ones of the common order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in in_slices(batch)):
             n, keys, tokens = [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py())

@@ -24,6 +24,20 @@ def test_oracle(name, spark, sf, duck):
     assert rows_of(got) == rows_of(duck.sql(ORACLES[name]).df())
 
 
+def test_slices_of_a_batch():
+    import pyarrow as pa
+
+    from paperloom.llm.common import in_slices
+
+    texts = ["aaaa", None, "é", "b" * 30, "", "c", None]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "n": list(range(7))})
+    for most in (1, 5, 6, 7, 1000):
+        parts = list(in_slices(batch, most=most))
+        assert [n for p in parts for n in p.column("n").to_pylist()] == list(range(7))
+        assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= most for p in parts)
+    assert list(in_slices(batch.slice(0, 0))) == []
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(40)]
@@ -351,6 +365,7 @@ def segmentations(word, p, pieces):
 @pytest.mark.parametrize("languages", [1, 3, 4])
 def test_sums_over_all_segmentations(monkeypatch, rescale, languages):
     monkeypatch.setattr(language_id, "RESCALE", rescale)
+    monkeypatch.setattr(language_id, "LETTERS_AT_ONCE", 9)
     pieces = ["a", "b", "ab", "ba", "aba", "bb", "bababab", "é"]
     p = np.random.default_rng(2).random((len(pieces), languages))
     model, found = language_id.Unigrams(language_id.Pieces(pieces), p), ["a", "abab", "xab", "bbabab", "xx", "babababé", "abab"]
