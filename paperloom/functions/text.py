@@ -48,6 +48,7 @@ def alpha_share(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"\P{L}", "")) / F.nullif(F.length(text), F.lit(0))
 
 
+# The patterns of the three cleaners below.
 def clean_flat(text: Column) -> Column:
     """For flat text: blank lines, line-break hyphens, blanks, number lines, symbol lines, reference list."""
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
@@ -76,6 +77,7 @@ def clean_fallback(text: Column, least: float = 0.40) -> Column:
 
 
 def sentences(text: Column) -> Column:
+    """Split after the marks that end a sentence."""
     return F.split(strip(text), r"(?U)(?<=[.!?])\s+")
 
 

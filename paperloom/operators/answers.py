@@ -11,7 +11,12 @@ from ..functions.text import sentences, strip
 from .index import top_k
 from .lineage import cut
 
+# A citation of a paper, a numeric mark, and a citation with blanks before its bracket or before further text.
 CITATION = r"\[\s*(\d{4}\.\d{4,5})\s*\]"
+MARK, PADDED, TRAILED = r"\[(\d{1,3}(?:,\s*\d{1,3})*)\]", r"\[(\d{4}\.\d{4,5})\s+\]", r"\[(\d{4}\.\d{4,5})\s+(?=[^\]])"
+#: Sentences that an application may word for itself: the second sub-question, and what goes before and after a gap's aspects.
+MORE = "Which findings bear on this, and how do they come about: "
+GAP = ("The evidence falls short on these aspects: ", ". The papers at hand leave them open.")
 # Phrases that admit a gap, known question types, and the words that give a type away.
 GAP_PHRASES = (
     "insufficient", "not found", "no evidence", "not available", "could not find", "not well-represented", "not fully explored",
@@ -36,12 +41,12 @@ def tolerant_json(raw: Column) -> Column:
     return F.coalesce(parsed(raw), parsed(fenced), parsed(inside), parsed(upto))
 
 
-def clean_subquestions(questions: Column, question_type: Column) -> Column:
+def clean_subquestions(questions: Column, question_type: Column, more: str = MORE) -> Column:
     """struct(sub_questions, question_type): trimmed, at most four; a second is added unless it is a definition."""
     kind = F.when(question_type.isin(*QUESTION_TYPES), question_type).otherwise("bridge")
     good = F.slice(F.filter(F.transform(questions, strip), lambda q: q != ""), 1, 4)
-    more = F.concat(F.lit("What are the key mechanisms and evidence supporting: "), F.try_element_at(good, F.lit(1)))
-    out = F.when((F.size(good) == 1) & (kind != "definition"), F.array_append(good, more)).otherwise(good)
+    second = F.concat(F.lit(more), F.try_element_at(good, F.lit(1)))
+    out = F.when((F.size(good) == 1) & (kind != "definition"), F.array_append(good, second)).otherwise(good)
     return F.struct(out.alias("sub_questions"), kind.alias("question_type"))
 
 
@@ -110,9 +115,9 @@ def squeeze(text: Column) -> Column:
 
 def clean_citations(answer: Column, listed: Column, retrieved: Column) -> Column:
     """struct(answer, citations, invalid): numeric marks gone, blanks inside brackets gone, ids outside the retrieved set stripped."""
-    text = F.regexp_replace(strip(answer), r"\[(\d{1,3}(?:,\s*\d{1,3})*)\]", "")
-    text = F.regexp_replace(text, r"\[(\d{4}\.\d{4,5})\s+\]", "[$1]")
-    text = squeeze(F.regexp_replace(text, r"\[(\d{4}\.\d{4,5})\s+(?=[^\]])", "[$1] "))
+    text = F.regexp_replace(strip(answer), MARK, "")
+    text = F.regexp_replace(text, PADDED, "[$1]")
+    text = squeeze(F.regexp_replace(text, TRAILED, "[$1] "))
     found = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
     named = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), strip), lambda c: c != "")
     every = F.array_sort(F.array_union(named, found))
@@ -121,13 +126,13 @@ def clean_citations(answer: Column, listed: Column, retrieved: Column) -> Column
     return F.struct(F.when(F.size(invalid) > 0, squeeze(bare)).otherwise(text).alias("answer"), F.array_intersect(every, retrieved).alias("citations"), invalid.alias("invalid"))
 
 
-def gap_text(judged: DataFrame) -> DataFrame:
+def gap_text(judged: DataFrame, wording: tuple[str, str] = GAP) -> DataFrame:
     """One sentence per query about its insufficient sub-questions (each up to 80 characters); empty if none."""
     named = F.transform(
         F.sort_array(F.collect_list(F.when(F.col("decision") == "insufficient", F.struct("sq_index", F.substring("sub_question", 1, 80).alias("q"))))), lambda x: x["q"]
     )
     d = judged.groupBy("query_id").agg(named.alias("g"))
-    text = F.concat(F.lit("Evidence was insufficient for the following aspects: "), F.array_join("g", "; "), F.lit(". These aspects could not be fully addressed from the available papers."))
+    text = F.concat(F.lit(wording[0]), F.array_join("g", "; "), F.lit(wording[1]))
     return d.select("query_id", F.when(F.size("g") > 0, text).otherwise("").alias("gap_text"))
 
 

@@ -323,7 +323,7 @@ def i10(spark, d):
 
 @query("i9_gap_text", f"""
 WITH {JUDGED}, g AS (SELECT query_id, string_agg(substr(text, 1, 80), '; ' ORDER BY sq_index) FILTER (WHERE decision = 'insufficient') AS t FROM judged GROUP BY 1)
-SELECT query_id, CASE WHEN t IS NULL THEN '' ELSE 'Evidence was insufficient for the following aspects: ' || t || '. These aspects could not be fully addressed from the available papers.' END AS gap_text FROM g""")
+SELECT query_id, CASE WHEN t IS NULL THEN '' ELSE '{answers.GAP[0]}' || t || '{answers.GAP[1]}' END AS gap_text FROM g""")
 def i9(spark, d):
     sq, j = judged(spark, d)
     return answers.gap_text(j.join(sq, ["query_id", "sq_index"]))
