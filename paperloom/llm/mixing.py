@@ -9,7 +9,7 @@ source permutes the numbers anew, and a shard draws the range of the permuted nu
 no other shard draws. The mix is dealt out by shard and sorted in each shard by a second key, the local shuffle.
 
 Only per-source sums reach the driver. A hot source is numbered in many buckets at once. The number of shards grows
-with the mix (about SHARD_BLOCKS blocks each).
+with the mix (about SHARD_WORDS words each).
 
 Defined results: null text has size 0 and gives no blocks; null source is a source of its own, last in
 order; repeated rows are separate documents; an empty table gives an empty result; other columns are ignored.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import table, words_of, written
 
 BLOCK_WORDS = 32
-#: Least number of output shards, and blocks that a shard is meant to hold.
-SHARDS, SHARD_BLOCKS = 64, 1 << 23
+#: Least number of output shards, words that a shard is meant to hold, and runs in which it is written.
+SHARDS, SHARD_WORDS, PIECES = 64, 1 << 28, 16
 #: Buckets in which the documents of one source are numbered at the same time.
 BUCKETS = 1024
 SEED = 20_240_229
@@ -179,7 +179,7 @@ class Plan:
         names = sorted((s for s in self.size if s is not None)) + [None] * (None in self.size)
         self.at = {s: i for i, s in enumerate(names)}
         self.quota = [round(self.target[s] * self.blocks[s] / self.size[s]) if self.size[s] else 0 for s in names]
-        self.shards = shards or max(SHARDS, -(-sum(self.quota) // SHARD_BLOCKS))
+        self.shards = shards or max(SHARDS, math.ceil(sum(self.target.values()) / SHARD_WORDS))
         self.tree, self.seed = SplittingTree(self.quota, self.shards, seed), seed
         self.ends: dict = {}
 
@@ -260,8 +260,12 @@ def _drawn(d: DataFrame, plan: Plan, block_words: int | None) -> DataFrame:
 
 
 def shuffled(rows: DataFrame) -> DataFrame:
-    """Rows with shard and shard_order, dealt out by shard and put in each shard's own order."""
-    return rows.repartition("shard").sortWithinPartitions("shard", "shard_order")
+    """Rows with shard and shard_order, dealt out by shard and put in each shard's own order.
+
+    A shard is dealt in PIECES runs of its order, so tasks are even and no task holds all of a large shard.
+    """
+    piece = F.call_function("shiftright", F.col("shard_order"), F.lit(63 - (PIECES - 1).bit_length()))
+    return rows.repartition("shard", piece).sortWithinPartitions("shard", "shard_order")
 
 
 def mix(docs: DataFrame, weights=(3, 1, 2), share=1.5, most=2.0, block_words: int | None = BLOCK_WORDS, shards: int | None = None, seed: int = SEED) -> DataFrame:

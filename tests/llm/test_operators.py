@@ -465,7 +465,11 @@ def test_taken_is_what_the_mix_holds(spark, edge_docs, no_docs):
     assert sorted(map(str, a)) == sorted(map(str, b)) and len(a) == edge_docs.count()
     named = d.where("doc_id is not null and doc_id <> 7")
     rows = mixing.shuffled(mixing.mix(named.withColumnRenamed("doc_id", "id"), block_words=3, shards=5)).withColumn("part", F.spark_partition_id()).collect()
-    # no block twice in one pass, each shard in one place and in its own order
+    # no block twice in one pass; a shard's pieces are whole in one place each, in the shard's order
+    pieces = {}
+    for r in rows:
+        pieces.setdefault((r.shard, r.shard_order >> 59), set()).add(r.part)
+    assert all(len(p) == 1 for p in pieces.values())
     assert len({(r.id, r.turn, r.block) for r in rows}) == len(rows) and len({r.shard for r in rows}) == 5
     assert all((x.part, x.shard, x.shard_order) <= (y.part, y.shard, y.shard_order) for x, y in itertools.pairwise(rows) if x.part == y.part)
     plan = mixing.prepare(named.withColumnRenamed("doc_id", "id"), (3, 1, 2), 1.5, 2.0, 3, 5, mixing.SEED)[1]
