@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op9_byte_bpe
 from .centroid_clustering import OP12_SQL, op12_centroid_clustering
+from .conversation_trie import OP13_SQL, op13_conversation_trie
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op5_language_id
 from .mixing import op6_mixing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
     "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLES = {"op1_ngram_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op12_centroid_clustering": OP12_SQL}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op12_centroid_clustering": OP12_SQL, "op13_conversation_trie": OP13_SQL}
