@@ -11,6 +11,7 @@ from .mixing import op6_mixing
 from .ngram_join import OP1_SQL, op1_ngram_join
 from .quality_rules import op10_quality_rules
 from .suffix_dedup import op8_suffix_dedup
+from .token_files import op11_token_files
 from .toxicity import op7_toxicity
 from .url_filter import op3_url_filter
 from .warc import OP4_SQL, op4_warc
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_conversation_trie": op13_conversation_trie,
 }
