@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -43,8 +44,8 @@ SHARD, LEAST, STEP = 1 << 20, 16, 1024
 ROUNDS = 4
 #: Documents of a file at most, about.
 FILE_DOCS = 1 << 18
-#: Words that a task remembers; the table is emptied when full, which changes no result. Bytes of text encoded at once.
-CACHE, SLICE = 600_000, 16 << 20
+#: Words that a worker remembers; the table is emptied when full, which changes no result. Bytes of text encoded at once.
+CACHE, SLICE = 500_000, 16 << 20
 MAGIC = b"RPS1"
 HEAD, TAIL = struct.Struct("<4sIIIIIB3x"), struct.Struct("<QQQ4s4x")
 #: Slots of the table that finds a position's rule, a power of two.
@@ -116,6 +117,12 @@ class WordTokens:
         return np.insert(ids, ends[1:], END), np.diff(ends) + 1
 
 
+@lru_cache(1)
+def known_words(path: str) -> WordTokens:
+    """One encoder for all tasks of a worker, with the words it has met."""
+    return WordTokens(path)
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs flat[starts[w] : starts[w] + sizes[w]] of all w in which, one after another."""
     n = sizes[which]
@@ -448,7 +455,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, shard: int = SHARD
     deal, parts = dealer(docs)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(vocabulary)
+        coder = known_words(vocabulary)
         for whole in batches:
             for b in in_slices(whole, most=SLICE):
                 ids, sizes = coder.encode(b.column("text"))
