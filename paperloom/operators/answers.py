@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, strip
@@ -82,11 +82,15 @@ def overall_decision(judged: DataFrame, declared: DataFrame) -> DataFrame:
     return d.select("query_id", F.when(bad, "insufficient").otherwise("sufficient").alias("overall"))
 
 
-def critic_context(chunks: DataFrame, full: int = 2, chars: int = 500) -> DataFrame:
-    """Per query and sub-question one text: the first two chunks at length, the rest as one-liners."""
-    d = top_k(chunks, ["query_id", "sq_index"], [F.desc("score"), F.col("id")], 1 << 30)
-    line = F.when(F.col("rank") <= full, F.concat(F.lit("["), "paper_id", F.lit("] "), F.substring("text", 1, chars))).otherwise(F.concat(F.lit("["), "paper_id", F.lit("] "), "title"))
-    return d.groupBy("query_id", "sq_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n").alias("context"))
+def critic_context(chunks: DataFrame, full: int = 2, chars: int = 500, heading: str = "Abstracts:") -> DataFrame:
+    """Per query and sub-question one text: the first two retrieved chunks at length, the rest as one-liners, and below a heading the added abstracts."""
+    added = F.col("method") == "abstract_supplement"
+    rank = F.row_number().over(Window.partitionBy("query_id", "sq_index", added).orderBy(F.desc("score"), "id"))
+    head, title = F.concat(F.lit("["), "paper_id", F.lit("] ")), F.coalesce("title", F.lit(""))
+    long = ~added & (rank <= full)
+    line = F.concat(F.when(added & (rank == 1), heading + "\n").otherwise(""), head, F.when(long, F.substring("text", 1, chars)).otherwise(title))
+    d = chunks.select("query_id", "sq_index", F.struct(added.alias("added"), rank.alias("rank"), line.alias("line")).alias("x"))
+    return d.groupBy("query_id", "sq_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n").alias("context"))
 
 
 def expand_query(question: Column, rewrite: Column, missing: Column, tried: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sets import containment
-from ..functions.text import tokenize
+from ..functions.text import strip, tokenize
 from .index import top_k
 from .lineage import cut
 
@@ -56,15 +56,31 @@ def adjusted_recall(results: DataFrame, corpus: DataFrame) -> DataFrame:
     inside = gold.join(corpus.select("paper_id").distinct(), "paper_id", "left_semi").groupBy("query_id").agg(F.array_sort(F.collect_set("paper_id")).alias("gold_in_corpus"))
     d = results.join(inside, "query_id", "left").withColumn("gold_in_corpus", F.coalesce("gold_in_corpus", F.array().cast("array<string>")))
     ratio = lambda g: F.when(F.size(g) > 0, F.size(F.array_intersect(g, F.col("cited"))) / F.size(g)).otherwise(0.0)
-    return d.select("query_id", ratio(F.array_distinct("gold")).alias("citation_recall"), ratio(F.col("gold_in_corpus")).alias("adjusted_recall"), F.size("gold_in_corpus").alias("n_in_corpus"))
+    d = d.select("query_id", ratio(F.array_distinct("gold")).alias("citation_recall"), ratio(F.col("gold_in_corpus")).alias("adjusted_recall"), F.size("gold_in_corpus").alias("n_in_corpus"))
+    return d.withColumns({"perfect": F.col("citation_recall") == 1, "adjusted_perfect": F.col("adjusted_recall") == 1})
+
+
+def top_results(hits: DataFrame, papers: DataFrame, chars: int = 50, digits: int = 4) -> DataFrame:
+    """(query_id, top_results): each query's rows in order, as structs of paper_id, short title and rounded score.
+
+    hits: query_id, paper_id, score, rank; papers: paper_id, title (a paper without a row has an empty title).
+    """
+    d = hits.join(papers.select("paper_id", F.substring(F.coalesce("title", F.lit("")), 1, chars).alias("title")), "paper_id", "left")
+    row = F.struct("rank", "paper_id", F.coalesce("title", F.lit("")).alias("title"), F.round("score", digits).alias("score"))
+    return d.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(x["paper_id"], x["title"], x["score"])).alias("top_results"))
+
+
+# The outcomes of verification.
+STATUSES = ("passed", "needs_revision", "failed", "error")
 
 
 def by_type(results: DataFrame) -> DataFrame:
-    """Means per question type, over all rows and over those that are no errors."""
+    """Means per question type, over all rows and over those that are no errors, and how many rows have each status."""
     ok = F.col("status") != "error"
     return results.groupBy("question_type").agg(
         F.count("*").alias("n"),
         F.count_if(~ok).alias("n_errors"),
+        *(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES[:-1]),
         F.round(F.avg("recall"), 6).alias("mean_all"),
         F.round(F.avg(F.when(ok, F.col("recall"))), 6).alias("mean_valid"),
     )
@@ -108,6 +124,11 @@ def worst_first(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("severity") != "zero", F.col("severity") != "low", "recall", "query_id")
 
 
+def judged_answers(answers: DataFrame, chars: int = 100) -> DataFrame:
+    """Answers (query_id, answer, citations) that a judge sees: long enough, without blanks at the ends, and with a citation."""
+    return answers.where((F.length(strip(F.coalesce("answer", F.lit("")))) >= chars) & (F.coalesce(F.size("citations"), F.lit(0)) > 0))
+
+
 def judge_contexts(rows: DataFrame, first: int = 20, per_paper: int = 3, chars: int = 600) -> DataFrame:
     """Contexts per answer: the first 20 distinct rows by (paper, chunk), then at most 3 per paper."""
     d = rows.select("query_id", "paper_id", "chunk_id", F.substring("text", 1, chars).alias("text")).distinct()
@@ -116,10 +137,10 @@ def judge_contexts(rows: DataFrame, first: int = 20, per_paper: int = 3, chars:
 
 
 def score_rollup(scores: DataFrame, *names: str) -> DataFrame:
-    """Means of judge scores, NaN and null as 0, over rows without an error."""
+    """Means of judge scores, NaN and null as 0, over rows without an error, and the mean of these means."""
     value = lambda c: F.round(F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)), 4)
     ok = scores.where("error is null").select(*(value(c).alias(c) for c in names))
-    return ok.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(f"mean_{c}") for c in names))
+    return ok.agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(f"mean_{c}") for c in names), F.round(sum(map(F.avg, names)) / len(names), 4).alias("combined"))
 
 
 def tag_topics(papers: DataFrame) -> DataFrame:
@@ -171,9 +192,15 @@ def related_pairs(tagged: DataFrame, n: int, seed: str) -> DataFrame:
             return found.orderBy("i").limit(n).select("a", "b")
 
 
-def quota_needs(have: DataFrame, targets: DataFrame) -> DataFrame:
+# Question types that are asked about three papers; the others are asked about two.
+TRIPLE_TYPES = ("bridge", "causal", "aggregation")
+
+
+def quota_needs(have: DataFrame, targets: DataFrame, any_triples: bool = True) -> DataFrame:
+    """(question_type, need, source): what each type lacks, and whether triples or pairs of papers serve it."""
+    source = F.when(F.col("question_type").isin(*TRIPLE_TYPES) & F.lit(any_triples), "triples").otherwise("pairs")
     return targets.join(have.groupBy("question_type").agg(F.count("*").alias("have")), "question_type", "left").select(
-        "question_type", F.greatest(F.col("target") - F.coalesce("have", F.lit(0)), F.lit(0)).alias("need")
+        "question_type", F.greatest(F.col("target") - F.coalesce("have", F.lit(0)), F.lit(0)).alias("need"), source.alias("source")
     )
 
 

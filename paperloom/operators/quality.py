@@ -73,16 +73,26 @@ def verdict(report: DataFrame) -> DataFrame:
 
 
 def samples(chunks: DataFrame, k: int = 5) -> DataFrame:
-    """Up to k offending ids per check (the smallest)."""
-    hits = chunks.select("chunk_id", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, (_, c) in checks(chunks).items())), lambda x: x.isNotNull())).alias("check"))
+    """Up to k offending ids per check of validate() (the smallest; a repeated id once)."""
+    rows = {n: c for n, (_, c) in checks(chunks).items()} | {f"null_{c}": F.col(c).isNull() for c in REQUIRED}
+    hits = chunks.select("chunk_id", F.explode(F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rows.items())), lambda x: x.isNotNull())).alias("check"))
+    twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("c")).where("c > 1")
+    for name, found in (("duplicate_id", twice), ("orphan_child", orphan_children(chunks))):
+        hits = hits.unionByName(found.select("chunk_id", F.lit(name).alias("check")))
     w = Window.partitionBy("check").orderBy("chunk_id")
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("check", "r", "chunk_id")
 
 
 def corpus_coverage(chunks: DataFrame, enriched: DataFrame) -> DataFrame:
-    """One row: papers that have chunks, how many of them are enriched, children with odd ids, and children without a parent row."""
-    ids = chunks.select("paper_id").distinct().join(enriched.select("paper_id").distinct().withColumn("e", F.lit(1)), "paper_id", "left")
-    n = ids.agg(F.count("*").alias("n_papers"), F.count("e").alias("enriched"))
+    """One row: papers that have chunks, how many of them are enriched (with a summary, with references), children with odd ids or without a parent row.
+
+    enriched: paper_id and, if it has them, tldr and reference_count.
+    """
+    has = {"with_tldr": F.coalesce("tldr", F.lit("")) != "" if "tldr" in enriched.columns else F.lit(False)}
+    has["with_references"] = F.coalesce("reference_count", F.lit(0)) > 0 if "reference_count" in enriched.columns else F.lit(False)
+    known = enriched.groupBy("paper_id").agg(F.lit(1).alias("e"), *(F.bool_or(c).alias(n) for n, c in has.items()))
+    ids = chunks.select("paper_id").distinct().join(known, "paper_id", "left")
+    n = ids.agg(F.count("*").alias("n_papers"), F.count("e").alias("enriched"), *(F.count_if(n).alias(n) for n in has))
     children = chunks.where("chunk_type = 'child'").agg(F.count("*").alias("n_children"), F.count_if(~F.col("chunk_id").contains("::")).alias("malformed_ids"))
     orphans = orphan_children(chunks, null_too=True).agg(F.count("*").alias("orphans"))
     out = n.crossJoin(children).crossJoin(orphans)  # three one-row tables

@@ -58,6 +58,20 @@ def a1(spark, d):
     )
 
 
+@query("a6_a7_files_present", """
+SELECT CAST(s_suppkey AS VARCHAR) AS paper_id, count(l_orderkey) AS n, round(coalesce(sum(l_quantity), 0), 2) AS total FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 3 <> 0 GROUP BY 1""")
+def a6(spark, d):
+    """A JSON report per supplier, but for every third; the suppliers whose report is there, with what it says."""
+    path = _folder(spark, "reports")
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("paper_id"))
+    sums = s.join(table(spark, d, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey"), "left").where("s_suppkey % 3 <> 0")
+    sums = sums.groupBy("paper_id").agg(F.count("l_orderkey").alias("n"), F.round(F.coalesce(F.sum("l_quantity"), F.lit(0.0)), 2).alias("total"))
+    records.write_report(sums, path, "paper_id")
+    there = records.with_files(s.select("paper_id"), records.list_files(spark, path, name=r"/paper_id=([^/]+)/[^/]+$"))
+    said = spark.read.schema("n long, total double, paper_id string").json(path)
+    return there.join(said, "paper_id")
+
+
 @query("a8_structured_documents", f"""
 WITH {PAPERS}, x AS (SELECT *, list_filter(list_transform(string_split(abstract, chr(10)), lambda v: trim(v)), lambda v: v <> '') AS l FROM papers)
 SELECT paper_id, CASE WHEN ordinal % 10 = 3 THEN 'malformed' ELSE 'success' END AS status, CASE WHEN ordinal % 10 <> 3 THEN trim(title) END AS title, CASE WHEN ordinal % 10 <> 3 THEN 'A. ' || source END AS authors,
@@ -485,10 +499,12 @@ def d11(spark, d):
 
 
 @query("d11_samples", f"""WITH {CHECK}, h AS (
-SELECT 'empty_text' AS "check", chunk_id FROM chunks WHERE trim(text) = '' UNION ALL SELECT 'too_short', chunk_id FROM chunks WHERE trim(text) <> '' AND length(trim(text)) < 50),
+SELECT 'empty_text' AS "check", chunk_id FROM chunks WHERE trim(text) = '' UNION ALL SELECT 'too_short', chunk_id FROM chunks WHERE trim(text) <> '' AND length(trim(text)) < 50
+UNION ALL SELECT 'null_title', chunk_id FROM chunks WHERE title IS NULL UNION ALL SELECT 'duplicate_id', chunk_id FROM chunks GROUP BY chunk_id HAVING count(*) > 1
+UNION ALL SELECT 'orphan_child', chunk_id FROM chunks a WHERE chunk_type = 'child' AND parent_chunk_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks b WHERE b.chunk_type = 'parent' AND b.chunk_id = a.parent_chunk_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY chunk_id) AS r FROM h) SELECT * FROM r WHERE r <= 5""")
 def d11s(spark, d):
-    return quality.samples(_check_rows(spark, d)).where(F.col("check").isin("empty_text", "too_short"))
+    return quality.samples(_check_rows(spark, d)).where(F.col("check").isin("empty_text", "too_short", "null_title", "duplicate_id", "orphan_child"))
 
 
 @query("d12_coverage", f"""
@@ -506,10 +522,12 @@ def d12(spark, d):
 
 @query("d12_corpus_coverage", f"""
 WITH {CHECK}, o AS (SELECT count(*) AS orphans FROM chunks a WHERE chunk_type = 'child' AND NOT EXISTS (SELECT 1 FROM chunks b WHERE b.chunk_type = 'parent' AND b.chunk_id = a.parent_chunk_id)),
-i AS (SELECT count(*) AS n_papers, count(doc_id) AS enriched FROM (SELECT DISTINCT paper_id FROM chunks) LEFT JOIN (SELECT DISTINCT doc_id FROM labels) ON CAST(doc_id AS VARCHAR) = paper_id)
-SELECT n_papers, enriched, (SELECT count(*) FROM chunks WHERE chunk_type = 'child') AS n_children, 0 AS malformed_ids, orphans, round(100.0 * enriched / greatest(n_papers, 1), 3) AS coverage_percent FROM i, o""")
+i AS (SELECT count(*) AS n_papers, count(doc_id) AS enriched, count(*) FILTER (WHERE doc_id % 3 = 0) AS with_tldr, count(*) FILTER (WHERE good) AS with_references
+  FROM (SELECT DISTINCT paper_id FROM chunks) LEFT JOIN (SELECT doc_id, bool_or(quality > 0) AS good FROM labels GROUP BY doc_id) ON CAST(doc_id AS VARCHAR) = paper_id)
+SELECT n_papers, enriched, with_tldr, with_references, (SELECT count(*) FROM chunks WHERE chunk_type = 'child') AS n_children, 0 AS malformed_ids, orphans, round(100.0 * enriched / greatest(n_papers, 1), 3) AS coverage_percent FROM i, o""")
 def d12c(spark, d):
-    lab = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("paper_id"))
+    tldr = F.when(F.col("doc_id") % 3 == 0, "short").otherwise("")
+    lab = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("paper_id"), tldr.alias("tldr"), F.col("quality").alias("reference_count"))
     return quality.corpus_coverage(_check_rows(spark, d), lab)
 
 

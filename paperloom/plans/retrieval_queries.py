@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..operators import answers, chunking, evaluate, index, retrieve
-from ..operators.lineage import shared_folder
+from ..operators.lineage import cut, shared_folder
+from ..operators.stored_index import StoredIndex
 from ..streaming import ingest
 from .adapters import CITATIONS, PAPERS, citations, papers, parts, queries, table
 from .corpus_queries import FLAT
@@ -38,22 +40,41 @@ sc AS (SELECT query_id, id, round(sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 +
 sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10 AND score > 0)"""
 
 
+def stored(spark, d):
+    """The index of the documents: written by the first query that wants it, and kept as long as their files stay as they are."""
+    jvm, place = spark.sparkContext._jvm, f"{d}/documents.parquet"
+    path = jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    ix = StoredIndex(spark, f"{shared_folder(spark)}/bm25-{hashlib.md5(repr(state).encode()).hexdigest()}")
+    if not ix.commits():
+        ix.load(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return ix
+
+
 def bm25(spark, d, k=10):
-    ix = index.bm25_index(table(spark, d, "documents"), "doc_id", F.col("text"))
-    return index.bm25_search(ix, queries(spark, d), k)
+    return stored(spark, d).search(queries(spark, d), k)
 
 
-@query("g1_g2_tokens", f"""
-SELECT doc_id, len({TOK.format("text")}) AS n, md5(array_to_string({TOK.format("text")}, ' ')) AS tokens_md5,
-len(list_filter(regexp_split_to_array(replace(lower(text), '-', ' '), '[^a-z0-9]+'), lambda w: w <> '')) AS n_all FROM documents""")
-def g1(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(tokenize(t)).alias("n"), F.md5(F.array_join(tokenize(t), " ")).alias("tokens_md5"), F.size(tokenize(t, True)).alias("n_all"))
+G3 = f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf"
 
 
-@query("g3_bm25_index", f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query("g3_bm25_index", G3)
 def g3(spark, d):
-    return index.bm25_index(table(spark, d, "documents"), "doc_id", F.col("text"))["df"].withColumn("idf", F.round("idf", 6))
+    return stored(spark, d).terms().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("g3_incremental_index", G3)
+def g3_incremental(spark, d):
+    """The same terms after two loads, a withdrawal, a load of what was withdrawn, and a load that brings nothing new."""
+    docs, even = table(spark, d, "documents"), F.col("doc_id") % 2 == 0
+    ix = StoredIndex(spark, f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}")
+    for some in (docs.where(even), docs.where(~even)):
+        ix.load(some, "doc_id", F.col("text"))
+    ix.withdraw(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id")))
+    for _ in range(2):
+        ix.load(docs, "doc_id", F.col("text"))
+    return ix.terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("g4_bm25_top10", f"WITH {BM25} SELECT query_id, id, score, rank FROM sparse")
@@ -61,6 +82,11 @@ def g4(spark, d):
     return bm25(spark, d)
 
 
+@query("g4_pruned_top10", f"WITH {BM25} SELECT query_id, id, score, rank FROM sparse")
+def g4_pruned(spark, d):
+    return stored(spark, d).pruned(queries(spark, d), 10)[0]
+
+
 # The default encoder in SQL: hashed bags of words of {1}(id, text) as v{0}(id, i, x), and a checksum of each vector.
 VECTOR = """
 w{0} AS (SELECT id, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM {1})),
@@ -342,8 +368,9 @@ EV = """ev AS (SELECT conv_id AS query_id, turn % 2 AS sq_index, turn AS id, len
 
 
 @query("i5_critic_context", f"""
-WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, sq_index ORDER BY score DESC, id) AS rank FROM ev)
-SELECT query_id, sq_index, string_agg('[' || paper_id || '] ' || CASE WHEN rank <= 2 THEN substr(text, 1, 500) ELSE title END, chr(10) ORDER BY rank) AS context FROM r GROUP BY 1, 2""")
+WITH {EV}, r AS (SELECT *, method = 'abstract_supplement' AS added, row_number() OVER (PARTITION BY query_id, sq_index, method ORDER BY score DESC, id) AS rank FROM ev)
+SELECT query_id, sq_index, string_agg(CASE WHEN added AND rank = 1 THEN 'Abstracts:' || chr(10) ELSE '' END || '[' || paper_id || '] ' || CASE WHEN rank <= 2 AND NOT added THEN substr(text, 1, 500) ELSE title END, chr(10) ORDER BY added, rank) AS context
+FROM r GROUP BY 1, 2""")
 def i5(spark, d):
     return answers.critic_context(evidence(spark, d))
 
@@ -461,16 +488,21 @@ def required(spark, d):
     return queries(spark, d).select("query_id").join(hit, "query_id", "left").withColumn("required", F.coalesce("required", F.array().cast("array<string>")))
 
 
-def recall_rows(spark, d):
-    ret = bm25(spark, d).groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("retrieved"))
+def recall_rows(spark, d, hits=None):
+    ret = (hits or bm25(spark, d)).groupBy("query_id").agg(F.collect_list(F.col("id").cast("string")).alias("retrieved"))
     r = required(spark, d).join(ret, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast("array<string>")))
     return r.select("*", evaluate.recall(F.col("required"), F.col("retrieved")).alias("x")).select("query_id", "required", "retrieved", "x.*")
 
 
-@query("j1_recall", f"WITH {BM25}, {REQ} SELECT query_id, array_to_string(required, ',') AS required, array_to_string(list_sort(found), ',') AS found, array_to_string(missed, ',') AS missed, round(recall, 6) AS recall FROM res")
+@query("j1_recall", f"""
+WITH {BM25}, {REQ}, top AS (SELECT query_id, string_agg(CAST(id AS VARCHAR) || '|' || substr(split_part(text, chr(10), 1), 1, 50) || '|' || printf('%.4f', round(score, 4)), ';' ORDER BY rank) AS top_results FROM sparse JOIN documents ON doc_id = id GROUP BY 1)
+SELECT query_id, array_to_string(required, ',') AS required, array_to_string(list_sort(found), ',') AS found, array_to_string(missed, ',') AS missed, round(recall, 6) AS recall, coalesce(top_results, '') AS top_results FROM res LEFT JOIN top USING (query_id)""")
 def j1(spark, d):
-    r = recall_rows(spark, d)
-    return r.select("query_id", *(F.array_join(c, ",").alias(c) for c in ("required", "found", "missed")), F.round("recall", 6).alias("recall"))
+    hits = cut(bm25(spark, d))
+    top = evaluate.top_results(hits.withColumn("paper_id", F.col("id").cast("string")), papers(spark, d))
+    shown = F.array_join(F.transform("top_results", lambda x: F.concat_ws("|", x["paper_id"], x["title"], F.format_string("%.4f", x["score"]))), ";")
+    r = recall_rows(spark, d, hits).join(top, "query_id", "left")
+    return r.select("query_id", *(F.array_join(c, ",").alias(c) for c in ("required", "found", "missed")), F.round("recall", 6).alias("recall"), F.coalesce(shown, F.lit("")).alias("top_results"))
 
 
 @query("j2_recall_summary", f"WITH {BM25}, {REQ} SELECT round(avg(recall), 3) AS mean_recall, count(*) FILTER (WHERE recall = 1) AS perfect, count(*) FILTER (WHERE recall = 0) AS zero, count(*) AS n FROM res")
@@ -481,7 +513,8 @@ def j2(spark, d):
 @query("j3_adjusted_recall", f"""
 WITH {BM25}, {REQ}, a AS (SELECT query_id, required AS gold, retrieved, list_filter(required, lambda x: CAST(x AS BIGINT) % 2 = 0) AS inside FROM res)
 SELECT query_id, round(CASE WHEN len(gold) = 0 THEN 0 ELSE len(list_intersect(gold, retrieved)) / len(gold) END, 6) AS citation_recall,
-round(CASE WHEN len(inside) = 0 THEN 0 ELSE len(list_intersect(inside, retrieved)) / len(inside) END, 6) AS adjusted_recall, len(inside) AS n_in_corpus FROM a""")
+round(CASE WHEN len(inside) = 0 THEN 0 ELSE len(list_intersect(inside, retrieved)) / len(inside) END, 6) AS adjusted_recall, len(inside) AS n_in_corpus,
+len(gold) > 0 AND len(list_intersect(gold, retrieved)) = len(gold) AS perfect, len(inside) > 0 AND len(list_intersect(inside, retrieved)) = len(inside) AS adjusted_perfect FROM a""")
 def j3(spark, d):
     r = recall_rows(spark, d).select("query_id", F.col("required").alias("gold"), F.col("retrieved").alias("cited"))
     out = evaluate.adjusted_recall(r, papers(spark, d).where("ordinal % 2 = 0"))
@@ -489,12 +522,14 @@ def j3(spark, d):
 
 
 @query("j4_j5_by_type", f"""
-WITH {BM25}, {REQ}, t AS (SELECT *, CASE query_id % 3 WHEN 0 THEN 'bridge' WHEN 1 THEN 'comparison' ELSE 'causal' END AS question_type, query_id % 10 = 9 AS bad FROM res WHERE query_id % 7 <> 0)
-SELECT question_type, count(*) AS n, count(*) FILTER (WHERE bad) AS n_errors, round(avg(recall), 6) AS mean_all, round(avg(recall) FILTER (WHERE NOT bad), 6) AS mean_valid FROM t GROUP BY 1""")
+WITH {BM25}, {REQ}, t AS (SELECT *, CASE query_id % 3 WHEN 0 THEN 'bridge' WHEN 1 THEN 'comparison' ELSE 'causal' END AS question_type, query_id % 10 = 9 AS bad, query_id % 4 AS s FROM res WHERE query_id % 7 <> 0)
+SELECT question_type, count(*) AS n, count(*) FILTER (WHERE bad) AS n_errors, count(*) FILTER (WHERE NOT bad AND s = 0) AS n_passed, count(*) FILTER (WHERE NOT bad AND s = 1) AS n_needs_revision, count(*) FILTER (WHERE NOT bad AND s = 2) AS n_failed, round(avg(recall), 6) AS mean_all, round(avg(recall) FILTER (WHERE NOT bad), 6) AS mean_valid FROM t GROUP BY 1""")
 def j5(spark, d):
     r = recall_rows(spark, d)
     kind = F.when(F.col("query_id") % 3 == 0, "bridge").when(F.col("query_id") % 3 == 1, "comparison").otherwise("causal")
-    r = evaluate.remaining(r, r.where("query_id % 7 = 0")).select("recall", kind.alias("question_type"), F.when(F.col("query_id") % 10 == 9, "error").otherwise("ok").alias("status"))
+    kinds = F.get(F.array(*map(F.lit, (*evaluate.STATUSES[:3], "unknown"))), (F.col("query_id") % 4).cast("int"))
+    status = F.when(F.col("query_id") % 10 == 9, "error").otherwise(kinds)
+    r = evaluate.remaining(r, r.where("query_id % 7 = 0")).select("recall", kind.alias("question_type"), status.alias("status"))
     return evaluate.by_type(r)
 
 
@@ -509,7 +544,7 @@ rows AS (SELECT query_id, recall, CASE WHEN recall = 0 THEN 'zero' WHEN recall <
 
 
 def failures(spark, d):
-    r = recall_rows(spark, d)
+    r = cut(recall_rows(spark, d))
     o = evaluate.title_overlap(r, papers(spark, d))
     r = r.join(o, "query_id", "left").withColumns({"max_overlap": F.coalesce("max_overlap", F.lit(0.0)), "closest": F.coalesce("closest", F.lit(""))})
     hint = evaluate.failure_hint(F.col("required"), F.col("missed"), F.col("retrieved"), F.array().cast("array<string>"), F.col("max_overlap"))
@@ -527,17 +562,21 @@ def j9(spark, d):
 
 
 @query("j10_judge_contexts", f"""
-WITH {EV}, t AS (SELECT DISTINCT query_id, paper_id, CAST(id AS VARCHAR) AS chunk_id, substr(text, 1, 600) AS text FROM ev),
+WITH {EV}, good AS (SELECT conv_id FROM conversations WHERE turn = 1 AND length(trim(text)) >= 100 AND conv_id % 4 <> 0),
+t AS (SELECT DISTINCT query_id, paper_id, CAST(id AS VARCHAR) AS chunk_id, substr(text, 1, 600) AS text FROM ev WHERE query_id IN (FROM good)),
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY paper_id, chunk_id) AS r FROM t),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY chunk_id) AS rank FROM a WHERE r <= 4) SELECT query_id, paper_id, chunk_id, text, rank FROM b WHERE rank <= 2""")
 def j10(spark, d):
+    """Second turns are the answers; every fourth cites nothing."""
+    said = table(spark, d, "conversations").where("turn = 1").select(F.col("conv_id").alias("query_id"), F.col("text").alias("answer"), F.when(F.col("conv_id") % 4 != 0, F.array(F.lit("p0"))).otherwise(F.array().cast("array<string>")).alias("citations"))
     e = evidence(spark, d).select("query_id", "paper_id", F.col("id").cast("string").alias("chunk_id"), "text")
-    return evaluate.judge_contexts(e, 4, 2)
+    return evaluate.judge_contexts(e.join(evaluate.judged_answers(said), "query_id", "left_semi"), 4, 2)
 
 
 @query("j11_j12_judge_scores", """
 WITH s AS (SELECT CASE WHEN l.doc_id % 6 = 0 THEN 0 ELSE quality * 0.75 END AS faithfulness, CASE WHEN toxic = 1 THEN 0 ELSE 0.5 END AS relevancy FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 11 <> 0)
-SELECT count(*) AS n, round(avg(coalesce(faithfulness, 0)), 4) AS mean_faithfulness, round(avg(coalesce(CASE WHEN faithfulness IS NULL THEN NULL ELSE relevancy END, 0)), 4) AS mean_relevancy FROM s""")
+SELECT count(*) AS n, round(avg(coalesce(faithfulness, 0)), 4) AS mean_faithfulness, round(avg(coalesce(CASE WHEN faithfulness IS NULL THEN NULL ELSE relevancy END, 0)), 4) AS mean_relevancy,
+round((avg(coalesce(faithfulness, 0)) + avg(coalesce(CASE WHEN faithfulness IS NULL THEN NULL ELSE relevancy END, 0))) / 2, 4) AS combined FROM s""")
 def j11(spark, d):
     lab = table(spark, d, "labels").select(
         F.col("doc_id").cast("string").alias("query_id"), F.when(F.col("doc_id") % 6 == 0, F.lit(float("nan"))).otherwise(F.col("quality") * 0.75).alias("faithfulness"), F.when(F.col("toxic") == 1, F.lit(None)).otherwise(0.5).alias("relevancy")
@@ -588,7 +627,7 @@ def j16(spark, d):
 
 @query("j17_quota_needs", """
 WITH h AS (SELECT CASE turn % 3 WHEN 0 THEN 'bridge' WHEN 1 THEN 'comparison' END AS question_type, count(*) AS have FROM conversations GROUP BY 1)
-SELECT question_type, greatest(target - coalesce(have, 0), 0) AS need FROM (VALUES ('bridge', 100), ('comparison', 500), ('causal', 10)) v(question_type, target) LEFT JOIN h USING (question_type)""")
+SELECT question_type, greatest(target - coalesce(have, 0), 0) AS need, CASE WHEN question_type = 'comparison' THEN 'pairs' ELSE 'triples' END AS source FROM (VALUES ('bridge', 100), ('comparison', 500), ('causal', 10)) v(question_type, target) LEFT JOIN h USING (question_type)""")
 def j17(spark, d):
     have = table(spark, d, "conversations").select(F.when(F.col("turn") % 3 == 0, "bridge").when(F.col("turn") % 3 == 1, "comparison").alias("question_type"))
     targets = spark.createDataFrame([("bridge", 100), ("comparison", 500), ("causal", 10)], "question_type string, target long")

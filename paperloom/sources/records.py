@@ -45,17 +45,23 @@ def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
     rows.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report(row: DataFrame, path: str) -> None:
-    row.write.mode("overwrite").json(path)
+def write_report(row: DataFrame, path: str, *by: str) -> None:
+    """JSON reports, in a folder of its own for each value of the columns in by."""
+    row.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def list_files(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """(path, length, paper_id) of files; contents are not read."""
+def list_files(spark: SparkSession, path: str, most: int | None = None, name: str = r"([^/]+?)(?:\.[A-Za-z]+)*$") -> DataFrame:
+    """(path, length, paper_id) of files; contents are not read. name finds the paper's id in the path: by default the file's name."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    d = d.withColumn("paper_id", F.regexp_extract("path", r"([^/]+?)(?:\.[A-Za-z]+)*$", 1))
+    d = d.withColumn("paper_id", F.regexp_extract("path", name, 1))
     return d.orderBy("path").limit(most) if most else d
 
 
+def with_files(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """The papers whose file is there."""
+    return papers.join(files.select("paper_id"), "paper_id", "left_semi")
+
+
 STRUCTURED = (
     "paper_id string, title string, authors array<string>, abstract string, "
     "sections array<struct<path:string,heading:string,section_num:string,paragraphs:array<string>,text:string>>, "
