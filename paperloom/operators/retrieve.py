@@ -18,41 +18,73 @@ BLOCK_NUMBERS = 1 << 22
 TILE = 128
 
 
+def cut_best(rows: pa.Table, k: int) -> pa.Table:
+    """The first k rows of each query by score, then id."""
+    rows = rows.sort_by([("query_id", "ascending"), ("score", "descending"), ("id", "ascending")])
+    if not rows.num_rows:
+        return rows
+    codes = rows.column("query_id").combine_chunks().dictionary_encode()
+    codes = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    rank = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    return rows.filter(pa.array(rank < k))
+
+
+def matrix(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    column = t.column("embedding")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+
+
+def best_products(left: pa.Table, right: pa.Table, k: int, digits: int) -> pa.Table:
+    """(query_id, id, score): of vectors (id, embedding) the best k for each query (query_id, embedding)."""
+    found = [pa.table({"query_id": right.column("query_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})]
+    if left.num_rows and right.num_rows:
+        e, m = matrix(left), matrix(right)
+        for a in range(0, len(m), TILE):
+            scores = np.round(e @ m[a : a + TILE].T, digits)
+            last = min(k, len(e))
+            worst = -np.partition(-scores, last - 1, axis=0)[last - 1]
+            row, col = np.nonzero(scores >= worst)  # ties at the edge are kept for the total order
+            found.append(pa.table({"query_id": right.column("query_id").take(pa.array(col + a)), "id": left.column("id").take(pa.array(row)), "score": pa.array(scores[row, col])}))
+    return cut_best(pa.concat_tables(found), k)
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
     """(query_id, id, score, rank): exact best k by dot product of unit vectors.
 
     vectors: id, embedding; queries: query_id, embedding. Vectors of another dimension than the queries', or null, match
-    nothing. Both sides are dealt in blocks of bounded size, and each block of vectors meets each block of queries in
-    one task, which keeps its best k per query; only these are ranked over the cluster. The driver sees counts alone.
+    nothing. Queries that fit one block (BLOCK_NUMBERS numbers, 32 MB) go to every task, and vectors are mapped where they lie. More
+    queries are dealt in blocks of that size and vectors too, and each block of vectors meets each block of queries in
+    one task. Either way a task keeps its best k per query and only these are ranked over the cluster.
     """
     kinds = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
     seen = queries.agg(F.max(F.size("embedding")).alias("dims"), F.count("*").alias("n")).first()
     dims = max(1, seen["dims"] or 1)
     rows = max(1, BLOCK_NUMBERS // dims)
     q_blocks = -(-seen["n"] // rows) or 1
-    v_blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // rows))
-
-    def dealt(d: DataFrame, name: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-        d = d.where(F.size("embedding") == dims).select(name, "embedding", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(own))
-        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    v = dealt(vectors, "id", "vb", v_blocks, "qb", q_blocks)
-    q = dealt(queries, "query_id", "qb", q_blocks, "vb", v_blocks)
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "id", "score"]
-        found = [pa.table({"query_id": right.column("query_id").slice(0, 0), "id": left.column("id").slice(0, 0), "score": pa.array([], pa.float64())})]
-        if left.num_rows and right.num_rows:
-            e, m = (t.column("embedding").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(t.num_rows, -1) for t in (left, right))
-            for a in range(0, len(m), TILE):
-                scores = np.round(e @ m[a : a + TILE].T, digits)
-                last = min(k, len(e))
-                worst = -np.partition(-scores, last - 1, axis=0)[last - 1]
-                row, col = np.nonzero(scores >= worst)  # ties at the edge are kept for the total order
-                found.append(pa.table({"query_id": right.column("query_id").take(pa.array(col + a)), "id": left.column("id").take(pa.array(row)), "score": pa.array(scores[row, col])}))
-        return pa.concat_tables(found).select(names)
-
-    out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(best, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+    fits, schema = F.size("embedding") == dims, f"query_id {kinds[1]}, id {kinds[0]}, score double"
+    if q_blocks == 1:
+        asked = queries.where(fits).select("query_id", "embedding").toArrow()
+
+        def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                own = best_products(pa.Table.from_batches([batch]), asked, k, digits)
+                best = own if best is None else cut_best(pa.concat_tables([best, own]), k)
+            yield from [] if best is None else best.to_batches()
+
+        out = vectors.where(fits).select("id", "embedding").mapInArrow(running, schema)
+    else:
+        v_blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // rows))
+
+        def dealt(d: DataFrame, name: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+            d = d.where(fits).select(name, "embedding", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(own))
+            return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+        v = dealt(vectors, "id", "vb", v_blocks, "qb", q_blocks)
+        q = dealt(queries, "query_id", "qb", q_blocks, "vb", v_blocks)
+        out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(lambda x, y: best_products(x, y, k, digits), schema)
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 
@@ -75,6 +107,7 @@ def diversify(fused: DataFrame, group: str, k: int, per_group: int = 1) -> DataF
     return top_k(capped, ["query_id"], _order(), k)
 
 
+# The fields of a retrieved row.
 #: A retrieved row, beside query_id: the chunk, its paper, its context, and how it was found.
 RESULT = (
     "id", "paper_id", "title", "section", "section_heading", "year", "text", "char_count", "parent_chunk_id", "extraction_method",

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from ..operators import answers, chunking, evaluate, index, retrieve
+from ..operators import answers, cells, chunking, evaluate, index, retrieve
 from ..operators.lineage import cut, shared_folder
 from ..operators.stored_index import StoredIndex
 from ..streaming import ingest
@@ -129,6 +129,18 @@ def h1(spark, d):
     return dense(spark, d)
 
 
+@query("h1_cells_top15", f"WITH {DENSE} SELECT query_id, id, score, rank FROM dense")
+def h1_cells(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return cells.Cells(e).search(e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 15)[0]
+
+
+@query("h1_hashed_top15")
+def h1_hashed(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return cells.hashed_search(e, e.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 15)
+
+
 # Sparse side of the fusion queries: the same vectors weighted by their ids, so both lists overlap in part.
 SP = """, sp AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
   (SELECT query_id, vec_id AS id, round(list_sum(list_transform(list_zip(e, embedding), lambda z: CAST(z[1] AS DOUBLE) * (CAST(z[2] AS DOUBLE) * ((vec_id * 7919) % 13)))), 5) AS score FROM qv, embeddings)) WHERE rank <= 10)"""
