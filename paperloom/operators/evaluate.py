@@ -234,26 +234,43 @@ def question_ids(existing: int, number: Column) -> Column:
     return F.format_string("Q%03d", (number + existing).cast("int"))
 
 
-def triples(pairs: DataFrame, papers: DataFrame, over: int = 20, head: int = 256) -> DataFrame:
+#: Words of first papers that are sent to all tasks at once; more are dealt by word.
+SENT_WORDS = 500_000
+
+
+def triples(pairs: DataFrame, papers: DataFrame, over: int = 20, head: int = 256, growth: int = 16) -> DataFrame:
     """Per pair (a, b) the most cited third paper with more than `over` words in common with a; distinct unordered triples.
 
-    papers: paper_id (unique), words (distinct array), citation_count. Words of the pairs' first papers meet the postings of
-    papers, and shared words are counted per pair of papers. The `head` most cited papers go first: a third paper found
-    among them is the best of all. Only pairs without one meet all papers. A pair whose triple another pair has gives no other.
+    papers: paper_id (unique), words (distinct array), citation_count (null counts as fewest). Third papers are met in citation order: first those
+    with as many citations as the `head` most cited, then down to the `head` * `growth` most cited, and so on, and a pair leaves as soon
+    as it has one, which is then the best of all. More than `over` common words include one that is not among a's `over` most frequent
+    ones, so only the others look for candidates. A pair whose triple another pair has gives no other.
     """
-
-    def best(pairs: DataFrame, thirds: DataFrame) -> DataFrame:
-        firsts = pairs.select(F.col("a").alias("paper_id")).distinct()
-        left = papers.where(F.size("words") > over).join(firsts, "paper_id", "left_semi").select(F.col("paper_id").alias("a"), F.explode("words").alias("word"))
-        w = thirds.where(F.size("words") > over).select("paper_id", "citation_count", F.explode("words").alias("word"))
-        common = left.join(w, "word").where("a <> paper_id").groupBy("a", "paper_id").agg(F.count("*").alias("n"), F.max("citation_count").alias("citation_count"))
-        third = pairs.join(common.where(F.col("n") > over), "a").where("paper_id <> b")
-        return top_k(third, ["a", "b"], [F.desc("citation_count"), F.col("paper_id")], 1).select("a", "b", "paper_id")
-
-    first = cut(best(pairs, papers.orderBy(F.desc("citation_count"), "paper_id").limit(head)))
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    found = first.unionByName(best(rest, papers))
-    s = F.array_sort(F.array("a", "b", "paper_id"))
+    wordy = papers.where(F.size("words") > over).select("paper_id", "words", F.coalesce("citation_count", F.lit(-1)).alias("cited"))
+    open_ = cut(pairs.select("a", "b").distinct())
+    firsts = wordy.join(open_.select(F.col("a").alias("paper_id")).distinct(), "paper_id", "left_semi")
+    first_words = firsts.select(F.col("paper_id").alias("a"), F.size("words").alias("n"), F.explode("words").alias("word"))
+    frequency = wordy.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("df", "word"))
+    rare = cut(first_words.join(frequency, "word").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - over).select("a", "word"))
+    n, found, high = wordy.count(), None, None
+    while True:
+        low = wordy.agg(F.percentile_approx("cited", max(0.0, 1 - head / max(n, 1)), 1_000_000)).first()[0] if head < n else None
+        some = wordy if low is None else wordy.where(F.col("cited") >= low)
+        some = some if high is None else some.where(F.col("cited") < high)
+        seeking = rare.join(open_.select("a").distinct(), "a", "left_semi")
+        seeking = F.broadcast(seeking) if seeking.count() <= SENT_WORDS else seeking
+        words = some.select(F.col("paper_id").alias("third"), "cited", F.explode("words").alias("word"))
+        met = words.join(seeking, "word").where("a <> third").groupBy("a", "third").agg(F.max("cited").alias("cited"))
+        near = met.join(firsts.select(F.col("paper_id").alias("a"), F.col("words").alias("wa")), "a").join(some.select(F.col("paper_id").alias("third"), "words"), "third")
+        near = near.where(F.size(F.array_intersect("wa", "words")) > over).select("a", "third", "cited")
+        best = top_k(open_.join(near, "a").where("third <> b"), ["a", "b"], [F.desc("cited"), F.col("third")], 1).select("a", "b", "third")
+        best = cut(best if found is None else found.unionByName(best))
+        found, open_ = best, cut(open_.join(best, ["a", "b"], "left_anti"))
+        if low is None or open_.isEmpty():
+            break
+        head, high = head * growth, low
+    s = F.array_sort(F.array("a", "b", "third"))
     return found.select(s[0].alias("p1"), s[1].alias("p2"), s[2].alias("p3")).distinct()
 
 
