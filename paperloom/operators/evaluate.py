@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from ..functions.sets import containment
 from ..functions.text import strip, tokenize
 from .index import top_k
 from .lineage import cut
+from .retrieve import cut_best
 
 LOW_RECALL = 0.4
 # Topics and the substrings that assign a paper to them.
@@ -234,37 +239,70 @@ def question_ids(existing: int, number: Column) -> Column:
     return F.format_string("Q%03d", (number + existing).cast("int"))
 
 
-#: Words of first papers that are sent to all tasks at once; more are dealt by word.
-SENT_WORDS = 500_000
+#: Words of first papers that are sent to all tasks at once; more are dealt by word. Rows that a task counts together.
+SENT_WORDS, COUNTED = 500_000, 64
+
+
+def _two_best(firsts: pa.Table, over: int):
+    """A map from papers (third, words, cited) to the best two for each first paper (a, words): (query_id, id, score) for (a, third, cited)."""
+    words = firsts.column("words").combine_chunks()
+    flat, owner = words.flatten(), np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    vocabulary = flat.unique()
+    code = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False)
+    order = np.argsort(code, kind="stable")
+    owner, sizes = owner[order], np.bincount(code, minlength=len(vocabulary))
+    starts, names = np.cumsum(sizes) - sizes, firsts.column("a").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for at in range(0, batch.num_rows, COUNTED):
+                part = batch.slice(at, COUNTED)
+                own = part.column("words")
+                row = np.repeat(np.arange(part.num_rows), pc.list_value_length(own).to_numpy(zero_copy_only=False))
+                known = pc.index_in(own.flatten(), value_set=vocabulary)
+                is_known = known.is_valid().to_numpy(zero_copy_only=False)
+                known, row = pc.fill_null(known, 0).to_numpy(zero_copy_only=False)[is_known], row[is_known]
+                n = sizes[known]
+                ends = np.cumsum(n)
+                first = owner[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[known] - (ends - n), n)]
+                shared = np.bincount(np.repeat(row, n) * len(words) + first, minlength=part.num_rows * len(words))
+                hit = np.flatnonzero(shared > over)
+                third, a = pa.array(hit // len(words)), pa.array(hit % len(words))
+                rows = pa.table({"query_id": names.take(a), "id": part.column("third").take(third), "score": part.column("cited").take(third)})
+                found.append(rows.filter(pc.not_equal(rows.column("query_id"), rows.column("id"))))
+            if found:
+                yield from cut_best(pa.concat_tables(found), 2).to_batches()
+
+    return run
 
 
 def triples(pairs: DataFrame, papers: DataFrame, over: int = 20, head: int = 256, growth: int = 16) -> DataFrame:
     """Per pair (a, b) the most cited third paper with more than `over` words in common with a; distinct unordered triples.
 
-    papers: paper_id (unique), words (distinct array), citation_count (null counts as fewest). Third papers are met in citation order: first those
-    with as many citations as the `head` most cited, then down to the `head` * `growth` most cited, and so on, and a pair leaves as soon
-    as it has one, which is then the best of all. More than `over` common words include one that is not among a's `over` most frequent
-    ones, so only the others look for candidates. A pair whose triple another pair has gives no other.
+    papers: paper_id (unique), words (distinct array), citation_count (null counts as fewest). Third papers are met in citation
+    order: first those with as many citations as the `head` most cited, then down to the `head` * `growth` most cited, and so on. A
+    pair leaves as soon as it has one, which is then the best of all. While the words of the first papers still sought for are few, they
+    go to every task and papers are counted where they lie, a task giving two for each first paper; else both sides meet by word.
+    A pair whose triple another pair has gives no other.
     """
-    wordy = papers.where(F.size("words") > over).select("paper_id", "words", F.coalesce("citation_count", F.lit(-1)).alias("cited"))
-    open_ = cut(pairs.select("a", "b").distinct())
-    firsts = wordy.join(open_.select(F.col("a").alias("paper_id")).distinct(), "paper_id", "left_semi")
-    first_words = firsts.select(F.col("paper_id").alias("a"), F.size("words").alias("n"), F.explode("words").alias("word"))
-    frequency = wordy.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("df", "word"))
-    rare = cut(first_words.join(frequency, "word").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - over).select("a", "word"))
+    wordy = papers.where(F.size("words") > over).select(F.col("paper_id").alias("third"), "words", F.coalesce("citation_count", F.lit(-1)).cast("long").alias("cited"))
+    open_, kind = cut(pairs.select("a", "b").distinct()), dict(papers.dtypes)["paper_id"]
     n, found, high = wordy.count(), None, None
     while True:
         low = wordy.agg(F.percentile_approx("cited", max(0.0, 1 - head / max(n, 1)), 1_000_000)).first()[0] if head < n else None
         some = wordy if low is None else wordy.where(F.col("cited") >= low)
         some = some if high is None else some.where(F.col("cited") < high)
-        seeking = rare.join(open_.select("a").distinct(), "a", "left_semi")
-        seeking = F.broadcast(seeking) if seeking.count() <= SENT_WORDS else seeking
-        words = some.select(F.col("paper_id").alias("third"), "cited", F.explode("words").alias("word"))
-        met = words.join(seeking, "word").where("a <> third").groupBy("a", "third").agg(F.max("cited").alias("cited"))
-        near = met.join(firsts.select(F.col("paper_id").alias("a"), F.col("words").alias("wa")), "a").join(some.select(F.col("paper_id").alias("third"), "words"), "third")
-        near = near.where(F.size(F.array_intersect("wa", "words")) > over).select("a", "third", "cited")
-        best = top_k(open_.join(near, "a").where("third <> b"), ["a", "b"], [F.desc("cited"), F.col("third")], 1).select("a", "b", "third")
+        firsts = wordy.join(open_.select(F.col("a").alias("third")).distinct(), "third", "left_semi").select(F.col("third").alias("a"), "words")
+        firsts = cut(firsts)
+        if (firsts.agg(F.sum(F.size("words"))).first()[0] or 0) <= SENT_WORDS:
+            met = some.mapInArrow(_two_best(firsts.toArrow(), over), f"query_id {kind}, id {kind}, score long").toDF("a", "third", "cited")
+        else:
+            words = some.select("third", "cited", F.explode("words").alias("word"))
+            met = words.join(firsts.select("a", F.explode("words").alias("word")), "word").where("a <> third").groupBy("a", "third").agg(F.count("*").alias("n"), F.max("cited").alias("cited"))
+            met = met.where(F.col("n") > over).select("a", "third", "cited")
+        met = top_k(met, ["a"], [F.desc("cited"), F.col("third")], 2)
+        best = top_k(open_.join(met.drop("rank"), "a").where("third <> b"), ["a", "b"], [F.desc("cited"), F.col("third")], 1).select("a", "b", "third")
         best = cut(best if found is None else found.unionByName(best))
         found, open_ = best, cut(open_.join(best, ["a", "b"], "left_anti"))
         if low is None or open_.isEmpty():

@@ -302,7 +302,9 @@ def test_tokens(spark):
 
 
 @pytest.mark.parametrize("head", [1, 3, 256])
-def test_triples_look_at_all_papers(spark, tmp_path, head):
+def test_triples_look_at_all_papers(spark, tmp_path, head, monkeypatch):
+    monkeypatch.setattr(evaluate, "SENT_WORDS", 0 if head == 3 else 10**6)  # both ways to count
+    monkeypatch.setattr(evaluate, "COUNTED", 7)
     rng = random.Random(head)
     some = [f"w{i}" for i in range(60)]
     docs = {i: " ".join(rng.sample(some, rng.randrange(20, 45) + i % 5)) for i in range(160)} | {50: "few words"}
