@@ -1,9 +1,9 @@
 """A BM25 index that is written once, kept between searches, and follows added and withdrawn papers.
 
-Postings lie in blocks, in directories by the hash of their term. A block holds one term's postings of the papers whose ids hash to
-the same number, about BLOCK papers, so that the block of any (term, paper) is known without a search. Beside its postings a block
-keeps its impacts, the shortest length for each frequency: the greatest score that any of its papers can have from
-the term follows from them at any average length, and is exact for later loads too.
+Postings lie in blocks, in directories by the hash of their term. BLOCK papers that were read one after another have one block number, and a
+block holds one term's postings of these papers. Blocks are made where the papers are read, without a shuffle. Beside its postings a
+block keeps its impacts, the shortest length for each frequency: the greatest score that any of its papers can have from
+the term follows from them at any average length, and is exact for later loads too. A directory of its own lists the papers of each number.
 
 Each load is a generation: its own postings and papers, and the whole corpus' term counts and totals as they are from then on. A
 generation counts once its commit is written; what a stopped load has left is never read. Withdrawn papers are
@@ -15,8 +15,12 @@ for the number and average length; an id that is there already is passed over; w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +28,10 @@ from ..functions.text import tokenize
 from .index import B, FLOOR, K1, top_k
 from .lineage import cut
 
-#: Papers that share a block number, about.
+#: Papers that share a block number.
 BLOCK = 32
+#: The directory of the papers themselves, beside those of the terms' hashes.
+PAPERS = -1
 #: Block numbers that a query's first estimate of the k-th score reads.
 FIRST = 16
 #: Scores are compared after rounding, so bounds give way by this much.
@@ -41,6 +47,36 @@ def _impact(f: Column, dl: Column, average: Column) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
 
 
+def as_blocks(tokens: pa.ListArray, ids: pa.Array, number: int) -> pa.RecordBatch:
+    """The blocks of some papers: a row for each term, and one without a term that lists the papers."""
+    dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    terms = len(coded.dictionary)
+    pairs, f = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    term, paper = np.concatenate([pairs // len(dl), np.full(len(dl), terms)]), np.concatenate([pairs % len(dl), np.arange(len(dl))])
+    f = np.concatenate([f, np.zeros(len(dl), np.int64)])
+    order = np.lexsort((dl[paper], f, term))  # of a frequency the shortest paper comes first
+    kept = np.concatenate([[True], (term[order][1:] != term[order][:-1]) | (f[order][1:] != f[order][:-1])])
+    best = order[kept]
+    ends = lambda t: pa.array(np.concatenate([[0], np.cumsum(np.bincount(t, minlength=terms + 1))]).astype(np.int32))
+    int_ = lambda x: pa.array(x.astype(np.int32))
+    impacts = pa.ListArray.from_arrays(ends(term[best]), pa.StructArray.from_arrays([int_(f[best]), int_(dl[paper[best]])], ["f", "dl"]))
+    postings = pa.ListArray.from_arrays(ends(term), pa.StructArray.from_arrays([ids.take(pa.array(paper)), int_(f), int_(dl[paper])], ["id", "f", "dl"]))
+    names = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([None], pa.string())])
+    return pa.RecordBatch.from_arrays([names, pa.array(np.full(terms + 1, number)), int_(np.bincount(term, minlength=terms + 1)), impacts, postings], ["term", "block", "n", "impacts", "postings"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            yield as_blocks(part.column("w"), part.column("id"), number)
+            number += 1
+
+
 class StoredIndex:
     """An index in a folder that all executors share."""
 
@@ -56,7 +92,7 @@ class StoredIndex:
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
         if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
             return []
-        schema = "gen int, since int, buckets int, blocks int, added long, withdrawn long, postings long, n long, length long, mean double, id_type string"
+        schema = "gen int, since int, buckets int, added long, withdrawn long, postings long, n long, length long, mean double, id_type string"
         rows = sorted((r.asDict() for r in self.spark.read.schema(schema).json(f"{self.path}/commits/*").collect()), key=lambda r: r["gen"])
         return [r for r in rows if r["gen"] >= rows[-1]["since"]]
 
@@ -65,14 +101,14 @@ class StoredIndex:
 
     def _table(self, row: dict, name: str) -> DataFrame:
         schemas = {
-            "papers": "id {0}, dl int", "withdrawn": "id {0}, dl int", "terms": "term string, df long, bucket int",
-            "postings": "term string, block int, n int, impacts array<struct<f:int,dl:int>>, postings array<struct<id:{0},f:int,dl:int>>, bucket int",
+            "withdrawn": "id {0}, dl int", "terms": "term string, df long, bucket int",
+            "postings": "term string, block long, n int, impacts array<struct<f:int,dl:int>>, postings array<struct<id:{0},f:int,dl:int>>, bucket int",
         }
         return self.spark.read.schema(schemas[name].format(row["id_type"])).parquet(f"{self.path}/gen-{row['gen']}/{name}")
 
     def _each(self, name: str, count: str) -> DataFrame | None:
-        """One table of all generations that have rows in it, with their number and number of blocks."""
-        parts = [self._table(c, name).withColumns({"gen": F.lit(c["gen"]), "blocks": F.lit(c["blocks"])}) for c in self.commits() if c[count]]
+        """One table of all generations that have rows in it, with their number."""
+        parts = [self._table(c, name).withColumn("gen", F.lit(c["gen"])) for c in self.commits() if c[count]]
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def _living(self, rows: DataFrame) -> DataFrame:
@@ -85,34 +121,33 @@ class StoredIndex:
 
     def papers(self) -> DataFrame | None:
         """(id, dl) of the papers in the index."""
-        rows = self._each("papers", "added")
-        return rows if rows is None else self._living(rows).select("id", "dl")
+        rows = self._each("postings", "added")
+        return rows if rows is None else self._living(rows.where(F.col("bucket") == PAPERS).select("gen", F.inline("postings"))).select("id", "dl")
 
     # -- loads
 
     def load(self, docs: DataFrame, id_column: str, text: Column) -> None:
-        """Adds the papers whose ids are new. The texts are read once; tokens are written, then counted."""
+        """Adds the papers whose ids are new. Texts are read once, and only ids beside them."""
         d = docs.select(F.col(id_column).alias("id"), text.alias("text")).where("id is not null")
+        twice = cut(d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+        if not twice.isEmpty():
+            d = d.join(twice, "id", "left_anti").unionByName(d.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
         have = self.papers()
         d = d.join(have.select("id"), "id", "left_anti") if have is not None else d
-        once = d.groupBy("id").agg(F.min("text").alias("text"))
-        row, home = self._next(dict(once.dtypes)["id"])
-        tokens = once.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-        tokens.write.mode("overwrite").parquet(f"{home}/tokens")
-        tokens = self.spark.read.schema(tokens.schema).parquet(f"{home}/tokens")
-        tokens.select("id", "dl").write.mode("overwrite").parquet(f"{home}/papers")
-        added, length = self._table(row, "papers").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-        row |= {"added": added, "n": row["n"] + added, "length": row["length"] + length, "blocks": max(1, -(-added // BLOCK))}
-        row["postings"] = self._write_blocks(tokens.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("f"), F.max("dl").alias("dl")), row)
-        self._finish(row, self._table(row, "postings").groupBy("term").agg(F.sum("n").alias("df")))
+        row = self._next(dict(d.dtypes)["id"])
+        self._write_blocks(d.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("w")), row)
+        own = self._table(row, "postings")
+        added, length = own.where(F.col("bucket") == PAPERS).select(F.inline("postings")).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        row |= {"added": added, "n": row["n"] + added, "length": row["length"] + length}
+        self._finish(row, own.where(F.col("bucket") != PAPERS).groupBy("term").agg(F.sum("n").alias("df")))
 
     def withdraw(self, ids: DataFrame) -> None:
         """Takes the papers of ids (id) out. Their postings are looked up, not rewritten."""
         have = self.papers()
         if have is None:
             return
-        row, home = self._next(self.commits()[0]["id_type"])
-        have.join(ids.select("id"), "id", "left_semi").write.mode("overwrite").parquet(f"{home}/withdrawn")
+        row = self._next(self.commits()[0]["id_type"])
+        have.join(ids.select("id"), "id", "left_semi").write.mode("overwrite").parquet(f"{self._home(row)}/withdrawn")
         lost = self._table(row, "withdrawn")
         withdrawn, length = lost.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         row |= {"withdrawn": withdrawn, "n": row["n"] - withdrawn, "length": row["length"] - length}
@@ -120,34 +155,34 @@ class StoredIndex:
         self._finish(row, held.groupBy("term").agg((-F.count("*")).alias("df")))
 
     def compact(self) -> None:
-        """Writes all generations as one, without the withdrawn papers."""
+        """Writes all generations as one, without the withdrawn papers; a paper's words are gathered again from its postings."""
         have = self.papers()
         if have is None:
             return
         last = self.commits()[-1]
-        row, home = self._next(last["id_type"])
-        row |= {"since": row["gen"], "added": row["n"], "blocks": max(1, -(-row["n"] // BLOCK))}
-        have.write.mode("overwrite").parquet(f"{home}/papers")
-        row["postings"] = self._write_blocks(self.postings(), row)
+        row = self._next(last["id_type"])
+        row |= {"since": row["gen"], "added": row["n"]}
+        words = self.postings().groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("f")))).alias("w"))
+        whole = have.select("id").join(words, "id", "left").select("id", F.coalesce("w", F.array().cast("array<string>")).alias("w"))
+        self._write_blocks(whole, row)
         self._finish(row, self._table(last, "terms").select("term", "df"), carry=False)
 
-    def _next(self, id_type: str) -> tuple[dict, str]:
+    def _next(self, id_type: str) -> dict:
         before = self.commits()
         last = before[-1] if before else {"gen": 0, "since": 1, "buckets": self.buckets, "n": 0, "length": 0}
-        row = {c: last[c] for c in ("since", "buckets", "n", "length")} | {"gen": last["gen"] + 1, "id_type": id_type, "blocks": 1, "added": 0, "withdrawn": 0, "postings": 0}
-        return row, f"{self.path}/gen-{row['gen']}"
+        return {c: last[c] for c in ("since", "buckets", "n", "length")} | {"gen": last["gen"] + 1, "id_type": id_type, "added": 0, "withdrawn": 0}
 
-    def _write_blocks(self, tf: DataFrame, row: dict) -> int:
-        """Postings (term, id, f, dl) as blocks. They are dealt once for both groupings, and a term of many papers in many blocks."""
-        block = F.pmod(F.xxhash64("id"), F.lit(row["blocks"])).cast("int").alias("block")
-        by_f = tf.select("term", block, "id", "f", "dl").repartition("term", "block").groupBy("term", "block", "f").agg(F.min("dl").alias("dl"), F.collect_list(F.struct("id", "f", "dl")).alias("p"))
-        blocks = by_f.groupBy("term", "block").agg(F.collect_list(F.struct("f", "dl")).alias("impacts"), F.flatten(F.collect_list("p")).alias("postings"))
-        blocks = blocks.select("term", "block", F.size("postings").alias("n"), "impacts", "postings", self._bucket(row["buckets"]))
-        self._write(blocks, row, "postings")
-        return self._table(row, "postings").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    def _home(self, row: dict) -> str:
+        return f"{self.path}/gen-{row['gen']}"
 
-    def _write(self, rows: DataFrame, row: dict, name: str) -> None:
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/gen-{row['gen']}/{name}")
+    def _write_blocks(self, tokens: DataFrame, row: dict) -> None:
+        """tokens (id, w) as blocks. Tasks are as many as shuffle partitions at most, and each writes one file a directory."""
+        t = row["id_type"]
+        blocks = tokens.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(
+            _blocks, f"term string, block long, n int, impacts array<struct<f:int,dl:int>>, postings array<struct<id:{t},f:int,dl:int>>"
+        )
+        bucket = F.when(F.col("term").isNull(), PAPERS).otherwise(self._bucket(row["buckets"])).alias("bucket")
+        blocks.select("*", bucket).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._home(row)}/postings")
 
     def _finish(self, row: dict, change: DataFrame, carry: bool = True) -> None:
         """Term counts from the last generation's and the change in them; then the commit."""
@@ -155,20 +190,22 @@ class StoredIndex:
         if before and carry:
             change = change.unionByName(self._table(before[-1], "terms").select("term", "df"))
         terms = change.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        self._write(terms.select("term", "df", self._bucket(row["buckets"])), row, "terms")
+        terms = terms.select("term", "df", self._bucket(row["buckets"])).repartition("bucket")
+        terms.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._home(row)}/terms")
         mean = self._table(row, "terms").agg(F.avg(_raw_idf(F.lit(row["n"]), F.col("df")))).first()[0]
         self._commit(row | {"mean": mean})
 
     @staticmethod
-    def _bucket(buckets: int) -> Column:
+    def _bucket(buckets) -> Column:
         return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
     # -- reading
 
     def blocks(self) -> DataFrame:
-        """(bucket, term, block, n, impacts, postings, gen, blocks) of all generations; postings may name withdrawn papers."""
-        rows = self._each("postings", "postings")
-        return rows if rows is not None else self._table(self.commits()[-1], "postings").withColumns({"gen": F.lit(0), "blocks": F.lit(1)}).where("false")
+        """(bucket, term, block, n, impacts, postings, gen) of all generations; postings may name withdrawn papers."""
+        rows = self._each("postings", "added")
+        rows = rows if rows is not None else self._table(self.commits()[-1], "postings").withColumn("gen", F.lit(0)).where("false")
+        return rows.where(F.col("bucket") != PAPERS)
 
     def postings(self) -> DataFrame:
         """(term, id, f, dl) of the papers in the index."""
