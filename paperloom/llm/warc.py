@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,10 +34,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from .common import scratch, table
 
 MAGIC = b"\x1f\x8b\x08"
+VERSION = re.compile(rb"WARC/\d+\.\d+")
 CHUNK = 1 << 20
 SPLIT = 16 << 20
-#: Bytes that are read and unpacked at a time to see a record's headers, and the most that headers may take.
-HEAD, MOST_HEADERS = 4096, 1 << 20
+#: Bytes that are read and unpacked first to see a record's headers; each further step takes twice as many.
+HEAD = 4096
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 WRITE_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -105,22 +107,40 @@ class _Window:
         return self.file.read_at(n, at) if n > 0 else b""
 
     def starts_record(self, at: int) -> bool:
-        """True if a gzip member begins here that decodes to a WARC record's headers, with a type and a length."""
-        unzip, head, place = zlib.decompressobj(31), b"", at
-        try:
-            while b"\r\n\r\n" not in head and len(head) <= MOST_HEADERS and not unzip.eof:
-                chunk = unzip.unconsumed_tail or self.read(place, HEAD)
-                if not chunk:
+        """True if a gzip member begins here that decodes to a WARC record's headers, with a type and a length.
+
+        Headers may be of any length; they are read line by line. What does not begin with a version line, or lacks these
+        two headers, is no record; one whose headers are cut off or damaged is an error, as it would be lost otherwise.
+        """
+        unzip, place, rest, first, step = zlib.decompressobj(31), at, b"", None, HEAD
+        kind = length = False
+        while True:
+            chunk = unzip.unconsumed_tail or self.read(place, step)
+            place += 0 if unzip.unconsumed_tail else len(chunk)
+            try:
+                rest += unzip.decompress(chunk, step) if chunk else b""
+            except zlib.error as error:
+                if first is None:
                     return False
-                place += 0 if unzip.unconsumed_tail else len(chunk)
-                head += unzip.decompress(chunk, HEAD)
-                if not head.startswith(b"WARC/"[: len(head)]):
+                raise ValueError(f"the record at {at} is damaged") from error
+            if first is None and not rest.startswith(b"WARC/"[: len(rest)]):
+                return False
+            *lines, rest = rest.split(b"\r\n")
+            for line in lines:
+                if first is None:
+                    first = line
+                    if not VERSION.fullmatch(first):
+                        return False
+                elif not line:
+                    return kind and length
+                name, colon, value = line.partition(b":")
+                kind |= bool(colon) and name.strip().lower() == b"warc-type" and bool(value.strip())
+                length |= bool(colon) and name.strip().lower() == b"content-length" and value.strip().isdigit()
+            step = min(2 * step, CHUNK)
+            if unzip.eof or not chunk:
+                if first is None:
                     return False
-        except zlib.error:
-            return False
-        block, blank, _ = head.partition(b"\r\n\r\n")
-        found = headers(block)
-        return bool(blank) and block.startswith(b"WARC/") and bool(found.get("warc-type")) and found.get("content-length", "").isdigit()
+                raise ValueError(f"the headers of the record at {at} are cut off")
 
     def find_record(self, start: int, end: int) -> int | None:
         """The first validated member that starts in [start, end)."""

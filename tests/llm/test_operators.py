@@ -332,6 +332,30 @@ def test_warc_needs_whole_headers():
         assert found == ["long", "long"]
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a/1", "x" * 2000), (2, "http://a/" + "u" * 2_000_000, "y" * 2000), (3, "http://a/3", "x" * 2000)], "page_id long, url string, html string")
+    warc.write_warc(warc.as_records(pages).coalesce(1), str(tmp_path / "w"))
+    for split in (300, 16 << 20):
+        got = warc.read_warc(spark, str(tmp_path / "w"), split).select(warc.page_of(F.col("record_id")).alias("p"), F.length("target_uri").alias("n"), "record_type").collect()
+        assert sorted(map(tuple, got)) == [(1, 10, "revisit"), (2, 2_000_009, "response"), (3, 10, "response")]
+
+
+def test_warc_unfinished_records_raise():
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    row = Row(record_id="urn:1", record_type="response", target_uri="http://a/" + "".join(random.Random(2).choices("abcdef0123456789", k=9000)), refers_to=None, payload_digest="00" * 20, payload_bytes=3, payload=b"abc")
+    good = warc.member(row)
+    text = gzip.decompress(good)
+    bad = {"cut off": good[: len(good) // 2], "no blank line": gzip.compress(text[: text.index(b"\r\n\r\n")]), "damaged": good[:4000] + b"\xff" * 50 + good[4050:]}
+    for name, tail in bad.items():
+        for data in (tail, good + tail):
+            with pytest.raises((ValueError, EOFError)):
+                list(warc.records(pa.BufferReader(data), len(data), 0, len(data)))
+    other = gzip.compress(b"no record at all")
+    assert len(list(warc.records(pa.BufferReader(other + good), len(other + good), 0, len(other + good)))) == 1
+
+
 def test_warc_leaves_no_temporary_files(tmp_path):
     writer = warc.WarcWriter({"path": str(tmp_path)}, False)
     (tmp_path / f"_{writer.run}-0-lost").write_text("of an executor that is gone")
