@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.sets import containment
 from ..functions.text import strip, tokenize
 from .index import top_k
-from .lineage import cut
+from .lineage import cut, sent
 from .retrieve import cut_best
 
 LOW_RECALL = 0.4
@@ -240,7 +240,7 @@ def question_ids(existing: int, number: Column) -> Column:
 
 
 #: Words of first papers that are sent to all tasks at once; more are dealt by word. Rows that a task counts together.
-SENT_WORDS, COUNTED = 500_000, 64
+SENT_WORDS, COUNTED = 4_000_000, 64
 
 
 def _two_best(firsts: pa.Table, over: int):
@@ -293,7 +293,7 @@ def triples(pairs: DataFrame, papers: DataFrame, over: int = 20, head: int = 256
         low = wordy.agg(F.percentile_approx("cited", max(0.0, 1 - head / max(n, 1)), 1_000_000)).first()[0] if head < n else None
         some = wordy if low is None else wordy.where(F.col("cited") >= low)
         some = some if high is None else some.where(F.col("cited") < high)
-        firsts = wordy.join(open_.select(F.col("a").alias("third")).distinct(), "third", "left_semi").select(F.col("third").alias("a"), "words")
+        firsts = wordy.join(sent(open_.select(F.col("a").alias("third")).distinct()), "third", "left_semi").select(F.col("third").alias("a"), "words")
         firsts = cut(firsts)
         if (firsts.agg(F.sum(F.size("words"))).first()[0] or 0) <= SENT_WORDS:
             met = some.mapInArrow(_two_best(firsts.toArrow(), over), f"query_id {kind}, id {kind}, score long").toDF("a", "third", "cited")

@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that may be sent to all executors, where a row holds a few short values.
+MOST_SENT = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df marked to be sent to all executors if it has at most so many rows; else as it is, for a join that deals both sides. df should be cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .index import B, FLOOR, K1, top_k
-from .lineage import cut
+from .lineage import cut, sent
 
 #: Papers that share a block number.
 BLOCK = 32
@@ -241,7 +241,7 @@ class StoredIndex:
 
     def search(self, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
         """(query_id, id, score, rank): bm25_search() over all stored blocks of the queries' terms."""
-        return self._best(self._score(self.blocks().join(self.asked(queries), ["bucket", "term"])), k, digits)
+        return self._best(self._score(self.blocks().join(sent(cut(self.asked(queries))), ["bucket", "term"])), k, digits)
 
     def pruned(self, queries: DataFrame, k: int, digits: int = 6) -> tuple[DataFrame, DataFrame]:
         """search() without the blocks that cannot reach the best k, and (query_id, postings, postings_read).
@@ -253,7 +253,7 @@ class StoredIndex:
         average, place = F.lit(self.totals()["avgdl"]), ["bucket", "term", "gen", "block"]
         blocks = self.blocks()
         best = F.array_max(F.transform("impacts", lambda x: _impact(x["f"], x["dl"], average)))
-        own = blocks.join(self.asked(queries), ["bucket", "term"])
+        own = blocks.join(sent(cut(self.asked(queries))), ["bucket", "term"])
         # bounds alone are read here, no postings; a term of negative weight adds nothing to a paper without it
         own = cut(own.select("query_id", *place, "weight", "n", F.greatest(F.col("weight") * best, F.lit(0.0)).alias("bound")))
         stored = blocks.select(*place, "postings")
@@ -261,12 +261,12 @@ class StoredIndex:
         first = cut(top_k(numbers, ["query_id"], [F.desc("bound"), F.col("gen"), F.col("block")], FIRST).drop("rank"))
 
         def scored(some: DataFrame) -> DataFrame:
-            mine = own.join(some.select("query_id", "gen", "block"), ["query_id", "gen", "block"], "left_semi").select("query_id", *place, "weight")
-            return self._score(mine.join(stored, place)).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+            mine = own.join(sent(some.select("query_id", "gen", "block")), ["query_id", "gen", "block"], "left_semi").select("query_id", *place, "weight")
+            return self._score(stored.join(sent(cut(mine)), place)).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
 
         seen = cut(scored(first))
         reached = top_k(seen, ["query_id"], [F.desc("s"), F.col("id")], k).where(F.col("rank") == k).select("query_id", (F.col("s") - SLACK).alias("reached"))
-        rest = numbers.join(first, ["query_id", "gen", "block"], "left_anti").join(reached, "query_id", "left")
+        rest = numbers.join(sent(first), ["query_id", "gen", "block"], "left_anti").join(reached, "query_id", "left")
         rest = cut(rest.where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached"))).select(*first.columns))
         read = first.unionByName(rest).groupBy("query_id").agg(F.sum("n").alias("postings_read"))
         counts = numbers.groupBy("query_id").agg(F.sum("n").alias("postings")).join(read, "query_id", "left")

@@ -11,7 +11,7 @@ from ..functions.text import tokenize
 from ..operators import answers, cells, chunking, evaluate, index, retrieve
 from ..operators.lineage import cut, shared_folder
 from ..operators.stored_index import StoredIndex
-from ..streaming import ingest
+from ..streaming import ingest, ledger
 from .adapters import CITATIONS, PAPERS, citations, papers, parts, queries, table
 from .corpus_queries import FLAT
 
@@ -700,6 +700,26 @@ def l1(spark, d):
     return spark.read.parquet(rows).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("l1_first_seen_state", "SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1")
+def l1_state(spark, d):
+    """The same from each key's own state: every kind of event of a user once."""
+    rows, state = _stream_paths(spark, "seen")
+    s = _events(spark, d).select("user_id", F.concat_ws("/", "user_id", "event_type").alias("key"), "ts")
+    with ledger.rocks(spark):
+        out = ledger.first_seen(s, "key", "ts", "4000 days", 4000 * 86_400_000)
+        out.writeStream.format("parquet").option("path", rows).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(rows).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("l3_keyed_ledger", "SELECT event_type AS k, min(ts) AS first FROM events GROUP BY 1 UNION ALL SELECT CAST(user_id AS VARCHAR), min(ts) FROM events GROUP BY 1")
+def l3_keyed(spark, d):
+    """When each user and each kind of event came first, from a ledger dealt by key; batches come in the order of time."""
+    rows, state = _stream_paths(spark, "keyed")
+    s = _events(spark, d).select(F.explode(F.array("event_type", F.col("user_id").cast("string"))).alias("k"), "ts")
+    ledger.start_keyed_ledger(s, rows, "k", "ts", state).awaitTermination()
+    return ledger.read_ledger(spark, rows, s.schema).select("k", F.col("ts").alias("first"))
+
+
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
