@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences, strip
@@ -222,3 +222,52 @@ def iterate(queries: DataFrame, search: Callable[[DataFrame, int], DataFrame], s
         if i + 1 < most and not open_.limit(1).count():
             break
     return results, trace
+
+
+class Rounds:
+    """Iterative retrieval that a stopped run takes up again.
+
+    Every round leaves its queries, its merged rows and its verdicts in folders of their own below path; a round counts once its `done` mark is
+    written, which comes last. run() goes on after the last round that counts: rounds that count are read, not searched again, and what a
+    stopped round has left is written anew. The rows and the trace equal iterate()'s.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _there(self, i: int) -> bool:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/round={i}/done/_SUCCESS")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def _table(self, i: int, name: str, rows: DataFrame | None = None) -> DataFrame:
+        path = f"{self.path}/round={i}/{name}"
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def run(self, queries: DataFrame, search: Callable[[DataFrame, int], DataFrame], sufficient: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], most: int = 2) -> tuple[DataFrame, DataFrame]:
+        """(rows, trace), as iterate() gives them."""
+        from .retrieve import merge_rounds
+
+        results, trace = None, None
+        for i in range(most):
+            if not self._there(i):
+                if i == 0:
+                    open_ = queries.select("query_id", "query")
+                else:
+                    good = self._table(i - 1, "verdicts").where("ok").select("query_id")
+                    open_ = rewrite(self._table(i - 1, "queries").join(good, "query_id", "left_anti")).select("query_id", "query")
+                open_ = self._table(i, "queries", open_)
+                found = self._table(i, "found", search(open_, i).select("query_id", "id", "rrf"))
+                merged = found if results is None else merge_rounds(results, found).select("query_id", "id", "rrf")
+                merged = self._table(i, "rows", merged)
+                self._table(i, "verdicts", sufficient(merged).select("query_id", "ok"))
+                self._table(i, "done", self.spark.range(1))
+            asked = self._table(i, "queries")
+            results = self._table(i, "rows")
+            step = asked.select("query_id", F.lit(i).alias("iteration"), F.lit("retrieve").alias("step"), F.col("query").alias("detail"))
+            trace = step if trace is None else trace.unionAll(step)
+            good = self._table(i, "verdicts").where("ok").select("query_id")
+            if i + 1 < most and asked.join(good, "query_id", "left_anti").isEmpty():
+                break
+        return results, trace

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.sets import norm
@@ -51,10 +51,36 @@ def validate(chunks: DataFrame) -> DataFrame:
     flat = chunks.agg(*sums)
     names = [(n, s) for n, (s, _) in checks(chunks).items()] + [(f"null_{c}", "critical") for c in REQUIRED]
     tidy = flat.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.lit(s).alias("severity"), F.col(n).alias("n")) for n, s in names))).alias("x")).select("x.*")
+    return tidy.unionAll(between_rows(chunks))
+
+
+def between_rows(chunks: DataFrame) -> DataFrame:
+    """The checks of validate() that compare rows."""
     twice = chunks.groupBy("chunk_id").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n"))
     orphans = orphan_children(chunks).agg(F.count("*").alias("n"))
     add = lambda d, n: d.select(F.lit(n).alias("check"), F.lit("critical").alias("severity"), "n")
-    return tidy.unionAll(add(twice, "duplicate_id")).unionAll(add(orphans, "orphan_child"))
+    return add(twice, "duplicate_id").unionAll(add(orphans, "orphan_child"))
+
+
+def observed(chunks: DataFrame, name: str = "chunk checks") -> tuple[DataFrame, Observation]:
+    """chunks with the row checks of validate() counted as they pass: whatever writes them fills the observation."""
+    o = Observation(name)
+    sums = [F.count_if(c).alias(n) for n, (_, c) in checks(chunks).items()] + [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in REQUIRED]
+    return chunks.observe(o, *sums, F.count("*").alias("rows")), o
+
+
+def write_validated(chunks: DataFrame, path: str) -> DataFrame:
+    """Writes chunks by type and returns validate()'s report on them: the row checks are counted while they are written.
+
+    Repeated ids and orphans are facts about pairs of rows: they are counted afterwards from the written ids, types and parents, not from
+    the texts. The chunks are computed once.
+    """
+    rows, o = observed(chunks)
+    rows.write.mode("overwrite").partitionBy("chunk_type").parquet(path)
+    spark, seen = chunks.sparkSession, o.get
+    kinds = [(n, s) for n, (s, _) in checks(chunks).items()] + [(f"null_{c}", "critical") for c in REQUIRED]
+    tidy = spark.createDataFrame([(n, s, seen[n]) for n, s in kinds], "check string, severity string, n long")
+    return tidy.unionAll(between_rows(spark.read.schema(chunks.schema).parquet(path)))
 
 
 def orphan_children(chunks: DataFrame, null_too: bool = False) -> DataFrame:

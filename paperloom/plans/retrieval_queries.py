@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import uuid
 
@@ -462,21 +463,48 @@ def i16(spark, d):
     return o.select("query_id", answers.next_step(F.col("overall"), F.col("query_id") % 3, 2, F.col("query_id") % 4 != 0).alias("step"))
 
 
-@query("i17_i18_iterate", f"""
+I17 = f"""
 WITH {BM25}, good AS (SELECT query_id FROM sparse GROUP BY 1 HAVING max(score) > 60),
 q2 AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({TOK.format("text || ' methods'")}) AS term FROM benchmark) GROUP BY ALL),
 sc2 AS (SELECT query_id, id, round(sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM st)))), 6) AS score FROM q2 JOIN tf USING (term) JOIN idf USING (term) WHERE query_id NOT IN (FROM good) GROUP BY 1, 2),
 more AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc2) WHERE rank <= 20 AND score > 0),
 every AS (SELECT query_id, id FROM sparse UNION SELECT query_id, id FROM more)
-SELECT query_id, count(*) AS n_rows, CASE WHEN query_id IN (FROM good) THEN 0 ELSE 1 END AS last_iteration FROM every GROUP BY query_id""")
+SELECT query_id, count(*) AS n_rows, CASE WHEN query_id IN (FROM good) THEN 0 ELSE 1 END AS last_iteration FROM every GROUP BY query_id"""
+
+
+@query("i17_i18_iterate", I17)
 def i17(spark, d):
-    ix = index.bm25_index(table(spark, d, "documents"), "doc_id", F.col("text"))
-    rows, trace = answers.iterate(
+    return _rounds(answers.iterate(*_steps(spark, d)))
+
+
+@query("i17_resumed_rounds", I17)
+def i17_resumed(spark, d):
+    """The same by a run that stops in its second round and is taken up again."""
+    path, (asked, search, *more) = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}", _steps(spark, d)
+
+    def stopping(q, i):
+        if i:
+            raise InterruptedError
+        return search(q, i)
+
+    with contextlib.suppress(InterruptedError):
+        answers.Rounds(spark, path).run(asked, stopping, *more)
+    return _rounds(answers.Rounds(spark, path).run(asked, search, *more))
+
+
+def _steps(spark, d):
+    """Queries, and how they are searched, judged and rewritten."""
+    ix = stored(spark, d)
+    return (
         queries(spark, d),
-        lambda q, i: index.bm25_search(ix, q, 10 * (i + 1)).select("query_id", "id", F.col("score").alias("rrf")),
+        lambda q, i: ix.search(q, 10 * (i + 1)).select("query_id", "id", F.col("score").alias("rrf")),
         lambda r: r.groupBy("query_id").agg((F.max("rrf") > 60).alias("ok")),
         lambda q: q.withColumn("query", F.concat("query", F.lit(" methods"))),
     )
+
+
+def _rounds(done):
+    rows, trace = done
     n = rows.groupBy("query_id").agg(F.count("*").alias("n_rows"))
     return n.join(trace.groupBy("query_id").agg(F.max("iteration").alias("last_iteration")), "query_id")
 
