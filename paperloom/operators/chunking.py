@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,67 +19,80 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     return F.filter(F.transform(F.split(text, separator), strip), lambda p: p != "")
 
 
-def pack(text: Column, size: int, overlap: int = OVERLAP, longer_than: int = 80, separator: str = "\n\n") -> Column:
-    """Packs paragraphs up to `size` characters; a short last paragraph is carried over into the next chunk."""
-    joined = lambda parts: F.array_join(parts, separator)
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("n")
-    )
+#: Places that a fold goes over before it puts aside what it has added.
+GROUP = 256
 
-    def step(s: Column, p: Column) -> Column:
-        last = F.try_element_at(s["open"], F.lit(-1))
-        carry = F.length(last) <= overlap * 3
-        full = (s["n"] + F.length(p) > size) & (F.size(s["open"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(s["done"], joined(s["open"]))).otherwise(s["done"]).alias("done"),
-            F.when(full & carry, F.array(last, p)).when(full, F.array(p)).otherwise(F.array_append(s["open"], p)).alias("open"),
-            F.when(full & carry, F.length(last) + F.length(p)).when(full, F.length(p)).otherwise(s["n"] + F.length(p)).alias("n"),
-        )
 
-    def finish(s: Column) -> Column:
-        return F.when(F.size(s["open"]) > 0, F.array_append(s["done"], joined(s["open"]))).otherwise(s["done"])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    return F.filter(F.aggregate(paragraphs(text, separator), start, step, finish), lambda c: F.length(c) > longer_than)
 
+def folded(items: Column, kind: str, rest: dict[str, Column], step: Callable, finish: Callable) -> Column:
+    """array<kind> of what a fold over the places of items adds, in order, in time that grows with items as they do.
 
-def split_flat(text: Column, size: int = 512, overlap: int = 50, separator: str = "\n\n") -> Column:
-    """Flat chunks: as pack over paragraphs of more than 50 characters, but a paragraph above the size is cut
-    at sentences, each piece beginning with the last sentence of the piece before."""
-    limit, carry_up_to = size * 3, overlap * 3
-    none = F.array().cast("array<string>")
-    paras = F.filter(paragraphs(text, separator), lambda p: F.length(p) > 50)
+    step(xs, s, i) gives the next state: `done`, what s["done"] was with more at its end, and the fields of rest. finish(xs, s)
+    gives an array of what the end adds. Arrays are copied when they grow, so every GROUP places done is put aside and begins empty.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    fields = lambda s: [s[c].alias(c) for c in rest]
 
-    def cut(p: Column) -> Column:
-        start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
+    def whole(xs: Column) -> Column:
+        n = F.size(xs)
 
-        def step(s: Column, x: Column) -> Column:
-            full = (s["n"] + F.length(x) > limit) & (F.size(s["open"]) > 0)
-            last = F.try_element_at(s["open"], F.lit(-1))
-            return F.struct(
-                F.when(full, F.array_append(s["done"], F.array_join(s["open"], " "))).otherwise(s["done"]).alias("done"),
-                F.when(full, F.array(last, x)).otherwise(F.array_append(s["open"], x)).alias("open"),
-                F.when(full, F.length(last) + F.length(x)).otherwise(s["n"] + F.length(x)).alias("n"),
-            )
+        def group(s: Column, g: Column) -> Column:
+            places = F.filter(F.transform(F.sequence(F.lit(0), F.lit(GROUP - 1)), lambda j: g * GROUP + j), lambda i: i < n)
+            inner = F.aggregate(places, F.struct(none.alias("done"), *fields(s)), lambda a, i: step(xs, a, i))
+            return let(inner, lambda a: F.struct(F.array_append(s["groups"], a["done"]).alias("groups"), *fields(a)))
 
-        return F.aggregate(
-            sentences(p), start, step, lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], F.array_join(s["open"], " "))).otherwise(s["done"])
-        )
+        start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("groups"), *(v.alias(c) for c, v in rest.items()))
+        groups = F.sequence(F.lit(0), F.greatest(F.ceil(n / GROUP).cast("int") - 1, F.lit(0)))
+        return let(F.aggregate(groups, start, group), lambda s: F.concat(F.flatten(s["groups"]), finish(xs, s)))
 
-    flush = lambda s: F.when(F.size(s["open"]) > 0, F.array_append(s["done"], F.array_join(s["open"], "\n\n"))).otherwise(s["done"])
+    return let(items, whole)
 
-    def step(s: Column, p: Column) -> Column:
-        big = F.length(p) > limit
-        full = ~big & (s["n"] + F.length(p) > limit) & (F.size(s["open"]) > 0)
-        last = F.try_element_at(s["open"], F.lit(-1))
-        carry = F.length(last) <= carry_up_to
-        return F.struct(
-            F.when(big, F.concat(flush(s), cut(p))).when(full, flush(s)).otherwise(s["done"]).alias("done"),
-            F.when(big, none).when(full & carry, F.array(last, p)).when(full, F.array(p)).otherwise(F.array_append(s["open"], p)).alias("open"),
-            F.when(big, 0).when(full & carry, F.length(last) + F.length(p)).when(full, F.length(p)).otherwise(s["n"] + F.length(p)).alias("n"),
-        )
 
-    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
-    return F.filter(F.aggregate(paras, start, step, flush), lambda c: F.length(c) > 150)
+def _cut(items: Column, size: int, carried: Callable[[Column], Column], separator: str, alone: Callable[[Column], Column] | None = None, parts: Callable[[Column], Column] | None = None) -> Column:
+    """Packs neighbouring items up to `size` characters. A chunk is a run of places, joined when it is closed: the state holds only
+    where it begins and how long it is. The next chunk begins with the last item of the one before if carried() says so. Items
+    that are alone() close a chunk and add their own parts().
+    """
+    chunk = lambda xs, a, z: F.array_join(F.slice(xs, a + 1, z - a), separator)
+
+    def step(xs: Column, s: Column, i: Column) -> Column:
+        x, last = F.get(xs, i), F.get(xs, i - 1)
+        is_open = s["start"] < i
+        full = is_open & (s["n"] + F.length(x) > size)
+        carry = full & carried(last)
+        closed = F.array_append(s["done"], chunk(xs, s["start"], i))
+        done = F.when(full, closed).otherwise(s["done"])
+        start = F.when(carry, i - 1).when(full, i).otherwise(s["start"])
+        n = F.when(carry, F.length(last) + F.length(x)).when(full, F.length(x)).otherwise(s["n"] + F.length(x))
+        if alone is not None:
+            done = F.when(alone(x), F.concat(F.when(is_open, closed).otherwise(s["done"]), parts(x))).otherwise(done)
+            start, n = F.when(alone(x), i + 1).otherwise(start), F.when(alone(x), 0).otherwise(n)
+        return F.struct(done.alias("done"), start.alias("start"), n.alias("n"))
+
+    def finish(xs: Column, s: Column) -> Column:
+        return F.when(s["start"] < F.size(xs), F.array(chunk(xs, s["start"], F.size(xs)))).otherwise(F.array().cast("array<string>"))
+
+    return folded(items, "string", {"start": F.lit(0), "n": F.lit(0)}, step, finish)
+
+
+def pack(text: Column, size: int, overlap: int = OVERLAP, longer_than: int = 80, separator: str = "\n\n") -> Column:
+    """Packs paragraphs up to `size` characters; a short last paragraph is carried over into the next chunk."""
+    chunks = _cut(paragraphs(text, separator), size, lambda last: F.length(last) <= overlap * 3, separator)
+    return F.filter(chunks, lambda c: F.length(c) > longer_than)
+
+
+def split_flat(text: Column, size: int = 512, overlap: int = 50, separator: str = "\n\n") -> Column:
+    """Flat chunks: as pack over paragraphs of more than 50 characters, but a paragraph above the size is cut
+    at sentences, each piece beginning with the last sentence of the piece before."""
+    limit = size * 3
+    paras = F.filter(paragraphs(text, separator), lambda p: F.length(p) > 50)
+    pieces = lambda p: _cut(sentences(p), limit, lambda _: F.lit(True), " ")
+    chunks = _cut(paras, limit, lambda last: F.length(last) <= overlap * 3, "\n\n", lambda p: F.length(p) > limit, pieces)
+    return F.filter(chunks, lambda c: F.length(c) > 150)
 
 
 def flat_chunks(papers: DataFrame, text: Column, separator: str = "\n\n") -> DataFrame:
@@ -89,23 +104,22 @@ def flat_chunks(papers: DataFrame, text: Column, separator: str = "\n\n") -> Dat
 
 def sections(text: Column) -> Column:
     """array<struct(heading, text)> of raw lines; text before the first heading is HEADER."""
-    none = F.array().cast("array<struct<heading:string,text:string>>")
-    lines = F.array().cast("array<string>")
+    kind = "struct<heading:string,text:string>"
 
-    def close(s: Column) -> Column:
-        body = strip(F.array_join(s["lines"], "\n"))
-        return F.when(body != "", F.array_append(s["done"], F.struct(s["heading"].alias("heading"), body.alias("text")))).otherwise(s["done"])
+    def closed(xs: Column, s: Column, end: Column) -> Column:
+        body = strip(F.array_join(F.slice(xs, s["start"] + 1, end - s["start"]), "\n"))
+        return let(body, lambda b: F.when(b != "", F.array(F.struct(s["heading"].alias("heading"), b.alias("text")))).otherwise(F.array().cast(f"array<{kind}>")))
 
-    def step(s: Column, x: Column) -> Column:
-        head = F.rlike(strip(x), F.lit(HEADING)) & (F.length(strip(x)) < 80)
+    def step(xs: Column, s: Column, i: Column) -> Column:
+        x = strip(F.get(xs, i))
+        head = F.rlike(x, F.lit(HEADING)) & (F.length(x) < 80)
         return F.struct(
-            F.when(head, close(s)).otherwise(s["done"]).alias("done"),
-            F.when(head, strip(x)).otherwise(s["heading"]).alias("heading"),
-            F.when(head, lines).otherwise(F.array_append(s["lines"], x)).alias("lines"),
+            F.when(head, F.concat(s["done"], closed(xs, s, i))).otherwise(s["done"]).alias("done"),
+            F.when(head, i + 1).otherwise(s["start"]).alias("start"),
+            F.when(head, x).otherwise(s["heading"]).alias("heading"),
         )
 
-    start = F.struct(none.alias("done"), F.lit("HEADER").alias("heading"), lines.alias("lines"))
-    return F.aggregate(F.split(text, "\n"), start, step, close)
+    return folded(F.split(text, "\n"), kind, {"start": F.lit(0), "heading": F.lit("HEADER")}, step, lambda xs, s: closed(xs, s, F.size(xs)))
 
 
 def good_section(heading: Column, text: Column, fallback: bool = False) -> Column:
