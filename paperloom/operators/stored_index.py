@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from .index import B, FLOOR, K1, top_k
-from .lineage import cut, sent
+from .lineage import MOST_SENT, cut, sent
+from .retrieve import cut_best
 
 #: Papers that share a block number.
 BLOCK = 32
+#: Block numbers whose papers are scored in one task.
+RANGE = 32
 #: The directory of the papers themselves, beside those of the terms' hashes.
 PAPERS = -1
 #: Block numbers that a query's first estimate of the k-th score reads.
@@ -77,6 +80,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
+def _range_scores(asked: pa.Table, average: float | None, k: int, digits: int):
+    """A map from blocks (term, postings) of some papers to their best k for each query: (query_id, id, score)."""
+    coded = asked.column("query_id").combine_chunks().dictionary_encode()
+    queries, query = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    words = asked.column("term").combine_chunks().dictionary_encode()
+    order = np.argsort(words.indices.to_numpy(zero_copy_only=False), kind="stable")
+    query, weight = query[order], asked.column("weight").to_numpy()[order]
+    many = np.bincount(words.indices.to_numpy(zero_copy_only=False), minlength=len(words.dictionary))
+    starts = np.cumsum(many) - many
+
+    def run(blocks: pa.Table) -> pa.Table:
+        blocks = blocks.combine_chunks()
+        column = blocks.column("postings").combine_chunks()
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        held = column.flatten()
+        f, dl = (held.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("f", "dl"))
+        impact = f * (K1 + 1) / (f + K1 * (1 - B + B * dl / average))
+        ids = held.field("id").dictionary_encode()
+        paper = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        term = pc.index_in(blocks.column("term"), value_set=words.dictionary).to_numpy()
+        found = [pa.table({"query_id": queries.slice(0, 0), "id": ids.dictionary.slice(0, 0), "score": pa.array([], pa.float64())})]
+        scores, met = np.zeros(len(ids.dictionary) * len(queries)), np.zeros(len(ids.dictionary) * len(queries), bool)
+        ends = np.cumsum(sizes)
+        for t, a, z in zip(term.tolist(), (ends - sizes).tolist(), ends.tolist()):
+            own = slice(starts[t], starts[t] + many[t])
+            at = (paper[a:z, None] * len(queries) + query[own]).ravel()  # a term has a paper, and a query a term, once
+            scores[at] += (impact[a:z, None] * weight[own]).ravel()
+            met[at] = True
+        hit = np.flatnonzero(met)
+        rows = {"query_id": queries.take(pa.array(hit % len(queries))), "id": ids.dictionary.take(pa.array(hit // len(queries))), "score": np.round(scores[hit], digits)}
+        return cut_best(pa.concat_tables([*found, pa.table(rows)]), k)
+
+    return run
+
+
 class StoredIndex:
     """An index in a folder that all executors share."""
 
@@ -240,8 +278,21 @@ class StoredIndex:
         return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k).where("score > 0")
 
     def search(self, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-        """(query_id, id, score, rank): bm25_search() over all stored blocks of the queries' terms."""
-        return self._best(self._score(self.blocks().join(sent(cut(self.asked(queries))), ["bucket", "term"])), k, digits)
+        """(query_id, id, score, rank): bm25_search() over all stored blocks of the queries' terms.
+
+        While the queries' terms are few enough to be sent to all executors and no paper is withdrawn, blocks meet by the range of
+        papers that they are about, each range is scored in one task, and its best k per query leave it. Else every
+        posting's share of a score is dealt by query and paper.
+        """
+        asked = cut(self.asked(queries))
+        blocks, kinds = self.blocks(), dict(asked.dtypes)["query_id"]
+        if self._each("withdrawn", "withdrawn") is not None or asked.limit(MOST_SENT + 1).count() > MOST_SENT:
+            return self._best(self._score(blocks.join(asked, ["bucket", "term"])), k, digits)
+        terms = F.broadcast(asked.select("bucket", "term").distinct())  # MOST_SENT rows at most
+        found = blocks.join(terms, ["bucket", "term"]).select("gen", F.expr(f"block div {RANGE}").alias("range"), "term", "postings")
+        average = self.totals()["avgdl"]
+        scored = found.groupBy("gen", "range").applyInArrow(_range_scores(asked.toArrow(), average, k, digits), f"query_id {kinds}, id {self.commits()[-1]['id_type']}, score double")
+        return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k).where("score > 0")
 
     def pruned(self, queries: DataFrame, k: int, digits: int = 6) -> tuple[DataFrame, DataFrame]:
         """search() without the blocks that cannot reach the best k, and (query_id, postings, postings_read).
