@@ -18,7 +18,8 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, shuffle_parts, table, written
 
 SLOTS, KICKS = 4, 200
-#: Rows that a shard of the index is meant to take in, and distinct digests that a map task combines at once.
-SHARD_KEYS, COMBINE = 2_000, 100_000
+#: Rows that a shard of the index is meant to take in, and digests that a map task keeps an eye on, those met last.
+SHARD_KEYS, HOT = 2_000, 256
 
 
 class CuckooFilter:
@@ -97,12 +98,14 @@ class CuckooFilter:
 class Shard:
     """One shard of the index: the filter and the stored content it is verified against.
 
-    hits and false_hits count the filter's answers that the content confirmed and refuted.
+    hits and false_hits count the filter's answers that the content confirmed and refuted. overflow holds digests whose
+    64-bit keys the filter can't take at any size, as more of them are equal than two buckets have cells.
     """
 
     def __init__(self, buckets: int = 64) -> None:
         self.filter, self.content, self.resizes = CuckooFilter(buckets), {}, 0
         self.hits = self.false_hits = 0
+        self.overflow: set[str] = set()
 
     @staticmethod
     def key(digest: str) -> int:
@@ -110,7 +113,7 @@ class Shard:
 
     def find(self, digest: str):
         """The stored value of a live digest, else None."""
-        if self.key(digest) not in self.filter:
+        if self.key(digest) not in self.filter and digest not in self.overflow:
             return None
         value = self.content.get(digest)
         self.hits += value is not None
@@ -119,8 +122,8 @@ class Shard:
 
     def insert(self, digest: str, value) -> None:
         self.content[digest] = value
-        if not self.filter.add(self.key(digest)):
-            self.resize()
+        if not self.filter.add(self.key(digest)) and not self.resize():
+            self.overflow.add(digest)
 
     def take_in(self, digest: str, keep: int | None, size: int) -> None:
         """A document, or several of one digest: inserted if new, else joined to the verified owner."""
@@ -135,19 +138,21 @@ class Shard:
         if self.find(digest) is None:
             return False
         del self.content[digest]
+        if digest in self.overflow:
+            self.overflow.discard(digest)
+            return True
         return self.filter.remove(self.key(digest))
 
-    def resize(self) -> None:
-        """A filter of twice the buckets, refilled from the stored keys."""
-        buckets = self.filter.buckets
-        while True:
-            buckets *= 2
-            if buckets > 64 * (len(self.content) + 64):
-                raise ValueError("equal 64-bit keys fill more than two buckets")
+    def resize(self) -> bool:
+        """A filter of twice the buckets, refilled from the stored keys; False, and the old one, if no size takes them all."""
+        buckets = 2 * self.filter.buckets
+        while buckets <= 64 * (len(self.content) + 64):
             fresh = CuckooFilter(buckets)
-            if all(fresh.add(self.key(d)) for d in self.content):
+            if all(fresh.add(self.key(d)) for d in self.content if d not in self.overflow):
                 self.filter, self.resizes = fresh, self.resizes + 1
-                return
+                return True
+            buckets *= 2
+        return False
 
 
 def digests(docs: DataFrame, *also: str) -> DataFrame:
@@ -159,28 +164,33 @@ def digests(docs: DataFrame, *also: str) -> DataFrame:
 INDEX = "text_sha256 string, keep_id long, group_size long"
 
 
-def _rows(content: dict, names: tuple[str, ...] = ("text_sha256", "keep_id", "group_size")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(content), pa.string()), pa.array([v[0] for v in content.values()], pa.int64()), pa.array([v[1] for v in content.values()], pa.int64())], list(names)
-    )
+def _rows(rows: Iterable[tuple[str, tuple[int | None, int]]]) -> pa.RecordBatch:
+    rows = list(rows)
+    columns = [pa.array([d for d, _ in rows], pa.string()), *(pa.array([v[i] for _, v in rows], pa.int64()) for i in (0, 1))]
+    return pa.RecordBatch.from_arrays(columns, ["text_sha256", "keep_id", "group_size"])
 
 
 def combined(keys: DataFrame) -> DataFrame:
-    """(text_sha256, keep_id, group_size): each map task's own equal digests as one row, as long as its table has room."""
+    """(text_sha256, keep_id, group_size): rows of a digest that come soon after one another in a map task as one row.
+
+    The HOT digests that were met last are kept; the one not met for longest gives way to a new one and is sent. So a hot text
+    is one row, or few, a task, and copies that lie apart reach the index by themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int | None, int]] = {}
+        held: OrderedDict[str, tuple[int | None, int]] = OrderedDict()
         for b in batches:
+            sent = []
             for digest, doc in zip(b.column("text_sha256").to_pylist(), b.column("doc_id").to_pylist(), strict=True):
-                old = held.get(digest)
+                old = held.pop(digest, None)
                 if old is None:
+                    if len(held) >= HOT:
+                        sent.append(held.popitem(last=False))
                     held[digest] = doc, 1
                 else:
                     held[digest] = doc if old[0] is None or (doc is not None and doc < old[0]) else old[0], old[1] + 1
-            if len(held) > COMBINE:
-                yield _rows(held)
-                held.clear()
-        yield _rows(held)
+            yield _rows(sent)
+        yield _rows(held.items())
 
     return keys.select("doc_id", "text_sha256").mapInArrow(run, INDEX)
 
@@ -188,7 +198,7 @@ def combined(keys: DataFrame) -> DataFrame:
 def build_index(keys: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     """The live index of (doc_id, text_sha256): one row per digest with its smallest doc_id and its count.
 
-    A hot text reaches its shard as one row per map task and full table. `removed` (text_sha256) names digests to
+    A hot text reaches its shard as few rows per map task. `removed` (text_sha256) names digests to
     delete after the insertions.
     """
     parts = shuffle_parts(keys.sparkSession)
@@ -205,13 +215,13 @@ def build_index(keys: DataFrame, removed: DataFrame | None = None) -> DataFrame:
         for b in batches:
             for here, digest, keep, size, gone in zip(*(b.column(c).to_pylist() for c in ("shard", "text_sha256", "keep_id", "group_size", "gone")), strict=True):
                 if here != number:
-                    yield _rows(shard.content)
+                    yield _rows(shard.content.items())
                     number, shard = here, Shard()
                 if gone:
                     shard.delete(digest)
                 else:
                     shard.take_in(digest, keep, size)
-        yield _rows(shard.content)
+        yield _rows(shard.content.items())
 
     return dealt.mapInArrow(load, INDEX)
 

@@ -219,6 +219,31 @@ def test_the_index_decides(spark):
     assert got == {(str(k), k, len(range(k, 900, 7))) for k in range(7)}
 
 
+def test_the_filter_meets_the_copies_of_real_tables(sf_docs):
+    """Rows as the map tasks send them: copies that lie apart are found by the filter, not before it."""
+    sf_docs = sf_docs.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = exact_dedup.combined(exact_dedup.digests(sf_docs)).collect()
+    shard = exact_dedup.Shard()
+    for r in rows:
+        shard.take_in(r.text_sha256, r.keep_id, r.group_size)
+    assert shard.hits == len(rows) - len(shard.content) > 0
+    assert sum(n for _, n in shard.content.values()) == sf_docs.count()
+
+
+def test_more_equal_keys_than_cells():
+    shard = exact_dedup.Shard(2)
+    same = [f"{i:08x}" + "ab" * 8 + "0" * 40 for i in range(20)]  # one 64-bit key
+    for k in range(2):
+        for i, d in enumerate(same):
+            shard.take_in(d, 100 * k + i, 1)
+    assert shard.content == {d: (i, 2) for i, d in enumerate(same)} and shard.overflow
+    others = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(500)]
+    for d in others:
+        shard.take_in(d, 1, 1)
+    assert all(shard.delete(d) for d in same) and not shard.overflow and set(shard.content) == set(others)
+    assert all(shard.find(d) == (1, 1) for d in others)
+
+
 def test_index_deletes_live_digests(spark):
     keys = spark.createDataFrame([(1, "a" * 64), (2, "a" * 64), (3, "b" * 64)], "doc_id long, text_sha256 string")
     gone = spark.createDataFrame([("b" * 64,), ("c" * 64,)], "text_sha256 string")
