@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.sets import containment
 from ..functions.text import strip, tokenize
 from .index import top_k
-from .lineage import cut, sent
+from .lineage import cut, sent, stored
 from .retrieve import cut_best
 
 LOW_RECALL = 0.4
@@ -287,6 +287,7 @@ def triples(pairs: DataFrame, papers: DataFrame, over: int = 20, head: int = 256
     A pair whose triple another pair has gives no other.
     """
     wordy = papers.where(F.size("words") > over).select(F.col("paper_id").alias("third"), "words", F.coalesce("citation_count", F.lit(-1)).cast("long").alias("cited"))
+    wordy = stored(wordy, "words")  # read again and again, mostly one column or few rows of it
     open_, kind = cut(pairs.select("a", "b").distinct()), dict(papers.dtypes)["paper_id"]
     n, found, high = wordy.count(), None, None
     while True:

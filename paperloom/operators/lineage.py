@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its columns can be read apart, and filters reach its files. It stays there for the user to clear."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     """df marked to be sent to all executors if it has at most so many rows; else as it is, for a join that deals both sides. df should be cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
