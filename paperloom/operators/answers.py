@@ -34,6 +34,7 @@ TYPE_WORDS = (
 def tolerant_json(raw: Column) -> Column:
     """A JSON object out of a response: as it is, fenced, inside text, or cut at the last brace; null if hopeless."""
     raw = strip(raw)
+    # How a response fences an object.
     fenced = F.regexp_extract(raw, r"(?s)```\s*(?:json)?\s*(\{.*?\})\s*```", 1)
     inside = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
     upto = F.regexp_extract(raw, r"(?s)^(.*\})", 1)
@@ -186,6 +187,7 @@ def answer_status(verdicts: DataFrame) -> DataFrame:
 
 
 def strip_unsupported(answer: Column) -> Column:
+    # The marker's two forms.
     return squeeze(F.regexp_replace(F.regexp_replace(answer, r"\(UNSUPPORTED[^)]*\)", ""), r"\[/?UNSUPPORTED[^\]]*\]", ""))
 
 
