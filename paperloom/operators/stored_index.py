@@ -33,6 +33,8 @@ from .retrieve import cut_best
 BLOCK = 32
 #: Block numbers whose papers are scored in one task.
 RANGE = 32
+#: Directories of terms that an index has, unless told otherwise, at most; and the form of its files, for the names of indexes that are kept.
+BUCKETS, FORM = 64, 1
 #: The directory of the papers themselves, beside those of the terms' hashes.
 PAPERS = -1
 #: Block numbers that a query's first estimate of the k-th score reads.
@@ -120,7 +122,7 @@ class StoredIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or min(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     # -- generations
 

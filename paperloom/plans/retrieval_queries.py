@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokenize
 from ..operators import answers, cells, chunking, evaluate, index, retrieve
 from ..operators.lineage import cut, shared_folder
-from ..operators.stored_index import StoredIndex
+from ..operators.stored_index import FORM, StoredIndex
 from ..streaming import ingest, ledger
 from .adapters import CITATIONS, PAPERS, citations, papers, parts, queries, table
 from .corpus_queries import FLAT
@@ -47,7 +47,7 @@ def stored(spark, d):
     path = jvm.org.apache.hadoop.fs.Path(place)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
     state = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
-    ix = StoredIndex(spark, f"{shared_folder(spark)}/bm25-{hashlib.md5(repr(state).encode()).hexdigest()}")
+    ix = StoredIndex(spark, f"{shared_folder(spark)}/bm25-{FORM}-{hashlib.md5(repr(state).encode()).hexdigest()}")
     if not ix.commits():
         ix.load(table(spark, d, "documents"), "doc_id", F.col("text"))
     return ix
