@@ -1,18 +1,20 @@
 """Quality rules and robust multivariate outliers, in DataFrame functions alone.
 
 Counts of words, symbols, repeated lines and repeated 3-word windows come from higher-order functions on
-the row. Each document's transformed statistic vector is then judged within its language and source, or, where
-these have too few judged rows for a fit of their own, within its language, and else among all rows: a
+the row. Each document's transformed statistic vector is then judged within its language and source: a
 minimum-covariance-determinant fit gives centre and scatter, and the squared Mahalanobis distance is held
-against a fixed quantile. The fit begins at several places in each group (medians and quartile ranges, the same with
+against a fixed quantile. There is a fit for every language and source, one for every language and one of all rows.
+A group's own fit counts with weight n / (n + SHRINK), n being its judged rows, and that of its parent, shrunk in
+the same way, with the rest, so no size of a group changes the rule. The scatter of all rows is shrunk towards
+fixed wide deviations. The fit begins at several places in each group (medians and quartile ranges, the same with
 correlations of squashed scores, small random subsets), takes two concentration steps on the most central share of the
 rows from each, goes on from the one with the least determinant, and ends when no step lowers it. All
 passes are grouped sums and grouped histograms, which are combined before the shuffle, so a source with a
 third of all rows is no larger for one task than any other.
 
 Defined results: null text has no words (base_failed is true below 50 words); null lang and null source are
-groups of their own; repeated rows are judged alike; a table under MIN_GROUP judged rows in all rejects
-nothing; an empty table gives an empty result; other columns are ignored.
+groups of their own; a group without judged rows takes its parent's fit, and without judged rows at all distances
+are null; repeated rows are judged alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ CORE = 0.75
 STARTS, SUBSET = 5, 12
 #: Concentration steps from each start, and the fall of the log determinant below which a step counts as none.
 STEPS, SETTLED = 2, 1e-6
-#: Groups with fewer judged rows have no reliable scatter; their rows are held against a wider group.
-MIN_GROUP = 50
+#: Judged rows at which a group's own fit and its parent's count the same.
+SHRINK = 100
+#: Parts that the rows of a group are dealt to where they meet its fits, as a language may hold all rows.
+PARTS = 16
 #: Squared distance beyond which a vector is an outlier: about the 1 - 1e-9 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 47.0
 #: Standard deviation added to each transformed statistic: most texts have no repeated line or window at
 #: all, and without it a statistic that is constant in the core would make every other value an outlier.
 #: The last one leaves room below the base rule: repeated windows alone reject from about 0.41 above the centre (47 ** 0.5 * 0.06), and 0.5 is the base rule's bound.
 FLOORS = (0.05, 0.03, 0.02, 0.06)
+#: Standard deviations that the scatter of all rows is shrunk towards.
+PRIOR = (0.15, 0.09, 0.06, 0.18)
 #: Histogram steps for the logarithm of a squared distance and for a statistic.
 FINE = 64
 
@@ -129,16 +135,9 @@ def _key(level: int) -> Column:
     return F.struct(F.lit(level).alias("k_level"), (F.col("lang") if level < 2 else none).alias("k_lang"), (F.col("source") if level < 1 else none).alias("k_source"))
 
 
-def _levels(stats: DataFrame) -> DataFrame:
-    """Adds `judged_by`, the key of the narrowest group with enough judged rows, and `fits`, the keys of all fits that the row enters."""
-    own = written(stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("own_n")), "sizes")
-    few, wide = F.col("own_n") < MIN_GROUP, F.col("lang_n") >= MIN_GROUP
-    by_lang = own.groupBy("lang").agg(F.sum("own_n").alias("lang_n"), F.bool_or(few).alias("lang_few"))
-    total = by_lang.agg(F.coalesce(F.bool_or(~wide), F.lit(False)).alias("all_few"))
-    sizes = _join_groups(own, by_lang, ("lang",)).crossJoin(total)
-    fits = F.array_compact(F.array(F.when(~few, _key(0)), F.when(F.col("lang_few") & wide, _key(1)), F.when(F.col("all_few"), _key(2))))
-    out = _join_groups(stats, sizes, ("lang", "source"))
-    return out.withColumns({"judged_by": F.when(~few, _key(0)).when(wide, _key(1)).otherwise(_key(2)), "fits": fits}).drop("own_n", "lang_n", "lang_few", "all_few")
+def _meet(rows: DataFrame, groups: DataFrame, keys: tuple[str, ...] = GROUP) -> DataFrame:
+    """rows with their groups' rows, each part of a group's rows with a copy; rows hold `part`."""
+    return _join_groups(rows, groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), (*keys, "part"), "inner")
 
 
 #: A fit under way: groups may have several, one per start.
@@ -172,15 +171,15 @@ def _moments(rows: DataFrame) -> DataFrame:
     return _factor(rows.groupBy(*TRIAL).agg(*sums))
 
 
-def _factor(out: DataFrame) -> DataFrame:
+def _factor(out: DataFrame, floors: tuple[float, ...] = FLOORS, keys: tuple[str, ...] = TRIAL) -> DataFrame:
     for i, j in PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        cell = F.sqrt(F.greatest(rest, F.lit(0.0)) + FLOORS[i] ** 2) if i == j else rest / F.col(f"l{j}{j}")
+        cell = F.sqrt(F.greatest(rest, F.lit(0.0)) + floors[i] ** 2) if i == j else rest / F.col(f"l{j}{j}")
         out = out.withColumn(f"l{i}{j}", cell)
     log_det = F.log("l00") + F.log("l11") + F.log("l22") + F.log("l33")
-    return out.withColumn("log_det", 2 * log_det).select(*TRIAL, *FIT)
+    return out.withColumn("log_det", 2 * log_det).select(*keys, *FIT)
 
 
 def _distance() -> Column:
@@ -203,7 +202,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     for i, v in enumerate(VECTOR):
         mid = _join_groups(mid, _quantile(rows, v, {f"lo{i}": 0.25, f"m{i}": 0.5, f"hi{i}": 0.75}))
     mid = written(mid.withColumns({f"s{i}": F.greatest((F.col(f"hi{i}") - F.col(f"lo{i}")) / 1.349, F.lit(FLOORS[i])) for i in range(4)}), "mcd")
-    squashed = _join_groups(rows, mid).select(*GROUP, *(F.tanh((F.col(v) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i, v in enumerate(VECTOR)))
+    squashed = _meet(rows, mid).select(*GROUP, *(F.tanh((F.col(v) - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"t{i}") for i, v in enumerate(VECTOR)))
     alike = squashed.groupBy(*GROUP).agg(*(F.covar_pop(f"t{i}", f"t{j}").alias(f"r{i}{j}") for i, j in PAIRS))
     both = _join_groups(mid, alike).withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
 
@@ -216,20 +215,21 @@ def _starts(rows: DataFrame) -> DataFrame:
     fits = _factor(both.withColumns({f"c{i}{j}": cell(i, j) for i, j in PAIRS}))
     turns = F.explode(F.array(*(F.lit(k) for k in range(2, STARTS))))
     luck = F.pmod(F.xxhash64(*VECTOR, "start"), F.lit(1 << 30)) / (1 << 30)
-    few = _join_groups(rows, mid.select(*GROUP, "group_n")).withColumn("start", turns).where(luck < SUBSET / F.col("group_n"))
+    few = _meet(rows, mid.select(*GROUP, "group_n")).withColumn("start", turns).where(luck < SUBSET / F.col("group_n"))
     return fits.unionByName(_moments(few))
 
 
 def _concentrated(rows: DataFrame, fits: DataFrame) -> DataFrame:
     """One concentration step: the moments of the share of rows that each fit finds most central."""
-    near = _join_groups(rows, fits.select(*TRIAL, *FIT), how="inner").withColumn("ld", F.log(_distance() + 1e-9)).select(*TRIAL, *VECTOR, "ld")
+    near = _meet(rows, fits.select(*TRIAL, *FIT)).withColumn("ld", F.log(_distance() + 1e-9)).select(*TRIAL, "part", *VECTOR, "ld")
     edge = _quantile(near, "ld", {"edge": CORE}, TRIAL)
-    return _moments(_join_groups(near, edge, TRIAL).where("ld <= edge"))
+    return _moments(_meet(near, edge, TRIAL).where("ld <= edge"))
 
 
 def mcd_fit(rows: DataFrame) -> DataFrame:
     """Per key of GROUP: centre, factor and the scale that makes the median distance that of a normal cloud."""
     steps, kept = Rounds(), Rounds()
+    rows = rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
     fits = steps.written(_starts(rows), "mcd")
     for _ in range(STEPS):
         fits = steps.written(_concentrated(rows, fits), "mcd")
@@ -242,21 +242,53 @@ def mcd_fit(rows: DataFrame) -> DataFrame:
         fit = kept.written(both.select(*GROUP, "start", *(F.when(lower, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in FIT), lower.alias("moving")), "mcd")
         moving = fit.where("moving").count()
     fit = fit.drop("start", "moving")
-    near = _join_groups(rows, fit).withColumn("ld", F.log(_distance() + 1e-9))
+    near = _meet(rows, fit).withColumn("ld", F.log(_distance() + 1e-9))
     # 3.357 is the median of chi-square with 4 degrees of freedom; the core's covariance is never scaled down
     scale = _quantile(near, "ld", {"mid": 0.5}).withColumn("scale", F.greatest(F.exp("mid") / 3.357, F.lit(1.0)))
     size = rows.groupBy(*GROUP).agg(F.count("*").alias("group_n"))
     return written(_join_groups(_join_groups(fit, scale.drop("mid")), size), "mcd")
 
 
+def _scatter(fit: DataFrame) -> DataFrame:
+    """A fit's scaled covariance c_ij in place of its factor, and its own weight."""
+    cells = {f"c{i}{j}": F.col("scale") * sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j + 1)), F.lit(0.0)) for i, j in PAIRS}
+    return fit.withColumns({**cells, "weight": F.col("group_n") / (F.col("group_n") + SHRINK)})
+
+
+CENTRE, CELLS = tuple(f"m{i}" for i in range(4)), tuple(f"c{i}{j}" for i, j in PAIRS)
+
+
+def shrunk(fit: DataFrame, groups: DataFrame) -> DataFrame:
+    """Per row of groups (lang, source): centre and factor of its own fit, shrunk towards its language's and that of all rows."""
+    part = _scatter(fit)
+
+    def mixed(children: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        w = F.coalesce("weight", F.lit(0.0))
+        both = (w * F.coalesce(c, F.lit(0.0)) + (1 - w) * F.col(f"up_{c}") for c in (*CENTRE, *CELLS))
+        return children.select(*keys, *(x.alias(c) for x, c in zip(both, (*CENTRE, *CELLS), strict=True)))
+
+    def above(d: DataFrame) -> DataFrame:
+        return d.withColumnsRenamed({c: f"up_{c}" for c in (*CENTRE, *CELLS)})
+
+    def level(k: int, keys: tuple[str, ...]) -> DataFrame:
+        return part.where(F.col("k_level") == k).select(*(F.col(f"k_{c}").alias(c) for c in keys), "weight", *CENTRE, *CELLS)
+
+    wide = {f"up_{c}": F.col(c) for c in CENTRE} | {f"up_c{i}{j}": F.lit(PRIOR[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    top = above(mixed(level(2, ()).withColumns(wide), ()))
+    langs = _join_groups(groups.select("lang").distinct(), level(1, ("lang",)), ("lang",)).crossJoin(top)  # top is one row
+    langs = written(above(mixed(langs, ("lang",))), "mcd")
+    own = _join_groups(_join_groups(groups.select("lang", "source"), level(0, ("lang", "source")), ("lang", "source")), langs, ("lang",))
+    return _factor(mixed(own, ("lang", "source")), (0.0,) * 4, ("lang", "source"))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics, squared robust distance and verdict of every document."""
-    stats = _levels(written(vectors(statistics(docs)), "stats"))
-    rows = stats.where("not base_failed").select(*VECTOR, F.explode("fits").alias("k")).select(*VECTOR, "k.*")
+    stats = written(vectors(statistics(docs)), "stats")
+    rows = stats.where("not base_failed").select(*VECTOR, F.explode(F.array(*(_key(k) for k in range(3)))).alias("k")).select(*VECTOR, "k.*")
     fit = mcd_fit(written(rows, "rows"))
-    out = _join_groups(stats.select("*", "judged_by.*").drop("judged_by", "fits"), fit).withColumn("distance", _distance() / F.col("scale"))
-    outlier = (F.col("group_n") >= MIN_GROUP) & (F.col("distance") > CUTOFF)
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False)))
+    fits = written(shrunk(fit, stats.select("lang", "source").distinct()), "mcd")
+    out = _join_groups(stats, fits, ("lang", "source")).withColumn("distance", _distance())
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False)))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -830,7 +830,7 @@ def test_repetition_alone_is_an_outlier(spark):
     assert all(r.kept == (r.doc_id < 200) for r in got)
 
 
-def test_small_sources_are_held_against_wider_groups(spark):
+def test_outliers_of_small_sources_go(spark):
     rng = random.Random(4)
     rows = []
     for i in range(330):
@@ -881,3 +881,77 @@ def test_minimum_determinant_against_numpy(spark):
     assert set(got) == set(want)
     for g, r in got.items():  # steps of the histogram leave the core a few rows larger or smaller
         assert abs(r.log_det - want[g]) < 0.25, (g, r.log_det, want[g])
+
+
+def numpy_fit(x, rng, starts=60):
+    """Centre, scaled scatter of the least determinant over CORE shares cut at the same steps as the fit's histograms."""
+    floors, fine = np.diag(np.square(quality_rules.FLOORS)), quality_rules.FINE
+
+    def distances(mean, cov):
+        return np.log((((x - mean) @ np.linalg.inv(cov)) * (x - mean)).sum(axis=1) + 1e-9)
+
+    def step(ld, share):
+        bins = np.sort(np.floor(ld * fine))
+        return (bins[int(np.ceil(share * len(x))) - 1] + 1) / fine
+
+    best = None
+    for _ in range(starts):
+        rows, last = x[rng.choice(len(x), min(12, len(x)), replace=False)], np.inf
+        for turn in range(40):
+            mean, cov = rows.mean(axis=0), np.cov(rows.T, bias=True).reshape(4, 4) + floors
+            now = np.linalg.slogdet(cov)[1]
+            if turn and now >= last - 1e-9:
+                break
+            if turn and (best is None or now < best[0]):
+                best = now, mean, cov
+            last = now if turn else np.inf
+            ld = distances(mean, cov)
+            rows = x[ld <= step(ld, quality_rules.CORE)]
+    _, mean, cov = best
+    return mean, cov * max(np.exp(step(distances(mean, cov), 0.5)) / 3.357, 1.0)
+
+
+def test_groups_of_every_size_are_shrunk_alike(spark):
+    """Sources of 1 to 60 rows: distances and verdicts of a NumPy version, and no step between a source of 49 rows and one of 50."""
+    rng, words = np.random.default_rng(5), random.Random(5)
+    rows = []
+    for s, n in enumerate([1, 2, 3, 5, 8, 13, 25, 49, 50, 60]):
+        for i in range(n):
+            w = plain_words(words, words.randrange(60, 300))
+            if i % 9 == 3:
+                w = [x + "$$$" for x in w]
+            rows.append((len(rows), " ".join(w), "en" if s % 3 else None, f"s{s}" if s else None))
+    stats = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    x = stats[list(quality_rules.VECTOR)].to_numpy()
+    lang, source = stats["lang"].fillna("?"), stats["source"].fillna("?")
+
+    def mixed(members, parent):
+        mean, cov = numpy_fit(x[members], rng)
+        w = members.sum() / (members.sum() + quality_rules.SHRINK)
+        up_mean, up_cov = parent or (mean, np.diag(np.square(quality_rules.PRIOR)))
+        return w * mean + (1 - w) * up_mean, w * cov + (1 - w) * up_cov
+
+    top = mixed(lang.notna(), None)
+    for k in set(lang):
+        wide = mixed(lang == k, top)
+        for s in set(source[lang == k]):
+            members = (lang == k) & (source == s)
+            mean, cov = mixed(members, wide)
+            z = x[members] - mean
+            want = (z @ np.linalg.inv(cov) * z).sum(axis=1)
+            assert np.allclose(stats["distance"][members], want, rtol=0.1, atol=0.05), (k, s, stats["distance"][members].to_numpy(), want)
+            assert (stats["kept"][members] == (want <= quality_rules.CUTOFF)).all()
+    junk = {i for i, t, *_ in rows if "$" in t}
+    assert (stats["kept"] == ~stats["doc_id"].isin(junk)).all()
+
+
+def test_a_group_without_judged_rows_has_its_parents_fit(spark):
+    words = random.Random(6)
+    rows = [(i, " ".join(plain_words(words, 100)), "en", "a") for i in range(20)] + [(20, "few words", "en", "b"), (21, "few words", "fr", None)]
+    schema = "doc_id long, text string, lang string, source string"
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert len(got) == 22 and all(r.distance is not None and r.kept == (r.doc_id < 20) for r in got.values())
+    alone = quality_rules.judge(spark.createDataFrame(rows[:1], schema)).collect()
+    assert [(r.kept, round(r.distance, 9)) for r in alone] == [(True, 0.0)]
+    none = quality_rules.judge(spark.createDataFrame(rows[20:], schema)).collect()
+    assert [(r.kept, r.distance) for r in none] == [(False, None)] * 2
