@@ -5,8 +5,8 @@ rule fits is labelled with its verdict. Trees are grown level by level from grou
 scoring is one nested CASE expression over binned features, so a full table is judged in a single map.
 
 Training rests on at most TRAIN_ROWS labelled URLs (those with the smallest hash). Suffix statistics are the
-smoothed share of allowed URLs per last host label in that sample; a training row has that of the other half of the
-sample, so that it never sees its own label.
+smoothed shares of allowed URLs in that sample per last host label and per folder that the path ends in; a training row
+has those of the other half of the sample, so that it never sees its own label.
 
 Defined results: a null url, or one without "://", has empty host and path and is judged by the trees; without
 labels of both kinds the trees answer with the only kind there is (allow when there is none); repeated rows are
@@ -33,8 +33,11 @@ RULES = (
 )
 
 TRAIN_ROWS = 20_000
-TREES, DEPTH, RATE, RIDGE, BINS = 10, 2, 0.3, 1.0, 8
-FEATURES = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params", "f_suffix")
+TREES, DEPTH, RATE, RIDGE, BINS = 20, 3, 0.3, 1.0, 16
+LEXICAL = ("f_length", "f_depth", "f_digits", "f_entropy", "f_params")
+#: Suffix statistics and the column whose values they are counted for.
+SUFFIXES = {"f_suffix": "suffix", "f_folder": "folder"}
+FEATURES = (*LEXICAL, *SUFFIXES)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,8 +66,14 @@ def entropy(text: Column) -> Column:
     return F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))
 
 
+def last_folder(path: Column) -> Column:
+    """The part before the last one: `de` of /de/6609.html and of /x/de/6609/; empty if there is none."""
+    two = F.substring_index(F.rtrim(path, F.lit("/")), "/", -2)
+    return F.when(F.instr(two, "/") > 0, F.substring_index(two, "/", 1)).otherwise("")
+
+
 def features(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, suffix, rule, label and the raw lexical features."""
+    """page_id, url, host, path, suffix, the folder's hash, rule, label and the raw lexical features."""
     host, path = parts(F.col("url"))
     d = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     u = F.coalesce("url", F.lit(""))
@@ -72,6 +81,7 @@ def features(pages: DataFrame) -> DataFrame:
     return d.withColumns(
         {
             "suffix": F.substring_index("host", ".", -1),
+            "folder": F.xxhash64(last_folder(F.col("path"))),
             "hit": rule_verdict(),
             "f_length": F.length(u).cast("double"),
             "f_depth": F.length(F.regexp_replace("path", "[^/]", "")).cast("double"),
@@ -85,9 +95,10 @@ def features(pages: DataFrame) -> DataFrame:
         "host",
         "path",
         "suffix",
+        "folder",
         F.col("hit.rule").alias("rule"),
         F.col("hit.verdict").alias("label"),
-        *FEATURES[:-1],
+        *LEXICAL,
     )
 
 
@@ -165,25 +176,27 @@ def judge(pages: DataFrame, train_rows: int = TRAIN_ROWS, hold_out: Column | Non
     """page_id, host, path, rule, verdict and the trees' score (share of allow). Rows of hold_out take no part in training."""
     d = features(pages)
     learn = F.col("label").isNotNull() if hold_out is None else F.col("label").isNotNull() & ~F.coalesce(hold_out, F.lit(False))
-    labelled = d.where(learn).select("suffix", *FEATURES[:-1], (F.col("label") == "allow").cast("int").alias("y"), F.xxhash64("url").alias("k"))
-    sample = labelled.orderBy("k", *FEATURES[:-1]).limit(train_rows)
+    labelled = d.where(learn).select("suffix", "folder", *LEXICAL, (F.col("label") == "allow").cast("int").alias("y"), F.xxhash64("url").alias("k"))
+    sample = labelled.orderBy("k", *LEXICAL).limit(train_rows)
     sample = written(sample.withColumn("half", F.pmod(F.xxhash64("k"), F.lit(2)).cast("int")).drop("k"), "urls")
     n, allowed = sample.agg(F.count("*"), F.sum("y")).first()
     if not n or allowed in (0, n):
         score = F.lit(0.0 if n and not allowed else 1.0)
     else:
         prior_share = allowed / n
-        share = ((F.sum("y") + 5 * prior_share) / (F.count("*") + 5)).alias("f_suffix")
-        suffixes = sample.groupBy("suffix").agg(share)
-        others = sample.groupBy("suffix", (1 - F.col("half")).alias("half")).agg(share)
-        sample = sample.join(others, ["suffix", "half"], "left").withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior_share)))
+        share = (F.sum("y") + 5 * prior_share) / (F.count("*") + 5)
+        plain = sample
+        for name, key in SUFFIXES.items():
+            others = plain.groupBy(key, (1 - F.col("half")).alias("half")).agg(share.alias(name))
+            sample = sample.join(others, [key, "half"], "left").withColumn(name, F.coalesce(name, F.lit(prior_share)))
+            d = d.join(plain.groupBy(key).agg(share.alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(prior_share)))
         shares = [(i + 1) / BINS for i in range(BINS - 1)]
         cut_rows = sample.agg(*(F.percentile_approx(f, shares, 1000).alias(f) for f in FEATURES)).first()
         bins = {f"b_{f}": _binned(f, sorted(set(cut_rows[f]))) for f in FEATURES}
         cells = written(sample.withColumns(bins).groupBy(*bins, "y").agg(F.count("*").alias("c")), "urls")
         prior = math.log(prior_share / (1 - prior_share))
         trees = grow(cells, prior)
-        d = d.join(suffixes, "suffix", "left").withColumn("f_suffix", F.coalesce("f_suffix", F.lit(prior_share))).withColumns(bins)
+        d = d.withColumns(bins)
         score = 1 / (1 + F.exp(-(F.lit(prior) + _sum([_leaf(t) for t in trees]))))
     d = d.withColumn("score", score)
     verdict = F.coalesce("label", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))
