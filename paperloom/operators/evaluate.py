@@ -71,7 +71,9 @@ def top_results(hits: DataFrame, papers: DataFrame, chars: int = 50, digits: int
     hits: query_id, paper_id, score, rank; papers: paper_id, title (a paper without a row has an empty title).
     """
     d = hits.join(papers.select("paper_id", F.substring(F.coalesce("title", F.lit("")), 1, chars).alias("title")), "paper_id", "left")
-    row = F.struct("rank", "paper_id", F.coalesce("title", F.lit("")).alias("title"), F.round("score", digits).alias("score"))
+    # a scaled number is rounded, as SQL does it; rounding the printed digits differs where they end in a five
+    score = F.round(F.col("score") * 10.0**digits) / 10.0**digits
+    row = F.struct("rank", "paper_id", F.coalesce("title", F.lit("")).alias("title"), score.alias("score"))
     return d.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: F.struct(x["paper_id"], x["title"], x["score"])).alias("top_results"))
 
 

@@ -24,3 +24,11 @@ def test_streams_of_a_table_in_a_folder(name, spark, sf, duck, tmp_path):
             shutil.copy(f"{sf}/{t}.parquet", tmp_path)
     got = retrieval_queries.Q[name](spark, str(tmp_path)).toPandas()
     assert rows_of(got) == rows_of(duck.sql(retrieval_queries.SQL[name]).df())
+
+
+def test_top_results_round_as_sql(spark, duck):
+    scores = [102.68775, 0.00145, 0.00465, 12.34565, 7.5]
+    hits = spark.createDataFrame([(1, str(i), s, i) for i, s in enumerate(scores)], "query_id long, paper_id string, score double, rank int")
+    papers = spark.createDataFrame([("0", "t")], "paper_id string, title string")
+    got = [x.score for x in evaluate.top_results(hits, papers).first().top_results]
+    assert got == [duck.sql(f"select round({s}::double, 4)").fetchall()[0][0] for s in scores]
