@@ -32,3 +32,15 @@ def test_top_results_round_as_sql(spark, duck):
     papers = spark.createDataFrame([("0", "t")], "paper_id string, title string")
     got = [x.score for x in evaluate.top_results(hits, papers).first().top_results]
     assert got == [duck.sql(f"select round({s}::double, 4)").fetchall()[0][0] for s in scores]
+
+
+def test_every_turn_is_judged(spark, sf, duck):
+    """No answer is left out for its length or number, so each conversation has contexts."""
+    got = {r.query_id for r in retrieval_queries.Q["j10_judge_contexts"](spark, sf).select("query_id").distinct().collect()}
+    assert got == {r[0] for r in duck.sql("select distinct conv_id from conversations").fetchall()}
+
+
+def test_judged_answers(spark):
+    rows = [(1, "x" * 100, ["p"]), (2, " " + "x" * 99 + " ", ["p"]), (3, "x" * 100, []), (4, None, ["p"]), (5, "x" * 200, None)]
+    d = spark.createDataFrame(rows, "query_id long, answer string, citations array<string>")
+    assert [r.query_id for r in evaluate.judged_answers(d).collect()] == [1]
