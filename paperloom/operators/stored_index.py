@@ -117,6 +117,15 @@ def _range_scores(asked: pa.Table, average: float | None, k: int, digits: int):
     return run
 
 
+def first_texts(docs: DataFrame) -> DataFrame:
+    """docs (id, text) that have an id, the first by text of those with one id."""
+    d = docs.where("id is not null")
+    twice = cut(d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if twice.isEmpty():
+        return d
+    return d.join(twice, "id", "left_anti").unionByName(d.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+
+
 class StoredIndex:
     """An index in a folder that all executors share."""
 
@@ -168,10 +177,7 @@ class StoredIndex:
 
     def load(self, docs: DataFrame, id_column: str, text: Column) -> None:
         """Adds the papers whose ids are new. Texts are read once, and only ids beside them."""
-        d = docs.select(F.col(id_column).alias("id"), text.alias("text")).where("id is not null")
-        twice = cut(d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
-        if not twice.isEmpty():
-            d = d.join(twice, "id", "left_anti").unionByName(d.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        d = first_texts(docs.select(F.col(id_column).alias("id"), text.alias("text")))
         have = self.papers()
         d = d.join(have.select("id"), "id", "left_anti") if have is not None else d
         row = self._next(dict(d.dtypes)["id"])
