@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import top_k
+from .lineage import cut, sent
 
 #: Numbers in a block of vectors or of query vectors: a task holds one block of each.
 BLOCK_NUMBERS = 1 << 22
@@ -133,10 +134,17 @@ def expand(hits: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
     from ..functions.ids import parent_of, parse
 
     fields = {"section": "", "section_heading": "", "year": 0, "extraction_method": ""}
+    # hits are few beside chunks and papers, of which only the rows that they name are dealt
+    hits = cut(hits)
+    ids = cut(hits.select("id", parent_of(F.col("id")).alias("parent")).distinct())
+    named = sent(ids.select(F.explode(F.array("id", "parent")).alias("chunk_id")).where("chunk_id is not null").distinct())
+    chunks = chunks.join(named, "chunk_id", "left_semi")
     own = chunks.select(F.col("chunk_id").alias("id"), F.col("paper_id").alias("own_paper"), *(_or(chunks, c, v).alias(f"own_{c}") for c, v in fields.items()))
     d = hits.join(own, "id", "left").withColumn("parsed", parse(F.col("id"))).withColumn("parent_chunk_id", parent_of(F.col("id")))
     d = d.where(F.col("own_paper").isNotNull() | (F.size(F.split("id", "::")) >= 3))
     d = d.withColumn("paper_id", F.coalesce("own_paper", "parsed.paper_id"))
+    d = cut(d)
+    papers = papers.join(sent(d.select("paper_id").distinct()), "paper_id", "left_semi")
     parents = chunks.where("chunk_type = 'parent'").select(
         F.col("chunk_id").alias("parent_chunk_id"), F.col("text").alias("parent_text"), F.col("section").alias("parent_section"), _or(chunks, "section_heading", "").alias("parent_section_heading")
     )
@@ -162,7 +170,9 @@ def expand(hits: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
 
 def abstract_supplement(results: DataFrame, papers: DataFrame) -> DataFrame:
     """One more RESULT row per retrieved paper with an abstract; scores are 0."""
-    d = results.select("query_id", "paper_id").distinct().join(_meta(papers).where("trim(abstract) <> ''"), "paper_id")
+    named = results.select("query_id", "paper_id").distinct()
+    papers = papers.join(sent(named.select("paper_id").distinct()), "paper_id", "left_semi")
+    d = named.join(_meta(papers).where("trim(abstract) <> ''"), "paper_id")
     row = {
         "id": F.concat("paper_id", F.lit("::abstract")),
         "paper_id": F.col("paper_id"),
