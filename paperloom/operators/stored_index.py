@@ -179,7 +179,8 @@ class StoredIndex:
         """Adds the papers whose ids are new. Texts are read once, and only ids beside them."""
         d = first_texts(docs.select(F.col(id_column).alias("id"), text.alias("text")))
         have = self.papers()
-        d = d.join(have.select("id"), "id", "left_anti") if have is not None else d
+        if have is not None:  # ids are compared before texts; few new ones go to the texts
+            d = d.join(sent(cut(d.select("id").join(have.select("id"), "id", "left_anti"))), "id", "left_semi")
         row = self._next(dict(d.dtypes)["id"])
         self._write_blocks(d.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("w")), row)
         own = self._table(row, "postings")
@@ -227,8 +228,15 @@ class StoredIndex:
         blocks = tokens.coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(
             _blocks, f"term string, block long, n int, impacts array<struct<f:int,dl:int>>, postings array<struct<id:{t},f:int,dl:int>>"
         )
-        bucket = F.when(F.col("term").isNull(), PAPERS).otherwise(self._bucket(row["buckets"])).alias("bucket")
-        blocks.select("*", bucket).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._home(row)}/postings")
+        # all directories are open at once, so blocks are not sorted by directory, which would hold or spill a task's whole share
+        name, conf = "spark.sql.maxConcurrentOutputFileWriters", self.spark.conf
+        before = conf.get(name)
+        conf.set(name, str(row["buckets"] + 1))
+        try:
+            bucket = F.when(F.col("term").isNull(), PAPERS).otherwise(self._bucket(row["buckets"])).alias("bucket")
+            blocks.select("*", bucket).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._home(row)}/postings")
+        finally:
+            conf.set(name, before)
 
     def _finish(self, row: dict, change: DataFrame, carry: bool = True) -> None:
         """Term counts from the last generation's and the change in them; then the commit."""
