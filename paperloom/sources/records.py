@@ -46,8 +46,9 @@ def write_csv(rows: DataFrame, columns: list[str], path: str) -> None:
 
 
 def write_report(row: DataFrame, path: str, *by: str) -> None:
-    """JSON reports, in a folder of its own for each value of the columns in by."""
-    row.write.mode("overwrite").partitionBy(*by).json(path)
+    """JSON reports, in a folder of its own for each value of the columns in by. Small rows make many files, so all shuffle partitions write."""
+    tasks = int(row.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (row.repartition(tasks, F.xxhash64(*by)) if by else row).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def list_files(spark: SparkSession, path: str, most: int | None = None, name: str = r"([^/]+?)(?:\.[A-Za-z]+)*$") -> DataFrame:
