@@ -110,6 +110,10 @@ def _tei(xml: str | None) -> dict:
     }
 
 
+#: Documents whose fields are Python objects at one time.
+PARSED = 128
+
+
 def structured_documents(xml: DataFrame) -> DataFrame:
     """STRUCTURED rows of (paper_id, xml) in TEI; malformed XML gives a status alone.
 
@@ -118,9 +122,11 @@ def structured_documents(xml: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [{"paper_id": p, **_tei(x)} for p, x in zip(b.column("paper_id").to_pylist(), b.column("xml").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, kind)
+        for whole in batches:
+            for at in range(0, whole.num_rows, PARSED):
+                b = whole.slice(at, PARSED)
+                rows = [{"paper_id": p, **_tei(x)} for p, x in zip(b.column("paper_id").to_pylist(), b.column("xml").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, kind)
 
     kind = to_arrow_schema(DataType.fromDDL(STRUCTURED))
     return xml.select("paper_id", "xml").mapInArrow(run, STRUCTURED)

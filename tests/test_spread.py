@@ -38,3 +38,22 @@ def test_blocks_are_written_unsorted(spark, tmp_path):
     ix.load(spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "id long, text string"), "id", F.col("text"))
     assert "5" in seen and spark.conf.get(name) == before
     assert {r.term: r.df for r in ix.terms().collect()} == {"alpha": 1, "beta": 2}
+
+
+def test_documents_are_parsed_in_small_parts(spark):
+    """A batch of many documents leaves its task in parts, so the fields of few are Python objects at one time."""
+    d = spark.range(300, numPartitions=1).select(F.col("id").cast("string").alias("paper_id"), F.lit("<TEI><text><body/></text></TEI>").alias("xml"))
+    held = []
+
+    class Watched:
+        """A frame whose map runs here, on one batch of all rows."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            held.extend(b.num_rows for b in run(iter(d.toArrow().combine_chunks().to_batches())))
+
+    records.structured_documents(Watched())
+    assert sum(held) == 300 and max(held) <= records.PARSED
+    assert records.structured_documents(d).select("paper_id").distinct().count() == 300
