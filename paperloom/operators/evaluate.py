@@ -241,8 +241,8 @@ def question_ids(existing: int, number: Column) -> Column:
     return F.format_string("Q%03d", (number + existing).cast("int"))
 
 
-#: Words of first papers that are sent to all tasks at once; more are dealt by word. Rows that a task counts together.
-SENT_WORDS, COUNTED = 4_000_000, 64
+#: Words of first papers that are sent to all tasks at once; more are dealt by word. Rows that a task counts together, and results that it holds before the best are kept.
+SENT_WORDS, COUNTED, HELD = 4_000_000, 64, 1 << 18
 
 
 def _two_best(firsts: pa.Table, over: int):
@@ -273,6 +273,8 @@ def _two_best(firsts: pa.Table, over: int):
                 third, a = pa.array(hit // len(words)), pa.array(hit % len(words))
                 rows = pa.table({"query_id": names.take(a), "id": part.column("third").take(third), "score": part.column("cited").take(third)})
                 found.append(rows.filter(pc.not_equal(rows.column("query_id"), rows.column("id"))))
+                if sum(t.num_rows for t in found) > HELD:
+                    found = [cut_best(pa.concat_tables(found), 2)]
             if found:
                 yield from cut_best(pa.concat_tables(found), 2).to_batches()
 
