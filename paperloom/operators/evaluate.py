@@ -168,15 +168,19 @@ def related_pairs(tagged: DataFrame, n: int, seed: str) -> DataFrame:
     All pairs of all topics have numbers: in a topic, papers are numbered in the order of a keyed hash, and paper j has the
     pairs j (j - 1) / 2 ... with its forerunners. Numbers are drawn in steps of STRIDE and only the drawn pairs are
     looked up; a pair with several topics counts by its first. One row per topic reaches the driver.
+
+    Papers are counted by topic and the start of their hash (bucket). Only buckets that a drawn number lies in are put in order, so
+    no task sorts or joins the papers of a topic. Repeated tags go after they are dealt, as one task may read most of the tags.
     """
     key = F.md5(F.concat_ws("/", F.lit(seed), "paper_id"))
-    d = cut(tagged.select("topic", "paper_id", key.alias("h"), F.substring(key, 1, 3).alias("bucket")).distinct())
-    sizes = d.groupBy("topic", "bucket").agg(F.count("*").alias("c"))
+    d = tagged.select("topic", "paper_id").repartition("topic", "paper_id").distinct()
+    d = cut(d.select("topic", "paper_id", key.alias("h"), F.substring(key, 1, 3).alias("bucket")))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("topic").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = d.groupBy("topic", "bucket").agg(F.count("*").alias("c")).select("topic", "bucket", "c", before.alias("before"))
+    starts = cut(starts)
+    topics = sorted((r["topic"], r["c"] * (r["c"] - 1) // 2) for r in starts.groupBy("topic").agg(F.sum("c").alias("c")).collect())
     inner = F.row_number().over(Window.partitionBy("topic", "bucket").orderBy("h", "paper_id"))
-    numbered = d.withColumn("r", inner - 1).join(sizes.select("topic", "bucket", before.alias("before")), ["topic", "bucket"])
-    numbered = cut(numbered.select("topic", "paper_id", (F.col("before") + F.col("r")).alias("r")))
-    topics = sorted((r["topic"], r["c"] * (r["c"] - 1) // 2) for r in sizes.groupBy("topic").agg(F.sum("c").alias("c")).collect())
+    upto = Window.partitionBy("topic").orderBy("r", "drawn").rowsBetween(Window.unboundedPreceding, 0)
     ends = list(accumulate(pairs for _, pairs in topics))
     total, drawn = ends[-1] if ends else 0, 0
     while True:
@@ -189,9 +193,16 @@ def related_pairs(tagged: DataFrame, n: int, seed: str) -> DataFrame:
             j = (1 + isqrt(1 + 8 * number)) // 2
             rows.append((i, topics[t][0], number - j * (j - 1) // 2, j))
         pick = d.sparkSession.createDataFrame(rows, "i long, topic string, x long, y long")
+        wanted = pick.select("topic", F.explode(F.array("x", "y")).alias("r")).distinct()
+        marks = starts.select("topic", F.col("before").alias("r"), F.struct("bucket", "before").alias("b"), F.lit(False).alias("drawn"))
+        marks = marks.unionByName(wanted.withColumn("drawn", F.lit(True)), allowMissingColumns=True)
+        near = marks.select("topic", "drawn", F.last("b", ignorenulls=True).over(upto).alias("b")).where("drawn").select("topic", "b.*").distinct()
+        numbered = d.join(sent(cut(near)), ["topic", "bucket"]).select("topic", "paper_id", (F.col("before") + inner - 1).alias("r"))
+        numbered = cut(numbered.join(sent(wanted), ["topic", "r"], "left_semi"))
         one = lambda c: numbered.select("topic", F.col("paper_id").alias(f"paper_{c}"), F.col("r").alias(c))
-        found = pick.join(one("x"), ["topic", "x"]).join(one("y"), ["topic", "y"])
-        all_topics = d.groupBy("paper_id").agg(F.collect_set("topic").alias("t"))
+        found = cut(pick.join(one("x"), ["topic", "x"]).join(one("y"), ["topic", "y"]))
+        ours = found.select(F.explode(F.array("paper_x", "paper_y")).alias("paper_id")).distinct()
+        all_topics = d.join(sent(ours), "paper_id", "left_semi").groupBy("paper_id").agg(F.collect_set("topic").alias("t"))
         own = lambda c: all_topics.select(F.col("paper_id").alias(f"paper_{c}"), F.col("t").alias(f"t{c}"))
         found = found.join(own("x"), "paper_x").join(own("y"), "paper_y").where(F.col("topic") == F.array_min(F.array_intersect("tx", "ty")))
         found = cut(found.select("i", F.least("paper_x", "paper_y").alias("a"), F.greatest("paper_x", "paper_y").alias("b")))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import corpus
+from paperloom.operators import corpus, evaluate, lineage
 from paperloom.operators.stored_index import StoredIndex
 from paperloom.sources import records
 
@@ -57,3 +57,21 @@ def test_documents_are_parsed_in_small_parts(spark):
     records.structured_documents(Watched())
     assert sum(held) == 300 and max(held) <= records.PARSED
     assert records.structured_documents(d).select("paper_id").distinct().count() == 300
+
+
+def test_related_pairs_put_few_papers_in_order(spark, monkeypatch):
+    """Beside the tags themselves, only the buckets of drawn numbers are worked on, and repeated tags go after they are dealt."""
+    tags = spark.range(60_000).select((F.col("id") % 30_000).cast("string").alias("paper_id"), F.lit("t").alias("topic"))
+    kept, plans = [], []
+
+    def watched(d):
+        plans.append(d._jdf.queryExecution().executedPlan().toString())
+        out = lineage.cut(d)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(evaluate, "cut", watched)
+    pairs = evaluate.related_pairs(tags, 5, "42").collect()
+    assert len(set(pairs)) == 5 and all(p.a < p.b for p in pairs)
+    assert kept[0] == 30_000 and max(kept[1:]) <= 4096  # all tags once; then at most a row for each bucket
+    assert plans[0].rindex("Exchange") > plans[0].rindex("HashAggregate")  # the exchange lies below both aggregates
