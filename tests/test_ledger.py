@@ -60,3 +60,38 @@ def test_keyed_ledger_stream_restarts(spark, tmp_path):
     assert run() == {"a": 1, "b": 2}
     put(spark, src, ("a", 0, 3), ("c", 1, 4))  # a late repeat changes nothing
     assert run() == {"a": 1, "b": 2, "c": 4}
+
+
+def test_first_seen_state_follows_buckets(spark, tmp_path):
+    """Many keys share few states and timers."""
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    spark.range(16_000).selectExpr("cast(id % 8000 as string) AS k", "timestamp_seconds(1704067200 + id) AS ts", "cast(id AS int) AS n").write.parquet(src)
+    s = spark.readStream.schema("k string, ts timestamp, n int").parquet(src)
+    with ledger.rocks(spark):
+        q = ledger.first_seen(s, "k", "ts", "4000 days", 86_400_000).writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        q = q.trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == list(range(8000))
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) < 8000
+
+
+def test_keys_of_one_bucket_end_apart(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+
+    def run():
+        s = spark.readStream.schema("k string, ts timestamp, n int").option("maxFilesPerTrigger", 1).parquet(src)
+        with ledger.rocks(spark):
+            q = ledger.first_seen(s, "k", "ts", "1 hour", 5 * 3_600_000, buckets=1).writeStream.format("parquet").option("path", out)
+            q.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.n for r in spark.read.parquet(out).collect())
+
+    put(spark, src, ("a", 0, 1), ("b", 4, 2), (None, 4, 3), (None, 3.5, 4))
+    assert run() == [1, 2, 4]  # the null key is one of its own
+    put(spark, src, ("b", 7.5, 5))
+    assert run() == [1, 2, 4]  # a has ended, b has not
+    put(spark, src, ("a", 7.6, 6), ("b", 7.7, 7), (None, 7.7, 8))
+    assert run() == [1, 2, 4, 6]
+    put(spark, src, ("c", 40, 9))
+    assert run() == [1, 2, 4, 6, 9]  # now all others end
+    put(spark, src, ("a", 40, 10), ("b", 40, 11), (None, 40, 12), ("c", 41, 13))
+    assert run() == [1, 2, 4, 6, 9, 10, 11, 12]
