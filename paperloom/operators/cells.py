@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .index import top_k
 from .lineage import cut
-from .retrieve import BLOCK_NUMBERS, best_products, dense_search, matrix
+from .retrieve import BLOCK_NUMBERS, TILE, best_products, cut_best, dense_search, matrix
 
 #: Cells at most (each task holds all centres), and sampled vectors a cell that centres are fitted on.
 MOST_CELLS, SAMPLE = 4096, 32
@@ -146,41 +146,63 @@ def hashed_search(vectors: DataFrame, queries: DataFrame, k: int, recall: float
     directions = np.random.default_rng(seed).normal(size=(tables, dims, bits))
     powers = 1 << np.arange(bits)
 
-    def keys(probes: int, name: str):
-        """Rows (name, slot, key), one for each table and looked-up key."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            turned = np.array(sorted(range(1 << bits), key=lambda m: (m.bit_count(), m))[:probes] if probes > 1 else [0])
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                products = np.einsum("nd,tdb->ntb", matrix(b), directions)
-                own = ((products > 0) * powers).sum(axis=2)
-                if probes > 1:  # turn the least certain signs first
-                    order = np.argsort(np.abs(products), axis=2)
-                    masks = ((turned[:, None] >> np.arange(bits)) & 1).astype(bool)
-                    flips = np.zeros((*own.shape, len(turned)), np.int64)
-                    for j in range(bits):
-                        flips += np.where(masks[:, j], powers[order[:, :, j]][..., None], 0)
-                    own = own[..., None] ^ flips
-                else:
-                    own = own[..., None]
-                n = own[0].size
-                row = np.repeat(np.arange(len(own)), n)
-                slot = np.tile(np.repeat(np.arange(tables), own.shape[2]), len(own))
-                yield pa.RecordBatch.from_arrays([b.column(name).take(pa.array(row)), pa.array(slot.astype(np.int32)), pa.array(own.reshape(-1).astype(np.int64))], [name, "slot", "key"])
-
-        return run
-
-    kinds = dict(good.dtypes)["id"], dict(asked.dtypes)["query_id"]
-    index = cut(good.mapInArrow(keys(1, "id"), f"id {kinds[0]}, slot int, key long"))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors with their key in each table."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = ((np.einsum("nd,tdb->ntb", matrix(b), directions) > 0) * powers).sum(axis=2)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, tables), pa.int32()), pa.array(own.reshape(-1), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("embedding"), lists], ["id", "embedding", "keys"])
+
+    index = cut(good.repartition("id").mapInArrow(keyed, f"id {dict(good.dtypes)['id']}, embedding array<double>, keys array<int>"))
+
+    def looked_up(q: np.ndarray, probes: int) -> np.ndarray:
+        """[query, table, probe]: the keys that queries look up, their own and those with the least certain signs turned."""
+        products = np.einsum("nd,tdb->ntb", q, directions)
+        own = ((products > 0) * powers).sum(axis=2)
+        turned = np.array(sorted(range(1 << bits), key=lambda m: (m.bit_count(), m))[:probes])
+        order = np.argsort(np.abs(products), axis=2)
+        masks = ((turned[:, None] >> np.arange(bits)) & 1).astype(bool)
+        flips = np.zeros((*own.shape, len(turned)), np.int64)
+        for j in range(bits):
+            flips += np.where(masks[:, j], powers[order[:, :, j]][..., None], 0)
+        return own[..., None] ^ flips
 
     def found(some: DataFrame, probes: int) -> DataFrame:
-        looked = some.mapInArrow(keys(probes, "query_id"), f"query_id {kinds[1]}, slot int, key long")
-        pairs = looked.join(index, ["slot", "key"]).select("query_id", "id").distinct()
-        dot = F.aggregate(F.zip_with("embedding", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        scored = pairs.join(good, "id").join(some.withColumnRenamed("embedding", "e"), "query_id").select("query_id", "id", F.round(dot, digits).alias("score"))
-        return top_k(scored, ["query_id"], [F.desc("score"), F.col("id")], k)
+        """Vectors stay where they lie; a task lists them by table and key, and scores for each query those that its keys hold."""
+
+        def best_found(v: pa.Table, q: pa.Table, k: int, digits: int) -> pa.Table:
+            rows = [pa.table({"query_id": q.column("query_id").slice(0, 0), "id": v.column("id").slice(0, 0), "score": pa.array([], pa.float64())})]
+            if v.num_rows and q.num_rows:
+                e, n = matrix(v), v.num_rows
+                own = v.column("keys").combine_chunks().flatten().to_numpy().reshape(n, tables)
+                listed = np.argsort(own, axis=0, kind="stable").T  # [table, place]: vectors by key
+                edges = np.arange((1 << bits) + 1)
+                starts = np.stack([np.searchsorted(own[listed[t], t], edges) + t * n for t in range(tables)])
+                listed, table = listed.reshape(-1), np.arange(tables)[:, None]
+                m = matrix(q)
+                for a in range(0, len(m), TILE):
+                    picked, scores, whose = [], [], []
+                    for i, keys in enumerate(looked_up(m[a : a + TILE], probes), a):
+                        first = starts[table, keys].reshape(-1)
+                        size = starts[table, keys + 1].reshape(-1) - first
+                        ends = np.cumsum(size)
+                        hit = np.zeros(n, bool)  # a vector that several tables find counts once
+                        hit[listed[np.repeat(first - ends + size, size) + np.arange(ends[-1])]] = True
+                        row = np.flatnonzero(hit)
+                        score = np.round(e[row] @ m[i], digits)
+                        if len(row) > k:
+                            best = score >= -np.partition(-score, k - 1)[k - 1]  # ties at the edge are kept for the total order
+                            row, score = row[best], score[best]
+                        picked.append(row)
+                        scores.append(score)
+                        whose.append(np.full(len(row), i))
+                    at = lambda x: pa.array(np.concatenate(x))
+                    rows.append(pa.table({"query_id": q.column("query_id").take(at(whose)), "id": v.column("id").take(at(picked)), "score": at(scores)}))
+            return cut_best(pa.concat_tables(rows), k)
+
+        return dense_search(index, some, k, digits, best_found, ("keys",), BLOCK_NUMBERS // dims)
 
     test = cut(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED))
     right = cut(dense_search(good, test, k, digits).select("query_id", "id"))

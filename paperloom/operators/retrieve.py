@@ -51,9 +51,24 @@ def best_products(left: pa.Table, right: pa.Table, k: int, digits: int) -> pa.Ta
     return cut_best(pa.concat_tables(found), k)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5) -> DataFrame:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5, best_of: Callable = best_products, more: tuple[str, ...] = (), at_once: int = 1) -> DataFrame:
     """(query_id, id, score, rank): exact best k by dot product of unit vectors.
 
+    best_of says which vectors of a block are looked at for which queries: all, or those that an index finds by columns `more` of the
+    vectors. It gets at least at_once vectors together, where a task has them.
+
     vectors: id, embedding; queries: query_id, embedding. Vectors of another dimension than the queries', or null, match
     nothing. Queries that fit one block (BLOCK_NUMBERS numbers, 32 MB) go to every task, and vectors are mapped where they lie. More
     queries are dealt in blocks of that size and vectors too, and each block of vectors meets each block of queries in
@@ -70,22 +85,22 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 5
 
         def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = None
-            for batch in batches:
-                own = best_products(pa.Table.from_batches([batch]), asked, k, digits)
+            for block in gathered(batches, at_once):
+                own = best_of(block, asked, k, digits)
                 best = own if best is None else cut_best(pa.concat_tables([best, own]), k)
             yield from [] if best is None else best.to_batches()
 
-        out = vectors.where(fits).select("id", "embedding").mapInArrow(running, schema)
+        out = vectors.where(fits).select("id", "embedding", *more).mapInArrow(running, schema)
     else:
         v_blocks = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // rows))
 
-        def dealt(d: DataFrame, name: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
-            d = d.where(fits).select(name, "embedding", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(own))
+        def dealt(d: DataFrame, name: str, own: str, blocks: int, other: str, others: int, *kept: str) -> DataFrame:
+            d = d.where(fits).select(name, "embedding", *kept, F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int").alias(own))
             return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
-        v = dealt(vectors, "id", "vb", v_blocks, "qb", q_blocks)
+        v = dealt(vectors, "id", "vb", v_blocks, "qb", q_blocks, *more)
         q = dealt(queries, "query_id", "qb", q_blocks, "vb", v_blocks)
-        out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(lambda x, y: best_products(x, y, k, digits), schema)
+        out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(lambda x, y: best_of(x, y, k, digits), schema)
     return top_k(out, ["query_id"], [F.desc("score"), F.col("id")], k)
 
 

@@ -63,3 +63,12 @@ def test_empty(vectors):
     assert cells.Cells(vectors.limit(0)).search(q, 3)[0].count() == 0
     assert cells.Cells(vectors).search(q.limit(0), 3)[0].count() == 0
     assert cells.hashed_search(vectors.limit(0), q, 3).count() == 0 and cells.hashed_search(vectors, q.limit(0), 3).count() == 0
+
+
+def test_hashed_search_scores_vectors_where_they_lie(vectors, monkeypatch):
+    """No pairs of queries and candidates are dealt or joined; queries of one block and of several give the same rows."""
+    q = vectors.where("id % 50 = 0 and id < 1000").withColumnRenamed("id", "query_id")
+    out = cells.hashed_search(vectors, q, 15)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(retrieve, "BLOCK_NUMBERS", 6 * 7)
+    assert rows(cells.hashed_search(vectors, q, 15)) == rows(out)
