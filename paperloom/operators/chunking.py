@@ -98,7 +98,8 @@ def split_flat(text: Column, size: int = 512, overlap: int = 50, separator: str
 def flat_chunks(papers: DataFrame, text: Column, separator: str = "\n\n") -> DataFrame:
     """One row per flat chunk: paper_id, chunk_index, total_chunks, char_count, text and the paper's other columns."""
     d = papers.withColumn("__c", split_flat(text, separator=separator))
-    d = d.select("*", F.size("__c").alias("total_chunks"), F.posexplode("__c").alias("chunk_index", "chunk_text")).drop("__c")
+    d = d.select("*", F.size("__c").alias("total_chunks"), F.posexplode_outer("__c").alias("chunk_index", "chunk_text")).drop("__c")
+    d = d.where("chunk_text is not null")  # not a plain posexplode(), see hierarchical_chunks()
     return d.withColumn("char_count", F.length("chunk_text"))
 
 
@@ -165,6 +166,7 @@ def hierarchical_chunks(papers: DataFrame, separator: str = "\n\n") -> DataFrame
         F.transform("__p", lambda x, i: row("parent", up(i), x["section"], x["text"], none)),
         F.transform("__c", lambda x, i: row("child", child_id(up(x["parent"]), i), x["section"], x["text"], up(x["parent"]))),
     )
-    # one pass over the papers: all chunks of a paper come out of one array
-    d = d.withColumn("__x", every).select(pid.alias("paper_id"), F.explode("__x").alias("x"))
+    # One pass over the papers: all chunks of a paper come out of one array. A plain explode() would first filter papers by the array's
+    # size, for which Spark makes all chunks once more.
+    d = d.withColumn("__x", every).select(pid.alias("paper_id"), F.explode_outer("__x").alias("x")).where("x is not null")
     return d.select("paper_id", "x.*").withColumn("char_count", F.length("text"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import corpus, evaluate, lineage
+from paperloom.operators import chunking, corpus, evaluate, lineage
 from paperloom.operators.stored_index import StoredIndex
 from paperloom.sources import records
 
@@ -75,3 +75,14 @@ def test_related_pairs_put_few_papers_in_order(spark, monkeypatch):
     assert len(set(pairs)) == 5 and all(p.a < p.b for p in pairs)
     assert kept[0] == 30_000 and max(kept[1:]) <= 4096  # all tags once; then at most a row for each bucket
     assert plans[0].rindex("Exchange") > plans[0].rindex("HashAggregate")  # the exchange lies below both aggregates
+
+
+def test_chunks_are_made_once(spark):
+    """The plan makes a paper's chunks in one place, and papers without chunks give no rows."""
+    rows = [("p", "an abstract", [("H", "1", "word " * 100)]), ("q", None, []), ("r", " ", None)]
+    d = spark.createDataFrame(rows, "paper_id string, abstract string, sections array<struct<heading:string,section_num:string,text:string>>")
+    out = chunking.hierarchical_chunks(d)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("::abstract") == 1
+    assert {r.paper_id for r in out.collect()} == {"p"}
+    flat = chunking.flat_chunks(d.drop("sections"), F.lit("a sentence of words. " * 20))
+    assert flat.count() == 3 and chunking.flat_chunks(d.drop("sections"), F.col("abstract")).count() == 0
