@@ -6,9 +6,11 @@
    first. Only those tokens are counted over the corpus; tokens found once can link nothing and go no
    further. Tokens that a bounded sample shows to be very common are last in that order and skip the
    counting shuffle altogether, so no hot token is gathered.
-3. Candidates that share a prefix token are linked to the token's smallest class, never to each other, and connected
-   components of these stars are the groups to verify. Large groups are first held against one hub; pairs that are
-   both linked to the hub need no comparison. The rest is cut into chunks, and chunk pairs go to tasks.
+3. Classes that share a prefix token may be linked if their sizes and 1024-bit signatures leave room for the overlap.
+   Each token's list gives pairs that connect what all its possible pairs connect, long lists block by block, and
+   connected components of these pairs are the groups to verify; sharing a token alone brings nobody together. Large groups
+   are first held against one hub; pairs that are both linked to the hub need no comparison. The rest is cut into
+   chunks of bounded number and size, and chunk pairs go to tasks.
 4. A task builds a signature tree over each chunk: nodes hold OR-combined token bitmaps and size ranges. A dual
    traversal of two trees skips node pairs whose largest possible overlap is below the least one needed, or
    whose members are already connected; pairs of leaves are verified on the full sets. It returns a spanning set
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, in_slices, shuffle_parts, table, written
@@ -42,8 +44,11 @@ SAMPLE_DOCS, COMMON_SHARE, COMMON_LEAST = 16_000, 0.005, 50
 COMMON = 1 << 40
 #: Classes with one token beyond which its exact count no longer matters for the order.
 LONGEST = 50_000
-CHUNK = 256
+#: Most members of a chunk, and most shingles of its members together, both on average.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
 BITS = 1024
+#: Longest list of a token whose pairs are all looked at without signatures, and rows of a block of a longer list.
+SHORT, BLOCK = 64, 2048
 _FIRST = np.uint64(int(FIRST_SHARE * 2**64))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -77,35 +82,43 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def signature(s: np.ndarray) -> bytes:
+    """BITS bits, one set by each element's hash."""
+    bits = np.zeros(BITS, bool)
+    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def token_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, text_key (tells a doc_id's texts apart), n (set size), key and check (hash of the whole set), tokens (the first ones of the common order)."""
+    """doc_id, text_key (tells a doc_id's texts apart), n (set size), key and check (hash of the whole set), bits (its signature), tokens (the first ones of the common order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in in_slices(batch)):
-            n, keys, tokens = [], [], []
+            n, keys, bits, tokens = [], [], [], []
             for text in b.column("text"):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 keys.append(set_keys(s))
+                bits.append(signature(s))
                 count = max(int(np.searchsorted(s, _FIRST)), prefix_length(len(s), percent)) if len(s) else 0
                 tokens.append(s[:count].astype(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             flat = pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc_id", "text_key", "n", "key", "check", "tokens"],
+                [b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
+                ["doc_id", "text_key", "n", "key", "check", "bits", "tokens"],
             )
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, key long, check long, tokens array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, n long, key long, check long, bits binary, tokens array<long>")
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sets with key made unique, and the classes of equal sets: key, rep (the doc_id and text_key to read the text by), n, k tokens.
+    """sets with key made unique, and the classes of equal sets: key, rep (the doc_id and text_key to read the text by), n, k tokens, bits.
 
     key is the first half of the hash. Where two different sets share it, all but the first go by a hash of both halves.
     """
     own = sets.where("key is not null").groupBy("key", "check").agg(
-        F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first(F.size("tokens")).alias("k")
+        F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first(F.size("tokens")).alias("k"), F.first("bits").alias("bits")
     )
     own = written(own, "classes")
     twice = written(own.groupBy("key").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low < high").select("key", "low"), "clashes")
@@ -114,7 +127,7 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         out = d.join(twice, "key", "left")
         return out.withColumn("key", F.when(F.col("low") < F.col("check"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("low")
 
-    return renamed(sets).drop("check"), renamed(own).drop("check")
+    return renamed(sets.drop("bits")).drop("check"), renamed(own).drop("check")
 
 
 def common_tokens(sets: DataFrame, rows: int) -> np.ndarray:
@@ -214,6 +227,123 @@ def shared_tokens(sets: DataFrame, common: np.ndarray) -> DataFrame:
     return out
 
 
+def near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def room(n_a: np.ndarray, bits_a: np.ndarray, n_b: np.ndarray, bits_b: np.ndarray, percent: int) -> np.ndarray:
+    """Sizes and signatures (rows of uint64) leave room for the overlap needed: a set has an element of its own for each bit that only it has."""
+    own = lambda x, y: np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
+    return np.minimum(n_a - own(bits_a, bits_b), n_b - own(bits_b, bits_a)) >= needed(n_a, n_b, percent)
+
+
+def _bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def short_lists(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """From rows token, key, n sorted by token: all pairs of near sizes of each list of SHORT rows at most. Longer lists are passed over."""
+    held = [np.zeros(0, np.int64)] * 3
+    passed: int | None = None
+
+    def pairs(token: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        count = np.diff(np.append(first, len(token)))
+        at = np.flatnonzero(np.repeat((count > 1) & (count <= SHORT), count))
+        for d in range(1, SHORT):
+            at = at[at + d < len(token)]
+            at = at[token[at] == token[at + d]]  # rows that have a d-th one after them in their list
+            if not len(at):
+                return
+            near = at[near_sizes(n[at], n[at + d], percent)]
+            yield _links(key[near], key[near + d])
+
+    for b in batches:
+        rows = [np.append(h, b.column(c).to_numpy()) for h, c in zip(held, ("token", "key", "n"), strict=True)]
+        if passed is not None:
+            rows = [r[rows[0] != passed] for r in rows]
+        if not len(rows[0]):
+            held = rows
+            continue
+        begin = int(np.searchsorted(rows[0], rows[0][-1]))
+        if begin:
+            yield from pairs(*(r[:begin] for r in rows))
+        held = [r[begin:] for r in rows]
+        if len(held[0]) > SHORT:
+            passed, held = held[0][0], [h[:0] for h in held]
+    if len(held[0]):
+        yield from pairs(*held)
+
+
+def spanning_possible(n: np.ndarray, bits: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Pairs that connect what all possible links connect, within one block (side 2) or between two (sides 0 and 1)."""
+    order = np.argsort(n, kind="stable")
+    n, bits, side, group = n[order], bits[order], side[order], np.arange(len(n))
+    ends = np.searchsorted(n, n * 100 // percent, side="right")
+    for i, end in enumerate(ends):
+        others = np.arange(i + 1, end)
+        others = others[(group[i + 1 : end] != group[i]) & ((side[i] == 2) | (side[i + 1 : end] != side[i]))]
+        others = others[room(n[i], bits[i], n[others], bits[others], percent)]
+        if len(others):
+            met, at = np.unique(group[others], return_index=True)
+            yield from ((order[i], order[others[j]]) for j in at)
+            group[np.isin(group, met)] = group[i]
+
+
+def long_lists(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """From rows of block pairs, sorted by token, i and j: spanning_possible() of each. One block pair is held at a time, and one batch."""
+    held: pa.Table | None = None
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key = t.column("key").to_numpy()
+        found = list(spanning_possible(t.column("n").to_numpy(), _bit_rows(t.column("bits")), t.column("side").to_numpy(), percent))
+        return _links(*(key[np.array([f[x] for f in found], np.int64)] for x in (0, 1)))
+
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        if not t.num_rows:
+            continue
+        new = np.zeros(t.num_rows, bool)
+        for c in ("token", "i", "j"):
+            x = t.column(c).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        for a, z in zip(starts, starts[1:]):
+            yield links(t.slice(a, z - a))
+        held = t.slice(starts[-1])
+    if held is not None:
+        yield links(held)
+
+
+def possible_links(prefix: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) keys, from rows token, key, n: pairs that share a token and that sizes and signatures allow, as many as connect all of them."""
+    parts = 2 * shuffle_parts(prefix.sparkSession)
+    dealt = prefix.repartition(parts, "token").sortWithinPartitions("token")
+    short = dealt.mapInArrow(lambda b: short_lists(b, percent), "a long, b long").distinct()
+    of = classes.select("key", "n", "bits")
+    a, b = (of.toDF(x, f"n_{x}", f"bits_{x}") for x in "ab")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            n_a, n_b = r.column("n_a").to_numpy(), r.column("n_b").to_numpy()
+            ok = pa.array(room(n_a, _bit_rows(r.column("bits_a")), n_b, _bit_rows(r.column("bits_b")), percent))
+            yield r.select(["a", "b"]).filter(ok)
+
+    near = short.join(a, "a").join(b, "b").mapInArrow(allowed, "a long, b long")
+    lengths = prefix.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count("*").alias("m")).where(F.col("m") > SHORT).drop("m")
+    rows = prefix.join(lengths, "token").withColumn("c", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    rows = rows.drop("n").join(of, "key").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    side = F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1)
+    rows = rows.select("token", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "key", "n", "bits", side.alias("side"))
+    far = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(lambda b: long_lists(b, percent), "a long, b long")
+    return near.unionAll(far)
+
+
 def candidate_groups(sets: DataFrame, classes: DataFrame, rows: int, percent: int = PERCENT) -> DataFrame:
     """(key, grp): every linked pair of different classes is in one group."""
     shared = shared_tokens(sets, common_tokens(sets, rows))
@@ -222,10 +352,8 @@ def candidate_groups(sets: DataFrame, classes: DataFrame, rows: int, percent: in
     # p tokens make the prefix; those that no other class has come first in it
     p = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     take = p - (F.col("k") - F.size("s"))
-    prefix = written(own.where(take > 0).select("key", F.explode(F.slice("s", F.lit(1), take.cast("int"))).alias("t")).select("key", "t.token"), "prefix")
-    lead = prefix.groupBy("token").agg(F.min("key").alias("b"), F.max("key").alias("m")).where("b < m").select("token", "b")
-    stars = prefix.join(lead, "token").select(F.col("key").alias("a"), "b")
-    return components(stars).toDF("key", "grp")
+    prefix = written(own.where(take > 0).select("key", "n", F.explode(F.slice("s", F.lit(1), take.cast("int"))).alias("t")).select("t.token", "key", "n"), "prefix")
+    return components(possible_links(prefix, classes, percent)).toDF("key", "grp")
 
 
 class Node:
@@ -346,13 +474,19 @@ def _verify(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([e[0] for e in ends], pa.int64()), "b": pa.array([e[1] for e in ends], pa.int64())})
 
 
+def _chunks(which: Column | None = None) -> Column:
+    """Chunks that the rows (n: shingles) of a group make, or those of them for which the condition holds."""
+    which = F.lit(True) if which is None else which
+    return F.ceil(F.greatest(F.count_if(which) / CHUNK, F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / CHUNK_SHINGLES))
+
+
 def _hub_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a hub key, b key) of members linked to their group's hub, its class of the smallest hash.
 
     The hub's text is one more row of its group, in front of the members it goes with: groups are dealt in parts
     of about CHUNK members, each part with a copy of the hub, and no text is repeated beside every member.
     """
-    hubs = members.groupBy("grp").agg(F.min_by("key", F.xxhash64("key")).alias("hub"), F.ceil(F.count("*") / CHUNK).alias("parts"))
+    hubs = members.groupBy("grp").agg(F.min_by("key", F.xxhash64("key")).alias("hub"), _chunks().alias("parts"))
     m = members.join(hubs, "grp")
     own = m.where("key <> hub").select("grp", "hub", "key", F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).alias("part"))
     fronts = hubs.select("grp", "hub", F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
@@ -387,15 +521,15 @@ def class_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 def class_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) keys: links that connect within each group exactly what all its links connect."""
-    members = groups.join(classes.select("key", "rep"), "key")
+    members = groups.join(classes.select("key", "rep", "n"), "key")
     texts = written(class_texts(docs, members), "texts")
-    size = groups.groupBy("grp").agg(F.count("*").alias("size"))
-    members = written(members.join(size, "grp").select("key", "grp", "size"), "members")
-    hub = written(_hub_links(members.where(F.col("size") > CHUNK).select("key", "grp"), texts, percent), "hubs")
+    size = members.groupBy("grp").agg(_chunks().alias("size"))
+    members = written(members.join(size, "grp").select("key", "grp", "n", "size"), "members")
+    hub = written(_hub_links(members.where(F.col("size") > 1).select("key", "grp", "n"), texts, percent), "hubs")
     near = hub.select(F.col("b").alias("key")).unionAll(hub.select(F.col("a").alias("key"))).distinct().withColumn("near", F.lit(True))
     m = members.join(near, "key", "left").withColumn("near", F.coalesce("near", F.lit(False)))
     # chunks of the members that the hub left over (0 .. far-1) and of the others (far .. far+near-1)
-    sizes = m.groupBy("grp").agg(F.ceil(F.count_if(~F.col("near")) / CHUNK).alias("far_n"), F.ceil(F.count_if("near") / CHUNK).alias("near_n"))
+    sizes = m.groupBy("grp").agg(_chunks(~F.col("near")).alias("far_n"), _chunks(F.col("near")).alias("near_n"))
     m = m.join(sizes, "grp")
     h = F.xxhash64("key")
     chunk = F.when(F.col("near"), F.col("far_n") + F.pmod(h, F.col("near_n"))).otherwise(F.pmod(h, F.col("far_n")))
